@@ -32,6 +32,7 @@ from .common import LOWER_TABLE, SPACES, shared_folder, small_batches, written
 
 _STRIP = SPACES.decode()
 HOT_SHARE = 1024
+RUN = "h1 long, h2 long, n_docs long, max_id long"
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -64,6 +65,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.paths: dict[str, str] = {}
         self.keys: list[list[str]] = []
         self.counts: list[list[str]] = []
 
@@ -71,8 +73,9 @@ class LineRuns:
         return [self.spark.table(name) for level in ladder for name in level]
 
     def _write(self, run: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        run.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", shared_folder(self.spark)).saveAsTable(name)
+        name, path = f"line_run_{uuid.uuid4().hex}", shared_folder(self.spark)
+        self.paths[name] = path
+        run.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         return name
 
     def fresh(self, batch: DataFrame) -> DataFrame:
@@ -99,22 +102,20 @@ class LineRuns:
         ladder += [[] for _ in range(level + 1 - len(ladder))]
         ladder[level].append(run)
         if len(ladder[level]) >= self.fanout:
-            merged = self._write(_merged([self.spark.table(name) for name in ladder[level]]))
+            merged = self._write(self._merged(ladder[level]))
             ladder[level] = []
             self._push(ladder, merged, level + 1)
 
     def total(self) -> DataFrame:
         """All runs merged: the number of documents and the largest id of each key."""
-        runs = self.tables(self.keys) + self.tables(self.counts)
-        return _merged(runs) if runs else self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, max_id long")
-
-
-def _merged(runs: list[DataFrame]) -> DataFrame:
-    """The runs' rows by key, summed; dealt out anew, as a union of bucketed tables is not itself bucketed."""
-    out = runs[0]
-    for run in runs[1:]:
-        out = out.unionByName(run)
-    return out.repartition("h1", "h2").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
+        names = [name for ladder in (self.keys, self.counts) for level in ladder for name in level]
+        return self._merged(names) if names else self.spark.createDataFrame([], RUN)
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs' rows by key, summed. They are read by path: Spark 4.1 takes a union of bucketed tables for
+        bucketed itself, and would sum each run by itself."""
+        rows = self.spark.read.schema(RUN).parquet(*(self.paths[name] for name in names))
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
 
 
 def repeated_lines(keys: DataFrame, frequent: DataFrame) -> DataFrame:
