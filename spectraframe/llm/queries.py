@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
+from .near_dedup import near_classes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_classes(_table(spark, sf_dir, "documents", "doc_id", "text"), words=2)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -25,4 +31,4 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_exact_dedup, op8_line_dedup)}
+    return {f.__name__: f for f in (op5_near_dedup, op6_exact_dedup, op8_line_dedup)}
