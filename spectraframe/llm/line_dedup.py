@@ -153,7 +153,7 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str,
             columns = [out if k == place else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, n_lines, pa.array(n_dropped)], [*batch.schema.names[:-1], "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(cut, StructType(docs.schema.fields).add("n_lines", LongType()).add("n_dropped", LongType()))
+    return joined.mapInArrow(cut, StructType([*docs.schema.fields]).add("n_lines", LongType()).add("n_dropped", LongType()))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:

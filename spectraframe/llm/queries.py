@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
+from .mixing import mix, n_words
 from .near_dedup import near_classes
+from .packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, placed = pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return placed.withColumnRenamed("id", "doc_id")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_classes(_table(spark, sf_dir, "documents", "doc_id", "text"), words=2)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
@@ -30,5 +37,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "source").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    taken, sources = mix(docs, F.array("source"), F.col("size"), [F.col("doc_id")], keep=["doc_id", "size"])
+    targets = spark.createDataFrame([(s["source"], s["size"], s["target"]) for s in sources], "name string, source_size long, target double")
+    out = taken.join(F.broadcast(targets), F.element_at("own_sources", 1).eqNullSafe(F.col("name")))  # a row a source
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_near_dedup, op6_exact_dedup, op8_line_dedup)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op5_near_dedup, op6_exact_dedup, op7_mixing, op8_line_dedup)}
