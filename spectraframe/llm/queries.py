@@ -7,19 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import read_back, windows
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .mixing import mix, n_words
 from .near_dedup import near_classes
 from .packing import pack
 from .pii import BASE, pii_spans
+from .quality import features, judged
 from .suffix_tree import scored
+from .url_filter import judge
+
+#: The contract's rules: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+SAYING = "</s>[INST] ok [/INST]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", SAYING), (-1, 1, "assistant", SAYING)], "conv_id long, turn long, role string, text string")
+    back = read_back(windows(turns.unionByName(extra)))
+    per_window = back.select("conv", "window", F.size("turns").alias("n"), F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"), "learned", "chars")
+    whole = per_window.groupBy("conv").agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list(F.struct("window", "turns", "learned"))).alias("w"), F.sum("chars").alias("formatted_chars"))
+    learned = F.array_join(F.col("w.learned"), "")
+    return whole.select(F.col("conv").alias("conv_id"), "n_turns", F.sha2(F.array_join(F.col("w.turns"), ""), 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return judged(features(docs, keep=["doc_id"])).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, placed = pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return placed.withColumnRenamed("id", "doc_id")
@@ -54,6 +76,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -67,4 +93,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_lm_scoring, op5_near_dedup, op6_exact_dedup, op7_mixing, op8_line_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_best_fit_packing, op4_lm_scoring, op5_near_dedup, op6_exact_dedup, op7_mixing, op8_line_dedup, op9_url_filters, op10_pii)}
