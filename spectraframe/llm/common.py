@@ -6,6 +6,7 @@ buffer is cut at the same places as its text.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -74,6 +75,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver forget what is no longer used, so that the shuffle files of earlier steps go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and bytes of a string or binary column; null counts as empty."""
     if column.null_count:

@@ -6,12 +6,11 @@ upper bits choose the bin. An empty bin copies a full one, found by hashing (bin
 signatures of small sets keep the right collision rates. Representatives that share a band meet in a bucket.
 
 A bucket's candidates are a star: its smallest document against each other one, so their number is linear in the
-bucket. Sets whose sizes rule out the threshold are left out; the rest are confirmed on full sets. What a star can
-miss is a link between two leaves of which one is not linked with the centre. So further rounds follow: in each
-bucket whose untested members lie in several components, all members outside the largest component become centres
-if they are few (8, 64, 512, ... by round), else one does; pairs of one component, and pairs tested before, are left
-out. It ends when no bucket has such members: each link within a bucket joins its ends, with no cap on either.
-With 24 bands of 5 rows a pair at the threshold 0.8 shares no bucket with probability 7e-5, one at 0.85 with 8e-7.
+bucket. Sets whose sizes rule out the threshold are left out; the rest are confirmed on full sets. What stars can miss is
+a link between two leaves in different components of what was found. So in each bucket whose leaves lie in several
+components, all leaves outside the largest one are compared with all leaves, in blocks: their texts are sent, no pairs
+are. With that each link within a bucket joins its ends, with no cap on either. With 24 bands of 5 rows a pair at the
+threshold 0.8 shares no bucket with probability 7e-5, one at 0.85 with 8e-7.
 
 A set of fewer than threshold / (1 - threshold) shingles can only equal another; those skip the buckets.
 
@@ -30,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, signed, small_batches, word_hashes, written
+from .common import buffers, mix, release, signed, small_batches, word_hashes, written
 from .components import components
 
 EMPTY = np.uint64(2**64 - 1)
 LEAVES = 128  # of a star in one group of the confirming step
+OUTER = 128  # leaves outside a bucket's largest component that are compared at once
 _COEFFICIENTS = np.random.default_rng(11).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -130,6 +130,93 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return rows.mapInArrow(compare, "u long, v long")
 
 
+def leaf_links(leaves: DataFrame, found: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) between leaves (h, id, n) of a bucket that lie in several components (node, component). All leaves
+    outside a bucket's largest component meet all its leaves, OUTER at a time: a leaf's text goes to a group once, and
+    a group sends on one link for each outer leaf and component."""
+    labelled = leaves.join(found, leaves["id"] == found["node"], "left").select("h", "id", "n", F.coalesce("component", "id").alias("component"))
+    by_part = labelled.groupBy("h", "component").agg(F.count(F.lit(1)).alias("size"))
+    by_bucket = by_part.groupBy("h").agg(F.sum("size").alias("total"), F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    by_bucket = by_bucket.where("parts > 1").select("h", F.col("top.component").alias("top"), F.ceil((F.col("total") - F.col("top.size")) / OUTER).cast("int").alias("groups"))
+    open_ = written(labelled.join(by_bucket, "h"))
+    own = F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")
+    outer = open_.where("component <> top").select("h", own.alias("group"), F.lit(0).alias("inner"), "id", "component")
+    inner = open_.select("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(1).alias("inner"), "id", "component")
+    rows = outer.unionByName(inner).join(texts, "id").select("h", "group", "inner", "id", "component", "text").repartition("h", "group").sortWithinPartitions("h", "group", "inner")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, linked = None, None, set()
+        for batch in batches:
+            h, group, inner, ids, part = (batch.column(k).to_numpy() for k in range(5))
+            sets = shingle_sets(batch.column(5), words)
+            cuts = np.flatnonzero((np.diff(h) != 0) | (np.diff(group) != 0) | (np.diff(inner) != 0)) + 1
+            found: list[tuple[int, int]] = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
+                if a == b:
+                    continue
+                if (h[a], group[a]) != now:
+                    now, block, linked = (h[a], group[a]), _Block(), set()
+                if not inner[a]:
+                    block.add(ids[a:b], part[a:b], sets[a:b])
+                    continue
+                for i, j in block.links(sets[a:b], percent):
+                    u, v = block.ids[i], ids[a + j]
+                    key = (u, part[a + j])
+                    if block.parts[i] != part[a + j] and key not in linked:
+                        linked.add(key)
+                        found.append((int(u), int(v)))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
+
+    return rows.mapInArrow(compare, "u long, v long")
+
+
+class _Block:
+    """The sets of a group's outer leaves, and which of them a batch of other sets reaches."""
+
+    def __init__(self) -> None:
+        self.ids, self.parts, self.sets, self.matrix = [], [], [], None
+
+    def add(self, ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> None:
+        self.ids += ids.tolist()
+        self.parts += parts.tolist()
+        self.sets += sets
+        self.matrix = None
+
+    def links(self, others: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+        if len(self.sets) == 1:  # most groups
+            own = self.sets[0]
+            for j, s in enumerate(others):
+                if min(len(own), len(s)) * 100 >= percent * max(len(own), len(s)):
+                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(s) - both):
+                        yield 0, j
+            return
+        if self.matrix is None:
+            self.size = np.array([len(s) for s in self.sets])
+            all_ = np.concatenate(self.sets)
+            self.known, column = np.unique(all_, return_inverse=True)
+            self.column, self.row = column, np.repeat(np.arange(len(self.sets)), self.size)
+            self.matrix = True
+        for lo in range(0, len(others), 128):
+            some = others[lo : lo + 128]
+            size = np.array([len(s) for s in some])
+            values = np.concatenate(some)
+            at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
+            hit = self.known[at] == values
+            row, column = np.repeat(np.arange(len(some)), size)[hit], at[hit]
+            both = np.zeros((len(some), len(self.sets)), np.float32)
+            for k in range(0, len(self.known), 8192):  # dense tiles of the sets' shingles
+                x, y = np.zeros((len(some), 8192), np.float32), np.zeros((len(self.sets), 8192), np.float32)
+                own = (self.column >= k) & (self.column < k + 8192)
+                y[self.row[own], self.column[own] - k] = 1
+                own = (column >= k) & (column < k + 8192)
+                x[row[own], column[own] - k] = 1
+                both += x @ y.T
+            linked = 100 * both >= percent * (size[:, None] + self.size[None, :] - both)
+            for j, i in np.argwhere(linked).tolist():
+                yield i, lo + j
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 24, rows: int = 5) -> DataFrame:
     """(id, n, component) of each row: the size of its set, and the smallest id that links reach."""
     least = -(-percent // (100 - percent))
@@ -150,25 +237,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = edges.unionByName(own.join(shared, "id").select("u", F.col("rep").alias("v")))
     found = written(components(edges))
 
-    rest, tested, few = members.where("id <> c").select("h", "id", "n"), pairs, 8
-    while True:
-        labelled = rest.join(found, rest["id"] == found["node"], "left").select("h", "id", "n", F.coalesce("component", "id").alias("component"))
-        by_part = labelled.groupBy("h", "component").agg(F.count(F.lit(1)).alias("size"))
-        by_bucket = by_part.groupBy("h").agg(F.sum("size").alias("total"), F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        open_ = written(labelled.join(by_bucket.select("h", "total", "top"), "h"))
-        if open_.isEmpty():
-            break
-        one = open_.groupBy("h").agg(F.min_by("id", F.xxhash64("id", F.lit(few))).alias("one"))
-        chosen = open_.join(one, "h").withColumn("centre", F.when(F.col("total") - F.col("top.size") <= few, F.col("component") != F.col("top.component")).otherwise(F.col("id") == F.col("one")))
-        chosen = written(chosen.select("h", "id", "n", "component", "centre"))
-        centres = chosen.where("centre").select("h", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("component").alias("cc"))
-        more = chosen.join(centres, "h").where(f"id <> c AND component <> cc AND {fits}").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        more = written(more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        new = written(confirmed(more, texts, words, percent))
-        if not new.isEmpty():
-            found = written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").unionByName(new)))
-        tested = tested.unionByName(more)
-        rest, few = chosen.where("NOT centre").select("h", "id", "n"), few * 8
+    release(docs.sparkSession)
+    missed = written(leaf_links(members.where("id <> c").select("h", "id", "n"), found, texts, words, percent))
+    found = written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").unionByName(missed)))
+    release(docs.sparkSession)
     named = classes.select("set", "rep").join(found, F.col("rep") == found["node"], "left").select("set", F.coalesce("component", "rep").alias("component"))
     return each.select("id", "n", F.when(F.col("n") > 0, F.col("set")).alias("set")).join(named, "set", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
