@@ -1,5 +1,59 @@
-"""placeholder"""
-STAGES = []
+"""From documents to packed training sequences: quality rules, line dedup, near dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the columns
+of documents: the line stage changes `text`, and `n_chars` with it; mixing repeats rows. The last returns a row a piece.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectraframe.llm.common import written
+from spectraframe.llm.line_dedup import dedup_lines
+from spectraframe.llm.mixing import mix_documents
+from spectraframe.llm.near_dedup import dedup_near
+from spectraframe.llm.packing import pack
+from spectraframe.llm.quality import filter_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules take for good."""
+    return filter_quality(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each line of 40 characters or more that 5 documents share stays only in the one with the largest doc_id."""
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return dedup_near(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix of sources takes, a row for each time."""
+    return mix_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each piece in sequences of 2048 tokens."""
+    _, placed = pack(docs)
+    return placed.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("mixing", mixture), ("packing", packed)]
+
+#: Expectation-maximisation, seeded selection and packing are not SQL; a brute-force version is in the tests.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    return docs

@@ -1,11 +1,11 @@
 """Quality by weak supervision, in DataFrame functions only.
 
 Rules look at one document and vote good (1), bad (-1) or abstain (0). How often each combination of votes occurs is all
-that estimation needs: 3 ** rules rows at most, whatever the corpus. Expectation-maximisation on those estimates each
-rule's accuracy on good and on bad documents (votes independent given the truth, abstaining uninformative) and the
-share of good ones. A document's posterior probability of being good decides, instead of all rules having to pass.
+that estimation needs: 3 ** rules rows at most, whatever the corpus. Expectation-maximisation on those estimates how often
+each rule is wrong on good and on bad documents (votes independent given the truth, abstaining uninformative) and the share
+of good ones. A document's posterior probability of being good decides, instead of all rules having to pass.
 
-Defined cases: null text is empty; a text without words fails the base; an empty table keeps the starting accuracies;
+Defined cases: null text is empty; a text without words fails the base; an empty table keeps the starting rates;
 rows that share a doc_id are rows of their own; other columns are carried along by `filter_quality`.
 """
 
@@ -70,58 +70,66 @@ def rules() -> dict[str, Column]:
     """Each rule's vote: bad, good, else abstain; the first that applies."""
     n, chars, lines = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+    def vote(bad: Column, good: Column | None = None) -> Column:
+        return F.when(bad, -1).otherwise(1) if good is None else F.when(bad, -1).when(good, 1).otherwise(0)
 
     long = n >= 30
     return {
-        "symbols": vote(F.col("n_symbols") > 0.05 * chars, F.col("n_symbols") <= 0.01 * chars),
-        "capitals": vote(F.col("n_upper") > 0.3 * chars, F.col("n_upper") <= 0.1 * chars),
-        "exclamations": vote(F.col("n_exclaim") > 0.05 * chars, F.col("n_exclaim") <= 0.01 * chars),
-        "duplicate_lines": vote(F.col("n_dup_lines") > 0.3 * lines, (F.col("n_dup_lines") == 0) & (lines >= 3)),
-        "repeated_words": vote(100 * F.col("n_repeat_words") > 15 * n, (100 * F.col("n_repeat_words") <= 5 * n) & long),
-        "variety": vote((n >= 50) & (F.col("n_distinct") < 0.4 * n), long & (F.col("n_distinct") >= 0.5 * n)),
+        "symbols": vote(F.col("n_symbols") > 0.05 * chars),
+        "capitals": vote(F.col("n_upper") > 0.3 * chars),
+        "exclamations": vote(F.col("n_exclaim") > 0.05 * chars),
+        "duplicate_lines": vote(F.col("n_dup_lines") > 0.3 * lines),
+        "repeated_words": vote(100 * F.col("n_repeat_words") > 20 * n),
+        "variety": vote((n >= 50) & (F.col("n_distinct") < 0.4 * n), long & (F.col("n_distinct") >= 0.6 * n)),
         "function_words": vote(long & (F.col("n_function") < 3), long & (F.col("n_function") >= 6)),
-        "sentence_ends": vote(F.col("n_ended") < 0.5 * lines, F.col("n_ended") >= 0.8 * lines),
+        "sentence_ends": vote(F.col("n_ended") < 0.5 * lines, F.col("n_ended") == lines),
         "word_length": vote((chars > 8 * n) | (chars < 3 * n), (chars <= 6.5 * n) & (chars >= 4 * n)),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, steps: int = 200, start: float = 0.8, prior: float = 0.8) -> tuple[float, list[tuple[float, float]]]:
-    """The share of good documents, and each rule's accuracy on good and on bad ones, from the counts of vote patterns. The
-    counts of 4 documents of each kind stand beside the data, so that a rule that never errs keeps a finite weight."""
-    accuracy = [(start, start)] * n_rules
+#: How often a rule that votes votes bad on good and on bad documents, before any data: rarely on good ones. It stands
+#: beside the data as START_WEIGHT documents of each kind, so no estimate becomes 0. No rule is taken to be wrong on more
+#: than MOST_WRONG of the good ones: else kinds of bad documents that one rule alone sees pass for good ones.
+START = (0.002, 0.3)
+START_WEIGHT = 4
+MOST_WRONG = 0.002
+
+Rates = list[tuple[float, float]]
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, steps: int = 200) -> tuple[float, Rates]:
+    """The share of good documents, and each rule's rate of bad votes on good and on bad ones, from the counts of vote
+    patterns."""
+    prior, rates = 0.5, [START] * n_rules
     total = sum(n for _, n in patterns)
     for _ in range(steps if total else 0):
-        right = [[4 * start, 4 * start] for _ in range(n_rules)]
-        cast = [[4.0, 4.0] for _ in range(n_rules)]
-        good = 0.0
+        bad = [[START_WEIGHT * x for x in START] for _ in range(n_rules)]
+        cast = [[float(START_WEIGHT)] * 2 for _ in range(n_rules)]
+        good = 1.0
         for votes, n in patterns:
-            p = n * posterior(votes, prior, accuracy)
+            p = n * posterior(votes, prior, rates)
             good += p
             for j, v in enumerate(votes):
                 if v:
-                    cast[j][0] += p
-                    cast[j][1] += n - p
-                    right[j][0] += p * (v > 0)
-                    right[j][1] += (n - p) * (v < 0)
-        new = [(r[0] / c[0], r[1] / c[1]) for r, c in zip(right, cast, strict=True)]
-        moved = max(abs(x - y) for a, b in zip(new, accuracy, strict=True) for x, y in zip(a, b, strict=True))
-        accuracy, prior = new, min(0.99, max(0.01, good / total))
+                    for k, x in enumerate((p, n - p)):
+                        cast[j][k] += x
+                        bad[j][k] += x * (v < 0)
+        new = [(min(MOST_WRONG, b[0] / c[0]), b[1] / c[1]) for b, c in zip(bad, cast, strict=True)]
+        moved = max(abs(x - y) for a, b in zip(new, rates, strict=True) for x, y in zip(a, b, strict=True))
+        rates, prior = new, good / (total + 2)
         if moved < 1e-9:
             break
-    return prior, accuracy
+    return prior, rates
 
 
-def _weights(prior: float, accuracy: list[tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
-    """The log-odds of good before any vote, and what a good and a bad vote of each rule add."""
-    clip = lambda x: min(0.999, max(0.001, x))
-    return math.log(prior / (1 - prior)), [(math.log(clip(g) / (1 - clip(b))), math.log((1 - clip(g)) / clip(b))) for g, b in accuracy]
+def _weights(prior: float, rates: Rates) -> tuple[float, list[tuple[float, float]]]:
+    """The log-odds of good before any vote, and what a bad and a good vote of each rule add."""
+    return math.log(prior / (1 - prior)), [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in rates]
 
 
-def posterior(votes: tuple[int, ...], prior: float, accuracy: list[tuple[float, float]]) -> float:
-    odds, weights = _weights(prior, accuracy)
-    odds += sum(w[0] if v > 0 else w[1] for v, w in zip(votes, weights, strict=True) if v)
+def posterior(votes: tuple[int, ...], prior: float, rates: Rates) -> float:
+    odds, weights = _weights(prior, rates)
+    odds += sum(w[v > 0] for v, w in zip(votes, weights, strict=True) if v)
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
@@ -131,10 +139,9 @@ def judged(rows: DataFrame) -> DataFrame:
     rows = written(rows.withColumns({f"vote_{name}": vote for name, vote in votes.items()}))
     names = [f"vote_{name}" for name in votes]
     found = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** rules rows at most
-    prior, accuracy = estimate(sorted((tuple(r[:-1]), r[-1]) for r in found), len(names))
-    odds, weights = _weights(prior, accuracy)
+    odds, weights = _weights(*estimate(sorted((tuple(r[:-1]), r[-1]) for r in found), len(names)))
     total = F.lit(odds)
-    for name, (good, bad) in zip(names, weights, strict=True):
+    for name, (bad, good) in zip(names, weights, strict=True):
         total = total + F.when(F.col(name) > 0, good).when(F.col(name) < 0, bad).otherwise(0.0)
     rows = rows.withColumn("quality", 1 / (1 + F.exp(-total)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
