@@ -42,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece in sequences of 2048 tokens."""
-    _, placed = pack(docs)
+    _, placed = pack(docs, keep_ids=False)
     return placed.withColumnRenamed("id", "doc_id")
 
 

@@ -16,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -75,6 +76,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+#: Rows of a few longs that a join may broadcast: some 50 MB.
+MOST_BROADCAST = 1_000_000
+
+
+def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table, to be broadcast if its rows have been counted and are few; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver forget what is no longer used, so that the shuffle files of earlier steps go."""
     gc.collect()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import LOWER_TABLE, SPACES, shared_folder, small_batches, written
+from .common import LOWER_TABLE, MOST_BROADCAST, SPACES, shared_folder, small_batches, written
 
 _STRIP = SPACES.decode()
 HOT_SHARE = 1024
@@ -163,4 +163,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k in range(batches):
         runs.add(keys.where(F.col("batch") == k).drop("batch"))
     frequent = written(runs.total().where(F.col("n_docs") >= min_docs))
-    return drop_lines(docs, repeated_lines(keys.drop("batch"), frequent), id_col, text_col, min_chars)
+    dropped = written(repeated_lines(keys.drop("batch"), frequent))
+    if (dropped.agg(F.sum(F.size("drop"))).first()[0] or 0) <= MOST_BROADCAST:
+        dropped = F.broadcast(dropped)  # so many hashes at most; else both sides are shuffled
+    return drop_lines(docs, dropped, id_col, text_col, min_chars)

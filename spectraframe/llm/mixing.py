@@ -10,7 +10,7 @@ Only one row a pattern is gathered on the driver; more than MOST_PATTERNS is an
 sorted: sums by hash bucket find each pattern's last bucket, and only that bucket's few rows are sorted.
 
 Defined cases: null text has size 0; null is a source (the last); an empty set of sources is never taken; documents of
-size 0 take 0; rows that share a doc_id are rows of their own; other columns are ignored.
+size 0 take 0; rows that share a doc_id are taken alike; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import SPACE_CLASS, written
+from .common import SPACE_CLASS, bounded, ship, written
 
 MOST_PATTERNS = 200_000
 BUCKET_ROWS, MOST_BUCKET_BITS = 256, 20
@@ -107,13 +107,13 @@ def min_cost_flow(capacity: list[int], members: list[tuple[int, ...]], quota: li
     return sent
 
 
-def mix(docs: DataFrame, sources: Column, size: Column, order: list[Column], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17, keep: list[str] | None = None) -> tuple[DataFrame, list[dict]]:
-    """The rows of docs (columns `keep`, default all) with own_sources (array), own_size and copies (0 to `repeats`), and
-    each source's size and target. `sources`: an array of the document's sources. `order`: what names a row for the
-    seeded order."""
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(c) for c in keep], F.array_sort(F.array_distinct(sources)).alias("own_sources"), size.alias("own_size"), F.xxhash64(F.lit(seed), *order).alias("own_hash"))
-    rows = written(rows)
+def mix(docs: DataFrame, sources: Column, size: Column, order: list[Column], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17) -> tuple[DataFrame, list[dict]]:
+    """docs with own_sources (array) and copies (0 to `repeats`), and each source's size and target. `sources`: an array of the
+    document's sources. `order`: what names a document for the seeded order; rows of one name are taken alike."""
+    spark = docs.sparkSession
+    ship(spark)
+    own = {"own_sources": F.array_sort(F.array_distinct(sources)), "own_hash": F.xxhash64(F.lit(seed), *order)}
+    rows = written(docs.select(*[c.alias(n) for n, c in own.items()], size.alias("own_size")))
     patterns = [r.asDict() for r in rows.groupBy("own_sources").agg(F.sum("own_size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()]
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} combinations of sources; name coarser sources")
@@ -131,30 +131,35 @@ def mix(docs: DataFrame, sources: Column, size: Column, order: list[Column], wei
         tokens = sum(out.values())
         whole = min(repeats, tokens // p["size"]) if p["size"] else 0
         plan.append((p["own_sources"], whole, tokens - whole * p["size"]))
-    spark = docs.sparkSession
-    kind = rows.schema["own_sources"].dataType.simpleString()
-    plan_df = spark.createDataFrame(plan, f"p {kind}, whole int, more long")  # MOST_PATTERNS rows at most
-    bucket = F.when(F.lit(bits) == 0, F.lit(0)).otherwise(F.shiftrightunsigned("own_hash", 64 - max(1, bits))).cast("int")
-    rows = rows.withColumn("own_bucket", bucket).join(F.broadcast(plan_df), F.col("own_sources").eqNullSafe(F.col("p")), "left").drop("p")
-    sums = rows.groupBy("own_sources", "own_bucket", "more").agg(F.sum("own_size").alias("size"))
-    up_to = Window.partitionBy("own_sources").orderBy("own_bucket")
-    sums = sums.withColumn("before", F.sum("size").over(up_to) - F.col("size"))
-    last = sums.where("before < more AND before + size >= more").select(F.col("own_sources").alias("p"), F.col("own_bucket").alias("last"), "before")
-    rows = rows.join(F.broadcast(last), F.col("own_sources").eqNullSafe(F.col("p")), "left").drop("p")
-    at_end = rows.where("own_bucket = last")
-    schema = StructType([*at_end.schema.fields, StructField("extra", IntegerType())])
-    at_end = at_end.groupBy("own_sources").applyInArrow(_filled, schema)
-    others = rows.where("last IS NULL OR own_bucket <> last").withColumn("extra", F.coalesce((F.col("own_bucket") < F.col("last")).cast("int"), F.lit(0)))
-    every = others.unionByName(at_end).withColumn("copies", F.coalesce(F.least(F.lit(repeats), F.col("whole") + F.col("extra")), F.lit(0)))
-    return every.select(*[F.col(c) for c in keep], "own_sources", "own_size", "copies"), [{"source": s, "size": sizes[s], "target": t} for s, t in target.items()]
+    bucket = F.lit(0) if not bits else F.shiftrightunsigned("own_hash", 64 - bits).cast("int")
+
+    def planned(df: DataFrame, table: DataFrame) -> DataFrame:
+        """df with the columns of a row-a-pattern table (MOST_PATTERNS rows at most)."""
+        return df.join(F.broadcast(table.withColumnRenamed("own_sources", "own_p")), F.col("own_sources").eqNullSafe(F.col("own_p")), "left").drop("own_p")
+
+    plan_df = spark.createDataFrame(plan, f"own_sources {rows.schema['own_sources'].dataType.simpleString()}, own_whole int, own_more long")
+    placed = planned(rows.withColumn("own_bucket", bucket), plan_df)
+    sums = placed.groupBy("own_sources", "own_bucket", "own_more").agg(F.sum("own_size").alias("size"))
+    sums = sums.withColumn("own_before", F.sum("size").over(Window.partitionBy("own_sources").orderBy("own_bucket")) - F.col("size"))
+    last = sums.where("own_before < own_more AND own_before + size >= own_more").select("own_sources", F.col("own_bucket").alias("own_last"), "own_before")
+    plan_df = written(planned(plan_df, last))
+    # the last bucket's documents, one row a name: taken while they fit
+    at_end = planned(rows.withColumn("own_bucket", bucket), plan_df).where("own_bucket = own_last").groupBy("own_sources", "own_hash", "own_more", "own_before").agg(F.sum("own_size").alias("own_size"))
+    chosen = at_end.groupBy("own_sources").applyInArrow(_filled, StructType([*at_end.schema.fields, StructField("own_extra", IntegerType())])).where("own_extra = 1")
+    chosen = bounded(written(chosen.select(F.col("own_sources").alias("own_p"), F.col("own_hash").alias("own_h"), "own_extra")))
+    every = planned(docs.withColumns(own).withColumn("own_bucket", bucket), plan_df.drop("own_more", "own_before"))
+    every = every.join(chosen, F.col("own_sources").eqNullSafe(F.col("own_p")) & (F.col("own_hash") == F.col("own_h")), "left")
+    extra = F.when(F.col("own_bucket") < F.col("own_last"), 1).otherwise(F.coalesce("own_extra", F.lit(0)))
+    every = every.withColumn("copies", F.coalesce(F.least(F.lit(repeats), F.col("own_whole") + extra), F.lit(0)))
+    return every.select(*docs.columns, "own_sources", "copies"), [{"source": s, "size": sizes[s], "target": t} for s, t in target.items()]
 
 
 def _filled(bucket: pa.Table) -> pa.Table:
     """Of a pattern's last bucket, in the seeded order, the documents that still fit, and one more if that comes nearer."""
-    bucket = bucket.sort_by([("own_hash", "ascending"), ("own_size", "ascending")])
+    bucket = bucket.sort_by([("own_hash", "ascending")])
     sizes, left = bucket.column("own_size").to_pylist(), 0
     if sizes:
-        left = bucket.column("more")[0].as_py() - bucket.column("before")[0].as_py()
+        left = bucket.column("own_more")[0].as_py() - bucket.column("own_before")[0].as_py()
     extra = [0] * len(sizes)
     for k, size in enumerate(sizes):
         if size <= left:
@@ -162,7 +167,7 @@ def _filled(bucket: pa.Table) -> pa.Table:
     over = min((size for k, size in enumerate(sizes) if not extra[k]), default=None)
     if over is not None and over - left < left:
         extra[next(k for k, size in enumerate(sizes) if not extra[k] and size == over)] = 1
-    return bucket.append_column("extra", pa.array(extra, pa.int32()))
+    return bucket.append_column("own_extra", pa.array(extra, pa.int32()))
 
 
 def mix_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:

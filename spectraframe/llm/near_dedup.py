@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, release, signed, small_batches, word_hashes, written
+from .common import bounded, buffers, mix, release, signed, small_batches, word_hashes, written
 from .components import components
 
 EMPTY = np.uint64(2**64 - 1)
@@ -227,8 +227,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = placed.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("c")).where("size > 1")
     fits = "least(n, cn) * 100 >= greatest(n, cn) * " + str(percent)
     members = written(placed.join(buckets.select("h", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "h"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members.select("id").distinct(), "id", "left_semi")
-    texts = written(texts)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = written(texts.join(bounded(written(members.select("id").distinct())), "id", "left_semi"))
 
     pairs = written(members.where(f"id <> c AND {fits}").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct())
     edges = written(confirmed(pairs, texts, words, percent))
@@ -247,5 +247,5 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one document of each group, the one with the smallest id."""
-    lost = near_classes(docs, id_col, text_col, words, percent).where("id <> component").select("id").distinct()
-    return docs.join(lost, F.col(id_col).cast("long") == lost["id"], "left_anti")
+    lost = written(near_classes(docs, id_col, text_col, words, percent).where("id <> component").select(F.col("id").alias("lost")).distinct())
+    return docs.join(bounded(lost), F.col(id_col).cast("long") == lost["lost"], "left_anti")

@@ -191,7 +191,9 @@ def place(rows: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInArrow(put, StructType([*rows.schema.fields]).add("sequence_id", LongType()).add("offset", LongType()))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """The written pieces with their token ids, and each piece's place: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    cut = written(pieces(docs, id_col, text_col, capacity))
-    return cut, place(cut.select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity)
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, keep_ids: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The written pieces, with their token ids unless keep_ids is false, and each piece's place: (id, piece, start, length,
+    ids_crc32, sequence_id, offset)."""
+    cut = pieces(docs, id_col, text_col, capacity).withColumn("ids_crc32", F.crc32("ids"))
+    cut = written(cut if keep_ids else cut.drop("ids"))
+    return cut, place(cut.drop("ids"), capacity)

@@ -70,9 +70,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "source").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    taken, sources = mix(docs, F.array("source"), F.col("size"), [F.col("doc_id")], keep=["doc_id", "size"])
+    taken, sources = mix(docs, F.array("source"), F.col("size"), [F.col("doc_id")])
     targets = spark.createDataFrame([(s["source"], s["size"], s["target"]) for s in sources], "name string, source_size long, target double")
-    out = taken.join(F.broadcast(targets), F.element_at("own_sources", 1).eqNullSafe(F.col("name")))  # a row a source
+    out = taken.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("name")))  # a row a source
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
