@@ -131,3 +131,21 @@ def choose_single(ious: np.ndarray, n_points: int) -> int:
     weight = np.zeros(len(ious))
     weight[0] = 1000
     return int(np.argmax(np.asarray(ious) + (n_points - 2.5) * weight))
+
+
+def batches(size: int, *columns: list) -> list[tuple]:
+    """Equally long columns in batches of so many rows."""
+    if len({len(c) for c in columns}) > 1:
+        raise ValueError(f"columns of different lengths: {[len(c) for c in columns]}")
+    return [tuple(c[k : k + size] for c in columns) for k in range(0, len(columns[0]) if columns else 0, size)]
+
+
+def restore_logits(logits: np.ndarray, padded: int, inner: tuple[int, int], original: tuple[int, int]) -> np.ndarray:
+    """Low-resolution logits (n, h, w) scaled to the padded square, its padding cut off, scaled to the image's size."""
+    from .raster import sample
+
+    def scaled(a: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        rows, cols = ((np.arange(m) + 0.5) * n / m - 0.5 for n, m in zip(a.shape, shape, strict=True))
+        return sample(a, *np.meshgrid(rows.clip(0, a.shape[0] - 1), cols.clip(0, a.shape[1] - 1), indexing="ij"))
+
+    return np.stack([scaled(scaled(x, (padded, padded))[: inner[0], : inner[1]], original) for x in np.asarray(logits, float)])

@@ -321,3 +321,26 @@ def seed_points(m: np.ndarray, n: int = 5, seed: int = 0) -> list[tuple[int, int
         return []
     on = np.random.default_rng(seed).permutation(np.argwhere(m))[: max(0, n - 1)]
     return [(int(top.centroid[1]), int(top.centroid[0])), *((int(x), int(y)) for y, x in on)]
+
+
+def segment_cell(image: np.ndarray, nuclei_image: np.ndarray | None, predict, seed: int = 0, min_area: int = 500) -> np.ndarray:
+    """Prompts, a model's candidate masks, the best of them, refined. predict: (image, points (x, y), labels, box) to
+    (masks, ious)."""
+    p = prompts(image, nuclei_image, seed)
+    candidates, ious = predict(image, np.array(p.points), np.array(p.labels), p.box)
+    nuclei_mask = None
+    if nuclei_image is not None:
+        soft = raster.gaussian(raster.by_255(raster.resize(raster.gray(nuclei_image).astype(float), image.shape[:2])), 1.5)
+        nuclei_mask = regions.remove_small(soft > np.percentile(soft, 85), 50)
+    best = choose_mask([m.astype(bool) for m in candidates], list(ious), image, nuclei_mask, min_area)
+    return np.zeros(image.shape[:2], bool) if best is None else refine_mask(best.copy(), image, p.rough_nuclei, min_area)
+
+
+def refine_with(image: np.ndarray, initial: np.ndarray, predict, points: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """The model's best mask for points of an initial mask; the initial mask itself if anything fails."""
+    try:
+        at = points or seed_points(initial)
+        candidates, ious = predict(image, np.array(at), np.ones(len(at), int), None)
+        return candidates[int(np.argmax(ious))].astype(bool)
+    except Exception:  # the mask at hand is the answer then
+        return initial

@@ -119,3 +119,38 @@ def automatic_masks(images: DataFrame, predictor: Predictor = intensity_predicto
             yield pd.DataFrame(rows, columns=ANNOTATION.fieldNames())
 
     return images.select("image_id", "image").mapInPandas(run, ANNOTATION)
+
+
+def concatenated(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both; a column that one lacks is null there."""
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def by_index(df: DataFrame, index: str, wanted: list[int]) -> DataFrame:
+    """the rows with the wanted indices, in that order (`position`)."""
+    order = df.sparkSession.createDataFrame([(k, i) for k, i in enumerate(wanted)], f"position int, {index} long")
+    return df.join(F.broadcast(order), index)  # as long as the argument
+
+
+def onnx_predictor(path: str, side: int = 1024, mean: tuple[float, float, float] = (123.675, 116.28, 103.53), std: tuple[float, float, float] = (58.395, 57.12, 57.375)) -> Predictor:
+    """A predictor around an exported model that takes `image` (1, 3, side, side), `point_coords` (n, 1, 2) and
+    `point_labels` (n, 1) and gives low-resolution logits and ious. Each worker opens the file once; on a cluster name one
+    that SparkContext.addFile has sent. No weights are at hand here, so only the interface is tested."""
+    sessions: dict[str, object] = {}
+
+    def predict(image: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        from ..functions import raster
+
+        if path not in sessions:
+            import onnxruntime
+
+            sessions[path] = onnxruntime.InferenceSession(path)
+        h, w = image.shape[:2]
+        inner = masks.longest_side(h, w, side)
+        rgb = np.stack([image] * 3, -1) if image.ndim == 2 else image[..., :3]
+        x = masks.normalized_square(raster.resize(rgb.astype(np.float64), inner), side, mean, std).transpose(2, 0, 1)[None].astype(np.float32)
+        at = masks.scale_points(points, (h, w), side).astype(np.float32)[:, None]
+        logits, ious = sessions[path].run(None, {"image": x, "point_coords": at, "point_labels": np.ones(at.shape[:2], np.float32)})  # type: ignore[attr-defined]
+        return np.stack([masks.restore_logits(m, side, inner, (h, w)) for m in logits]), ious
+
+    return predict

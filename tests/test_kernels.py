@@ -234,3 +234,26 @@ def test_prompts_and_choice():
     assert (segment.choose_mask([bad, good], [0.9, 0.5], image, p.rough_nuclei) == good).all()
     assert segment.refine_mask(good, image, p.rough_nuclei).any()
     assert segment.seed_points(np.zeros((3, 3), bool)) == []
+
+
+def test_batches_and_logits():
+    assert masks.batches(2, [1, 2, 3], "abc") == [([1, 2], "ab"), ([3], "c")]
+    with pytest.raises(ValueError):
+        masks.batches(2, [1], [1, 2])
+    up = masks.restore_logits(np.ones((2, 4, 4)), 16, (16, 8), (32, 16))
+    assert up.shape == (2, 32, 16)
+    assert np.allclose(up, 1)
+
+
+def test_cell_from_prompts():
+    image, nuclei = np.zeros((90, 90)), np.zeros((90, 90))
+    image[20:70, 20:70], nuclei[35:55, 35:55] = 1, 1
+
+    def predict(image, points, labels, box):
+        return np.stack([image > 0, np.ones(image.shape, bool)]), np.array([0.7, 0.9])
+
+    cell = segment.segment_cell(image, nuclei, predict)
+    assert cell[45, 45]
+    assert cell.sum() > 1000
+    assert (segment.refine_with(image, image > 0, predict) == 1).all()
+    assert (segment.refine_with(image, image > 0, None) == (image > 0)).all()
