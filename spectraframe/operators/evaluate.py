@@ -7,7 +7,7 @@ rows that move are blocks, not pairs, and no task holds more than two of them, h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,55 +38,90 @@ def nearest_centroid(vectors: DataFrame, centroids: list[list[float]]) -> DataFr
     return vectors.withColumn("cluster", F.array_min(far)["k"])
 
 
-def block_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, cluster, other, n, total): for each point and each cluster, the number of its other points and the sum of the Euclidean
-    distances to them. vectors: (id, cluster, px)."""
+def in_blocks(vectors: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.RecordBatch], schema: str, block: int = BLOCK, halves: bool = False) -> DataFrame:
+    """kernel(x, y) of all pairs of blocks of vectors (id, cluster, px), or with halves of unordered pairs only."""
     rows = max(1, -(-vectors.count() // block))
     placed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int").alias("b"), "id", "cluster", "px")
-    left = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("inner", F.lit(0))
-    right = left.select(F.col("o").alias("b"), "id", "cluster", "px", F.col("b").alias("o"), F.lit(1).alias("inner"))
+    others = F.sequence(F.col("b") if halves else F.lit(0), F.lit(rows - 1))
+    left = placed.withColumn("o", F.explode(others)).withColumn("inner", F.lit(0))
+    others = F.sequence(F.lit(0), F.col("b") if halves else F.lit(rows - 1))
+    right = placed.withColumn("o", F.explode(others)).select(F.col("o").alias("b"), "id", "cluster", "px", F.col("b").alias("o"), F.lit(1).alias("inner"))
     both = left.unionByName(right).repartition("b", "o").sortWithinPartitions("b", "o", "inner")
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each (b, o) first the points of b, then those of o."""
-        now, own = None, None
-        parts: list[pa.Table] = []
+        now, parts = None, []
 
-        def result(table: pa.Table) -> pa.RecordBatch:
+        def result() -> pa.RecordBatch:
+            table = pa.concat_tables(parts)
             inner = table.column("inner").to_numpy()
-            x, y = table.filter(pa.array(inner == 0)), table.filter(pa.array(inner == 1))
-            a, b = (np.array(t.column("px").to_pylist(), float).reshape(len(t), -1) for t in (x, y))
-            kinds, code = np.unique(y.column("cluster").to_numpy(), return_inverse=True)
-            member = np.zeros((len(y), len(kinds)))
-            member[np.arange(len(y)), code] = 1
-            total = np.zeros((len(x), len(kinds)))
-            same = x.column("id").to_numpy()[:, None] == y.column("id").to_numpy()[None, :]
-            for k in range(0, len(x), 64):
-                d2 = ((a[k : k + 64] ** 2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a[k : k + 64] @ b.T).clip(0)
-                for i, j in np.argwhere(d2 < 1e-6):
-                    d2[i, j] = ((a[k + i] - b[j]) ** 2).sum()
-                total[k : k + 64] = np.sqrt(d2) @ member
-            n = member.sum(0)[None, :] - same.astype(float) @ member
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(x.column("id").to_numpy(), len(kinds))), pa.array(np.repeat(x.column("cluster").to_numpy(), len(kinds))), pa.array(np.tile(kinds, len(x))), pa.array(n.ravel().astype(np.int64)), pa.array(total.ravel())], ["id", "cluster", "other", "n", "total"])
+            return kernel(table.filter(pa.array(inner == 0)), table.filter(pa.array(inner == 1)))
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             keys = np.stack([batch.column(0).to_numpy(), batch.column(4).to_numpy()], 1)
             cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                own = tuple(keys[lo]) if hi > lo else now
-                if own != now and parts:
-                    yield result(pa.concat_tables(parts))
+                if hi == lo:
+                    continue
+                if tuple(keys[lo]) != now and parts:
+                    yield result()
                     parts = []
-                now = own
+                now = tuple(keys[lo])
                 parts.append(table.slice(lo, hi - lo))
-        if parts and sum(map(len, parts)):
-            yield result(pa.concat_tables(parts))
+        if parts:
+            yield result()
+
+    return both.mapInArrow(run, schema)
+
+
+def _distances(x: pa.Table, y: pa.Table) -> np.ndarray:
+    """Euclidean distances; near ones by differences, as the product form loses their digits."""
+    a, b = (np.array(t.column("px").to_pylist(), float).reshape(len(t), -1) for t in (x, y))
+    d2 = ((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T).clip(0)
+    for i, j in np.argwhere(d2 < 1e-6):
+        d2[i, j] = ((a[i] - b[j]) ** 2).sum()
+    return np.sqrt(d2)
+
 
-    out = both.mapInArrow(sums, "id long, cluster int, other int, n long, total double")
+def block_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, cluster, other, n, total): for each point and each cluster, the number of its other points and the sum of the Euclidean
+    distances to them. vectors: (id, cluster, px)."""
+
+    def sums(x: pa.Table, y: pa.Table) -> pa.RecordBatch:
+        kinds, code = np.unique(y.column("cluster").to_numpy(), return_inverse=True)
+        member = np.zeros((len(y), len(kinds)))
+        member[np.arange(len(y)), code] = 1
+        same = x.column("id").to_numpy()[:, None] == y.column("id").to_numpy()[None, :]
+        n = member.sum(0)[None, :] - same.astype(float) @ member
+        columns = (np.repeat(x.column("id").to_numpy(), len(kinds)), np.repeat(x.column("cluster").to_numpy(), len(kinds)), np.tile(kinds, len(x)), n.ravel().astype(np.int64), (_distances(x, y) @ member).ravel())
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "cluster", "other", "n", "total"])
+
+    out = in_blocks(vectors, sums, "id long, cluster int, other int, n long, total double", block)
     return out.groupBy("id", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
+def nearest_pairs(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """C4 as a report: the k nearest pairs (i, j, distance), i < j; each task sends on the k of its blocks, and equally far
+    ones at the end of these."""
+
+    def top(x: pa.Table, y: pa.Table) -> pa.RecordBatch:
+        i, j = x.column("id").to_numpy(), y.column("id").to_numpy()
+        d = _distances(x, y)
+        if np.array_equal(np.sort(i), np.sort(j)):  # a block with itself: each pair once
+            d[i[:, None] >= j[None, :]] = np.inf
+        if d.size > k:
+            least = np.partition(d.ravel(), k)[k]
+            a, b = np.nonzero((d <= least) & (d < np.inf))
+        else:
+            a, b = np.nonzero(d < np.inf)
+        lo, hi = np.minimum(i[a], j[b]), np.maximum(i[a], j[b])
+        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(d[a, b])], ["i", "j", "distance"])
+
+    found = in_blocks(vectors, top, "i long, j long, distance double", block, halves=True)
+    return found.groupBy("i", "j").agg(F.min("distance").alias("distance")).orderBy("distance", "i", "j").limit(k)
+
+
 def silhouette(vectors: DataFrame) -> DataFrame:
     """The exact Euclidean silhouette (one row); -1 for fewer than two clusters, 0 for a point alone in its cluster."""
     sums = block_pairs(vectors)

@@ -147,3 +147,15 @@ def composites(cells: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=schema.fieldNames())
 
     return cells.select("sample_id", "actin", "mt", "nuc").mapInPandas(run, schema)
+
+
+def enlarged(cells: DataFrame, key: str, size: tuple[int, int], side: int = 8, names: tuple[str, ...] = ("phase", "actin", "mt", "nuc")) -> DataFrame:
+    """Small rasters in arrays of values, one column a channel, as stretched images of a size: (sample_id, channels)."""
+    schema = StructType([StructField("sample_id", StringType()), *[StructField(n, RASTER) for n in names]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = {n: [pack(raster.resize(raster.stretch(np.array(x, float).reshape(-1, side)), size).astype(np.float32)) for x in pdf[n]] for n in names}
+            yield pd.DataFrame({"sample_id": pdf[key].astype(str)} | out)
+
+    return cells.select(key, *names).mapInPandas(run, schema)

@@ -229,3 +229,37 @@ def rle(px_mask: Column, side: int = SIDE) -> Column:
 def rle_area(counts: Column) -> Column:
     """A31."""
     return F.aggregate(F.filter(counts, lambda x, k: k % 2 == 1), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def median_cross(pixels: DataFrame) -> DataFrame:
+    """P15 with a disk of radius 1: the median of a pixel and its 4 neighbours, for interior pixels."""
+    across, down = Window.partitionBy("vec_id", "r").orderBy("c"), Window.partitionBy("vec_id", "c").orderBy("r")
+    rows = pixels.withColumns({"w": F.lag("v").over(across), "e": F.lead("v").over(across)}).withColumns({"n": F.lag("v").over(down), "s": F.lead("v").over(down)})
+    rows = rows.where("w IS NOT NULL AND e IS NOT NULL AND n IS NOT NULL AND s IS NOT NULL")
+    return rows.withColumn("v", F.get(F.array_sort(F.array("v", "w", "e", "n", "s")), 2)).drop("w", "e", "n", "s")
+
+
+def bands_cleared(px_mask: Column, band: int = 1, most: float = 0.4, side: int = SIDE) -> Column:
+    """F16: the top and the bottom rows cleared where the mask covers more than `most` of them."""
+    size = band * side
+
+    def covered(part: Column) -> Column:
+        return F.size(F.filter(part, lambda m: m)) > most * size
+
+    top, bottom = covered(F.slice(px_mask, 1, size)), covered(F.slice(px_mask, F.size(px_mask) - size + 1, size))
+    return F.transform(px_mask, lambda m, k: m & ~(top & (k < size)) & ~(bottom & (k >= F.size(px_mask) - size)))
+
+
+def cropped(pixels: DataFrame, r0: int, c0: int, r1: int, c1: int) -> DataFrame:
+    """The pixels of a box, in its own coordinates."""
+    return pixels.where(F.col("r").between(r0, r1 - 1) & F.col("c").between(c0, c1 - 1)).withColumns({"r": F.col("r") - r0, "c": F.col("c") - c0})
+
+
+def uncropped(pixels: DataFrame, r0: int, c0: int) -> DataFrame:
+    """Back in the image's coordinates."""
+    return pixels.withColumns({"r": F.col("r") + r0, "c": F.col("c") + c0})
+
+
+def box_xywh(box: Column) -> Column:
+    """P19."""
+    return F.struct(box["x0"].alias("x"), box["y0"].alias("y"), (box["x1"] - box["x0"]).alias("w"), (box["y1"] - box["y0"]).alias("h"))

@@ -123,10 +123,10 @@ def silhouette_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.silhouette(vectors(spark, sf_dir)))
 
 
-@query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS px FROM embeddings WHERE vec_id < 50) SELECT a.id AS i, b.id AS j, round(list_distance(a.px, b.px), 5) AS distance FROM v a JOIN v b ON a.id < b.id ORDER BY list_distance(a.px, b.px), i, j LIMIT 20")
+@query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS px FROM embeddings) SELECT a.id AS i, b.id AS j, round(list_distance(a.px, b.px), 5) AS distance FROM v a JOIN v b ON a.id < b.id ORDER BY list_distance(a.px, b.px), i, j LIMIT 20")
 def distance_matrix_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A top-k report over the first 50 vectors, as the matrix of the original is of a small sample."""
-    return rounded(evaluate.distance_pairs(vectors(spark, sf_dir).where("id < 50")).orderBy("distance", "i", "j").limit(20))
+    """A top-k report of the matrix of all distances."""
+    return rounded(evaluate.nearest_pairs(vectors(spark, sf_dir), 20))
 
 
 LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -550,3 +550,160 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ward_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.ward(scaled(spark, sf_dir))[0]
+
+
+# more of the inventory ---------------------------------------------------------------------------------------------------
+
+GRID = (64, 64)
+
+
+def cell_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rasters in a row as a cell of four 64 by 64 channels."""
+    return imaging.enlarged(pixels.channels(images(spark, sf_dir)), "cell_id", GRID)
+
+
+def cell_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_images(spark, sf_dir).select("*", F.lit("cell").alias("parent_id"), F.lit("original").alias("algorithm"))
+
+
+@query()
+def cell_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17 with M4, M5, M9."""
+    return rounded(imaging.features(cell_samples(spark, sf_dir)).drop("error"))
+
+
+@query()
+def validated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5."""
+    return rounded(imaging.validated(imaging.features(cell_samples(spark, sf_dir)).where("error IS NULL").drop("error")))
+
+
+@query()
+def color_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1 to Q4 on composites."""
+    rows = imaging.composites(cell_images(spark, sf_dir)).select(F.concat(F.lit("color_"), "sample_id", F.lit(".png")).alias("filename"), "image")
+    return rounded(imaging.quality(rows))
+
+
+def _variants(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
+    from ..config import Config
+
+    made = generate.variants(cell_images(spark, sf_dir).withColumnRenamed("sample_id", "cell_id"), algorithm, Config(size=GRID, n_per_cell=2, displacement=5))
+    return made.select("sample_id", "parent_id", "algorithm", F.crc32("actin.data").alias("actin_crc"), "error")
+
+
+@query()
+def variants_classical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 to G7."""
+    return _variants(spark, sf_dir, "alg1")
+
+
+@query()
+def variants_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8 to G10."""
+    return _variants(spark, sf_dir, "alg2")
+
+
+@query()
+def automatic_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X9 with the intensity predictor, eight by eight points."""
+    rows = cell_images(spark, sf_dir).select(F.col("sample_id").alias("image_id"), F.col("actin").alias("image"))
+    found = maskops.automatic_masks(rows, points_per_side=8, stability_least=0.5, iou_least=0.85)
+    return found.select("image_id", "area", F.round("predicted_iou", 5).alias("predicted_iou"), F.round("stability_score", 5).alias("stability_score"), F.array_join("bbox", ",").alias("bbox"))
+
+
+@query()
+def ward_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3's linkage; L7 draws its last merges."""
+    return rounded(clustering.ward(scaled(spark, sf_dir))[1])
+
+
+@query()
+def component_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 towards the centre."""
+    return components.folded(components.component_table(masked(spark, sf_dir)), 3.5, 3.5, large=5)
+
+
+@query("SELECT CAST(t AS INT) AS t, round(sin(t), 6) + 0.0 AS s0, round(sin(t * exp(-ln(10000.0))), 6) + 0.0 AS s1, round(cos(t), 6) + 0.0 AS c0, round(cos(t * exp(-ln(10000.0))), 6) + 0.0 AS c1 FROM range(100) r(t)")
+def timestep_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.range(100).select(F.col("id").cast("int").alias("t"), generate.timestep_embedding(F.col("id").cast("double"), 4).alias("e"))
+    return rounded(rows.select("t", *[F.get("e", k).alias(n) for k, n in enumerate(("s0", "s1", "c0", "c1"))]), 6)
+
+
+@query(CC + ", q AS (SELECT vec_id, quantile_cont(v, 0.85) AS q FROM p GROUP BY vec_id), w AS (SELECT k.vec_id, k.root, count(*) FILTER (WHERE m.v > q.q) AS overlap FROM k JOIN m ON m.vec_id = k.vec_id AND m.pos = k.pos JOIN q ON q.vec_id = k.vec_id GROUP BY ALL), z AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY root) AS INT) AS label FROM w) SELECT vec_id, label, overlap FROM z QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY overlap DESC, label) = 1")
+def overlap_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rough = F.element_at(F.transform(F.array(pixels.array_percentile(F.col("px"), 0.85)), lambda t: F.transform("px", lambda v: v > t)), 1)
+    return components.overlapping(masked(spark, sf_dir).withColumn("rough", rough), "rough")
+
+
+@query(f"WITH RECURSIVE {MASK}, x AS (SELECT vec_id, pos, r, c FROM m WHERE NOT m AND (r IN (0, 7) OR c IN (0, 7)) UNION SELECT b.vec_id, b.pos, b.r, b.c FROM x a JOIN m b ON a.vec_id = b.vec_id AND NOT b.m AND {CROSS}) SELECT vec_id, 64 - count(x.pos) AS area FROM m LEFT JOIN x USING (vec_id, pos) GROUP BY vec_id")
+def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.filled(masked(spark, sf_dir)).select("vec_id", pixels.area(F.col("m")).alias("area"))
+
+
+@query(f"WITH {PX} SELECT a.vec_id, a.r, a.c, round(median(b.v), 5) + 0.0 AS v FROM p a JOIN p b ON a.vec_id = b.vec_id AND {CROSS} WHERE a.r BETWEEN 1 AND 6 AND a.c BETWEEN 1 AND 6 GROUP BY ALL")
+def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pixels.median_cross(pixels.pixel_table(images(spark, sf_dir).select("vec_id", "px"))))
+
+
+@query(f"WITH {MASK}, b AS (SELECT vec_id, count(*) FILTER (WHERE m AND r = 0) > 3.2 AS top, count(*) FILTER (WHERE m AND r = 7) > 3.2 AS bottom FROM m GROUP BY vec_id) SELECT vec_id, count(*) FILTER (WHERE m AND NOT (top AND r = 0) AND NOT (bottom AND r = 7)) AS area FROM m JOIN b USING (vec_id) GROUP BY vec_id")
+def band_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked(spark, sf_dir).select("vec_id", pixels.area(pixels.bands_cleared(F.col("m"))).alias("area"))
+
+
+@query(f"WITH {PX} SELECT vec_id, r, c, round(v, 5) + 0.0 AS v FROM p WHERE r BETWEEN 2 AND 5 AND c BETWEEN 1 AND 6")
+def crop_uncrop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pixels.cropped(pixels.pixel_table(images(spark, sf_dir).select("vec_id", "px")), 2, 1, 6, 7)
+    return rounded(pixels.uncropped(rows, 2, 1))
+
+
+BOXES = f"{MASK}, b AS (SELECT vec_id, coalesce(min(c) FILTER (WHERE m), 0) AS x0, coalesce(min(r) FILTER (WHERE m), 0) AS y0, coalesce(max(c) FILTER (WHERE m), 0) AS x1, coalesce(max(r) FILTER (WHERE m), 0) AS y1 FROM m GROUP BY vec_id)"
+
+
+@query(f"WITH {BOXES} SELECT vec_id, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h FROM b")
+def boxes_xywh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked(spark, sf_dir).select("vec_id", pixels.box_xywh(pixels.mask_box(F.col("m"))).alias("b")).select("vec_id", "b.*")
+
+
+@query(f"WITH {BOXES} SELECT vec_id, (abs(x0 + 8 - 8) <= 0 AND NOT abs(x0 + 8 - 0) <= 0) OR (abs(y0 - 0) <= 0 AND NOT abs(y0 - 0) <= 0) OR (abs(x1 + 8 - 15) <= 0 AND NOT abs(x1 + 8 - 31) <= 0) OR (abs(y1 - 7) <= 0 AND NOT abs(y1 - 7) <= 0) AS cut_off FROM b")
+def crop_edge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """each raster as the second crop of an image of 32 by 8."""
+    return masked(spark, sf_dir).select("vec_id", maskops.near_crop_edge(pixels.mask_box(F.col("m")), [8, 0, 15, 7], [0, 0, 31, 7], 0).alias("cut_off"))
+
+
+@query(f"WITH {BOXES} SELECT a.vec_id AS i, c.vec_id AS j, round(coalesce(greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) / nullif((a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) - greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)), 0), 0), 5) AS iou FROM b a JOIN b c ON c.vec_id = a.vec_id + 1")
+def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IoU of the boxes of neighbouring rasters."""
+    rows = masked(spark, sf_dir).select("vec_id", pixels.mask_box(F.col("m")).alias("b"))
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("j"), F.col("b").alias("o"))
+    return rounded(rows.join(other, "vec_id").select(F.col("vec_id").alias("i"), "j", maskops.iou(F.col("b"), F.col("o")).alias("iou")))
+
+
+@query("WITH e AS (SELECT count(*) AS n FROM (SELECT n_name FROM nation EXCEPT SELECT n_name FROM nation WHERE n_nationkey < 20)), f AS (SELECT count(*) AS n FROM (SELECT n_name FROM nation WHERE n_nationkey < 20 EXCEPT SELECT n_name FROM nation)) SELECT e.n AS missing, f.n AS unexpected, e.n = 0 AND f.n = 0 AS same FROM e, f")
+def expected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """both differences of the cells expected and found."""
+    expected = table(spark, sf_dir, "nation").select("n_name")
+    found = table(spark, sf_dir, "nation").where("n_nationkey < 20").select("n_name")
+    counts = expected.exceptAll(found).agg(F.count(F.lit(1)).alias("missing")).join(F.broadcast(found.exceptAll(expected).agg(F.count(F.lit(1)).alias("unexpected"))))  # one row each
+    return counts.withColumn("same", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+
+
+@query("WITH s AS (SELECT doc_id, md5(CAST(doc_id AS VARCHAR) || ':7') AS h, source FROM documents) SELECT source, arg_min(doc_id, h) AS doc_id FROM s GROUP BY source")
+def random_pick_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a group, by a keyed hash."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":7")))).alias("doc_id"))
+
+
+@query("SELECT * FROM (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, CAST(NULL AS DOUBLE) AS size FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier UNION ALL SELECT p_partkey, p_name, NULL, CAST(p_size AS DOUBLE) FROM part)")
+def concatenated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of different columns as one."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("size"))
+    return maskops.concatenated(maskops.concatenated(c, s), p)
+
+
+@query("SELECT doc_id // 64 AS batch, count(*) AS n FROM documents GROUP BY 1")
+def batch_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 64 ids."""
+    return table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 64).cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
