@@ -146,3 +146,15 @@ def test_streaming(spark, made, tmp_path):
     out, _ = made
     ingest.append_features(spark, str(out / "images"), str(tmp_path / "stream"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "stream")).count() == 15
+
+
+def test_rows_by_index_and_concatenation(spark):
+    rows = spark.createDataFrame([(k, f"r{k}") for k in range(5)], "k long, name string")
+    assert [r.name for r in maskops.by_index(rows, "k", [3, 0, 3]).orderBy("position").collect()] == ["r3", "r0", "r3"]
+    assert maskops.concatenated(rows, rows.select("k")).where("name IS NULL").count() == 5
+
+
+def test_mode_of_sizes_prefers_the_first_channel(spark):
+    sizes = spark.createDataFrame([("a", "actin", 10, 10), ("a", "mt", 20, 20), ("a", "nuc", 20, 20), ("a", "phase", 10, 10), ("b", "nuc", 5, 5), ("b", "mt", 7, 7)], "cell_id string, channel string, h int, w int")
+    assert {r.cell_id: (r.h, r.w) for r in sources.mode_size(sizes).collect()} == {"a": (10, 10), "b": (7, 7)}
+    assert {r.cell_id: r.ok for r in sources.verify_cells(sizes).collect()} == {"a": False, "b": False}

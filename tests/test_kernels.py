@@ -257,3 +257,49 @@ def test_cell_from_prompts():
     assert cell.sum() > 1000
     assert (segment.refine_with(image, image > 0, predict) == 1).all()
     assert (segment.refine_with(image, image > 0, None) == (image > 0)).all()
+
+
+def cell_image(seed=0):
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[:140, :140]
+    cell, nucleus = (y - 70) ** 2 + (x - 70) ** 2 < 50**2, (y - 65) ** 2 + (x - 72) ** 2 < 14**2
+    return cell, nucleus, np.clip(0.7 * cell + rng.normal(0, 0.02, cell.shape), 0, 1), np.clip(0.8 * nucleus + rng.normal(0, 0.02, cell.shape), 0, 1)
+
+
+def overlap(a, b):
+    return (a & b).sum() / (a | b).sum()
+
+
+def test_segmentation_finds_drawn_shapes():
+    cell, nucleus, actin, nuc = cell_image()
+    found = segment.pipeline_cell_mask(actin)
+    assert overlap(found, cell) > 0.9
+    n = segment.nuclei(nuc, found)
+    assert n.count == 1
+    assert overlap(n.mask, nucleus) > 0.8
+    assert n.warnings == []
+    assert overlap(segment.nuclei_anchored_cell(actin, nuc), cell) > 0.85
+    assert overlap(segment.simple_cell(actin), cell) > 0.9
+    assert overlap(segment.simple_cell(actin, (10, 10, 130, 130)), cell) > 0.9
+    assert overlap(segment.simple_nuclei(nuc), nucleus) > 0.8
+    assert overlap(segment.simple_nuclei(nuc, found), nucleus) > 0.8
+    assert (segment.cytoplasm(found, n.mask) <= found).all()
+    assert segment.pipeline_cell_mask(None, (5, 6)).sum() == 30
+
+
+def test_no_nuclei_is_a_warning():
+    cell = np.ones((60, 60), bool)
+    n = segment.nuclei(np.zeros((60, 60)), cell)
+    assert n.count == 0
+    assert "no nuclei" in n.warnings[0]
+
+
+def test_features_of_a_drawn_cell():
+    cell, nucleus, actin, _ = cell_image()
+    f = texture.all_features(actin, actin, actin, cell, nucleus, segment.cytoplasm(cell, nucleus))
+    assert f["cell_area"] == cell.sum()
+    assert f["circularity"] == pytest.approx(1, abs=0.12)
+    assert f["aspect_ratio"] == pytest.approx(1, abs=0.02)
+    assert f["nuclear_count"] == 1
+    assert f["nc_ratio"] == pytest.approx(nucleus.sum() / (cell.sum() - nucleus.sum()))
+    assert f["nucleus_polarity"] == pytest.approx(np.hypot(5, 2), abs=0.2)
