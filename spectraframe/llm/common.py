@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -37,13 +38,19 @@ _P_INV = pow(_P, -1, 2**64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+#: Our own folder of each application that names none.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the shared folder that the cluster names; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else tempfile.mkdtemp(prefix="spectraframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        named = sc._jsc.sc().getCheckpointDir()
+        if named.isEmpty() and sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="spectraframe-")
+        root = _own[sc.applicationId] if named.isEmpty() else named.get()
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -51,7 +58,21 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The table, written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where written tables are.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes written tables (or folders) that nothing reads any more."""
+    for t in tables:
+        if path := t if isinstance(t, str) else _paths.pop(t, None):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _shipped: set[str] = set()
@@ -85,6 +106,18 @@ def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: A key is hot if it has more than a HOT_SHARE-th of the rows; there can be HOT_SHARE such keys at most.
+HOT_SHARE = 1024
+
+
+def join_sized(left: DataFrame, right: DataFrame, on: list[str], size: str, rows: int) -> DataFrame:
+    """An inner join of left (of so many rows) with right, which has a row a key with the key's rows in left in column `size`.
+    Hot keys' rows stay where they are and meet a broadcast of HOT_SHARE rows at most; only the others are shuffled."""
+    hot = F.broadcast(right.where(F.col(size) * HOT_SHARE > rows))
+    rare = left.join(hot.select(*on), on, "left_anti").join(right.where(F.col(size) * HOT_SHARE <= rows), on)
+    return left.join(hot, on).unionByName(rare)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver forget what is no longer used, so that the shuffle files of earlier steps go."""
     gc.collect()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, buffers, small_batches, written
+from .common import LOWER_TABLE, buffers, join_sized, small_batches, written
 
 WINDOW = 16
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
@@ -122,5 +122,5 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bytes: int = 16) -> DataFrame:
     """Each row's id, keep_id, group_size, kept and text_sha256."""
     each = written(recipes(docs, id_col, text_col, hash_bytes))
-    groups = each.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return each.join(groups, "recipe").select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"))
+    groups = written(each.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    return join_sized(each, groups, ["recipe"], "group_size", each.count()).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"))

@@ -6,8 +6,8 @@ keys that are new, and added as a run of level 0. When a level has `fanout` runs
 next level, so n batches leave O(fanout * log n) runs and each row is rewritten O(log n) times. Batches and runs
 share the bucketing, so a merge join reads the runs without shuffling them.
 
-Keys in `min_docs` documents or more are looked up by the lines of the documents: those that hold more than a
-1024th of all rows (there can be 1024 at most) by broadcast, so no task gets a hot key; the rest by a sort-merge join.
+Keys in `min_docs` documents or more are looked up by the lines of the documents, hot ones by broadcast, so no task gets a
+hot key; the rest by a sort-merge join.
 
 Defined cases: null or empty text is one empty line; the empty key is too short to be dropped; a line twice in a
 document counts once; rows that share a doc_id are one document for the count; a null doc_id is less than any other
@@ -28,10 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import LOWER_TABLE, MOST_BROADCAST, SPACES, shared_folder, small_batches, written
+from .common import LOWER_TABLE, MOST_BROADCAST, SPACES, discard, join_sized, shared_folder, small_batches, written
 
 _STRIP = SPACES.decode()
-HOT_SHARE = 1024
 RUN = "h1 long, h2 long, n_docs long, max_id long"
 
 
@@ -106,6 +105,13 @@ class LineRuns:
             ladder[level] = []
             self._push(ladder, merged, level + 1)
 
+    def forget(self) -> None:
+        """Drops all runs, merged ones included."""
+        for name, path in self.paths.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, path)
+        self.paths, self.keys, self.counts = {}, [], []
+
     def total(self) -> DataFrame:
         """All runs merged: the number of documents and the largest id of each key."""
         names = [name for ladder in (self.keys, self.counts) for level in ladder for name in level]
@@ -120,11 +126,8 @@ class LineRuns:
 
 def repeated_lines(keys: DataFrame, frequent: DataFrame) -> DataFrame:
     """(id, drop) of the rows with lines to drop; drop holds their keys' hashes, 16 bytes each."""
-    rows = keys.count()
-    hot = frequent.where(F.col("n_docs") * HOT_SHARE > rows).select("h1", "h2", "max_id")  # HOT_SHARE rows at most
-    rare = frequent.where(F.col("n_docs") * HOT_SHARE <= rows).select("h1", "h2", "max_id")
-    lost = F.coalesce(F.col("id") < F.col("max_id"), F.col("max_id").isNotNull())
-    found = keys.join(F.broadcast(hot), ["h1", "h2"]).unionByName(keys.join(rare, ["h1", "h2"])).where(lost)
+    found = join_sized(keys, frequent, ["h1", "h2"], "n_docs", keys.count())
+    found = found.where(F.coalesce(F.col("id") < F.col("max_id"), F.col("max_id").isNotNull())).select("id", "h1", "h2")
     return found.distinct().groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
 
 
@@ -164,6 +167,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs.add(keys.where(F.col("batch") == k).drop("batch"))
     frequent = written(runs.total().where(F.col("n_docs") >= min_docs))
     dropped = written(repeated_lines(keys.drop("batch"), frequent))
+    runs.forget()
+    discard(docs.sparkSession, keys, frequent)
     if (dropped.agg(F.sum(F.size("drop"))).first()[0] or 0) <= MOST_BROADCAST:
         dropped = F.broadcast(dropped)  # so many hashes at most; else both sides are shuffled
     return drop_lines(docs, dropped, id_col, text_col, min_chars)

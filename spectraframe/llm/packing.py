@@ -40,24 +40,29 @@ _OTHER = re.compile(r"[^\t\n\r -~\xa1-ſ]|<\|endoftext\|>")
 
 
 @functools.cache
-def _encoders(name: str):
-    """The tokenizer, and its vocabulary in tiktoken."""
+def _tokenizer(name: str):
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path(name)
-    with open(path.replace(".json", ".tiktoken"), "rb") as f:
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+@functools.cache
+def _plain(name: str):
+    """The tokenizer's vocabulary in tiktoken."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(name).replace(".json", ".tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Tokenizer.from_file(path), tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str | None, name: str = "byte_bpe_50k.json") -> np.ndarray:
     """The text's ids, without special tokens."""
-    whole, plain = _encoders(name)
     if _OTHER.search(text or ""):
-        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-    return plain.encode_to_numpy(text or "", disallowed_special=()).astype(np.uint32, copy=False)
+        return np.array(_tokenizer(name).encode(text, add_special_tokens=False).ids, np.uint32)
+    return _plain(name).encode_to_numpy(text or "", disallowed_special=()).astype(np.uint32, copy=False)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
