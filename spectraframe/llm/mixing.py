@@ -15,15 +15,15 @@ size 0 take 0; rows that share a doc_id are taken alike; other columns stay as t
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import SPACE_CLASS, bounded, ship, written
+from .common import SPACE_CLASS, bounded, discard, ship, written
 
 MOST_PATTERNS = 200_000
 BUCKET_ROWS, MOST_BUCKET_BITS = 256, 20
@@ -53,53 +53,64 @@ def quotas(sizes: dict[str | None, int], weights: tuple[float, ...], share: floa
 
 
 def min_cost_flow(capacity: list[int], members: list[tuple[int, ...]], quota: list[int], repeats: int) -> list[dict[int, int]]:
-    """Tokens that each pattern sends to each of its sources: as many as can be, at the least cost. Successive shortest
-    paths with potentials; each augmentation fills an arc."""
+    """Tokens that each pattern sends to each of its sources: as many as can be, at the least cost. A path costs what its
+    pattern's repetition costs, and those are the same for all patterns, so a cheapest path is one of the lowest
+    repetition that still has one: each repetition's capacity is added in turn, and shortest paths by arcs are
+    filled phase by phase (blocking flows) until none is left."""
     n_p, n_s = len(capacity), len(quota)
     source, sink = n_p + n_s, n_p + n_s + 1
-    to, cap, cost, out = [], [], [], [[] for _ in range(n_p + n_s + 2)]
+    to, cap, out = [], [], [[] for _ in range(n_p + n_s + 2)]
 
-    def arc(a: int, b: int, c: int, w: int) -> None:
-        for x, y, k, z in ((a, b, c, w), (b, a, 0, -w)):
+    def arc(a: int, b: int, c: int) -> None:
+        for x, y, k in ((a, b, c), (b, a, 0)):
             out[x].append(len(to))
             to.append(y)
             cap.append(k)
-            cost.append(z)
 
     for p in range(n_p):
-        for k in range(repeats):
-            arc(source, p, capacity[p], k)
+        arc(source, p, 0)
     first = len(to)
     for p in range(n_p):
         for s in members[p]:
-            arc(p, n_p + s, repeats * capacity[p], 0)
+            arc(p, n_p + s, repeats * capacity[p])
     last = len(to)
     for s in range(n_s):
-        arc(n_p + s, sink, quota[s], 0)
-    potential = [0] * len(out)
-    while True:
-        far: list[float] = [math.inf] * len(out)
-        by, queue = [-1] * len(out), [(0, source)]
-        far[source] = 0
+        arc(n_p + s, sink, quota[s])
+
+    def depths() -> list[int]:
+        depth, queue = [-1] * len(out), deque([source])
+        depth[source] = 0
         while queue:
-            d, x = heapq.heappop(queue)
-            if d > far[x]:
-                continue
+            x = queue.popleft()
             for e in out[x]:
-                if cap[e] and (new := d + cost[e] + potential[x] - potential[to[e]]) < far[to[e]]:
-                    far[to[e]], by[to[e]] = new, e
-                    heapq.heappush(queue, (new, to[e]))
-        if far[sink] == math.inf:
-            break
-        potential = [p + (f if f < math.inf else far[sink]) for p, f in zip(potential, far, strict=True)]
-        path, x = [], sink
-        while x != source:
-            path.append(by[x])
-            x = to[by[x] ^ 1]
-        amount = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= amount
-            cap[e ^ 1] += amount
+                if cap[e] and depth[to[e]] < 0:
+                    depth[to[e]] = depth[x] + 1
+                    queue.append(to[e])
+        return depth
+
+    for _ in range(repeats):
+        for p in range(n_p):
+            cap[2 * p] += capacity[p]
+        while (depth := depths())[sink] >= 0:
+            at, path, x = [0] * len(out), [], source
+            while True:
+                if x == sink:
+                    amount = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= amount
+                        cap[e ^ 1] += amount
+                    path = path[: next(k for k, e in enumerate(path) if not cap[e])]
+                    x = to[path[-1]] if path else source
+                while at[x] < len(out[x]) and not (cap[out[x][at[x]]] and depth[to[out[x][at[x]]]] == depth[x] + 1):
+                    at[x] += 1
+                if at[x] < len(out[x]):
+                    path.append(out[x][at[x]])
+                    x = to[path[-1]]
+                elif path:
+                    x = to[path.pop() ^ 1]
+                    at[x] += 1
+                else:
+                    break
     sent: list[dict[int, int]] = [{} for _ in range(n_p)]
     for e in range(first, last, 2):
         if cap[e ^ 1]:
@@ -147,6 +158,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, order: list[Column], wei
     at_end = planned(rows.withColumn("own_bucket", bucket), plan_df).where("own_bucket = own_last").groupBy("own_sources", "own_hash", "own_more", "own_before").agg(F.sum("own_size").alias("own_size"))
     chosen = at_end.groupBy("own_sources").applyInArrow(_filled, StructType([*at_end.schema.fields, StructField("own_extra", IntegerType())])).where("own_extra = 1")
     chosen = bounded(written(chosen.select(F.col("own_sources").alias("own_p"), F.col("own_hash").alias("own_h"), "own_extra")))
+    discard(spark, rows)
     every = planned(docs.withColumns(own).withColumn("own_bucket", bucket), plan_df.drop("own_more", "own_before"))
     every = every.join(chosen, F.col("own_sources").eqNullSafe(F.col("own_p")) & (F.col("own_hash") == F.col("own_h")), "left")
     extra = F.when(F.col("own_bucket") < F.col("own_last"), 1).otherwise(F.coalesce("own_extra", F.lit(0)))

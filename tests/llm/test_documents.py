@@ -87,8 +87,12 @@ def test_near_empty(empty):
     assert near_dedup.near_classes(empty).count() == 0
 
 
-def test_near_links_between_leaves(spark):
-    """A chain and a hub: many members of a bucket are linked through others than its smallest document."""
+@pytest.mark.parametrize(("outer", "inner"), [(128, 1024), (4, 7)])
+def test_near_links_between_leaves(spark, monkeypatch, outer, inner):
+    """A chain and a hub: many members of a bucket are linked through others than its smallest document. Whatever the size
+    of the groups in which leaves meet."""
+    monkeypatch.setattr(near_dedup, "OUTER", outer)
+    monkeypatch.setattr(near_dedup, "INNER", inner)
     rng = np.random.default_rng(1)
     hub = [f"h{k}" for k in range(100)]
     rows = []
@@ -278,6 +282,38 @@ def test_flow_routes_overlaps_and_repeats_last():
     assert mixing.min_cost_flow([0], [()], [], 2) == [{}]
 
 
+def test_flow_against_all_flows():
+    """Small networks: as much as any cut allows, and first uses before repeats."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n_p, n_s = int(rng.integers(1, 6)), int(rng.integers(1, 4))
+        capacity, quota = rng.integers(0, 12, n_p).tolist(), rng.integers(0, 25, n_s).tolist()
+        members = [tuple(s for s in range(n_s) if rng.random() < 0.6) for _ in range(n_p)]
+
+        def most(repeats, capacity=capacity, quota=quota, members=members, n_s=n_s):
+            """The least cut: for each set of sources whose quotas are cut, the other sources' patterns' capacities."""
+            return min(sum(quota[s] for s in cut) + sum(repeats * c for c, m in zip(capacity, members, strict=True) if set(m) - set(cut)) for k in range(n_s + 1) for cut in itertools.combinations(range(n_s), k))
+
+        sent = mixing.min_cost_flow(capacity, members, quota, 2)
+        total = [sum(s.values()) for s in sent]
+        assert sum(total) == most(2)
+        assert sum(min(t, c) for t, c in zip(total, capacity, strict=True)) == most(1)
+        assert all(t <= 2 * c and set(s) <= set(m) for t, c, s, m in zip(total, capacity, sent, members, strict=True))
+        assert all(sum(s.get(k, 0) for s in sent) <= q for k, q in enumerate(quota))
+
+
+def test_flow_of_many_patterns_is_fast():
+    import time
+
+    rng = np.random.default_rng(9)
+    began = time.time()
+    members = [tuple(rng.choice(2000, rng.integers(1, 4), replace=False).tolist()) for _ in range(20_000)]
+    mixing.min_cost_flow(rng.integers(1, 1000, 20_000).tolist(), members, rng.integers(1, 20_000, 2000).tolist(), 2)
+    assert time.time() - began < 60
+
+
 def test_mixing_of_overlapping_sources(spark):
     rows = [(k, 10, ["a"] if k % 3 == 0 else ["a", "b"] if k % 3 == 1 else ["b"]) for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, size long, s array<string>")
