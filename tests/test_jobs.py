@@ -158,3 +158,16 @@ def test_mode_of_sizes_prefers_the_first_channel(spark):
     sizes = spark.createDataFrame([("a", "actin", 10, 10), ("a", "mt", 20, 20), ("a", "nuc", 20, 20), ("a", "phase", 10, 10), ("b", "nuc", 5, 5), ("b", "mt", 7, 7)], "cell_id string, channel string, h int, w int")
     assert {r.cell_id: (r.h, r.w) for r in sources.mode_size(sizes).collect()} == {"a": (10, 10), "b": (7, 7)}
     assert {r.cell_id: r.ok for r in sources.verify_cells(sizes).collect()} == {"a": False, "b": False}
+
+
+def test_windowed_counts_of_a_stream(spark, sf_dir, tmp_path):
+    from spectraframe.streaming import ingest
+
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = ingest.event_counts(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("event_counts").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("event_counts").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 3).alias("total")).first()
+    want = batch.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total")).first()
+    assert tuple(got) == tuple(want)
