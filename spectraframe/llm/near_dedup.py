@@ -29,12 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, buffers, mix, release, signed, small_batches, word_hashes, written
+from .common import bounded, buffers, discard, join_sized, mix, release, signed, small_batches, word_hashes, written
 from .components import components
 
 EMPTY = np.uint64(2**64 - 1)
 LEAVES = 128  # of a star in one group of the confirming step
 OUTER = 128  # leaves outside a bucket's largest component that are compared at once
+INNER = 1024  # leaves of a bucket that they are compared with in one group
 _COEFFICIENTS = np.random.default_rng(11).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -132,30 +133,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 def leaf_links(leaves: DataFrame, found: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (u, v) between leaves (h, id, n) of a bucket that lie in several components (node, component). All leaves
-    outside a bucket's largest component meet all its leaves, OUTER at a time: a leaf's text goes to a group once, and
-    a group sends on one link for each outer leaf and component."""
+    outside a bucket's largest component meet all its leaves, OUTER by INNER in a group: texts are sent to groups, and a
+    group sends on one link for each outer leaf and component."""
     labelled = leaves.join(found, leaves["id"] == found["node"], "left").select("h", "id", "n", F.coalesce("component", "id").alias("component"))
     by_part = labelled.groupBy("h", "component").agg(F.count(F.lit(1)).alias("size"))
     by_bucket = by_part.groupBy("h").agg(F.sum("size").alias("total"), F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    by_bucket = by_bucket.where("parts > 1").select("h", F.col("top.component").alias("top"), F.ceil((F.col("total") - F.col("top.size")) / OUTER).cast("int").alias("groups"))
+    by_bucket = by_bucket.where("parts > 1").select("h", F.col("top.component").alias("top"), F.ceil((F.col("total") - F.col("top.size")) / OUTER).cast("int").alias("groups"), F.ceil(F.col("total") / INNER).cast("int").alias("splits"))
     open_ = written(labelled.join(by_bucket, "h"))
-    own = F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")
-    outer = open_.where("component <> top").select("h", own.alias("group"), F.lit(0).alias("inner"), "id", "component")
-    inner = open_.select("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(1).alias("inner"), "id", "component")
-    rows = outer.unionByName(inner).join(texts, "id").select("h", "group", "inner", "id", "component", "text").repartition("h", "group").sortWithinPartitions("h", "group", "inner")
+    group, split = (F.pmod(F.xxhash64("id"), F.col(n)).cast("int") for n in ("groups", "splits"))
+    every = {n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("groups", "splits")}
+    outer = open_.where("component <> top").select("h", group.alias("group"), every["splits"].alias("split"), F.lit(0).alias("inner"), "id", "component")
+    inner = open_.select("h", every["groups"].alias("group"), split.alias("split"), F.lit(1).alias("inner"), "id", "component")
+    rows = outer.unionByName(inner).join(texts, "id").select("h", "group", "split", "inner", "id", "component", "text").repartition("h", "group", "split").sortWithinPartitions("h", "group", "split", "inner")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block, linked = None, None, set()
         for batch in batches:
-            h, group, inner, ids, part = (batch.column(k).to_numpy() for k in range(5))
-            sets = shingle_sets(batch.column(5), words)
-            cuts = np.flatnonzero((np.diff(h) != 0) | (np.diff(group) != 0) | (np.diff(inner) != 0)) + 1
+            h, group, split, inner, ids, part = (batch.column(k).to_numpy() for k in range(6))
+            sets = shingle_sets(batch.column(6), words)
+            cuts = np.flatnonzero((np.diff(h) != 0) | (np.diff(group) != 0) | (np.diff(split) != 0) | (np.diff(inner) != 0)) + 1
             found: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
                 if a == b:
                     continue
-                if (h[a], group[a]) != now:
-                    now, block, linked = (h[a], group[a]), _Block(), set()
+                if (h[a], group[a], split[a]) != now:
+                    now, block, linked = (h[a], group[a], split[a]), _Block(), set()
                 if not inner[a]:
                     block.add(ids[a:b], part[a:b], sets[a:b])
                     continue
@@ -183,6 +185,8 @@ class _Block:
         self.matrix = None
 
     def links(self, others: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+        if not self.sets:  # a group that no outer leaf fell to
+            return
         if len(self.sets) == 1:  # most groups
             own = self.sets[0]
             for j, s in enumerate(others):
@@ -217,32 +221,38 @@ class _Block:
                 yield i, lo + j
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 24, rows: int = 5) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 24, band_rows: int = 5) -> DataFrame:
     """(id, n, component) of each row: the size of its set, and the smallest id that links reach."""
+    spark = docs.sparkSession
     least = -(-percent // (100 - percent))
-    each = written(sketches(docs, id_col, text_col, words, least, bands, rows))
-    classes = written(each.where("n > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "bands"), "id").alias("s")).select("set", "rep", "s.n", "s.bands"))
+    each = written(sketches(docs, id_col, text_col, words, least, bands, band_rows))
+    classes = written(each.where("n > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "bands"), "id").alias("s"), F.count(F.lit(1)).alias("copies")).select("set", "rep", "copies", "s.n", "s.bands"))
 
     placed = classes.select(F.explode("bands").alias("h"), F.col("rep").alias("id"), "n").distinct()
-    buckets = placed.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("c")).where("size > 1")
+    buckets = written(placed.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("c")).where("size > 1").select("h", "size", F.col("c.id").alias("c"), F.col("c.n").alias("cn")))
     fits = "least(n, cn) * 100 >= greatest(n, cn) * " + str(percent)
-    members = written(placed.join(buckets.select("h", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "h"))
+    members = written(join_sized(placed, buckets, ["h"], "size", bands * classes.count()).drop("size"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = written(texts.join(bounded(written(members.select("id").distinct())), "id", "left_semi"))
 
     pairs = written(members.where(f"id <> c AND {fits}").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct())
-    edges = written(confirmed(pairs, texts, words, percent))
-    own = each.where("n > 0").join(classes.select("set", "rep"), "set").select("id", "rep")
+    linked = written(confirmed(pairs, texts, words, percent))
+    rows = each.where("n > 0 AND id IS NOT NULL").select("id", "n", "set")
+    n_rows = rows.count()
+    own = join_sized(rows, classes.select("set", "rep", "copies"), ["set"], "copies", n_rows).select("id", "rep")
     shared = own.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).where("u < top").select("id", "u")
-    edges = edges.unionByName(own.join(shared, "id").select("u", F.col("rep").alias("v")))
+    edges = linked.unionByName(own.join(shared, "id").select("u", F.col("rep").alias("v")))
     found = written(components(edges))
 
-    release(docs.sparkSession)
+    release(spark)
     missed = written(leaf_links(members.where("id <> c").select("h", "id", "n"), found, texts, words, percent))
-    found = written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").unionByName(missed)))
-    release(docs.sparkSession)
-    named = classes.select("set", "rep").join(found, F.col("rep") == found["node"], "left").select("set", F.coalesce("component", "rep").alias("component"))
-    return each.select("id", "n", F.when(F.col("n") > 0, F.col("set")).alias("set")).join(named, "set", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    joined = written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").unionByName(missed)))
+    named = classes.select("set", "rep", "copies").join(joined, F.col("rep") == joined["node"], "left").select("set", "copies", F.coalesce("component", "rep").alias("component"))
+    named = written(named)
+    discard(spark, classes, buckets, members, texts, pairs, linked, found, missed, joined)
+    release(spark)
+    alone = each.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
+    return alone.unionByName(join_sized(rows, named, ["set"], "copies", n_rows).select("id", "n", "component"))
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
