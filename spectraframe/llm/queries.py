@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import read_back, windows
+from .common import written
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .mixing import mix, n_words
@@ -69,7 +70,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "source").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    docs = written(_table(spark, sf_dir, "documents", "doc_id", "text", "source").select("doc_id", "source", n_words(F.col("text")).alias("size")))
     taken, sources = mix(docs, F.array("source"), F.col("size"), [F.col("doc_id")])
     targets = spark.createDataFrame([(s["source"], s["size"], s["target"]) for s in sources], "name string, source_size long, target double")
     out = taken.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("name")))  # a row a source
