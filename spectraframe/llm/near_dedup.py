@@ -231,7 +231,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = classes.select(F.explode("bands").alias("h"), F.col("rep").alias("id"), "n").distinct()
     buckets = written(placed.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("c")).where("size > 1").select("h", "size", F.col("c.id").alias("c"), F.col("c.n").alias("cn")))
     fits = "least(n, cn) * 100 >= greatest(n, cn) * " + str(percent)
-    members = written(join_sized(placed, buckets, ["h"], "size", bands * classes.count()).drop("size"))
+    members = written(placed.join(buckets, "h").drop("size"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = written(texts.join(bounded(written(members.select("id").distinct())), "id", "left_semi"))
 
