@@ -1,16 +1,20 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 Tokens are words, A-Z lower-cased, then one end; a start precedes them as a context only. The root's distribution is
-(c + 1) / (N + V + 1) from counts of all training tokens. A context is the last one or two tokens. Its explicit next
-symbols are those seen after it at least `least` times; they have (count - 0.75) / context count, and what is left goes
+(c + 1) / (N + V + 1) from counts of all training tokens. A context is the last tokens, of any number. Its explicit next
+symbols are those seen after it at least LEAST times; they have (count - 0.75) / context count, and what is left goes
 to all other symbols as its longest shorter context has them (Katz), so each distribution sums to one. A context is
 retained if its distribution diverges: the log-likelihood it gains over its suffix, in nats, is at least half the
-logarithm of its count for each explicit symbol. Retained contexts keep their suffix. A token is scored by the longest
-retained suffix of what stands before it.
+logarithm of its count for each explicit symbol. A token is scored by the longest retained context before it.
 
-`least` is the larger of 3 and N / 2**19 training tokens. So at most 2**19 tokens, pairs and triples are explicit
-whatever the corpus: the tree is gathered and sent to the tasks with that bound. The counts of all tokens are not:
-documents go to blocks of about BLOCK_CHARS characters, and a block gets the counts of its own distinct tokens by a join.
+The tree grows a level (a word more of context) with each pass over the texts, until nothing is left to extend. Extended are
+contexts that diverge, and those that don't but whose suffix does: one level without news is bridged, two in a row end
+a branch. Contexts that diverge are retained in the end, and all their suffixes with them.
+
+Neither LEAST nor the depth depends on the corpus, and what is gathered has a fixed size: counts and levels are written
+tables of (key, value), the keys hashes of contexts and of contexts with a symbol. Documents go to blocks of about
+BLOCK_CHARS characters, and a block gets the values of its own distinct keys by a join. A bitmap of 2**FILTER_BITS bits
+spares most keys that no table has; what it lets through in vain, the joins drop.
 
 Defined cases: null or empty text is the end token alone; the training part is any row filter; an empty training part
 gives N = V = 0 and base probability 1; rows that share a doc_id are rows of their own; other columns are ignored.
@@ -18,56 +22,62 @@ gives N = V = 0 and base probability 1; rows that share a doc_id are rows of the
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, release, signed, small_batches, word_hashes, written
+from .common import buffers, discard, mix, release, signed, small_batches, word_hashes, written
 
 END, START = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0x57A4757A4757A471)
-SHARE_BITS = 19
+ROOT, STEP = np.uint64(0x5EED5EED5EED5EED), np.uint64(0xD1342543DE82EF95)
+LEAST = 3
+FILTER_BITS = 27
 BLOCK_CHARS = 24_000_000
 DISCOUNT = 0.75
 HELD = 2_000_000  # distinct keys that a task sums up before it sends them on
+SLICES = 2  # passes for the pairs, of which most are rare: each shuffles its share of the keys
 
 
 class _Sums:
-    """Counts of 64-bit keys, summed up within a task."""
+    """Counts of 64-bit keys with what goes with each key, summed up within a task."""
 
-    def __init__(self) -> None:
-        self.keys, self.counts, self.size = [], [], 0
+    def __init__(self, width: int) -> None:
+        self.width, self.parts, self.counts, self.size = width, [], [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, n = np.unique(keys, return_counts=True)
-        self.keys.append(k)
+    def add(self, *columns: np.ndarray) -> None:
+        k, at, n = np.unique(columns[0], return_index=True, return_counts=True)
+        self.parts.append((k, *(c[at] for c in columns[1:])))
         self.counts.append(n)
         self.size += len(k)
 
     def take(self) -> pa.RecordBatch:
-        k = np.concatenate([np.zeros(0, np.int64), *self.keys])
+        columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*self.parts, strict=True) if self.parts else [()] * self.width)]
         n = np.concatenate([np.zeros(0, np.int64), *self.counts])
-        keys, at = np.unique(k, return_inverse=True)
-        out = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, n, len(keys)).astype(np.int64))], ["k", "n"])
-        self.__init__()
-        return out
+        keys, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
+        out = [keys, *(c[first] for c in columns[1:]), np.bincount(at, n, len(keys)).astype(np.int64)]
+        self.__init__(self.width)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["k", "up", "g"][: self.width] + ["n"])
 
 
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """(k, n): how often each key is among those that keys_of gives for the batches."""
+def _counted(texts: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray, ...]], names: list[str]) -> DataFrame:
+    """(names, n): how often each key (the first of names) is among those that keys_of gives for the batches' tokens; the
+    others are what goes with a key."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
+        sums = _Sums(len(names))
         for batch in batches:
-            sums.add(keys_of(batch.column(0)))
+            sums.add(*map(signed, keys_of(_tokens(batch.column(0))[0])))
             if sums.size > HELD:
                 yield sums.take()
         yield sums.take()
 
-    return texts.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return found.groupBy("k").agg(*[F.max(c).alias(c) for c in names[1:]], F.sum("n").alias("n"))
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,163 +134,255 @@ def _place(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, at, -1)
 
 
-def _pairs(s: np.ndarray, end: int) -> np.ndarray:
-    """Keys of neighbours that are both frequent, with -1 elsewhere, aligned with the second one."""
-    out = np.full(len(s), -1, np.int64)
-    ok = (s[:-1] >= 0) & (s[1:] >= 0) & (s[:-1] != end)
-    out[1:][ok] = s[:-1][ok] << 21 | s[1:][ok]
-    return out
+def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has a key's bit."""
+    at = keys >> np.uint64(64 - FILTER_BITS)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+
+
+def _marked(keys: DataFrame, bits: np.ndarray) -> np.ndarray:
+    """The bitmap with the bits of keys `k` too."""
+    at = keys.select(F.shiftrightunsigned("k", 64 - FILTER_BITS).alias("at"))
+    found = at.groupBy(F.shiftright("at", 15).alias("page")).agg(F.expr("bitmap_construct_agg(at & 32767)").alias("bits")).toArrow()
+    out = bits.reshape(-1, 4096).copy()
+    for page, own in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        out[page] |= np.frombuffer(own, np.uint8)
+    return out.reshape(-1)
+
+
+class _Climb:
+    """The contexts of all tokens of some texts, a word longer with each step: at (places of the tokens), g (hashes of their
+    contexts) and e (of contexts with the token)."""
+
+    def __init__(self, t: np.ndarray):
+        begins = t == START
+        place = np.arange(len(t))
+        self.t, self.at = t, np.flatnonzero(~begins)
+        self.room = (place - np.maximum.accumulate(np.where(begins, place, 0)))[self.at]
+        self.g, self.e, self.level = np.full(len(self.at), ROOT), t[self.at], 0
+
+    def keep(self, ok: np.ndarray) -> None:
+        self.at, self.room, self.g, self.e = self.at[ok], self.room[ok], self.g[ok], self.e[ok]
+
+    def step(self) -> np.ndarray:
+        """Which of the tokens kept so far have a longer context; they are kept."""
+        self.level += 1
+        ok = self.room >= self.level
+        self.keep(ok)
+        left = self.t[self.at - self.level]
+        self.g, self.e = mix(self.g * STEP + left), mix(self.e * STEP + left)
+        return ok
+
+
+def _extensions(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token with a context of `level` words that may occur LEAST times and whose suffix may be extended: (key, key
+    without its first word, context), for the context itself, and for the context with the token if the suffix may have it."""
+    climb = _Climb(t)
+    explicit = _has(bits, climb.e)
+    left = t[climb.at - 1]
+    ok = _has(bits, left) | (left == START)
+    climb.keep(ok)
+    explicit = explicit[ok]
+    rare = np.zeros(len(t), bool)  # tokens that are too rare after the word before them
+    while True:
+        up, suffix = climb.e, climb.g
+        ok = climb.step()
+        up, suffix, explicit = up[ok], suffix[ok], explicit[ok]
+        ok = ~rare[climb.at - 1]
+        climb.keep(ok)
+        up, suffix, explicit = up[ok], suffix[ok], explicit[ok]
+        if climb.level == level:
+            return np.concatenate([climb.g, climb.e[explicit]]), np.concatenate([suffix, up[explicit]]), np.concatenate([climb.g, climb.g[explicit]])
+        ok = _has(bits, climb.g)
+        explicit &= _has(bits, climb.e)
+        if climb.level == 1:  # where all contexts are kept that have any explicit symbol
+            rare[:] = True
+            rare[climb.at] = ~explicit
+        climb.keep(ok)
+        explicit = explicit[ok]
+
+
+def _scores(t: np.ndarray, p: np.ndarray, find: Callable[[np.ndarray], np.ndarray], values: np.ndarray) -> np.ndarray:
+    """The probability of each token: p is the root's; find gives a key's place among values, -1 if no level has it."""
+    p, climb = p.copy(), _Climb(t)
+    while climb.at.size:
+        climb.step()
+        context = find(signed(climb.g))
+        climb.keep(context >= 0)
+        context = context[context >= 0]
+        if climb.at.size:
+            own = find(signed(climb.e))
+            p[climb.at] = np.where(own >= 0, values[own], values[context] * p[climb.at])
+    return p
 
 
-def _triples(s: np.ndarray, pair_at: np.ndarray) -> np.ndarray:
-    """Keys of three neighbours whose two pairs are explicit, with -1 elsewhere, aligned with the third one."""
-    out = np.full(len(s), -1, np.int64)
-    ok = (pair_at[1:-1] >= 0) & (pair_at[2:] >= 0)
-    out[2:][ok] = s[:-2][ok] << 42 | s[1:-1][ok] << 21 | s[2:][ok]
-    return out
+class Tree:
+    """What is learned: numbers of tokens and of distinct ones, their written counts (k, n), a written table (k, v) for each
+    level, and the bitmap of all these keys. Properties and `probabilities` gather the tables, so they are for small ones."""
 
+    def __init__(self, n: int, v: int, counts: DataFrame, levels: list[DataFrame], bits: np.ndarray):
+        self.n, self.v, self.counts, self.levels, self.bits = n, v, counts, levels, bits
 
-class Tree:
-    """The frequent tokens, explicit pairs and triples, and the retained contexts with the weights of what they leave over."""
-
-    def __init__(self, n: int, v: int, tokens: np.ndarray, counts: np.ndarray):
-        """tokens: sorted signed hashes of the frequent ones, end and start among them."""
-        self.n, self.v, self.tokens, self.counts = n, v, tokens, counts.astype(float)
-        self.end, self.start = (int(_place(tokens, signed(np.array([x])))[0]) for x in (END, START))
-        self.root = (self.counts + 1) / (n + v + 1)
-        self.places: dict[str, _Lookup] = {}
-        self.pairs = self.triples = np.zeros(0, np.int64)
-
-    def place(self, what: str, keys: np.ndarray) -> np.ndarray:
-        """Places among tokens, pairs or triples; the table is made in the task that first needs it."""
-        known = getattr(self, what)
-        if what not in self.places or self.places[what].known is not known:
-            self.places[what] = _Lookup(known)
-        return self.places[what](keys)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"places": {}}
-
-    def _fit(self, context: np.ndarray, size: np.ndarray, counts: np.ndarray, shorter: np.ndarray, kinds: int) -> tuple:
-        """For contexts 0 to kinds: gain, number of explicit symbols, weight of the rest; and each entry's probability."""
-        p = (counts - DISCOUNT) / size[context]
-        given, was = np.bincount(context, p, kinds), np.bincount(context, shorter, kinds)
-        rest, rest_was = np.maximum(1 - given, 1e-9), np.maximum(1 - was, 1e-9)
-        gain = np.bincount(context, counts * np.log(p / shorter), kinds) + size * rest * np.log(rest / rest_was)
-        return gain, np.bincount(context, minlength=kinds), rest / rest_was, p
-
-    def fit_pairs(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.pairs, self.pair_counts = keys[order], counts[order].astype(float)
-        a, b = self.pairs >> 21, self.pairs & (1 << 21) - 1
-        gain, many, self.weight1, self.p1 = self._fit(a, np.maximum(self.counts, 1), self.pair_counts, self.root[b], len(self.tokens))
-        self.retained1 = (many > 0) & (gain >= 0.5 * many * np.log(np.maximum(self.counts, 2)))
+    def table(self) -> DataFrame:
+        """(k, v): counts of tokens; a context's weight of what it leaves over; an explicit symbol's probability."""
+        out = self.counts.select("k", F.col("n").cast("double").alias("v"))
+        for level in self.levels:
+            out = out.unionByName(level)
+        return out
 
-    def fit_triples(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.triples, counts = keys[order], counts[order].astype(float)
-        context, last = _place(self.pairs, self.triples >> 21), self.triples & (1 << 21) - 1
-        middle = self.triples >> 21 & (1 << 21) - 1
+    @functools.cached_property
+    def gathered(self) -> tuple[_Lookup, np.ndarray]:
+        rows = sorted({k: v for level in self.levels for k, v in level.collect()}.items())
+        return _Lookup(np.array([k for k, _ in rows], np.int64)), np.array([v for _, v in rows], float)
+
+    @functools.cached_property
+    def tokens(self) -> np.ndarray:
+        """Sorted signed hashes of the frequent tokens, end and start among them."""
+        frequent = [r.k for r in self.counts.where(F.col("n") >= LEAST).collect()]
+        return np.unique(np.array([*frequent, *signed(np.array([END, START]))], np.int64))
 
-        def shorter() -> np.ndarray:
-            at = _place(self.pairs, middle << 21 | last)
-            return np.where(self.retained1[middle], np.where(at >= 0, self.p1[at], self.weight1[middle] * self.root[last]), self.root[last])
+    @property
+    def start(self) -> int:
+        return int(_place(self.tokens, signed(np.array([START])))[0])
 
-        size = np.maximum(self.pair_counts, 1) if len(self.pairs) else np.ones(0)
-        gain, many, _, _ = self._fit(context, size, counts, shorter(), len(self.pairs))
-        self.retained2 = (many > 0) & (gain >= 0.5 * many * np.log(np.maximum(size, 2)))
-        self.retained1[(self.pairs & (1 << 21) - 1)[self.retained2]] = True  # a context's suffix stays with it
-        _, _, self.weight2, self.p2 = self._fit(context, size, counts, shorter(), len(self.pairs))
+    @property
+    def end(self) -> int:
+        return int(_place(self.tokens, signed(np.array([END])))[0])
+
+    @property
+    def retained1(self) -> np.ndarray:
+        """Which of the tokens are retained as contexts."""
+        return self.gathered[0](signed(mix(np.array([ROOT]) * STEP + self.tokens.view(np.uint64)))) >= 0
 
     def probabilities(self, s: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Of each token, given those before it. s: places among the frequent tokens; root: the root's probabilities."""
-        p = root.copy()
-        before = np.concatenate([[-1], s[:-1]])
-        has = (before >= 0) & (before != self.end)
-        has[has] = self.retained1[before[has]]
-        pair_at = self.place("pairs", _pairs(s, self.end))
-        p[has] = np.where(pair_at[has] >= 0, self.p1[pair_at[has]] if len(self.p1) else 0, self.weight1[before[has]] * p[has])
-        if len(self.pairs):
-            context = np.concatenate([[-1], pair_at[:-1]])
-            has = (context >= 0) & (before != self.end)
-            has[has] = self.retained2[context[has]]
-            at = self.place("triples", _triples(s, pair_at))
-            p[has] = np.where(at[has] >= 0, self.p2[at[has]] if len(self.p2) else 0, self.weight2[context[has]] * p[has])
-        return p
-
-
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = df.select("k", "n").toArrow()
-    return table.column(0).to_numpy(), table.column(1).to_numpy()
+        """Of each token of a text, start first, given those before it. s: places among `tokens`, -1 for others; root: the root's
+        probabilities."""
+        return _scores(np.where(s >= 0, self.tokens[s].view(np.uint64), np.uint64(0)), root, *self.gathered)
+
+
+def _fit(entries: DataFrame, *more: Column) -> tuple[DataFrame, Column, Column]:
+    """Sums of each context g over its explicit symbols' (p, was), and of these sums: what is left over, now and with the suffix."""
+    sums = entries.groupBy("g").agg(F.sum("p").alias("given"), F.sum("was").alias("was"), *more)
+    return sums, *(F.greatest(1 - F.col(x), F.lit(1e-9)) for x in ("given", "was"))
+
+
+def _p() -> Column:
+    return (F.col("n") - DISCOUNT) / F.col("size")
+
+
+def _grown(counted: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(k, up, g, suffix, n, size, p, diverges): explicit symbols of a level's contexts that can be extended. counted: (k, up, g, n);
+    shorter: (up, was, above), each explicit symbol's probability given the context's suffix, and whether that diverges. p is
+    the symbol's probability in the context if it diverges, else in its suffix."""
+    sizes = counted.where("k = g").select("g", F.col("up").alias("suffix"), F.col("n").alias("size"))
+    entries = counted.where("k <> g").join(shorter, "up").join(sizes, "g").withColumn("p", _p())
+    sums, rest, rest_was = _fit(entries, F.count(F.lit(1)).alias("many"), F.max("size").alias("size"), F.max("above").alias("above"), F.sum(F.col("n") * F.log(F.col("p") / F.col("was"))).alias("gain"))
+    gain = F.col("gain") + F.col("size") * rest * F.log(rest / rest_was)
+    sums = sums.select("g", "above", (gain >= 0.5 * F.col("many") * F.log(F.greatest("size", F.lit(2)))).alias("diverges"))
+    live = sums.where("diverges OR above").drop("above")
+    return entries.join(live, "g").select("k", "up", "g", "suffix", "n", "size", F.when(F.col("diverges"), F.col("p")).otherwise(F.col("was")).alias("p"), "diverges")
+
+
+def _retained(grown: list[DataFrame], root: DataFrame) -> list[DataFrame]:
+    """(k, v) of each level: weights of the retained contexts, and their explicit symbols' probabilities."""
+    kept: list[DataFrame] = []
+    for level in reversed(grown):
+        contexts = level.groupBy("g", "suffix").agg(F.max("diverges").alias("diverges"))
+        own = contexts.where("diverges").select("g", "suffix")
+        if kept:
+            longer = kept[0].select(F.col("suffix").alias("g")).distinct()
+            own = own.unionByName(contexts.where("NOT diverges").join(longer, "g", "left_semi").select("g", "suffix"))
+        kept.insert(0, written(own))
+    levels: list[DataFrame] = []
+    shorter = root.select("up", "was")
+    for level, own in zip(grown, kept, strict=True):
+        entries = level.join(own.select("g"), "g", "left_semi").join(shorter, "up").select("k", "g", "was", _p().alias("p"))
+        sums, rest, rest_was = _fit(entries)
+        weights = sums.select(F.col("g").alias("k"), (rest / rest_was).alias("v"))
+        found = written(entries.select("k", F.col("p").alias("v")).unionByName(weights))
+        if found.isEmpty():
+            break
+        levels.append(found)
+        shorter = found.select(F.col("k").alias("up"), F.col("v").alias("was"))
+    discard(root.sparkSession, *kept)
+    return levels
 
 
 def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree, and the written counts (k, n) of all tokens of the only column."""
     spark = texts.sparkSession
     small_batches(spark)
-
-    def unigrams(column: pa.Array) -> np.ndarray:
-        t, _ = _tokens(column)
-        return signed(t[t != START])
-
-    counts = written(_counted(texts, unigrams))
+    counts = written(_counted(texts, lambda t: (t[t != START],), ["k"]))
     release(spark)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(3, n >> SHARE_BITS)
-    k, c = _arrays(counts.where(F.col("n") >= least))
-    end, start = (int(x) for x in signed(np.array([END, START])))
-    n_texts = c[k == end].sum() if (k == end).any() else (counts.where(F.col("k") == end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    keep = k != end
-    k, c = np.concatenate([k[keep], [end, start]]), np.concatenate([c[keep], [n_texts, n_texts]])
-    order = np.argsort(k)
-    tree = Tree(n, v, k[order], c[order])
-
-    def pairs(column: pa.Array) -> np.ndarray:
-        s = tree.place("tokens", signed(_tokens(column)[0]))
-        found = _pairs(s, tree.end)
-        return found[found >= 0]
-
-    tree.fit_pairs(*_arrays(_counted(texts, pairs).where(F.col("n") >= least)))
-    release(spark)
-
-    def triples(column: pa.Array) -> np.ndarray:
-        s = tree.place("tokens", signed(_tokens(column)[0]))
-        found = _triples(s, tree.place("pairs", _pairs(s, tree.end)))
-        return found[found >= 0]
-
-    tree.fit_triples(*_arrays(_counted(texts, triples).where(F.col("n") >= least)))
-    release(spark)
-    return tree, counts
+    frequent = _marked(counts.where(F.col("n") >= LEAST).select("k"), np.zeros(1 << FILTER_BITS - 3, np.uint8))
+    root = counts.select(F.col("k").alias("up"), ((F.col("n") + 1) / (n + v + 1)).alias("was"), F.lit(True).alias("above"))
+    grown, bits, shorter = [], frequent, root
+    while True:
+        known, level = spark.sparkContext.broadcast(bits), len(grown) + 1
+        slices = SLICES if level == 1 else 1
+        parts = []
+        for part in range(slices):
+
+            def keys_of(t: np.ndarray, known=known, level=level, part=part, slices=slices) -> tuple[np.ndarray, ...]:
+                columns = _extensions(t, level, known.value)
+                own = columns[0] % np.uint64(slices) == part
+                return tuple(c[own] for c in columns) if slices > 1 else columns
+
+            parts.append(written(_counted(texts, keys_of, ["k", "up", "g"]).where(F.col("n") >= LEAST)))
+            release(spark)
+        found = written(_grown(functools.reduce(DataFrame.unionByName, parts), shorter))
+        discard(spark, *parts)
+        known.destroy()
+        if found.isEmpty():
+            discard(spark, found)
+            break
+        grown.append(found)
+        bits = _marked(found.select("k").unionByName(found.select(F.col("g").alias("k")).distinct()), bits)
+        shorter = found.select(F.col("k").alias("up"), F.col("p").alias("was"), F.col("diverges").alias("above"))
+        release(spark)
+    levels = _retained(grown, root)
+    discard(spark, *grown)
+    bits = np.zeros_like(bits)
+    for level in levels:
+        bits = _marked(level.select("k"), bits)
+    return Tree(n, v, counts, levels, bits), counts
 
 
 def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, learns, n_tokens, n_known, train_tokens, base_score, score) of each row; the model is made from those that learn."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), learns.alias("learns"), F.col(text_col).alias("text"))
-    tree, counts = train(rows.where("learns").select("text"))
+    tree, _ = train(rows.where("learns").select("text"))
+    n_train, kinds, depth, bits = tree.n, tree.v, len(tree.levels), spark.sparkContext.broadcast(tree.bits)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct tokens of each block of the task."""
+        """The distinct tokens of each block of the task, and the other keys that the tree may have."""
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             block = batch.column(3).to_numpy()
             for b in np.unique(block).tolist():
                 t, _ = _tokens(batch.column(2).filter(pa.array(block == b)))
-                seen[b] = np.unique(np.concatenate([seen.get(b, np.zeros(0, np.int64)), np.unique(signed(t))]))
+                keys, climb = [np.unique(t)], _Climb(t)
+                while climb.at.size and climb.level < depth:
+                    climb.step()
+                    climb.keep(_has(bits.value, climb.g))
+                    keys += [np.unique(climb.g), np.unique(climb.e[_has(bits.value, climb.e)])]
+                seen[b] = np.unique(np.concatenate([seen.get(b, np.zeros(0, np.int64)), signed(np.concatenate(keys))]))
         for b, own in seen.items():
             for k in range(0, len(own), 100_000):
                 part = own[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int32)), pa.array(part)], ["block", "k"])
 
     wanted = rows.mapInArrow(words_of, "block int, k long")  # of the same columns as below, so the texts are shuffled once
-    known = wanted.join(counts, "k").select("block", "k", "n")
+    known = wanted.join(tree.table(), "k").select("block", "k", "v")
     kind = rows.schema["id"].dataType.simpleString()
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        keys, n = own.column("k").to_numpy(), own.column("n").to_numpy().astype(float)
+        keys, n = own.column("k").to_numpy(), own.column("v").to_numpy().astype(float)
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         known, out = _Lookup(keys), []
@@ -288,13 +390,13 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
             t, words = _tokens(batch.column(0))
             at = known(signed(t))
             c = np.where(at >= 0, n[at] if len(n) else 0, 0)
-            base = (c + 1) / (tree.n + tree.v + 1)
-            p = tree.probabilities(tree.place("tokens", signed(t)), base)
+            base = (c + 1) / (n_train + kinds + 1)
+            p = _scores(t, base, known, n)
             real = t != START
             doc = np.repeat(np.arange(len(words)), words + 2)[real]
             out.append([words + 1, *(np.bincount(doc, x[real], len(words)) for x in (c > 0, np.log10(base), np.log10(p)))])
         whole = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
-        columns = [texts.column("id"), texts.column("learns"), *(pa.array(x.astype(np.int64)) for x in whole[:2]), pa.array(np.full(len(whole[0]), tree.n, np.int64)), *(pa.array(x.astype(float)) for x in whole[2:])]
+        columns = [texts.column("id"), texts.column("learns"), *(pa.array(x.astype(np.int64)) for x in whole[:2]), pa.array(np.full(len(whole[0]), n_train, np.int64)), *(pa.array(x.astype(float)) for x in whole[2:])]
         return pa.Table.from_arrays(columns, ["id", "learns", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"id {kind}, learns boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from spectraframe.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, queries, sql, suffix_tree
@@ -341,6 +342,30 @@ def test_held_out_scores_are_better_than_the_base(spark, sf_dir):
     assert r[0] > r[1] + 0.1
 
 
+def test_scores_of_a_text_do_not_depend_on_the_size_of_the_rest(spark):
+    """Three occurrences make an explicit entry however many other tokens there are."""
+    rng = np.random.default_rng(11)
+    own = [("rare pair of words",)] * 6
+    for others in (10, 2400):
+        rest = [(" ".join(f"v{k}" for k in rng.integers(0, 5000, 1000)),) for _ in range(others)]
+        tree, _ = suffix_tree.train(spark.createDataFrame(own + rest, "text string").repartition(4))
+        t, _ = suffix_tree._tokens(pa.array(["rare pair of words"]))
+        root = np.full(len(t), 1e-6)
+        assert suffix_tree._scores(t, root, *tree.gathered)[2:-1] == pytest.approx([5.25 / 6] * 3)
+
+
+def test_contexts_grow_until_none_diverges(spark):
+    """What follows two words depends on the word before them, and after one of those on the word before that."""
+    rng = np.random.default_rng(12)
+    texts = [(f"b{j} a{k} s t z{k if k else j}",) for j, k in rng.integers(0, 2, (2000, 2)).tolist()]
+    tree, _ = suffix_tree.train(spark.createDataFrame(texts, "text string").repartition(4))
+    t, _ = suffix_tree._tokens(pa.array(["b1 a0 s t z1", "b0 a0 s t z1"]))
+    p = suffix_tree._scores(t, np.full(len(t), 1e-4), *tree.gathered)
+    assert len(tree.levels) == 4
+    assert p[5] > 0.95
+    assert p[12] < 0.05
+
+
 def test_distributions_sum_to_one(spark):
     rng = np.random.default_rng(6)
     texts, w = [], 0
