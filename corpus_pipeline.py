@@ -1,7 +1,8 @@
 """From documents to packed training sequences: quality rules, line dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the columns
-of documents: the line stage changes `text`, and `n_chars` with it; mixing repeats rows. The last returns a row a piece.
+of documents: the line stage changes `text`, and `n_chars` with it; mixing repeats rows. The last returns a row a piece,
+with its place and its token ids, so a sequence is its pieces' ids in the order of their offsets.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from spectraframe.llm.common import written
 from spectraframe.llm.line_dedup import dedup_lines
 from spectraframe.llm.mixing import mix_documents
 from spectraframe.llm.near_dedup import dedup_near
-from spectraframe.llm.packing import pack
+from spectraframe.llm.packing import pack_with_ids
 from spectraframe.llm.quality import filter_quality
 
 
@@ -41,9 +42,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece in sequences of 2048 tokens."""
-    _, placed = pack(docs, keep_ids=False)
-    return placed.withColumnRenamed("id", "doc_id")
+    """The place of each piece in sequences of 2048 tokens, and its token ids."""
+    return pack_with_ids(docs).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("mixing", mixture), ("packing", packed)]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import small_batches, written
+from .common import discard, small_batches, written
 
 _OTHER = re.compile(r"[^\t\n\r -~\xa1-ſ]|<\|endoftext\|>")
 
@@ -196,9 +196,19 @@ def place(rows: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInArrow(put, StructType([*rows.schema.fields]).add("sequence_id", LongType()).add("offset", LongType()))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, keep_ids: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The written pieces, with their token ids unless keep_ids is false, and each piece's place: (id, piece, start, length,
-    ids_crc32, sequence_id, offset)."""
-    cut = pieces(docs, id_col, text_col, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    cut = written(cut if keep_ids else cut.drop("ids"))
+def _written_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int) -> DataFrame:
+    return written(pieces(docs, id_col, text_col, capacity).withColumn("ids_crc32", F.crc32("ids")))
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """The written pieces with their token ids, and each piece's place: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    cut = _written_pieces(docs, id_col, text_col, capacity)
     return cut, place(cut.drop("ids"), capacity)
+
+
+def pack_with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> DataFrame:
+    """Each piece's place and its token ids: (id, piece, start, length, ids, ids_crc32, sequence_id, offset)."""
+    cut = _written_pieces(docs, id_col, text_col, capacity)
+    placed = place(cut, capacity)  # from a table of its own, with the ids
+    discard(docs.sparkSession, cut)
+    return placed

@@ -1,10 +1,12 @@
 """The pipeline's stages on odd rows, and each stage's decisions against the plain versions."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from spectraframe.llm.common import written
 from spectraframe.llm.mixing import n_words, quotas
+from spectraframe.llm.packing import token_ids
 
 from . import brute
 
@@ -48,6 +50,20 @@ def test_run(spark, sf_dir):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def test_sequences_can_be_assembled(spark, odd):
+    """From what packing returns alone: each document's ids, from its pieces' places in their sequences."""
+    docs = odd.where("doc_id IN (4, 8, 90, 91)")
+    rows = corpus_pipeline.packed(spark, docs, "").collect()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, {})[r.offset] = bytes(r.ids)
+    whole = {k: b"".join(own[o] for o in sorted(own)) for k, own in sequences.items()}
+    for r in docs.collect():
+        own = sorted((x for x in rows if x.doc_id == r.doc_id), key=lambda x: x.piece)
+        ids = b"".join(whole[x.sequence_id][4 * x.offset : 4 * (x.offset + x.length)] for x in own)
+        assert ids == np.append(token_ids(r.text), 0).astype("<u4").tobytes()
+
+
 def test_empty(spark, empty):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
