@@ -39,7 +39,7 @@ LEAST = 3
 FILTER_BITS = 27
 BLOCK_CHARS = 24_000_000
 DISCOUNT = 0.75
-HELD = 2_000_000  # distinct keys that a task sums up before it sends them on
+HELD = 2_000_000  # distinct keys, and what goes with them, that a task sums up before it sends them on
 SLICES = 2  # passes for the pairs, of which most are rare: each shuffles its share of the keys
 
 
@@ -72,7 +72,7 @@ def _counted(texts: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray,
         sums = _Sums(len(names))
         for batch in batches:
             sums.add(*map(signed, keys_of(_tokens(batch.column(0))[0])))
-            if sums.size > HELD:
+            if sums.size * len(names) > HELD:
                 yield sums.take()
         yield sums.take()
 
