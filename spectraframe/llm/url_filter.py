@@ -2,7 +2,7 @@
 
 A url's tokens are its host's labels, its path's segments (numbers are one token), its file ending and the names of its
 query's parameters. FP-growth mines the token sets that go with a label in labelled urls. A mined rule is kept if its
-support and confidence reach their least values, it has at most `most_tokens` tokens, and no rule with some of its tokens
+support and confidence reach their least values and no rule with some of its tokens
 has the same verdict with as much confidence. Each rule is filed under its rarest token; a url looks up its own tokens
 there, and of the rules whose tokens it has all of, the most confident one decides (then support, then allow).
 
@@ -57,13 +57,13 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return F.array_max(found)
 
 
-def mine(labelled: DataFrame, least_support: float = 0.002, least_confidence: float = 0.9, most_tokens: int = 3) -> list[tuple[tuple[str, ...], str, float, float]]:
+def mine(labelled: DataFrame, least_support: float = 0.002, least_confidence: float = 0.9) -> list[tuple[tuple[str, ...], str, float, float]]:
     """Pruned rules (tokens, verdict, confidence, support) from rows (tokens, verdict)."""
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     if baskets.isEmpty():
         return []
     model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")) & (F.size("antecedent") <= most_tokens))
+    found = model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
     rows = found.select(F.array_sort("antecedent").alias("a"), F.substr(F.col("consequent")[0], F.lit(2)).alias("v"), "confidence", "support").limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules; raise the least support")

@@ -92,3 +92,11 @@ def test_mined_rules(spark):
     pages = spark.createDataFrame([("http://x.org.uk/pills/1",), ("http://x.org.uk/news/a",), ("http://x.org.uk/else",)], "url string")
     got = {r.url: r.verdict for r in url_filter.judge(pages, [], labelled=labelled).collect()}
     assert got == {"http://x.org.uk/pills/1": "block", "http://x.org.uk/news/a": "allow", "http://x.org.uk/else": "allow"}
+
+
+def test_mined_rules_of_four_tokens(spark):
+    """Only all four tokens together predict the label."""
+    names = ["w", "x", "y", "z"]
+    rows = [([c for c in names if c not in out], "block" if not out else "allow") for out in ([], [], [], [], ["w"], ["x"], ["y"], ["z"]) for _ in range(20)]
+    mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.01)
+    assert [m[:3] for m in mined] == [(tuple(names), "block", 1.0)]
