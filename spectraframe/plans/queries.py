@@ -537,7 +537,7 @@ def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, inertia = clustering.kmeans(scaled(spark, sf_dir), n_init=3)
+    rows, _, inertia = clustering.kmeans(scaled(spark, sf_dir))
     return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("inertia", F.lit(round(inertia, 3)))
 
 
@@ -588,7 +588,7 @@ def color_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _variants(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
     from ..config import Config
 
-    made = generate.variants(cell_images(spark, sf_dir).withColumnRenamed("sample_id", "cell_id"), algorithm, Config(size=GRID, n_per_cell=2, displacement=5))
+    made = generate.variants(cell_images(spark, sf_dir).withColumnRenamed("sample_id", "cell_id"), algorithm, Config(size=GRID, displacement=5))
     return made.select("sample_id", "parent_id", "algorithm", F.crc32("actin.data").alias("actin_crc"), "error")
 
 
