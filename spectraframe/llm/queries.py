@@ -39,7 +39,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return judged(features(docs, keep=["doc_id"])).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -39,6 +40,53 @@ def quality(text):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
 
+def votes(text, lang, words_of):
+    """What each rule says of a text: -1 bad, 1 good, 0 nothing."""
+    text, w = text or "", words(text)
+    n, chars = len(w), max(1, sum(map(len, w)))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    k = max(1, len(lines))
+    lang = lang.lower() if lang else None
+    known = {name: len(set(w) & set(own)) for name, own in words_of.items()}
+    function = known[lang] if lang in known else max(known.values())
+    latin = 10 * sum(unicodedata.category(c)[0] == "L" and "LATIN" not in unicodedata.name(c, "") and c not in "ªº" for c in text) <= chars
+    ended = sum(bool(re.search(r'[.!?"…。！？।؟][\x20\x09-\x0D]*$', x)) for x in lines)
+    symbols, upper, exclaim = (len(re.findall(p, text)) for p in (r"[#*$%&|<>]", "[A-Z]", "!"))
+    repeated = len(lines) - len(set(lines))
+    cases = [
+        (symbols > 0.05 * chars, n >= 10 and symbols <= 0.01 * chars),
+        (n >= 10 and upper > 0.3 * chars, n >= 30 and upper <= 0.1 * chars),
+        (exclaim > 0.02 * chars, n >= 30 and exclaim <= 0.002 * chars),
+        (repeated > 0.3 * k, k >= 4 and repeated == 0),
+        (n >= 30 and len(set(w)) < 0.4 * n, n >= 30 and len(set(w)) >= 0.6 * n),
+        (lang in known and latin and n >= 50 and function < 3, n >= 30 and function >= 6),
+        (k >= 2 and ended < 0.5 * k, n >= 10 and ended == k),
+        (n >= 10 and latin and (chars > 8 * n or chars < 3 * n), n >= 30 and latin and 4 * n <= chars <= 6.5 * n),
+    ]
+    return tuple(-1 if bad else 1 if good else 0 for bad, good in cases)
+
+
+def qualities(docs, words_of, start=(0.05, 0.5), share=0.7, weight=4, steps=500):
+    """The posterior of each (text, lang), by expectation-maximisation over documents."""
+    cast = [votes(x, lang, words_of) for x, lang in docs]
+    rules = range(len(cast[0]))
+    rates = [start] * len(rules)
+
+    def p_good(v):
+        good, bad = share, 1 - share
+        for j in rules:
+            if v[j]:
+                good *= rates[j][0] if v[j] < 0 else 1 - rates[j][0]
+                bad *= rates[j][1] if v[j] < 0 else 1 - rates[j][1]
+        return good / (good + bad)
+
+    for _ in range(steps):
+        p = [p_good(v) for v in cast]
+        rates = [tuple((weight * start[c] + sum(w[c] for w, v in zip(zip(p, (1 - x for x in p), strict=True), cast, strict=True) if v[j] < 0)) / (weight + sum(w[c] for w, v in zip(zip(p, (1 - x for x in p), strict=True), cast, strict=True) if v[j])) for c in (0, 1)) for j in rules]
+        share = (sum(p) + 1) / (len(p) + 2)
+    return [p_good(v) for v in cast], rates
+
+
 def base_scores(docs):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False for i, _ in docs}
     tokens = [(i, words((x or "").translate(LOWER)) + ["\n"]) for i, x in docs]
@@ -115,6 +163,56 @@ def url(u):
     return (host, path, *(max(fits)[1:] if fits else (None, None)))
 
 
+def url_tokens(u):
+    if not u or "://" not in u:
+        return set(re.findall(r"(?:^|&)([^=&]+)", "")) | {f"query:{x}" for x in query_names(u)}
+    host, path, *_ = url(u)
+    segments = [x for x in path.translate(LOWER).split("/") if x]
+    out = {f"host:{x}" for x in host.split(".") if x} | {f"query:{x}" for x in query_names(u)}
+    for x in segments:
+        name, _, ending = x.rpartition(".")
+        if re.fullmatch(r"[a-z]+", ending) and "." in x:
+            out.add(f"ending:{ending}")
+        else:
+            name = x
+        out.add("path:" + ("#" if re.fullmatch(r"[0-9]+", name) else name))
+    return out
+
+
+def query_names(u):
+    m = re.search(r"\?([^#]*)", u or "")
+    return [x for x in re.findall(r"(?:^|&)([^=&]+)", m.group(1))] if m else []
+
+
+def judged(pages, least_support=0.002, least_confidence=0.9):
+    """The verdict of each page: its given rule's, else that of the best of all mined rules that fits, else allow."""
+    given = {i: url(u)[3] for i, u in pages.items()}
+    tokens = {i: frozenset(url_tokens(u)) for i, u in pages.items()}
+    labelled = [(tokens[i], v) for i, v in given.items() if v]
+    least = math.ceil(least_support * len(labelled) - 1e-9)
+
+    def counts(a):
+        fits = [v for t, v in labelled if a <= t]
+        return len(fits), Counter(fits)
+
+    rules, level = [], [frozenset([x]) for x in sorted(set().union(*(t for t, _ in labelled)))]
+    while level:
+        grown = set()
+        for a in level:
+            n, by = counts(a)
+            for v, k in by.items():
+                if k >= least and k / n >= least_confidence and not any(b <= a and w == v and c >= k / n for b, w, c, _ in rules):
+                    rules.append((a, v, k / n, k))
+            if max(by.values(), default=0) < n:  # else no longer set tells more
+                grown |= {a | {x} for t, _ in labelled if a <= t for x in t - a}
+        level = sorted((a for a in grown if max(counts(a)[1].values()) >= least), key=sorted)
+    out = {}
+    for i, t in tokens.items():
+        fits = [(c, s, v == "allow", v) for a, v, c, s in rules if a <= t]
+        out[i] = given[i] or (max(fits)[3] if fits else "allow")
+    return out
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

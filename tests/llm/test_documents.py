@@ -144,16 +144,41 @@ def test_quality_separates_labels(spark, sf_dir):
     assert same_verdict == 0
 
 
-def test_estimation_finds_accuracies():
-    """Votes drawn from known rates are found again."""
+def test_quality_against_brute_force(spark, sf_dir):
+    """Votes, posteriors and verdicts of a whole test table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    want, _ = brute.qualities([(d.text, d.lang) for d in docs], quality.FUNCTION_WORDS)
+    got = {r.doc_id: r for r in queries.op2_quality_rules(spark, sf_dir).collect()}
+    for d, p in zip(docs, want, strict=True):
+        assert abs(got[d.doc_id]["quality"] - p) < 1e-6
+        assert got[d.doc_id].kept == (p >= 0.5 and not brute.quality(d.text)[-1])
+
+
+def test_votes(spark):
+    """Of odd texts; and the word list has no say in languages that it doesn't list, or in other scripts."""
+    russian = " ".join("слово язык книга вода земля небо человек".split() * 9)
+    odd = [(None, None), ("", "en"), ("x " * 60, "en"), ("x " * 60, "fi"), (russian, "en"), (russian, "ru"), ("the of and to in a " * 20, None), ("der die und den das ist. " * 20, "DE"), ("WORDS IN CAPITALS! " * 9, "en"), ("a\na\nb\nc", "en"), ("$$$ ### " * 20, "fr"), ("é" * 900 + " x" * 12, "es")]
+    rows = quality.features(spark.createDataFrame(odd, "text string, lang string")).withColumns({f"vote_{k}": v for k, v in quality.rules().items()})
+    got = rows.select("doc.text", "doc.lang", *[f"vote_{k}" for k in quality.rules()]).collect()
+    for r in got:
+        assert tuple(r[2:]) == brute.votes(r.text, r.lang, quality.FUNCTION_WORDS), (r.text and r.text[:40], r.lang)
+    own = {(r.text, r.lang): r.vote_function_words for r in got}
+    assert (own[russian, "en"], own[russian, "ru"], own["x " * 60, "fi"], own["x " * 60, "en"]) == (0, 0, 0, -1)
+
+
+@pytest.mark.parametrize("worst", [0.0015, 0.03, 0.1])
+def test_estimation_finds_accuracies(worst):
+    """Votes drawn from known rates are found again, none bounded."""
     rng = np.random.default_rng(3)
-    rates = [(0.001, 0.6), (0.0005, 0.5), (0.001, 0.7), (0.0015, 0.4), (0.001, 0.8)]
-    good = rng.random(20_000) < 0.85
-    votes = np.stack([np.where(rng.random(20_000) < np.where(good, g, b), -1, 1) * (rng.random(20_000) < 0.9) for g, b in rates], 1)
-    prior, found = quality.estimate(sorted(Counter(map(tuple, votes.tolist())).items()), 5)
-    assert abs(prior - 0.85) < 0.03
-    assert all(abs(b - f[1]) < 0.06 for (_, b), f in zip(rates, found, strict=True))
-    assert quality.estimate([], 2) == (0.5, [quality.START] * 2)
+    rates = [(worst * x, b) for x, b in ((0.6, 0.6), (1, 0.5), (0.3, 0.7), (1, 0.4), (0.6, 0.8))]
+    good = rng.random(50_000) < 0.85
+    votes = np.stack([np.where(rng.random(50_000) < np.where(good, g, b), -1, 1) * (rng.random(50_000) < 0.9) for g, b in rates], 1)
+    share, found = quality.estimate(sorted(Counter(map(tuple, votes.tolist())).items()), 5)
+    assert abs(share - 0.85) < 0.03
+    assert all(abs(g - f[0]) < 0.015 and abs(b - f[1]) < 0.06 for (g, b), f in zip(rates, found, strict=True))
+    assert quality.estimate([], 2) == (quality.START_GOOD, [quality.START] * 2)
+    once = [quality.posterior(tuple(-1 if j == k else 1 for j in range(5)), share, found) for k in range(5)]
+    assert all((p >= 0.5) == (0.85 * g / (1 - g) * np.prod([(1 - x) / (1 - y) for x, y in rates]) >= 0.15 * b / (1 - b)) for p, (g, b) in zip(once, rates, strict=True))
 
 
 # packing
