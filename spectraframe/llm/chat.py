@@ -4,12 +4,14 @@ A turn is written as <|turn|>role<|text|>text<|end|>; one repeated from before a
 and texts ~ becomes ~0 and <| becomes <~1|, so no text can hold a control string, and both are undone exactly.
 
 Prefix sums of the turns' tokens choose spans: a window takes turns while the difference of two prefix sums stays in the
-budget; a turn that is larger alone is a window of its own. Every later window of a conversation begins with its system
-turn and with the last turns before the span that fit `history` tokens; both are repeated as past. The loss mask holds
-the texts of assistant turns of the span only, so each is learned once.
+budget; a turn that is larger alone is a window of its own. Every later window of a conversation begins with its first
+system turn, if that has been said, and with the last turns before the span that fit `history` tokens; both are repeated
+as past. The loss mask holds the texts of assistant turns of the span only, so each is learned once.
 
-No task needs a whole conversation: sums are made in blocks of 1024 turn numbers, blocks' totals give their offsets,
-and spans are chosen within stretches of STRETCH budgets. History doesn't cross the end of a block or stretch.
+No task needs a whole conversation. Turns are dealt by ranges of (conversation, turn, role, text), whatever the turn numbers
+are; sums are made within a range, and as a range begins within one conversation at most, the sums before it are a row a
+range. Spans are chosen within stretches of STRETCH budgets of these sums, so a window ends with its stretch, but history
+and system turn cross over: a stretch also gets the turns of the one before that its first window may repeat.
 
 Defined cases: null text or role is empty; turns are ordered by (turn, role, text), null first, and repeated rows are
 turns of their own; a null conv_id is a conversation; other columns are ignored.
@@ -20,8 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import join_sized, written
+
 TURN, PAST, TEXT, END = "<|turn|>", "<|past|>", "<|text|>", "<|end|>"
-BLOCK, STRETCH = 1024, 32
+STRETCH = 32
 
 
 def escape(x: Column) -> Column:
@@ -41,51 +45,55 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, conv_col: s
     """(conv, window, formatted, loss, n_new, n_past) of each window; windows are ordered by number, and loss has the
     code-point spans (start, end) of formatted that are learned."""
     role, text = F.coalesce(role_col, F.lit("")), F.coalesce(text_col, F.lit(""))
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumns({"block": F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK), "cost": (n_tokens(F.col("text")) + 4).cast("long")})
-    in_block = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
-    rows = rows.withColumns({"before": F.sum("cost").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cost"), "k": F.row_number().over(in_block)})
-    # stretches of bounded cost, by prefix sums within the block
-    rows = rows.withColumn("stretch", F.floor(F.col("before") / (STRETCH * budget)))
-    turn = F.struct("k", "before", "cost", "role", "text")
-    spans = rows.groupBy("conv", "block", "stretch").agg(F.sort_array(F.collect_list(turn)).alias("t"), F.min("before").alias("at"))
-    # the conversation's first block, and its system turn
-    totals = rows.groupBy("conv", "block").agg(F.sum("cost").alias("total"))
-    first = totals.groupBy("conv").agg(F.min("block").alias("first"), F.count(F.lit(1)).alias("blocks"))
-    offsets = totals.withColumn("offset", F.sum("total").over(Window.partitionBy("conv").orderBy("block")) - F.col("total")).select("conv", "block", "offset")
-    system = rows.where("role = 'system'").groupBy("conv").agg(F.min(F.struct("block", "k", "cost", "role", "text")).alias("s"))
-    system = system.join(first, system["conv"].eqNullSafe(first["conv"])).where("s.block = first AND s.k = 1").select(system["conv"], "s.cost", "s.role", "s.text")
-
-    def by(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-        """A left join on keys that can be null."""
-        named = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"r_{k}"))
-        return left.join(named, on, "left").drop(*[f"r_{k}" for k in keys])
-
-    spans = by(spans, offsets, "conv", "block")
-    spans = by(spans, system.select("conv", F.struct("cost", "role", "text").alias("sys")), "conv")
-    opening = (F.col("offset") == 0) & (F.col("stretch") == 0)
-    again = F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce(F.col("sys.cost"), F.lit(0)))
+    rows = turns.select(F.struct(F.col(conv_col).alias("conv")).alias("key"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    # a prefix of the text is enough to deal rows by, and keeps long texts out of the sample that chooses the ranges
+    rows = rows.repartitionByRange("key", "turn", "role", F.substring("text", 1, 32)).withColumns({"block": F.spark_partition_id(), "cost": (n_tokens(F.col("text")) + 4).cast("long")})
+    in_block = Window.partitionBy("key", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = written(rows.withColumn("pos", F.sum("cost").over(in_block) - F.col("cost")).drop("turn"))
+    totals = rows.groupBy("key", "block").agg(F.sum("cost").alias("total"))
+    offsets = totals.withColumn("offset", F.sum("total").over(Window.partitionBy("key").orderBy("block")) - F.col("total")).where("offset > 0").select("key", "block", "offset")
+    rows = rows.join(F.broadcast(offsets), ["key", "block"], "left").withColumn("pos", F.col("pos") + F.coalesce("offset", F.lit(0)))  # a row a range at most
+
+    size = STRETCH * budget
+    stretch = F.floor(F.col("pos") / size)
+    stretches = rows.groupBy("key", stretch.alias("stretch")).agg(F.count(F.lit(1)).alias("n"))
+    system = rows.where("role = 'system'").groupBy("key").agg(F.min(F.struct("pos", "cost", "role", "text")).alias("turn"))
+    stretches = written(stretches.join(system.select("key"), "key", "left_semi").select("key", "stretch"))
+    system = system.join(stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    systems = join_sized(stretches, system, ["key"], "n", stretches.count()).select("key", "stretch", F.lit(2).alias("kind"), "turn")
+    near_end = F.col("pos") % size >= size - history
+    places = F.when(near_end, F.array(F.struct(stretch.alias("stretch"), F.lit(0).alias("kind")), F.struct((stretch + 1).alias("stretch"), F.lit(1).alias("kind")))).otherwise(F.array(F.struct(stretch.alias("stretch"), F.lit(0).alias("kind"))))
+    each = rows.select("key", F.explode(places).alias("place"), F.struct("pos", "cost", "role", "text").alias("turn")).select("key", "place.stretch", "place.kind", "turn")
+    spans = each.unionByName(systems).groupBy("key", "stretch").agg(F.sort_array(F.collect_list(F.struct("turn.pos", "kind", "turn.cost", "turn.role", "turn.text"))).alias("all"))
+
+    def of_kind(kind: int) -> Column:
+        return F.filter("all", lambda x: x["kind"] == kind)
+
+    spans = spans.select("key", of_kind(0).alias("t"), of_kind(1).alias("prior"), F.get(of_kind(2), F.lit(0)).alias("sys")).where(F.size("t") > 0)
+
+    def led(start: Column) -> Column:
+        return F.coalesce(start > F.col("sys.pos"), F.lit(False))
 
     # a fold over prefix sums: each turn's window begins at the prefix sum `start`
     fold_start = F.struct(F.lit(-1).cast("long").alias("start"), F.array().cast("array<long>").alias("starts"))
 
     def step(a: Column, x: Column) -> Column:
-        room = F.when(F.col("opening") & (a["start"] == F.col("at")), F.lit(budget)).otherwise(F.col("again"))
-        start = F.when((a["start"] < 0) | (x["before"] + x["cost"] - a["start"] > room), x["before"]).otherwise(a["start"])
+        again = F.greatest(F.lit(1), budget - history - F.when(led(a["start"]), F.col("sys.cost")).otherwise(0))
+        room = F.when(a["start"] == 0, F.lit(budget)).otherwise(again)
+        start = F.when((a["start"] < 0) | (x["pos"] + x["cost"] - a["start"] > room), x["pos"]).otherwise(a["start"])
         return F.struct(start.alias("start"), F.concat(a["starts"], F.array(start)).alias("starts"))
 
-    spans = spans.withColumns({"opening": opening, "again": again})
     spans = spans.withColumn("starts", F.aggregate("t", fold_start, step, lambda a: a["starts"]))
     spans = spans.withColumn("t", F.zip_with("t", "starts", lambda x, s: x.withField("start", s)))
-    each = spans.select("conv", "block", "opening", "at", "offset", "sys", "t", F.explode(F.array_distinct("starts")).alias("start"))
+    each = spans.select("key", "prior", "sys", "t", F.explode(F.array_distinct("starts")).alias("start"))
     own = F.filter("t", lambda x: x["start"] == F.col("start"))
-    is_system = (F.col("opening")) & F.col("sys").isNotNull()
-    past = F.filter("t", lambda x: (x["before"] < F.col("start")) & (F.col("start") - x["before"] <= history) & ~(is_system & (x["before"] == F.col("at"))))
-    led = F.when(F.col("sys").isNotNull() & ~(F.col("opening") & (F.col("start") == F.col("at"))), F.array("sys")).otherwise(F.array().cast("array<struct<cost:long,role:string,text:string>>"))
-    each = each.select("conv", (F.col("offset") + F.col("start")).alias("window"), own.alias("new"), F.concat(led, F.transform(past, lambda x: F.struct(x["cost"], x["role"], x["text"]))).alias("past"))
+
+    def past(turns: str) -> Column:
+        kept = F.filter(turns, lambda x: (x["pos"] < F.col("start")) & (F.col("start") - x["pos"] <= history) & ~(led(F.col("start")) & (x["pos"] == F.col("sys.pos"))))
+        return F.transform(kept, lambda x: F.struct(x["role"], x["text"]))
+
+    first = F.when(led(F.col("start")), F.array(F.struct("sys.role", "sys.text"))).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
+    each = each.select("key.conv", F.col("start").alias("window"), own.alias("new"), F.concat(first, past("prior"), past("t")).alias("past"))
 
     def shown(turns: str, mark: str) -> Column:
         return F.transform(turns, lambda x: F.struct(F.concat(F.lit(mark), escape(x["role"]), F.lit(TEXT)).alias("head"), escape(x["text"]).alias("body"), (x["role"] == "assistant").alias("learned")))
