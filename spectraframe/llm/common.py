@@ -43,11 +43,13 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the cluster names; one of our own only where none is set."""
+    """A new folder in the shared folder that the cluster names; one of our own where none is set, if all runs on one machine."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
         named = sc._jsc.sc().getCheckpointDir()
+        if named.isEmpty() and not (sc.master.startswith("local") and "cluster" not in sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if named.isEmpty() and sc.applicationId not in _own:
             _own[sc.applicationId] = tempfile.mkdtemp(prefix="spectraframe-")
         root = _own[sc.applicationId] if named.isEmpty() else named.get()

@@ -6,14 +6,19 @@ support and confidence reach their least values and no rule with some of its tok
 has the same verdict with as much confidence. Each rule is filed under its rarest token; a url looks up its own tokens
 there, and of the rules whose tokens it has all of, the most confident one decides (then support, then allow).
 
+Before mining, tokens that stand in the same labelled urls become one item (else any set of them would be mined), and those
+in too few are left out.
+
 Given rules (host and path) come first: one fits its host and its subdomains if the path starts with its own; the
 longest wins. They are filed under their host, and a url looks up the suffixes of its own.
 
-Urls are grouped by those of their tokens that rules use, so each such set is looked up once. More than MOST_RULES
-mined rules are an error, not a cut.
+Urls are grouped by those of their tokens that rules use, so each such set is looked up once; verdicts of sets are
+broadcast if they have been counted and are few, else only those of hot sets. More than MOST_RULES mined rules, or
+MOST_ITEMS items, are an error, not a cut.
 
 Defined cases: null url or one without :// has an empty host and path and no tokens; no labelled urls give no mined
-rules; where no rule fits the verdict is `otherwise`; repeated rows are judged alike; other columns are ignored.
+rules; labelled urls with a null verdict are none; where no rule fits the verdict is `otherwise`; repeated rows are judged
+alike; other columns stay as they are, but input columns named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +27,9 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import HOT_SHARE, LOWER, MOST_BROADCAST, UPPER, written
 
-MOST_RULES = 20_000
+MOST_RULES, MOST_ITEMS = 20_000, 20_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -57,49 +62,74 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return F.array_max(found)
 
 
-def mine(labelled: DataFrame, least_support: float = 0.002, least_confidence: float = 0.9) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """Pruned rules (tokens, verdict, confidence, support) from rows (tokens, verdict)."""
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    if baskets.isEmpty():
+Rules = list[tuple[tuple[tuple[str, ...], ...], str, float, float]]
+
+
+def mine(labelled: DataFrame, least_support: float = 0.002, least_confidence: float = 0.9) -> Rules:
+    """Pruned rules (needs, verdict, confidence, support) from rows (tokens, verdict). A rule needs one token at least of each
+    of its classes: a class has the tokens that stand in the same labelled urls, so any of them gives the same rule."""
+    rows = labelled.select(F.array_sort(F.array_distinct("tokens")).alias("tokens"), "verdict").groupBy("tokens", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(rows)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    if not total:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    rows = found.select(F.array_sort("antecedent").alias("a"), F.substr(F.col("consequent")[0], F.lit(2)).alias("v"), "confidence", "support").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
+    # tokens of the same urls have the same sums; those of too few are in no rule
+    h = [F.xxhash64("tokens", "verdict", F.lit(k)).cast("decimal(38,0)") * F.col("n") for k in range(2)]
+    sums = rows.select(F.explode("tokens").alias("token"), "n", h[0].alias("x"), h[1].alias("y")).groupBy("token").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    sums = sums.where(F.col("n") >= F.ceil(F.lit(least_support) * total - 1e-9))
+    found = sums.groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("members")).limit(MOST_ITEMS + 1).collect()
+    if len(found) > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} tokens reach the least support; raise it")
+    classes = {r["members"][0]: tuple(r["members"]) for r in found}
+    names = F.array(*map(F.lit, sorted(classes))).cast("array<string>")
+    items = rows.select(F.concat(F.array_intersect("tokens", names), F.array(F.concat(F.lit("="), "verdict"))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("n"))))
+    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(items.select("items"))
+    out = model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
+    rules = out.select(F.array_sort("antecedent").alias("a"), F.substr(F.col("consequent")[0], F.lit(2)).alias("v"), "confidence", "support").limit(MOST_RULES + 1).collect()
+    if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules; raise the least support")
     kept: list[tuple[tuple[str, ...], str, float, float]] = []
-    for r in sorted(rows, key=lambda r: (len(r["a"]), r["a"], r["v"])):
+    for r in sorted(rules, key=lambda r: (len(r["a"]), r["a"], r["v"])):
         if not any(v == r["v"] and c >= r["confidence"] and set(a) <= set(r["a"]) for a, v, c, _ in kept):
             kept.append((tuple(r["a"]), r["v"], r["confidence"], r["support"]))
-    return kept
+    return [(tuple(classes[x] for x in a), v, c, s) for a, v, c, s in kept]
 
 
-def looked_up(rows: DataFrame, mined: list[tuple[tuple[str, ...], str, float, float]]) -> DataFrame:
+def looked_up(rows: DataFrame, mined: Rules) -> DataFrame:
     """rows (with a column tokens) and `mined_verdict`, null where no rule fits."""
     spark: SparkSession = rows.sparkSession
     if not mined:
         return rows.withColumn("mined_verdict", F.lit(None).cast("string"))
     often: dict[str, int] = {}
-    for a, *_ in mined:
-        for token in a:
-            often[token] = often.get(token, 0) + 1
-    index = spark.createDataFrame([(min(a, key=lambda x: (often[x], x)), list(a), v, float(c), float(s)) for a, v, c, s in mined], "token string, needs array<string>, v string, c double, s double")
-    used = F.array(*[F.lit(t) for t in sorted(often)])
-    rows = rows.withColumn("used", F.array_sort(F.array_intersect("tokens", used)))
-    sets = rows.select(F.col("used").alias("own")).distinct()
-    hits = sets.select("own", F.explode("own").alias("token")).join(F.broadcast(index), "token").where(F.size(F.array_except("needs", "own")) == 0)  # MOST_RULES rows at most
-    best = hits.groupBy("own").agg(F.max(F.struct("c", "s", (F.col("v") == "allow").alias("a"), "v"))["v"].alias("mined_verdict"))
-    return rows.join(best, F.col("used") == F.col("own"), "left").drop("used", "own")
+    for needs, *_ in mined:
+        for own in needs:
+            often[own[0]] = often.get(own[0], 0) + 1
+    members = {x: own[0] for needs, *_ in mined for own in needs for x in own}
+    index = spark.createDataFrame([(min((own[0] for own in needs), key=lambda x: (often[x], x)), [own[0] for own in needs], v, float(c), float(s)) for needs, v, c, s in mined], "token string, needs array<string>, v string, c double, s double")
+    names = spark.createDataFrame(sorted(members.items()), "member string, class string")
+    rows = rows.withColumn("used", F.array_sort(F.array_intersect("tokens", F.array(*map(F.lit, sorted(members))))))
+    sets = rows.where(F.size("used") > 0).groupBy(F.col("used").alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    # MOST_ITEMS and MOST_RULES rows at most are broadcast
+    has = sets.select("own", "n", F.explode("own").alias("member")).join(F.broadcast(names), "member").groupBy("own").agg(F.max("n").alias("n"), F.collect_set("class").alias("has"))
+    hits = has.select("own", "n", "has", F.explode("has").alias("token")).join(F.broadcast(index), "token").where(F.size(F.array_except("needs", "has")) == 0)
+    best = written(hits.groupBy("own").agg(F.max("n").alias("n"), F.max(F.struct("c", "s", (F.col("v") == "allow").alias("a"), "v"))["v"].alias("mined_verdict")))
+    if best.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(best.drop("n")), F.col("used") == F.col("own"), "left").drop("used", "own")
+    total = rows.count()
+    hot = F.broadcast(best.where(F.col("n") * HOT_SHARE > total).drop("n"))  # HOT_SHARE rows at most
+    rare = rows.join(hot, F.col("used") == F.col("own"), "left_anti").where(F.size("used") > 0).join(best.where(F.col("n") * HOT_SHARE <= total).drop("n"), F.col("used") == F.col("own"), "left")
+    return rows.where(F.size("used") == 0).withColumns({"own": F.col("used"), "mined_verdict": F.lit(None).cast("string")}).unionByName(rows.join(hot, F.col("used") == F.col("own"))).unionByName(rare).drop("used", "own")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", otherwise: str = "allow", labelled: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule and verdict. Labels (url, verdict) to mine from; by default the urls that given rules fit."""
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select("*", host.alias("host"), path.alias("path"))
-    rows = rows.select("*", given_rule(F.col("host"), F.col("path"), rules).alias("given"), tokens(F.col(url_col)).alias("tokens"))
+    rows = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias("page"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    rows = rows.select("page", "host", "path", given_rule(F.col("host"), F.col("path"), rules).alias("given"), tokens(F.col("url")).alias("tokens"))
     if labelled is None:
         labels = rows.where(F.col("given").isNotNull()).select("tokens", F.col("given.verdict").alias("verdict"))
     else:
-        labels = labelled.select(tokens(F.col("url")).alias("tokens"), "verdict")
+        labels = labelled.where(F.col("verdict").isNotNull()).select(tokens(F.col("url")).alias("tokens"), "verdict")
     out = looked_up(rows, mine(labels))
-    return out.withColumn("rule", F.col("given.rule")).withColumn("verdict", F.coalesce("given.verdict", "mined_verdict", F.lit(otherwise))).drop("given", "tokens", "mined_verdict")
+    own = [F.col("page")[c].alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*own, "host", "path", F.col("given.rule").alias("rule"), F.coalesce("given.verdict", "mined_verdict", F.lit(otherwise)).alias("verdict"))
