@@ -278,12 +278,17 @@ def candidate_score(iou: float, above_background: float, nuclei_overlap: float,
     return 0.4 * iou + 0.3 * min(2 * above_background, 1) + 0.2 * nuclei_overlap + 0.1 * min(mask_area / (0.3 * pixels), 1)
 
 
+def border_background(g: np.ndarray) -> float:
+    """The median of the four edges; corners count twice."""
+    return float(np.median(np.concatenate([g[0], g[-1], g[:, 0], g[:, -1]])))
+
+
 def choose_mask(candidates: list[np.ndarray], ious: list[float], image: np.ndarray, nuclei_mask: np.ndarray | None, min_area: int = 500) -> np.ndarray | None:
     """The best candidate of at least min_area pixels and at most 90 %; else the one of the highest iou."""
     if not candidates:
         return None
     g = raster.by_255(raster.gray(image))
-    background = np.median(np.concatenate([g[0], g[-1], g[:, 0], g[:, -1]]))
+    background = border_background(g)
     best, most = None, -1.0
     for m, q in zip(candidates, ious, strict=True):
         if min_area <= m.sum() <= 0.9 * m.size:

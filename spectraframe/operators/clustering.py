@@ -19,7 +19,11 @@ def kmeans(vectors: DataFrame, k: int = 3, n_init: int = 10, seed: int = 42) ->
     try:
         fits = [KMeans(k=k, seed=seed + i, featuresCol="v", predictionCol="cluster").fit(rows) for i in range(n_init)]
         best = min(fits, key=lambda m: m.summary.trainingCost)
-        return best.transform(rows).drop("v"), [c.tolist() for c in best.clusterCenters()], float(best.summary.trainingCost)
+        out, centres = best.transform(rows).drop("v"), [c.tolist() for c in best.clusterCenters()]
+        # the training's own cost is that of the centres before its last step
+        at = F.get(F.array(*[F.array(*map(F.lit, c)) for c in centres]), F.col("cluster"))
+        cost = out.agg(F.sum(F.aggregate(F.zip_with("px", at, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, d: a + d))).first()[0]
+        return out, centres, float(cost or 0)
     finally:
         rows.unpersist()
 

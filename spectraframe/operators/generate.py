@@ -107,8 +107,9 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def pick_channel(key: Column, present: Column, seed: int) -> Column:
-    """L3: one of the channels that are there, by a keyed hash; null if none."""
-    return F.get(present, F.pmod(F.xxhash64(key, F.lit(seed)), F.greatest(F.size(present), F.lit(1))).cast("int"))
+    """L3: one of the channels that are there, the first in a seeded order of the key's own; null if none."""
+    keyed = F.transform(present, lambda c: F.struct(F.md5(F.concat(key.cast("string"), F.lit("/"), c, F.lit(f":{seed}"))).alias("h"), c.alias("channel")))
+    return F.array_min(keyed)["channel"]
 
 
 def beta_schedule(spark, steps: int = 1000, first: float = 0.0001, last: float = 0.02) -> DataFrame:

@@ -34,6 +34,8 @@ def setup_logging(folder: str, verbose: bool = False) -> None:
 def load(spark: SparkSession, root: str, config: Config) -> DataFrame:
     """(cell_id, phase, actin, mt, nuc) of all cells, checked."""
     rows = sources.load_cells(spark, root, list(config.cells)).persist()
+    if not rows.agg(sources.expected_cells(rows, list(config.cells))).first()[0]:
+        raise ValueError(f"the cells found are not exactly {', '.join(config.cells)}")
     sizes = rows.select("cell_id", "channel", "image.h", "image.w")
     bad = [r.cell_id for r in sources.verify_cells(sizes).where("NOT ok").take(5)]
     if bad:

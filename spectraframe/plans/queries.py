@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import registry
 from ..operators import clustering, components, evaluate, generate, imaging, maskops, pixels
+from ..sources import images as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,7 +69,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     centroids = [r["px"] for r in rows.where("vec_id < 3").orderBy("vec_id").select("px").collect()]  # three rows
     first = rows.groupBy("label").agg(F.min("vec_id").alias("first"))
     near = evaluate.nearest_centroid(rows, centroids).join(F.broadcast(first), "label")  # a row a label
-    return near.select(F.col("vec_id").alias("sample_id"), F.col("label").alias("parent_id"), F.when(F.col("vec_id") % 2 == 0, "alg1").otherwise("alg2").alias("algorithm"), (F.col("vec_id") == F.col("first")).alias("is_original"), "cluster", "px")
+    registry.register(spark)
+    rows = near.select(F.concat("label", F.when(F.col("vec_id") == F.col("first"), "_Original").otherwise(F.concat(F.lit("_alg_"), "vec_id"))).alias("sample_id"), F.col("label").alias("parent_id"), F.when(F.col("vec_id") % 2 == 0, "alg1").otherwise("alg2").alias("algorithm"), "cluster", "px")
+    return rows.withColumn("is_original", F.expr("is_original(sample_id)"))  # by name
 
 
 @query(SAMPLES_SQL + "SELECT CASE WHEN grouping(parent_id) = 0 THEN CAST(parent_id AS VARCHAR) ELSE '*' END AS parent_id, CASE WHEN grouping(algorithm) = 0 THEN algorithm ELSE '*' END AS algorithm, count(*) AS total, CAST(sum(matched) AS BIGINT) AS matched, round(sum(matched) / count(*), 5) AS rate FROM g GROUP BY GROUPING SETS ((), (parent_id), (algorithm))")
@@ -285,16 +289,6 @@ def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(images(spark, sf_dir).select("vec_id", *[pixels.array_percentile(F.col("px"), p / 100).alias(f"p{p}") for p in (2, 5, 25, 50, 90, 99)]))
 
 
-BORDER = f"WITH {PX}, e AS (SELECT vec_id, v FROM p WHERE r = 0 UNION ALL SELECT vec_id, v FROM p WHERE r = 7 UNION ALL SELECT vec_id, v FROM p WHERE c = 0 UNION ALL SELECT vec_id, v FROM p WHERE c = 7) SELECT vec_id, round(median(v), 5) + 0.0 AS background FROM e GROUP BY vec_id"
-
-
-@query(BORDER)
-def border_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The median of the four edges, corners twice."""
-    edge = F.concat(F.slice("px", 1, 8), F.slice("px", 57, 8), F.filter("px", lambda v, k: k % 8 == 0), F.filter("px", lambda v, k: k % 8 == 7))
-    return rounded(images(spark, sf_dir).select("vec_id", pixels.array_percentile(edge, 0.5).alias("background")))
-
-
 # masks and components -----------------------------------------------------------------------------------------------
 
 CC = f"""WITH RECURSIVE {MASK}, o AS (SELECT vec_id, pos, r, c FROM m WHERE m),
@@ -379,8 +373,8 @@ def cytoplasm_mask_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(CYTO + ", a AS (SELECT vec_id, count(*) FILTER (WHERE cell) AS c, count(*) FILTER (WHERE nuc AND cell) AS n FROM x GROUP BY vec_id) SELECT vec_id, c AS cell_area, n AS nuclear_area, round(CASE WHEN c - n <= 1e-6 THEN 0 ELSE n / (c - n) END, 5) AS nc_ratio FROM a")
 def nc_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _two_masks(spark, sf_dir).select("vec_id", pixels.area(F.col("cell")).alias("cell_area"), pixels.area(F.zip_with("cell", "nuc", lambda a, b: a & b)).alias("nuclear_area"))
-    left = F.col("cell_area") - F.col("nuclear_area")
-    return rounded(rows.withColumn("nc_ratio", F.when(left <= 1e-6, 0.0).otherwise(F.col("nuclear_area") / left)))
+    registry.register(spark)
+    return rounded(rows.withColumn("nc_ratio", F.expr("nc_ratio(cell_area, nuclear_area)")))
 
 
 @query(f"WITH {MASK} SELECT vec_id, coalesce(min(c) FILTER (WHERE m), 0) AS x0, coalesce(min(r) FILTER (WHERE m), 0) AS y0, coalesce(max(c) FILTER (WHERE m), 0) AS x1, coalesce(max(r) FILTER (WHERE m), 0) AS y1 FROM m GROUP BY vec_id")
@@ -424,14 +418,6 @@ def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maskops.crop_boxes(spark, 240, 320, 2, 0.34)
 
 
-@query()
-def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Component boxes of each raster, the largest first; a sequential fold, so no SQL."""
-    c = components.component_table(masked(spark, sf_dir))
-    boxes = c.select(F.col("vec_id").cast("string").alias("image_id"), F.col("label").alias("id"), F.struct(*[F.col(k).cast("double").alias(n) for k, n in (("c0", "x0"), ("r0", "y0"), ("c1", "x1"), ("r1", "y1"))]).alias("box"), F.col("area").cast("double").alias("score"))
-    return maskops.suppressed(boxes, 0.1).select("image_id", "id", "score")
-
-
 # quality control, manifests, sampling -----------------------------------------------------------------------------------
 
 
@@ -505,23 +491,23 @@ def forward_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("vec_id", "pos", generate.forward_noise(F.col("v"), F.col("alpha_bar"), F.col("pos") / 64.0 - 0.5).alias("v")))
 
 
-@query("WITH f AS (SELECT p_partkey AS cell_id, CASE p_size % 3 WHEN 0 THEN 'actin' WHEN 1 THEN 'mt' ELSE 'nuc' END AS channel, CAST(p_size // 10 AS INT) AS h, CAST(p_size % 5 AS INT) AS w, p_brand FROM part), n AS (SELECT p_brand AS cell_id, h, w, count(*) AS n, min(CASE channel WHEN 'actin' THEN 1 WHEN 'mt' THEN 2 ELSE 3 END) AS f FROM f GROUP BY ALL) SELECT cell_id, n.h, n.w FROM n QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY n DESC, f, h DESC, w DESC) = 1")
-def mode_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P3 over parts: brands are cells, sizes shapes. (Equal counts of one channel: the larger shape.)"""
-    from ..sources.images import SIZE_ORDER
+SIZES = "f AS (SELECT p_brand AS cell_id, CASE p_partkey % 4 WHEN 0 THEN 'actin' WHEN 1 THEN 'mt' WHEN 2 THEN 'nuc' ELSE 'phase' END AS channel, CAST(min(p_size) % 3 AS INT) AS h, CAST(max(p_size) % 2 AS INT) AS w FROM part GROUP BY ALL)"
 
-    size = F.col("p_size")
-    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("cell_id"), F.when(size % 3 == 0, "actin").when(size % 3 == 1, "mt").otherwise("nuc").alias("channel"), F.floor(size / 10).cast("int").alias("h"), (size % 5).cast("int").alias("w"))
-    rank = F.array_position(F.array(*map(F.lit, SIZE_ORDER)), F.col("channel"))
-    counts = rows.groupBy("cell_id", "h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
-    return counts.groupBy("cell_id").agg(F.max_by(F.struct("h", "w"), F.struct("n", -F.col("first"), "h", "w")).alias("s")).select("cell_id", "s.h", "s.w")
+
+@query(f"WITH {SIZES}, n AS (SELECT cell_id, h, w, count(*) AS n, min(CASE channel WHEN 'actin' THEN 1 WHEN 'mt' THEN 2 WHEN 'nuc' THEN 3 ELSE 4 END) AS f FROM f GROUP BY ALL) SELECT cell_id, h, w FROM n QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY n DESC, f) = 1")
+def mode_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3, W3 over parts: brands are cells, sizes shapes."""
+    k = F.col("p_partkey") % 4
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("cell_id"), F.when(k == 0, "actin").when(k == 1, "mt").when(k == 2, "nuc").otherwise("phase").alias("channel")).agg((F.min("p_size") % 3).cast("int").alias("h"), (F.max("p_size") % 2).cast("int").alias("w"))
+    return sources.mode_size(rows)
 
 
-@query("SELECT l_orderkey AS cell_id, count(DISTINCT l_linenumber) = 4 AND bool_and(l_quantity BETWEEN 5 AND 45) AND count(DISTINCT l_returnflag) = 1 AS ok FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS cell_id, count(DISTINCT l_linenumber) = 4 AND bool_and(l_quantity BETWEEN 5 AND 45 AND l_linenumber * 5 BETWEEN 5 AND 45) AND count(DISTINCT (l_quantity, l_linenumber * 5)) = 1 AS ok FROM lineitem GROUP BY l_orderkey UNION ALL SELECT -1 - p_partkey, p_size BETWEEN 5 AND 45 FROM part")
 def verify_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2 over orders: lines are channels, quantities sides, flags shapes."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id"))
-    return rows.agg(((F.count_distinct("l_linenumber") == 4) & F.bool_and(F.col("l_quantity").between(5, 45)) & (F.count_distinct("l_returnflag") == 1)).alias("ok"))
+    """lines as channels of an order, and parts as cells of four channels of one shape."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell_id"), F.col("l_linenumber").cast("string").alias("channel"), F.col("l_quantity").alias("h"), (F.col("l_linenumber") * 5.0).alias("w"))
+    parts = table(spark, sf_dir, "part").select((-1 - F.col("p_partkey")).alias("cell_id"), F.explode(F.array(*map(F.lit, ("phase", "actin", "mt", "nuc")))).alias("channel"), F.col("p_size").cast("double").alias("h"), F.lit(45.0).alias("w"))
+    return sources.verify_cells(lines.unionByName(parts), 4, 5, 45)
 
 
 # models: rows only ------------------------------------------------------------------------------------------------------
@@ -547,11 +533,6 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *[F.round(F.get("pc", k), 5).alias(f"pc{k + 1}") for k in (0, 1)], *[F.lit(round(s, 6)).alias(f"share{k + 1}") for k, s in enumerate(share)])
 
 
-@query()
-def ward_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.ward(scaled(spark, sf_dir))[0]
-
-
 # more of the inventory ---------------------------------------------------------------------------------------------------
 
 GRID = (64, 64)
@@ -612,18 +593,6 @@ def automatic_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", "area", F.round("predicted_iou", 5).alias("predicted_iou"), F.round("stability_score", 5).alias("stability_score"), F.array_join("bbox", ",").alias("bbox"))
 
 
-@query()
-def ward_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3's linkage; L7 draws its last merges."""
-    return rounded(clustering.ward(scaled(spark, sf_dir))[1])
-
-
-@query()
-def component_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R3 towards the centre."""
-    return components.folded(components.component_table(masked(spark, sf_dir)), 3.5, 3.5, large=5)
-
-
 @query("SELECT CAST(t AS INT) AS t, round(sin(t), 6) + 0.0 AS s0, round(sin(t * exp(-ln(10000.0))), 6) + 0.0 AS s1, round(cos(t), 6) + 0.0 AS c0, round(cos(t * exp(-ln(10000.0))), 6) + 0.0 AS c1 FROM range(100) r(t)")
 def timestep_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.range(100).select(F.col("id").cast("int").alias("t"), generate.timestep_embedding(F.col("id").cast("double"), 4).alias("e"))
@@ -679,19 +648,20 @@ def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.join(other, "vec_id").select(F.col("vec_id").alias("i"), "j", maskops.iou(F.col("b"), F.col("o")).alias("iou")))
 
 
-@query("WITH e AS (SELECT count(*) AS n FROM (SELECT n_name FROM nation EXCEPT SELECT n_name FROM nation WHERE n_nationkey < 20)), f AS (SELECT count(*) AS n FROM (SELECT n_name FROM nation WHERE n_nationkey < 20 EXCEPT SELECT n_name FROM nation)) SELECT e.n AS missing, f.n AS unexpected, e.n = 0 AND f.n = 0 AS same FROM e, f")
+@query("SELECT n_regionkey AS region, (SELECT list_sort(list(n_name)) FROM nation n WHERE n.n_regionkey = 1) = list_sort(list(DISTINCT n_name)) AS same FROM nation GROUP BY 1")
 def expected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """both differences of the cells expected and found."""
-    expected = table(spark, sf_dir, "nation").select("n_name")
-    found = table(spark, sf_dir, "nation").where("n_nationkey < 20").select("n_name")
-    counts = expected.exceptAll(found).agg(F.count(F.lit(1)).alias("missing")).join(F.broadcast(found.exceptAll(expected).agg(F.count(F.lit(1)).alias("unexpected"))))  # one row each
-    return counts.withColumn("same", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+    """each region's nations as found cells, those of region 1 expected."""
+    nations = table(spark, sf_dir, "nation")
+    wanted = [r[0] for r in nations.where("n_regionkey = 1").select("n_name").collect()]  # a few names
+    found = nations.select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("cell_id"))
+    return found.groupBy("region").agg(sources.expected_cells(found, wanted).alias("same"))
 
 
-@query("WITH s AS (SELECT doc_id, md5(CAST(doc_id AS VARCHAR) || ':7') AS h, source FROM documents) SELECT source, arg_min(doc_id, h) AS doc_id FROM s GROUP BY source")
+@query("WITH s AS (SELECT DISTINCT source, lang FROM documents) SELECT source, arg_min(lang, md5(source || '/' || lang || ':7')) AS channel FROM s GROUP BY source")
 def random_pick_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a group, by a keyed hash."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":7")))).alias("doc_id"))
+    """L3: each source's pick among its languages."""
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("present"))
+    return rows.select("source", generate.pick_channel(F.col("source"), F.col("present"), 7).alias("channel"))
 
 
 @query("SELECT * FROM (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, CAST(NULL AS DOUBLE) AS size FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier UNION ALL SELECT p_partkey, p_name, NULL, CAST(p_size AS DOUBLE) FROM part)")
@@ -703,7 +673,4 @@ def concatenated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maskops.concatenated(maskops.concatenated(c, s), p)
 
 
-@query("SELECT doc_id // 64 AS batch, count(*) AS n FROM documents GROUP BY 1")
-def batch_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of 64 ids."""
-    return table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 64).cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+from . import kernel_queries  # noqa: E402, F401 - registers its queries here

@@ -7,11 +7,13 @@ task that runs again writes the same files.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -123,9 +125,21 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("header", "true").csv(path)
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path there."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return fs.LocalFileSystem(), path
+
+
+def _exists(path: str) -> bool:
+    store, at = _store(path)
+    return store.get_file_info(at).type != fs.FileType.NotFound
+
+
 def first_existing(paths: list[str]) -> str | None:
     """S7."""
-    return next((p for p in paths if Path(p).exists()), None)
+    return next((p for p in paths if _exists(p)), None)
 
 
 def glob_composites(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,22 +164,31 @@ def write_summary(summary: DataFrame, folder: str) -> None:
     summary.select(F.explode(lines).alias("value")).write.mode("overwrite").text(f"{folder}/summary_text")
 
 
+def _put(folder: str, name: str, data: bytes) -> str:
+    """A file of that name (which can have folders) under a folder, complete or absent; its address."""
+    store, base = _store(folder)
+    target = f"{base.rstrip('/')}/{name}"
+    parent, _, last = target.rpartition("/")
+    store.create_dir(parent, recursive=True)
+    part = f"{parent}/.{last}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as out:
+        out.write(data)
+    store.move(part, target)
+    return f"{folder.rstrip('/')}/{name}"
+
+
 def write_images(rows: DataFrame, folder: str, name: str = "name", image: str = "image") -> DataFrame:
-    """Each image as a PNG of that name; (name, path, error) of each. A file is complete or absent."""
+    """Each image as a PNG of that name in a folder of any file system that all tasks reach; (name, path, error) of each.
+    A file is complete or absent."""
     schema = "name string, path string, error string"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = Path(folder)
-        base.mkdir(parents=True, exist_ok=True)
         for pdf in batches:
             out = []
             for n, r in zip(pdf["name"], pdf["image"], strict=True):
                 try:
                     a = unpack(dict(r) if isinstance(r, dict) else r.asDict())
-                    part = base / f".{n}.part"
-                    part.write_bytes(png.encode(a if a.dtype == np.uint8 else raster.to_byte(a)))
-                    part.rename(base / n)
-                    out.append((n, str(base / n), None))
+                    out.append((n, _put(folder, n, png.encode(a if a.dtype == np.uint8 else raster.to_byte(a))), None))
                 except Exception as e:  # the row keeps the reason
                     out.append((n, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["name", "path", "error"])
@@ -174,15 +197,16 @@ def write_images(rows: DataFrame, folder: str, name: str = "name", image: str =
 
 
 def copy_files(paths: DataFrame, folder: str) -> DataFrame:
-    """Copies each path of the only column; (path, copied)."""
+    """Copies each path of the only column, from and to any file system that all tasks reach; (path, copied)."""
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import shutil
-
-        Path(folder).mkdir(parents=True, exist_ok=True)
         for pdf in batches:
-            names = pdf.iloc[:, 0].str.removeprefix("file:")
-            yield pd.DataFrame({"path": pdf.iloc[:, 0], "copied": [shutil.copy2(n, folder) for n in names]})
+            done = []
+            for path in pdf.iloc[:, 0]:
+                store, at = _store(path)
+                with store.open_input_stream(at) as data:
+                    done.append(_put(folder, at.rpartition("/")[2], data.read()))
+            yield pd.DataFrame({"path": pdf.iloc[:, 0], "copied": done})
 
     return paths.mapInPandas(copy, "path string, copied string")
 
