@@ -5,9 +5,10 @@ a local parser expands to the left and right as far as its kind's characters go,
 points, end exclusive). A parser never looks at what an earlier one of its kind has taken, so any text takes time in
 proportion to its length, and each kind's spans are leftmost and don't overlap.
 
-Kinds: email, ip (parts up to 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits); and by cue or scheme: account
-(a cue, then 6 to 20 digits), iban (check digits), login (user and host after a scheme), secret (an access key id, or a
-value assigned to a cue such as password or token), ssn (3-2-4 digits).
+Kinds: email, ip (parts up to 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits); and by cue, sign or scheme: account
+(a cue, then 6 to 20 digits), iban (the country's length, check digits), ipv6 (with a group of four digits), login (user and
+host after a scheme), secret (an access key id, or a value assigned to a cue such as password or token), ssn (3-2-4
+digits), street (a house number, up to four capitalised words and a street's type).
 
 Defined cases: null text is empty; no spans are an empty list; other columns are ignored.
 """
@@ -15,6 +16,7 @@ Defined cases: null text is empty; no spans are an empty list; other columns are
 from __future__ import annotations
 
 import functools
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -26,18 +28,30 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "iban", "login", "secret", "ssn")
+KINDS = (*BASE, "account", "iban", "ipv6", "login", "secret", "ssn", "street")
+_HEX = frozenset("0123456789ABCDEFabcdef:")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOGIN = re.compile(r"[^\s/@:?#]{1,256}(?::[^\s/@?#]{0,256})?@[A-Za-z0-9.-]+(?::[0-9]{1,5})?")
-_ASSIGNED = re.compile(r"[ \t]{0,4}[=:][ \t]{0,4}(['\"]?)([A-Za-z0-9+/=_.-]{8,256})\1")
+_LOGIN = re.compile(r"[^\s/@:?#]++(?::[^\s/@?#]*+)?@[A-Za-z0-9.-]+(?::[0-9]{1,5})?")
+_ASSIGNED = re.compile(r"[ \t]{0,4}[=:][ \t]{0,4}(['\"]?)")
+_VALUE = re.compile(r"[A-Za-z0-9+/=_.-]*")
 _KEY_ID = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"(?:[ \t]{0,4}(?:no\.?|number|nr\.?|num\.?|#|:|=)){0,3}[ \t]{0,4}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.I)
 _SSN = re.compile(r"(?:[ \t]{0,4}(?:no\.?|number|#|:|=)){0,3}[ \t]{0,4}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])", re.I)
-_IBAN = re.compile(r"[ \t:]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[ \t:]{0,4}([A-Z]{2})[0-9]{2}")
+_HOUSE = re.compile(r"(?<!\w)[0-9]{1,5}[A-Za-z]? (?:[A-Z][A-Za-z'-]{0,30} ){1,4}$")
+#: Characters of an account number of each country.
+IBAN_CHARS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: Types of streets.
+STREETS = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "Court", "Square", "Terrace", "St.", "Ave.", "Rd.", "Ln.", "Blvd.")
 #: Cues, in lower case; found as such, capitalised and in upper case.
 CUES = {"secret": ("password", "passwd", "token", "api_key", "apikey", "secret"), "account": ("account", "acct", "konto", "cuenta", "compte"), "ssn": ("ssn", "social security"), "iban": ("iban",)}
 
@@ -47,9 +61,10 @@ def _automaton():
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    anchors = {"@": "email", "://": "login", "+": "phone", "AKIA": "key"} | {str(d): "digit" for d in range(10)}
+    anchors = {"@": "email", ":": "colon", "://": "login", "+": "phone", "AKIA": "key"} | {str(d): "digit" for d in range(10)}
     for kind, cues in CUES.items():
         anchors |= {form: kind for cue in cues for form in (cue, cue.capitalize(), cue.upper())}
+    anchors |= {f" {street}": "street" for street in STREETS}
     for anchor, kind in anchors.items():
         out.add_word(anchor, (kind, len(anchor)))
     out.make_automaton()
@@ -64,15 +79,36 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _iban(text: str) -> bool:
-    plain = text.replace(" ", "")
-    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """The span of an account number at a place: as many characters as its country's have, a space between any two."""
+    head = _IBAN.match(text, at)
+    chars, plain = IBAN_CHARS.get(head.group(1), 0) if head else 0, ""
+    start = end = head.start(1) if chars else 0
+    while len(plain) < chars and end < len(text):
+        c = text[end]
+        if c.isascii() and (c.isdigit() or c.isupper()):
+            plain += c
+        elif c != " " or text[end - 1] == " ":
+            break
+        end += 1
+    if not chars or len(plain) < chars or text[end : end + 1].isalnum():
+        return None
+    return (start, end) if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else None
+
+
+def _ipv6(run: str) -> bool:
+    if run.count(":") < 2 or not any(len(x) == 4 for x in run.split(":")):
+        return False
+    try:
+        return bool(ipaddress.IPv6Address(run))
+    except ValueError:
+        return False
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
     """All (kind, start, end), by kind as listed, then start."""
     spans: list[tuple[str, int, int]] = []
-    done = dict.fromkeys((*KINDS, "run", "cards"), 0)
+    done = dict.fromkeys((*KINDS, "run", "cards", "hex", "value"), 0)
 
     def add(kind: str, start: int, end: int) -> None:
         if start >= done[kind]:
@@ -110,7 +146,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
                     spans.append(("phone", at, number.end()))
         elif kind == "login":
             start = at
-            while start > max(0, at - 32) and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-"):
+            while start > 0 and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-"):
                 start -= 1
             if start < at and (host := _LOGIN.match(text, after)):
                 add("login", start, host.end())
@@ -119,11 +155,34 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 add("secret", at, key.end())
         elif kind == "secret":
             if value := _ASSIGNED.match(text, after):
-                add("secret", value.start(2), value.end(2))
-        else:
-            found = {"account": _NUMBER, "ssn": _SSN, "iban": _IBAN}[kind].match(text, after)
-            if found and (kind != "iban" or _iban(found.group(1))):
-                add(kind, found.start(1), found.end(1))
+                quote, start = value.group(1), value.end()
+                if start >= done["value"]:  # else within a run whose end is known
+                    done["value"] = _VALUE.match(text, start).end()
+                end = done["value"]
+                if end - start >= 8 and text.startswith(quote, end):
+                    add("secret", start, end)
+        elif kind == "colon":
+            if at >= done["hex"]:
+                start = at
+                while start > done["hex"] and text[start - 1] in _HEX:
+                    start -= 1
+                end = after
+                while end < len(text) and text[end] in _HEX:
+                    end += 1
+                done["hex"] = end
+                own = end - 1 if text[end - 1] == ":" and text[end - 2] != ":" else end  # as before a line's end
+                if not text[start - 1 : start].isalnum() and not text[end : end + 1].isalnum() and _ipv6(text[start:own]):
+                    spans.append(("ipv6", start, own))
+        elif kind == "street":
+            low = max(0, at - 140)
+            house = _HOUSE.search(text[low : at + 1])
+            if house and not text[after : after + 1].isalnum() and (low == 0 or house.start() > 0):
+                add("street", low + house.start(), after)
+        elif kind == "iban":
+            if found := _iban(text, after):
+                add(kind, *found)
+        elif found := {"account": _NUMBER, "ssn": _SSN}[kind].match(text, after):
+            add(kind, found.start(1), found.end(1))
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
