@@ -10,7 +10,8 @@ Only one row a pattern is gathered on the driver; more than MOST_PATTERNS is an
 sorted: sums by hash bucket find each pattern's last bucket, and only that bucket's few rows are sorted.
 
 Defined cases: null text has size 0; null is a source (the last); an empty set of sources is never taken; documents of
-size 0 take 0; rows that share a doc_id are taken alike; other columns stay as they are.
+size 0 take 0; rows that share a doc_id are taken alike; other columns stay as they are, but input columns named own_sources or
+copies are replaced.
 """
 
 from __future__ import annotations
@@ -124,6 +125,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, order: list[Column], wei
     spark = docs.sparkSession
     ship(spark)
     own = {"own_sources": F.array_sort(F.array_distinct(sources)), "own_hash": F.xxhash64(F.lit(seed), *order)}
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own_row"), *[c.alias(n) for n, c in own.items()])
     rows = written(docs.select(*[c.alias(n) for n, c in own.items()], size.alias("own_size")))
     patterns = [r.asDict() for r in rows.groupBy("own_sources").agg(F.sum("own_size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()]
     if len(patterns) > MOST_PATTERNS:
@@ -159,11 +161,12 @@ def mix(docs: DataFrame, sources: Column, size: Column, order: list[Column], wei
     chosen = at_end.groupBy("own_sources").applyInArrow(_filled, StructType([*at_end.schema.fields, StructField("own_extra", IntegerType())])).where("own_extra = 1")
     chosen = bounded(written(chosen.select(F.col("own_sources").alias("own_p"), F.col("own_hash").alias("own_h"), "own_extra")))
     discard(spark, rows)
-    every = planned(docs.withColumns(own).withColumn("own_bucket", bucket), plan_df.drop("own_more", "own_before"))
+    every = planned(marked.withColumn("own_bucket", bucket), plan_df.drop("own_more", "own_before"))
     every = every.join(chosen, F.col("own_sources").eqNullSafe(F.col("own_p")) & (F.col("own_hash") == F.col("own_h")), "left")
     extra = F.when(F.col("own_bucket") < F.col("own_last"), 1).otherwise(F.coalesce("own_extra", F.lit(0)))
     every = every.withColumn("copies", F.coalesce(F.least(F.lit(repeats), F.col("own_whole") + extra), F.lit(0)))
-    return every.select(*docs.columns, "own_sources", "copies"), [{"source": s, "size": sizes[s], "target": t} for s, t in target.items()]
+    kept = [F.col("own_row")[c].alias(c) for c in docs.columns if c not in ("own_sources", "copies")]
+    return every.select(*kept, "own_sources", "copies"), [{"source": s, "size": sizes[s], "target": t} for s, t in target.items()]
 
 
 def _filled(bucket: pa.Table) -> pa.Table:
