@@ -9,8 +9,11 @@ A bucket's candidates are a star: its smallest document against each other one,
 bucket. Sets whose sizes rule out the threshold are left out; the rest are confirmed on full sets. What stars can miss is
 a link between two leaves in different components of what was found. So in each bucket whose leaves lie in several
 components, all leaves outside the largest one are compared with all leaves, in blocks: their texts are sent, no pairs
-are. With that each link within a bucket joins its ends, with no cap on either. With 24 bands of 5 rows a pair at the
-threshold 0.8 shares no bucket with probability 7e-5, one at 0.85 with 8e-7.
+are. Buckets of more than LARGE leaves are split first, exactly: sets that reach the threshold share one of their rarest
+shingles, of as many as the threshold allows to differ and one, so only leaves with such a shingle in common meet. (What
+unlike documents of one template have in common is frequent there, and never among their rarest.) With that each link
+within a bucket joins its ends, with no cap on either. With 24 bands of 5 rows a pair at the threshold 0.8 shares no bucket
+with probability 7e-5, one at 0.85 with 8e-7.
 
 A set of fewer than threshold / (1 - threshold) shingles can only equal another; those skip the buckets.
 
@@ -36,6 +39,7 @@ EMPTY = np.uint64(2**64 - 1)
 LEAVES = 128  # of a star in one group of the confirming step
 OUTER = 128  # leaves outside a bucket's largest component that are compared at once
 INNER = 1024  # leaves of a bucket that they are compared with in one group
+LARGE = 1024  # leaves of a bucket that meet without being split by their rarest shingles
 _COEFFICIENTS = np.random.default_rng(11).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -106,8 +110,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, least: int
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets reach the threshold, as (u, v). Each text is sent once to each group of
     LEAVES pairs that one a has."""
-    stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAVES).cast("int").alias("parts"))
-    leaves = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("leaf"), F.col("b").alias("id"))
+    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / LEAVES).cast("int"))
+    leaves = join_sized(pairs, stars, ["a"], "n", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("leaf"), F.col("b").alias("id"))
     wanted = leaves.unionByName(stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("leaf"), F.col("a").alias("id")))
     rows = wanted.join(texts, "id").select("a", "part", "leaf", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "leaf")
 
@@ -132,14 +136,51 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def leaf_links(leaves: DataFrame, found: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) between leaves (h, id, n) of a bucket that lie in several components (node, component). All leaves
-    outside a bucket's largest component meet all its leaves, OUTER by INNER in a group: texts are sent to groups, and a
-    group sends on one link for each outer leaf and component."""
-    labelled = leaves.join(found, leaves["id"] == found["node"], "left").select("h", "id", "n", F.coalesce("component", "id").alias("component"))
+    """Links (u, v) between leaves (h, id, n) of a bucket that lie in several components (node, component): one at least for
+    each two components that a link joins."""
+    labelled = written(leaves.join(found, leaves["id"] == found["node"], "left").select("h", "id", F.coalesce("component", "id").alias("component")))
+    open_ = open_buckets(labelled)
+    small = block_links(open_.where(F.col("total") <= LARGE), texts, words, percent)
+    large = written(open_.where(F.col("total") > LARGE).select("id", "component").distinct())
+    if large.isEmpty():
+        return small
+    return small.unionByName(block_links(open_buckets(rarest(large, texts, words, percent)), texts, words, percent))
+
+
+def rarest(leaves: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(h, id, component): each leaf (id, component) under those of its rarest shingles, among all leaves here, of which sets
+    that reach the threshold share one. Shingles that no other leaf has are left out."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(2), words)
+            for lo in range(0, len(sets), 64):
+                some = sets[lo : lo + 64]
+                at = pa.array(np.repeat(np.arange(lo, lo + len(some)), [len(x) for x in some]))
+                h = signed(np.concatenate(some)) if some else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(at), batch.column(1).take(at)], ["h", "id", "component"])
+
+    each = written(leaves.join(texts, "id").select("id", "component", "text").mapInArrow(listed, "h long, id long, component long"))
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    counted = join_sized(each, often, ["h"], "df", each.count())
+    sets = counted.groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    n = F.size("s")
+    first = F.slice("s", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    return written(sets.select("id", "component", F.explode(first).alias("x")).where("x.df > 1").select("x.h", "id", "component"))
+
+
+def open_buckets(labelled: DataFrame) -> DataFrame:
+    """Of (h, id, component), the rows of buckets in several components, with the bucket's size, the component that most of
+    it is in, and the numbers of groups that its leaves are to meet in."""
     by_part = labelled.groupBy("h", "component").agg(F.count(F.lit(1)).alias("size"))
     by_bucket = by_part.groupBy("h").agg(F.sum("size").alias("total"), F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    by_bucket = by_bucket.where("parts > 1").select("h", F.col("top.component").alias("top"), F.ceil((F.col("total") - F.col("top.size")) / OUTER).cast("int").alias("groups"), F.ceil(F.col("total") / INNER).cast("int").alias("splits"))
-    open_ = written(labelled.join(by_bucket, "h"))
+    by_bucket = written(by_bucket.where("parts > 1").select("h", "total", F.col("top.component").alias("top"), F.ceil((F.col("total") - F.col("top.size")) / OUTER).cast("int").alias("groups"), F.ceil(F.col("total") / INNER).cast("int").alias("splits")))
+    return written(join_sized(labelled, by_bucket, ["h"], "total", labelled.count()))
+
+
+def block_links(open_: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) between leaves of open buckets. All leaves outside a bucket's largest component meet all its leaves, OUTER
+    by INNER in a group: texts are sent to groups, and a group sends on one link for each outer leaf and component."""
     group, split = (F.pmod(F.xxhash64("id"), F.col(n)).cast("int") for n in ("groups", "splits"))
     every = {n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("groups", "splits")}
     outer = open_.where("component <> top").select("h", group.alias("group"), every["splits"].alias("split"), F.lit(0).alias("inner"), "id", "component")
@@ -231,7 +272,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = classes.select(F.explode("bands").alias("h"), F.col("rep").alias("id"), "n").distinct()
     buckets = written(placed.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("c")).where("size > 1").select("h", "size", F.col("c.id").alias("c"), F.col("c.n").alias("cn")))
     fits = "least(n, cn) * 100 >= greatest(n, cn) * " + str(percent)
-    members = written(placed.join(buckets, "h").drop("size"))
+    n_placed = classes.agg(F.sum(F.size("bands"))).first()[0] or 0
+    members = written(join_sized(placed, buckets, ["h"], "size", n_placed).drop("size"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = written(texts.join(bounded(written(members.select("id").distinct())), "id", "left_semi"))
 
