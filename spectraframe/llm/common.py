@@ -6,12 +6,13 @@ buffer is cut at the same places as its text.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
 import weakref
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -62,9 +63,33 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    for tables in _scopes:
+        tables.append(path)
     return out
 
 
+#: The paths that were written within each open `temporary`.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written inside is deleted at the end, but for the tables that it has been told to keep."""
+    made: list[str] = []
+    kept: set[str | None] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(_paths.get(table))
+        return table
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        discard(spark, *(path for path in made if path not in kept))
+
+
 #: Where written tables are.
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -94,9 +119,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """For Python on the executors: the package there, and Arrow batches of so many rows at most, in this session."""
+    """For Python on the executors: the package there, and Arrow batches of so many rows at most, in this session, as plans read
+    the setting when they run; a smaller one stays. Bytes of a batch have Spark's own bound (maxBytesPerBatch, 64 MB)."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
 
 
 #: Rows of a few longs that a join may broadcast: some 50 MB.
