@@ -7,9 +7,11 @@ to all other symbols as its longest shorter context has them (Katz), so each dis
 retained if its distribution diverges: the log-likelihood it gains over its suffix, in nats, is at least half the
 logarithm of its count for each explicit symbol. A token is scored by the longest retained context before it.
 
-The tree grows a level (a word more of context) with each pass over the texts, until nothing is left to extend. Extended are
-contexts that diverge, and those that don't but whose suffix does: one level without news is bridged, two in a row end
-a branch. Contexts that diverge are retained in the end, and all their suffixes with them.
+The tree grows a level (a word more of context) with each pass, until nothing is left to extend or `depth` is reached (by
+default there is no such end). Extended are contexts that diverge, and those that don't but whose suffix does: one level
+without news is bridged, two in a row end a branch. Contexts that diverge are retained in the end, and all their suffixes
+with them. From level DEEP on passes read windows: the tokens whose contexts still grow, with the tokens before them that
+the next levels can need, as few texts' tokens go that deep.
 
 Neither LEAST nor the depth depends on the corpus, and what is gathered has a fixed size: counts and levels are written
 tables of (key, value), the keys hashes of contexts and of contexts with a symbol. Documents go to blocks of about
@@ -28,26 +30,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, discard, mix, release, signed, small_batches, word_hashes, written
 
 END, START = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0x57A4757A4757A471)
+BREAK = np.uint64(0xB4EAB4EAB4EAB4EB)  # in windows, before tokens whose left neighbours are left out
 ROOT, STEP = np.uint64(0x5EED5EED5EED5EED), np.uint64(0xD1342543DE82EF95)
 LEAST = 3
 FILTER_BITS = 27
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 8_000_000
 DISCOUNT = 0.75
 HELD = 2_000_000  # distinct keys, and what goes with them, that a task sums up before it sends them on
-SLICES = 2  # passes for the pairs, of which most are rare: each shuffles its share of the keys
+DEEP = 4  # the level from which on passes read windows
+WINDOW_TOKENS = 1 << 18  # of a row of windows
 
 
 class _Sums:
     """Counts of 64-bit keys with what goes with each key, summed up within a task."""
 
-    def __init__(self, width: int) -> None:
-        self.width, self.parts, self.counts, self.size = width, [], [], 0
+    def __init__(self, names: list[str], sent: list[str]) -> None:
+        self.names, self.sent, self.parts, self.counts, self.size = names, sent, [], [], 0
 
     def add(self, *columns: np.ndarray) -> None:
         k, at, n = np.unique(columns[0], return_index=True, return_counts=True)
@@ -56,28 +61,43 @@ class _Sums:
         self.size += len(k)
 
     def take(self) -> pa.RecordBatch:
-        columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*self.parts, strict=True) if self.parts else [()] * self.width)]
+        columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*self.parts, strict=True) if self.parts else [()] * len(self.names))]
         n = np.concatenate([np.zeros(0, np.int64), *self.counts])
         keys, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
-        out = [keys, *(c[first] for c in columns[1:]), np.bincount(at, n, len(keys)).astype(np.int64)]
-        self.__init__(self.width)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["k", "up", "g"][: self.width] + ["n"])
+        out = dict(zip(self.names, [keys, *(c[first] for c in columns[1:])], strict=True)) | {"n": np.bincount(at, n, len(keys)).astype(np.int64)}
+        self.__init__(self.names, self.sent)
+        return pa.RecordBatch.from_arrays([pa.array(out[c]) for c in [*self.sent, "n"]], [*self.sent, "n"])
 
 
-def _counted(texts: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray, ...]], names: list[str]) -> DataFrame:
+def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield _tokens(batch.column(0))[0]
+
+
+def _windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for row in batch.column(0):
+        yield np.frombuffer(row.as_buffer(), np.uint64)
+
+
+Read = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
+
+
+def _counted(texts: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray, ...]], names: list[str], read: Read = _texts, by: list[str] | None = None) -> DataFrame:
     """(names, n): how often each key (the first of names) is among those that keys_of gives for the batches' tokens; the
-    others are what goes with a key."""
+    others are what goes with a key. by: of these, columns that name a key as well as it does, and are all that is sent."""
+    sent = by or names
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(len(names))
+        sums = _Sums(names, sent)
         for batch in batches:
-            sums.add(*map(signed, keys_of(_tokens(batch.column(0))[0])))
+            for t in read(batch):
+                sums.add(*map(signed, keys_of(t)))
             if sums.size * len(names) > HELD:
                 yield sums.take()
         yield sums.take()
 
-    found = texts.mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
-    return found.groupBy("k").agg(*[F.max(c).alias(c) for c in names[1:]], F.sum("n").alias("n"))
+    found = texts.mapInArrow(count, ", ".join(f"{c} long" for c in [*sent, "n"]))
+    keys = by or names[:1]
+    return found.groupBy(*keys).agg(*[F.max(c).alias(c) for c in sent if c not in keys], F.sum("n").alias("n"))
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +175,10 @@ class _Climb:
     contexts) and e (of contexts with the token)."""
 
     def __init__(self, t: np.ndarray):
-        begins = t == START
+        starts, breaks = t == START, t == BREAK
         place = np.arange(len(t))
-        self.t, self.at = t, np.flatnonzero(~begins)
-        self.room = (place - np.maximum.accumulate(np.where(begins, place, 0)))[self.at]
+        self.t, self.at = t, np.flatnonzero(~(starts | breaks))
+        self.room = (place - np.maximum.accumulate(np.where(starts, place, np.where(breaks, place + 1, 0))))[self.at]
         self.g, self.e, self.level = np.full(len(self.at), ROOT), t[self.at], 0
 
     def keep(self, ok: np.ndarray) -> None:
@@ -174,9 +194,8 @@ class _Climb:
         return ok
 
 
-def _extensions(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token with a context of `level` words that may occur LEAST times and whose suffix may be extended: (key, key
-    without its first word, context), for the context itself, and for the context with the token if the suffix may have it."""
+def _climbed(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[_Climb, np.ndarray]:
+    """The tokens with a context of `level` words that may be extended, and whether that may have the token; level 1 or more."""
     climb = _Climb(t)
     explicit = _has(bits, climb.e)
     left = t[climb.at - 1]
@@ -184,15 +203,11 @@ def _extensions(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[np.ndarray
     climb.keep(ok)
     explicit = explicit[ok]
     rare = np.zeros(len(t), bool)  # tokens that are too rare after the word before them
-    while True:
-        up, suffix = climb.e, climb.g
-        ok = climb.step()
-        up, suffix, explicit = up[ok], suffix[ok], explicit[ok]
+    while climb.level < level:
+        explicit = explicit[climb.step()]
         ok = ~rare[climb.at - 1]
         climb.keep(ok)
-        up, suffix, explicit = up[ok], suffix[ok], explicit[ok]
-        if climb.level == level:
-            return np.concatenate([climb.g, climb.e[explicit]]), np.concatenate([suffix, up[explicit]]), np.concatenate([climb.g, climb.g[explicit]])
+        explicit = explicit[ok]
         ok = _has(bits, climb.g)
         explicit &= _has(bits, climb.e)
         if climb.level == 1:  # where all contexts are kept that have any explicit symbol
@@ -200,6 +215,44 @@ def _extensions(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[np.ndarray
             rare[climb.at] = ~explicit
         climb.keep(ok)
         explicit = explicit[ok]
+    if level:
+        ok = ~rare[climb.at - 1]
+        climb.keep(ok)
+        explicit = explicit[ok]
+    return climb, explicit
+
+
+def _pairs(t: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, token, token before) of each token that is frequent, after one that is."""
+    at = np.flatnonzero(t != START)
+    token, left = t[at], t[at - 1]
+    ok = _has(bits, token) & (_has(bits, left) | (left == START))
+    token, left = token[ok], left[ok]
+    return mix(token * STEP + left), token, left
+
+
+def _extensions(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token with a context of `level` words (2 at least) that may occur LEAST times and whose suffix may be extended:
+    (key, key without its first word, context), for the context itself, and for the context with the token if the suffix
+    may have it."""
+    climb, explicit = _climbed(t, level - 1, bits)
+    up, suffix = climb.e, climb.g
+    ok = climb.step()
+    up, suffix, explicit = up[ok], suffix[ok], explicit[ok]
+    return np.concatenate([climb.g, climb.e[explicit]]), np.concatenate([suffix, up[explicit]]), np.concatenate([climb.g, climb.g[explicit]])
+
+
+def _cut(t: np.ndarray, level: int, bits: np.ndarray, margin: int) -> np.ndarray:
+    """The tokens with a context of `level` words that may be extended, each with `margin` tokens before it, as far as its text
+    goes; a BREAK where tokens are left out."""
+    climb, _ = _climbed(t, level, bits)
+    change = np.bincount(climb.at - np.minimum(climb.room, margin), minlength=len(t) + 1) - np.bincount(climb.at + 1, minlength=len(t) + 1)
+    kept = np.cumsum(change)[:-1] > 0
+    at = np.flatnonzero(kept)
+    out = t[at]
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    first = first[(out[first] != START) & (out[first] != BREAK)]
+    return np.insert(out, first, BREAK)
 
 
 def _scores(t: np.ndarray, p: np.ndarray, find: Callable[[np.ndarray], np.ndarray], values: np.ndarray) -> np.ndarray:
@@ -216,6 +269,21 @@ def _scores(t: np.ndarray, p: np.ndarray, find: Callable[[np.ndarray], np.ndarra
     return p
 
 
+class _Distinct:
+    """Distinct keys from many sorted arrays, merged like sized with like."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(keys)
+        while len(self.parts) > 1 and len(self.parts[-2]) < 2 * len(self.parts[-1]):
+            self.parts[-2:] = [np.unique(np.concatenate(self.parts[-2:]))]
+
+    def whole(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.int64)
+
+
 class Tree:
     """What is learned: numbers of tokens and of distinct ones, their written counts (k, n), a written table (k, v) for each
     level, and the bitmap of all these keys. Properties and `probabilities` gather the tables, so they are for small ones."""
@@ -308,8 +376,9 @@ def _retained(grown: list[DataFrame], root: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree, and the written counts (k, n) of all tokens of the only column."""
+def train(texts: DataFrame, depth: int | None = None) -> tuple[Tree, DataFrame]:
+    """The tree, of contexts of up to `depth` words if that is given, and the written counts (k, n) of all tokens of the only
+    column."""
     spark = texts.sparkSession
     small_batches(spark)
     counts = written(_counted(texts, lambda t: (t[t != START],), ["k"]))
@@ -317,22 +386,23 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = _marked(counts.where(F.col("n") >= LEAST).select("k"), np.zeros(1 << FILTER_BITS - 3, np.uint8))
     root = counts.select(F.col("k").alias("up"), ((F.col("n") + 1) / (n + v + 1)).alias("was"), F.lit(True).alias("above"))
-    grown, bits, shorter = [], frequent, root
-    while True:
+    grown, bits, shorter, now, read, reach = [], frequent, root, texts, _texts, 0
+    while depth is None or len(grown) < depth:
         known, level = spark.sparkContext.broadcast(bits), len(grown) + 1
-        slices = SLICES if level == 1 else 1
-        parts = []
-        for part in range(slices):
-
-            def keys_of(t: np.ndarray, known=known, level=level, part=part, slices=slices) -> tuple[np.ndarray, ...]:
-                columns = _extensions(t, level, known.value)
-                own = columns[0] % np.uint64(slices) == part
-                return tuple(c[own] for c in columns) if slices > 1 else columns
-
-            parts.append(written(_counted(texts, keys_of, ["k", "up", "g"]).where(F.col("n") >= LEAST)))
-            release(spark)
-        found = written(_grown(functools.reduce(DataFrame.unionByName, parts), shorter))
-        discard(spark, *parts)
+        if level >= DEEP and level > reach:
+            reach = 2 * level
+            cut = _cutter(level - 1, known, reach)
+            before, now, read = now, written(texts.mapInArrow(cut, "t binary")), _windows
+            if before is not texts:
+                discard(spark, before)
+        if level == 1:
+            pairs = _counted(now, lambda t, known=known: _pairs(t, known.value), ["k", "t", "left"], by=["t", "left"]).where(F.col("n") >= LEAST)
+            part = written(_named_pairs(pairs, counts))
+        else:
+            part = written(_counted(now, lambda t, known=known, level=level: _extensions(t, level, known.value), ["k", "up", "g"], read).where(F.col("n") >= LEAST))
+        release(spark)
+        found = written(_grown(part, shorter))
+        discard(spark, part)
         known.destroy()
         if found.isEmpty():
             discard(spark, found)
@@ -342,37 +412,83 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
         shorter = found.select(F.col("k").alias("up"), F.col("p").alias("was"), F.col("diverges").alias("above"))
         release(spark)
     levels = _retained(grown, root)
-    discard(spark, *grown)
+    discard(spark, *grown, *([now] if now is not texts else []))
     bits = np.zeros_like(bits)
     for level in levels:
         bits = _marked(level.select("k"), bits)
     return Tree(n, v, counts, levels, bits), counts
 
 
-def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, learns, n_tokens, n_known, train_tokens, base_score, score) of each row; the model is made from those that learn."""
+def _cutter(level: int, known: Broadcast, margin: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for t in _texts(batch):
+                held.append(_cut(t, level, known.value, margin))
+            rows = [r for t in held for r in _rows_of(t)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["t"])
+
+    return cut
+
+
+def _rows_of(t: np.ndarray) -> Iterator[bytes]:
+    """Windows as rows of about WINDOW_TOKENS, cut where one begins."""
+    begins = np.flatnonzero((t == START) | (t == BREAK))
+    lo = 0
+    while lo < len(t):
+        later = np.searchsorted(begins, lo + WINDOW_TOKENS)
+        hi = int(begins[later]) if later < len(begins) else len(t)
+        yield t[lo:hi].tobytes()
+        lo = hi
+
+
+def _named_pairs(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(k, up, g, n) of the first level, from the counts of (t, left) and of single tokens: a word occurs as a context as often
+    as it occurs, and a start as often as an end."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, left = (np.ascontiguousarray(batch.column(k).to_numpy()).view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(mix(t * STEP + left))), batch.column(0), pa.array(signed(mix(ROOT * STEP + left))), batch.column(2)], ["k", "up", "g", "n"])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = np.ascontiguousarray(batch.column(0).to_numpy()).view(np.uint64)
+            g = signed(mix(ROOT * STEP + np.where(t == END, START, t)))
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), signed(np.array([ROOT]))[0])), pa.array(g), batch.column(1)], ["k", "up", "g", "n"])
+
+    schema = "k long, up long, g long, n long"
+    return pairs.select("t", "left", "n").mapInArrow(name, schema).unionByName(counts.select("k", "n").where(F.col("n") >= LEAST).mapInArrow(contexts, schema))
+
+
+def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None) -> DataFrame:
+    """(id, learns, n_tokens, n_known, train_tokens, base_score, score) of each row; the model is made from those that learn,
+    of contexts of any length or of up to `depth` words."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), learns.alias("learns"), F.col(text_col).alias("text"))
-    tree, _ = train(rows.where("learns").select("text"))
-    n_train, kinds, depth, bits = tree.n, tree.v, len(tree.levels), spark.sparkContext.broadcast(tree.bits)
+    tree, _ = train(rows.where("learns").select("text"), depth)
+    n_train, kinds, most, bits = tree.n, tree.v, len(tree.levels), spark.sparkContext.broadcast(tree.bits)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    # by the text too, so that rows without an id spread
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.col("text")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct tokens of each block of the task, and the other keys that the tree may have."""
-        seen: dict[int, np.ndarray] = {}
+        seen: dict[int, _Distinct] = {}
         for batch in batches:
             block = batch.column(3).to_numpy()
             for b in np.unique(block).tolist():
                 t, _ = _tokens(batch.column(2).filter(pa.array(block == b)))
                 keys, climb = [np.unique(t)], _Climb(t)
-                while climb.at.size and climb.level < depth:
+                while climb.at.size and climb.level < most:
                     climb.step()
                     climb.keep(_has(bits.value, climb.g))
                     keys += [np.unique(climb.g), np.unique(climb.e[_has(bits.value, climb.e)])]
-                seen[b] = np.unique(np.concatenate([seen.get(b, np.zeros(0, np.int64)), signed(np.concatenate(keys))]))
-        for b, own in seen.items():
+                seen.setdefault(b, _Distinct()).add(signed(np.unique(np.concatenate(keys))))
+        for b, found in seen.items():
+            own = found.whole()
             for k in range(0, len(own), 100_000):
                 part = own[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int32)), pa.array(part)], ["block", "k"])
