@@ -59,7 +59,7 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, conv_col: s
     stretches = rows.groupBy("key", stretch.alias("stretch")).agg(F.count(F.lit(1)).alias("n"))
     system = rows.where("role = 'system'").groupBy("key").agg(F.min(F.struct("pos", "cost", "role", "text")).alias("turn"))
     stretches = written(stretches.join(system.select("key"), "key", "left_semi").select("key", "stretch"))
-    system = system.join(stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    system = written(system.join(stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"))
     systems = join_sized(stretches, system, ["key"], "n", stretches.count()).select("key", "stretch", F.lit(2).alias("kind"), "turn")
     near_end = F.col("pos") % size >= size - history
     places = F.when(near_end, F.array(F.struct(stretch.alias("stretch"), F.lit(0).alias("kind")), F.struct((stretch + 1).alias("stretch"), F.lit(1).alias("kind")))).otherwise(F.array(F.struct(stretch.alias("stretch"), F.lit(0).alias("kind"))))

@@ -141,11 +141,15 @@ HOT_SHARE = 1024
 
 
 def join_sized(left: DataFrame, right: DataFrame, on: list[str], size: str, rows: int) -> DataFrame:
-    """An inner join of left (of so many rows) with right, which has a row a key with the key's rows in left in column `size`.
-    Hot keys' rows stay where they are and meet a broadcast of HOT_SHARE rows at most; only the others are shuffled."""
-    hot = F.broadcast(right.where(F.col(size) * HOT_SHARE > rows))
-    rare = left.join(hot.select(*on), on, "left_anti").join(right.where(F.col(size) * HOT_SHARE <= rows), on)
-    return left.join(hot, on).unionByName(rare)
+    """An inner join of left (of so many rows) with right, a written table with a row a key and the key's rows in left in column
+    `size`. Hot keys' rows stay where they are and meet a broadcast of some HOT_SHARE rows; only the others are shuffled.
+    Both sides are told apart by the hashes of hot keys, HOT_SHARE numbers at most."""
+    key = F.xxhash64(*on)
+    found = [r[0] for r in right.where(F.col(size) * HOT_SHARE > rows).select(key).distinct().collect()]
+    if not found:
+        return left.join(right, on)
+    hot = key.isin(found)
+    return left.where(hot).join(F.broadcast(right.where(hot)), on).unionByName(left.where(~hot).join(right.where(~hot), on))
 
 
 def release(spark: SparkSession) -> None:

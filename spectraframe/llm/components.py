@@ -16,7 +16,7 @@ from .common import MOST_BROADCAST, discard, join_sized, written
 
 def _with_least(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
     """edges with the row (u, m, n) of their u; n is how many edges u has."""
-    return edges.join(F.broadcast(least.drop("n")), "u") if rows <= MOST_BROADCAST else join_sized(edges, least, ["u"], "n", rows).drop("n")
+    return edges.join(F.broadcast(least.drop("n")), "u") if rows <= MOST_BROADCAST else join_sized(edges, written(least), ["u"], "n", rows).drop("n")
 
 
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:

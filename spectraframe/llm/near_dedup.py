@@ -110,7 +110,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, least: int
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets reach the threshold, as (u, v). Each text is sent once to each group of
     LEAVES pairs that one a has."""
-    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / LEAVES).cast("int"))
+    stars = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / LEAVES).cast("int")))
     leaves = join_sized(pairs, stars, ["a"], "n", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("leaf"), F.col("b").alias("id"))
     wanted = leaves.unionByName(stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("leaf"), F.col("a").alias("id")))
     rows = wanted.join(texts, "id").select("a", "part", "leaf", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "leaf")
@@ -161,7 +161,7 @@ def rarest(leaves: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(at), batch.column(1).take(at)], ["h", "id", "component"])
 
     each = written(leaves.join(texts, "id").select("id", "component", "text").mapInArrow(listed, "h long, id long, component long"))
-    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    often = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")))
     counted = join_sized(each, often, ["h"], "df", each.count())
     sets = counted.groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     n = F.size("s")
