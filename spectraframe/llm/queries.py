@@ -93,5 +93,36 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1."""
+    return op1_chat_formatting(spark, sf_dir).drop("formatted_chars")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2."""
+    return op2_quality_rules(spark, sf_dir).drop("kept", "quality")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4."""
+    return op4_lm_scoring(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 3))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7."""
+    return op7_mixing(spark, sf_dir).drop("taken").withColumn("target", F.round("target", 3))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9."""
+    return op9_url_filters(spark, sf_dir).withColumn("verdict", F.when(F.col("rule").isNotNull(), F.col("verdict")))
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: DuckDB's patterns give texts, not places."""
+    return op10_pii(spark, sf_dir).drop("base_sha256", "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_best_fit_packing, op4_lm_scoring, op5_near_dedup, op6_exact_dedup, op7_mixing, op8_line_dedup, op9_url_filters, op10_pii)}
+    own = (op1_chat_formatting, op2_quality_rules, op3_best_fit_packing, op4_lm_scoring, op5_near_dedup, op6_exact_dedup, op7_mixing, op8_line_dedup, op9_url_filters, op10_pii)
+    return {f.__name__: f for f in (*own, chat_digests, quality_base, lm_base, mix_targets, url_rules, pii_counts)}

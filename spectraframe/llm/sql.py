@@ -35,5 +35,61 @@ FROM d GROUP BY doc_id
 """
 
 
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+CHAT = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, CASE WHEN k = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(k)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(all_) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256 FROM g
+"""
+
+QUALITY = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
+g AS (SELECT doc_id, k, list_aggregate(w[k : k + 4], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)),
+d AS (SELECT doc_id, k FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM d, range(5) r(j) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+       len(l.l) - len(list_distinct(l.l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w.w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w.w) AS base_failed
+FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))))"
+
+LM = f"""
+WITH t AS (SELECT doc_id, {CRC} % 7 = 2 AS held_out, unnest(list_append({WORDS.replace("coalesce(text, '')", _LOWER.format(x="coalesce(text, '')"))}, chr(10))) AS t FROM documents),
+c AS (SELECT t, count(*) AS c FROM t WHERE NOT held_out GROUP BY t), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n.n + n.v + 1))), 3) AS base_score
+FROM t LEFT JOIN c USING (t), n GROUP BY doc_id, held_out
+"""
+
+MIX = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS}) AS size FROM documents),
+s AS (SELECT source, sum(size) AS size, list_extract([3, 1, 2], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)) AS w FROM d GROUP BY source),
+r AS (SELECT *, 2 * size / w AS cap, coalesce(sum(2 * size) OVER b, 0) AS full_, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS open_, 1.5 * sum(size) OVER () AS total FROM s WINDOW b AS (ORDER BY 2 * size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min((total - full_) / open_, cap) FILTER (WHERE cap >= (total - full_) / open_) AS level FROM r)
+SELECT doc_id, d.size, CAST(r.size AS BIGINT) AS source_size, round(least(2.0 * r.size, level * w), 3) AS target FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source, l
+"""
+
+URLS = f"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, {_LOWER.format(x="regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) t(rh, rp, verdict)),
+f AS (SELECT page_id, rh || rp AS rule, verdict FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) = 1)
+SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN f USING (page_id)
+"""
+
+PII = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+c AS (SELECT doc_id, regexp_extract_all(x, '[0-9](?:[\\x20-]?[0-9])+') AS c, regexp_extract_all(x, '[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)') AS i, regexp_extract_all(x, '\\+[0-9][\\x20().0-9-]+[0-9]') AS p, regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+') AS e FROM t),
+d AS (SELECT *, list_transform(c, lambda y: list_transform(string_split(reverse(regexp_replace(y, '[^0-9]', '', 'g')), ''), lambda z: CAST(z AS INT))) AS cd FROM c)
+SELECT doc_id, len(e) AS n_email, len(list_filter(i, lambda y: list_max(list_transform(string_split(y, '.'), lambda z: CAST(z AS HUGEINT))) <= 255)) AS n_ip,
+  len(list_filter(cd, lambda y: len(y) BETWEEN 13 AND 19 AND list_sum(list_transform(y, lambda z, k: CASE WHEN k % 2 = 1 THEN z WHEN z > 4 THEN 2 * z - 9 ELSE 2 * z END)) % 10 = 0)) AS n_card,
+  len(list_filter(p, lambda y: length(regexp_replace(y, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) AS n_phone
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": OP5, "op6_exact_dedup": OP6, "op8_line_dedup": OP8}
+    return {"op5_near_dedup": OP5, "op6_exact_dedup": OP6, "op8_line_dedup": OP8, "chat_digests": CHAT, "quality_base": QUALITY, "lm_base": LM, "mix_targets": MIX, "url_rules": URLS, "pii_counts": PII}

@@ -98,6 +98,63 @@ def base_scores(docs):
     return [(i, held[i], len(ts), sum(c[t] > 0 for t in ts), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts)) for i, ts in tokens]
 
 
+def tree_scores(docs, learns, least=3, discount=0.75, depth=None):
+    """log10 of each text's probability by a suffix tree of tuples of words, and how long its contexts are."""
+    texts = [["<s>", *words((x or "").translate(LOWER)), "</s>"] for x in docs]
+    train = [t for t, own in zip(texts, learns, strict=True) if own]
+    c = Counter(w for t in train for w in t[1:])
+    n, v = sum(c.values()), len(c)
+    root = {w: (k + 1) / (n + v + 1) for w, k in c.items()}
+    grown = []  # of each level: context -> (explicit symbols' counts, size, diverges, probabilities so far)
+    places = [(t, i) for t in train for i in range(1, len(t))]
+    while depth is None or len(grown) < depth:
+        level = len(grown) + 1
+        places = [(t, i) for t, i in places if i >= level and (level == 1 or tuple(t[i - level + 1 : i]) in grown[-1])]
+        sizes = Counter(tuple(t[i - level : i]) for t, i in places)
+        symbols = defaultdict(Counter)
+        for t, i in places:
+            symbols[tuple(t[i - level : i])][t[i]] += 1
+        found = {}
+        for g, size in sizes.items():
+            if size < least:
+                continue
+            was = root if level == 1 else grown[-1][g[1:]][3]
+            own = {s: k for s, k in symbols[g].items() if k >= least and (s in was if level > 1 else c[s] >= least)}
+            if not own:
+                continue
+            p = {s: (k - discount) / size for s, k in own.items()}
+            rest, rest_was = (max(1 - sum(x[s] for s in own), 1e-9) for x in (p, was))
+            gain = sum(k * math.log(p[s] / was[s]) for s, k in own.items()) + size * rest * math.log(rest / rest_was)
+            diverges = gain >= 0.5 * len(own) * math.log(max(size, 2))
+            if diverges or level == 1 or grown[-1][g[1:]][2]:
+                found[g] = (own, size, diverges, p if diverges else {s: was[s] for s in own})
+        if not found:
+            break
+        grown.append(found)
+    kept = {g for level in grown for g, x in level.items() if x[2]}
+    kept |= {g[k:] for g in kept for k in range(len(g))}
+    table = {}
+    for level in grown:
+        for g, (own, size, _, _) in level.items():
+            if g in kept:
+                was = root if len(g) == 1 else table[g[1:]][0]
+                p = {s: (k - discount) / size for s, k in own.items()}
+                rest, rest_was = (max(1 - sum(x[s] for s in own), 1e-9) for x in (p, was))
+                table[g] = (p, rest / rest_was)
+
+    def score(t):
+        total = 0.0
+        for i in range(1, len(t)):
+            p, k = root.get(t[i], 1 / (n + v + 1)), 1
+            while k <= i and (x := table.get(tuple(t[i - k : i]))):
+                p = x[0].get(t[i], x[1] * p)
+                k += 1
+            total += math.log10(p)
+        return total
+
+    return [score(t) for t in texts], max(map(len, kept), default=0)
+
+
 def shingles(text, k):
     w = words((text or "").translate(LOWER))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()

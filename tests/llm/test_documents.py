@@ -427,6 +427,19 @@ def test_scores(odd, odd_rows):
     assert suffix_tree.scored(odd, ~held).where("score IS NULL OR isnan(score) OR score > 0").count() == 0
 
 
+@pytest.mark.parametrize(("depth", "deep"), [(None, 2), (3, 4)])
+def test_scores_against_brute_force(spark, sf_dir, monkeypatch, depth, deep):
+    """The model's score of each text of a whole test table, whatever the level from which windows are read."""
+    monkeypatch.setattr(suffix_tree, "DEEP", deep)
+    monkeypatch.setattr(suffix_tree, "WINDOW_TOKENS", 1000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "never seen")], "doc_id long, text string"))
+    rows = docs.collect()
+    want, longest = brute.tree_scores([r.text for r in rows], [zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for r in rows], depth=depth)
+    got = {r.id: r.score for r in suffix_tree.scored(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2, depth=depth).collect()}
+    assert all(got[r.doc_id] == pytest.approx(w, rel=1e-6) for r, w in zip(rows, want, strict=True))
+    assert longest == depth if depth else longest > 3
+
+
 def test_scores_empty(empty, odd):
     assert suffix_tree.scored(empty, F.lit(True)).count() == 0
     assert suffix_tree.scored(odd, F.lit(False)).where("train_tokens <> 0 OR base_score <> 0").count() == 0
