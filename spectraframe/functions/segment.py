@@ -27,6 +27,39 @@ def pipeline_cell_mask(actin: np.ndarray | None, shape: tuple[int, int] = (256,
         return np.ones(actin.shape, bool)
 
 
+class Ladder(NamedTuple):
+    """Where to go if Otsu's threshold is out of bounds: percentiles in order, of which the first counts that leaves more than
+    `least` pixels (if under 1, that share of them) and less than the share `most` above it; else the percentile `last`."""
+
+    steps: tuple[int, ...]
+    least: float
+    most: float
+    last: int
+
+
+#: The ladders, sizes and radii of nuclei and of cells around them.
+NUCLEI_LADDER = Ladder((80, 75, 70, 65, 60), 50, 0.5, 75)
+CELL_LADDER = Ladder((50, 45, 40, 35), 0.1, 0.6, 40)
+CELL_BOUNDS, FAINT, FAINT_STEP = (0.1, 0.9), 0.05, 30
+SMALL_CELL, SMALL_CELL_REACH, MOST_NUCLEI = 1000, 20, 4
+ANCHOR_STEP, ANCHOR_SIZE, LOOSE_STEP = 85, 100, 25
+
+
+def climb(values: np.ndarray, counted: np.ndarray, bounds: tuple[float, float], ladder: Ladder, bound_steps: bool) -> float:
+    """Otsu's threshold of the values if it is within bounds, else the ladder's. Pixels above a step are counted in `counted`;
+    with bound_steps the step that counts has to be within bounds too, or the last percentile does."""
+    low, high = bounds
+    t = raster.otsu(values)
+    if low <= t <= high:
+        return t
+    steps = np.percentile(values, ladder.steps)
+    above = np.array([(counted > x).sum() for x in steps])
+    least = ladder.least * values.size if ladder.least < 1 else ladder.least
+    fits = np.flatnonzero((above > least) & (above < ladder.most * values.size))
+    found = float(steps[fits[0]]) if fits.size else float("nan")
+    return float(np.percentile(values, ladder.last)) if np.isnan(found) or (bound_steps and not low <= found <= high) else found
+
+
 class Nuclei(NamedTuple):
     mask: np.ndarray
     count: int
@@ -37,38 +70,36 @@ class Nuclei(NamedTuple):
     threshold: float
 
 
+def _doubts(areas: list[int], cell_area: float, threshold: float, lo: int, hi: int) -> list[str]:
+    """What is unusual about nuclei of these areas."""
+    cases = {
+        f"no nuclei (threshold {threshold:.3f}, areas {lo} to {hi})": not areas,
+        f"{len(areas)} nuclei, more than {MOST_NUCLEI}": len(areas) > MOST_NUCLEI,
+        f"nuclei cover {sum(areas)} pixels, the cell {cell_area:.0f}": sum(areas) > cell_area,
+    }
+    return [text for text, true in cases.items() if true]
+
+
 def nuclei(image: np.ndarray, cell: np.ndarray, cell_area: float | None = None, blur: float = 1.5, opening_radius: int = 1, least: float = 0.01, most: float = 0.25) -> Nuclei:
     """M5: denoised, thresholded within the cell, smoothed, components of 1 % to 25 % of the cell's area. Splitting touching
     nuclei is left out: the watershed of the original is undone by the union that follows it."""
-    cell_area = float(cell.sum()) if cell_area is None else cell_area
-    blurred = raster.gaussian(raster.median(raster.by_255(image), 5), max(blur, 1.5))
-    within = cell if cell.sum() >= 1000 else regions.dilate(cell, 20)
-    inside = blurred[within]
-    if not inside.size:
-        within, inside = np.ones(cell.shape, bool), blurred.ravel()
-    t = raster.otsu(inside)
-    low, high = np.percentile(inside, (5, 95))
-    if not low <= t <= high:
-        steps = (float(np.percentile(inside, p)) for p in (80, 75, 70, 65, 60))
-        t = next((s for s in steps if 50 < (blurred > s).sum() < 0.5 * inside.size), float(np.percentile(inside, 75)))
-    m = regions.fill_holes(regions.opening((blurred > t) & within, max(opening_radius, 3)))
-    m = regions.closing(regions.opening(m, 2), 2)
-    if cell.sum() > 1000:
-        m &= within
+    total = float(cell.sum())
+    cell_area = total if cell_area is None else cell_area
+    soft = raster.gaussian(raster.median(raster.by_255(image), 5), max(blur, 1.5))
+    zone = cell if total >= SMALL_CELL else regions.dilate(cell, SMALL_CELL_REACH)
+    zone = zone if zone.any() else np.ones(cell.shape, bool)
+    t = climb(soft[zone], soft, tuple(np.percentile(soft[zone], (5, 95))), NUCLEI_LADDER, bound_steps=False)
+    found = zone & (soft > t)
+    for step, radius in ((regions.opening, max(opening_radius, 3)), (lambda m, _: regions.fill_holes(m), 0), (regions.opening, 2), (regions.closing, 2)):
+        found = step(found, radius)
+    if total > SMALL_CELL:
+        found &= zone
     lo, hi = int(cell_area * least), int(cell_area * most)
-    labels, n = regions.label(regions.remove_small(m, lo))
+    labels, n = regions.label(regions.remove_small(found, lo))
     sizes = np.bincount(labels.ravel(), minlength=n + 1)
-    fits = (sizes >= lo) & (sizes <= hi)
-    fits[0] = False
-    areas = sizes[fits].tolist()
-    warnings = []
-    if not areas:
-        warnings.append(f"no nuclei (threshold {t:.3f}, areas {lo} to {hi})")
-    elif len(areas) > 4:
-        warnings.append(f"{len(areas)} nuclei, more than 4")
-    if sum(areas) > cell_area:
-        warnings.append(f"nuclei cover {sum(areas)} pixels, the cell {cell_area:.0f}")
-    return Nuclei(fits[labels], len(areas), areas, warnings, lo, hi, t)
+    kept = (sizes >= lo) & (sizes <= hi) & (np.arange(n + 1) > 0)
+    areas = sizes[kept].tolist()
+    return Nuclei(kept[labels], len(areas), areas, _doubts(areas, cell_area, t, lo, hi), lo, hi, t)
 
 
 def pick_component(found: list[regions.Region], target: tuple[float, float]) -> int | None:
@@ -82,43 +113,37 @@ def pick_component(found: list[regions.Region], target: tuple[float, float]) ->
     return best
 
 
+def _anchor(image: np.ndarray) -> tuple[list[int], tuple[float, float]]:
+    """The box (r0, c0, r1, c1) and the centre of the bright nuclei; without any, of the middle of the image."""
+    h, w = image.shape
+    soft = raster.gaussian(image, 1.5)
+    lit = soft[image > 0.1]
+    found = regions.of(regions.remove_small(soft > np.percentile(lit if lit.size else soft, ANCHOR_STEP), ANCHOR_SIZE))
+    if not found:
+        return [h // 4, w // 4, 3 * h // 4, 3 * w // 4], (h / 2, w / 2)
+    corners, weights = np.array([r.bbox for r in found]), [r.area for r in found]
+    y, x = np.average([r.centroid for r in found], 0, weights)
+    return [*corners[:, :2].min(0).tolist(), *corners[:, 2:].max(0).tolist()], (float(y), float(x))
+
+
 def nuclei_anchored_cell(actin: np.ndarray, nuclei_image: np.ndarray, margin: int = 150, blur: float = 2.5, closing_radius: int = 5, min_size: int = 500) -> np.ndarray:
-    """M6: the actin component that belongs to the nuclei."""
-    a, nu = raster.by_255(actin), raster.by_255(nuclei_image)
-    h, w = a.shape
-    soft = raster.gaussian(nu, 1.5)
-    bright = soft[nu > 0.1]
-    found = regions.of(regions.remove_small(soft > np.percentile(bright if bright.size else soft, 85), 100))
-    if found:
-        box = [f(r.bbox[k] for r in found) for k, f in enumerate((min, min, max, max))]
-        total = sum(r.area for r in found)
-        centre = tuple(sum(r.centroid[k] * r.area for r in found) / total for k in (0, 1))
-    else:
-        box, centre = [h // 4, w // 4, 3 * h // 4, 3 * w // 4], (h / 2, w / 2)
-    top, left = max(0, box[0] - margin), max(0, box[1] - margin)
-    roi = raster.median(raster.gaussian(a[top : min(h, box[2] + margin), left : min(w, box[3] + margin)], blur), 3)
-    if roi.max() > roi.min():
-        roi = (roi - roi.min()) / (roi.max() - roi.min())
-    t = raster.otsu(roi)
-    if not 0.1 <= t <= 0.9:
-        for p in (50, 45, 40, 35):
-            s = float(np.percentile(roi, p))
-            if 0.1 * roi.size < (roi > s).sum() < 0.6 * roi.size:
-                t = s
-                break
-        if not 0.1 <= t <= 0.9:
-            t = float(np.percentile(roi, 40))
-    if t < 0.05:
-        t = float(np.percentile(roi, 30))
-    m = regions.fill_holes(regions.remove_small(regions.closing(roi > t, closing_radius), max(min_size, 500)))
-    labels, n = regions.label(m)
-    if not n:
-        labels, n = regions.label(regions.remove_small(roi > np.percentile(roi, 25), min_size // 2))
-    out = np.zeros((h, w), bool)
+    """M6: the actin component that belongs to the nuclei, looked for around them."""
+    a = raster.by_255(actin)
+    box, centre = _anchor(raster.by_255(nuclei_image))
+    top, left = (max(0, box[k] - margin) for k in (0, 1))
+    window = slice(top, min(a.shape[0], box[2] + margin)), slice(left, min(a.shape[1], box[3] + margin))
+    part = raster.median(raster.gaussian(a[window], blur), 3)
+    span = part.max() - part.min()
+    part = (part - part.min()) / span if span > 0 else part
+    t = climb(part, part, CELL_BOUNDS, CELL_LADDER, bound_steps=True)
+    t = float(np.percentile(part, FAINT_STEP)) if t < FAINT else t
+    dense = regions.fill_holes(regions.remove_small(regions.closing(part > t, closing_radius), max(min_size, 500)))
+    loose = regions.remove_small(part > np.percentile(part, LOOSE_STEP), min_size // 2)
+    labels, n = next((x for x in map(regions.label, (dense, loose)) if x[1]), (None, 0))
+    out = np.zeros(a.shape, bool)
     if not n:
         return out
-    best = pick_component(regions.regions(labels, n), (centre[0] - top, centre[1] - left))
-    out[top : top + roi.shape[0], left : left + roi.shape[1]] = labels == best
+    out[window] = labels == pick_component(regions.regions(labels, n), (centre[0] - top, centre[1] - left))
     out = regions.closing(regions.closing(regions.opening(out, 3), 5), 3)
     return out if out.sum() >= 500 else regions.closing(regions.dilate(out, 10), 5)
 

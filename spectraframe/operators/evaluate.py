@@ -138,13 +138,25 @@ def intra_cluster(vectors: DataFrame) -> DataFrame:
     return sums.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_samples"), F.coalesce(F.sum("total") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("mean_distance"))
 
 
-def intra_cluster_pairs(vectors: DataFrame) -> DataFrame:
-    """A23 with spread: mean, population deviation and maximum over the pairs i < j of each cluster (J3, an equi-join on the
-    cluster with a range residual)."""
-    a, b = vectors.select("id", "cluster", "px"), vectors.select(F.col("id").alias("jd"), F.col("cluster").alias("jc"), F.col("px").alias("py"))
-    d = F.sqrt(squared_distance(F.col("px"), F.col("py")))
-    pairs = a.join(b, (F.col("cluster") == F.col("jc")) & (F.col("id") < F.col("jd"))).select("cluster", d.alias("d"))
-    stats = pairs.groupBy("cluster").agg(F.avg("d").alias("mean_distance"), F.stddev_pop("d").alias("std_distance"), F.max("d").alias("max_distance"))
+def intra_cluster_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A23 with spread: mean, population deviation and maximum over the pairs of each cluster (J3). Blocks of points meet in
+    tasks; what leaves them is a row a cluster of each two blocks, never a row a pair."""
+
+    def sums(x: pa.Table, y: pa.Table) -> pa.RecordBatch:
+        i, j = x.column("id").to_numpy(), y.column("id").to_numpy()
+        own, other = x.column("cluster").to_numpy(), y.column("cluster").to_numpy()
+        pair = own[:, None] == other[None, :]
+        if np.array_equal(np.sort(i), np.sort(j)):  # a block with itself: each pair once
+            pair &= i[:, None] < j[None, :]
+        d, kinds = _distances(x, y), np.unique(own)
+        of = [d[(own == k)[:, None] & pair] for k in kinds]
+        columns = [pa.array(kinds, pa.int32()), pa.array([len(v) for v in of], pa.int64()), *(pa.array([float(f(v)) if len(v) else 0.0 for v in of]) for f in (np.sum, lambda v: (v * v).sum(), np.max))]
+        return pa.RecordBatch.from_arrays(columns, ["cluster", "n", "total", "squares", "most"])
+
+    found = in_blocks(vectors, sums, "cluster int, n long, total double, squares double, most double", block, halves=True)
+    stats = found.groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")], F.max("most").alias("max_distance")).where("n > 0")
+    mean = F.col("total") / F.col("n")
+    stats = stats.select("cluster", mean.alias("mean_distance"), F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mean * mean)).alias("std_distance"), "max_distance")
     sizes = vectors.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_samples"))
     return sizes.join(stats, "cluster", "left").select("cluster", "n_samples", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean_distance", "std_distance", "max_distance")])
 
@@ -156,12 +168,6 @@ def compare_algorithms(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "algorithm").join(sums, "id").groupBy("algorithm").agg(F.avg("d").alias("mean_intra_distance"), F.count(F.lit(1)).alias("n_samples"))
 
 
-def distance_pairs(vectors: DataFrame) -> DataFrame:
-    """C4: (i, j, distance) for i < j, of a set that the caller has bounded."""
-    a, b = vectors.select(F.col("id").alias("i"), "px"), vectors.select(F.col("id").alias("j"), F.col("px").alias("py"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.sqrt(squared_distance(F.col("px"), F.col("py"))).alias("distance"))
-
-
 def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     """Z-scores with the population deviation; a constant column is only centred. One aggregate of one row."""
     stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])

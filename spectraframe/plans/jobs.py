@@ -9,15 +9,17 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import logging
 from dataclasses import replace
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS, Config
-from ..functions import raster
+from ..functions import figures, png, raster
 from ..functions.texture import FEATURES
 from ..operators import clustering, evaluate, generate, imaging, maskops
 from ..sources import images as sources
@@ -69,14 +71,18 @@ def read_samples(spark: SparkSession, manifest: DataFrame, folder: str) -> DataF
 
 
 def evaluate_clusters(features: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(sample_id, method, cluster) and the one-row summary of both clusterings."""
+    """(sample_id, method, cluster) and the one-row summary of both clusterings; without Ward's, whose figures are null then,
+    where there are more samples than it takes."""
     spark = features.sparkSession
     names = [c for c in features.columns if c in FEATURES]
     z = evaluate.standardized(features, names).select("sample_id", "parent_id", "algorithm", F.array(*names).alias("px"))
     z = z.withColumn("id", F.xxhash64("sample_id")).persist()
-    labels, columns = {}, {}
+    labels, columns = {}, {"hierarchical": (None, None, None)}
     labels["kmeans"] = clustering.kmeans(z, config.n_clusters, config.n_init, config.seed)[0].select("id", "cluster")
-    labels["hierarchical"] = clustering.ward(z, config.n_clusters)[0]
+    if z.count() <= clustering.MOST_WARD:
+        labels["hierarchical"] = clustering.ward(z, config.n_clusters)[0]
+    else:
+        log.warning("no hierarchical clustering: more than %d samples", clustering.MOST_WARD)
     for method, found in labels.items():
         rows = z.join(found, "id").withColumn("is_original", F.lower("sample_id").contains("original")).persist()
         match = evaluate.parent_match(rows).where("parent_id = '*' AND algorithm = '*'").first()
@@ -92,7 +98,8 @@ def evaluate_clusters(features: DataFrame, config: Config) -> tuple[DataFrame, D
     n = [counts.get(k, 0) for k in ("original", "alg1", "alg2")]
     compared = [rates.get(k, 0.0) for k in ("alg1", "alg2")] + [by[k]["mean_intra_distance"] if k in by else 0.0 for k in ("alg1", "alg2")] + n[1:]
     summary = spark.createDataFrame([((*n, sum(n)), (columns["kmeans"], columns["hierarchical"]), tuple(compared))], schema)
-    return labels["kmeans"].select("sample_id", "method", "cluster").unionByName(labels["hierarchical"].select("sample_id", "method", "cluster")), summary
+    named = [found.select("sample_id", "method", "cluster") for found in labels.values()]
+    return functools.reduce(DataFrame.unionByName, named), summary
 
 
 def pipeline(spark: SparkSession, data_root: str, output: str, config: Config = Config(), dry_run: bool = False) -> dict[str, DataFrame]:
@@ -116,7 +123,9 @@ def pipeline(spark: SparkSession, data_root: str, output: str, config: Config =
     z = evaluate.standardized(features, names).select(F.col("sample_id").alias("id"), F.array(*names).alias("px"))
     points, _ = clustering.pca(z)
     points.write.mode("overwrite").parquet(f"{output}/pca")
-    return {"manifest": manifest, "features": features, "errors": errors, "labels": labels, "summary": summary, "pca": points}
+    tables = {"manifest": manifest, "features": features, "errors": errors, "labels": labels, "summary": summary, "pca": points}
+    draw(spark, tables, output)
+    return tables
 
 
 def figure_grid(manifest: DataFrame, n: int = 15, seed: int = 42, columns: int = 6) -> DataFrame:
@@ -129,6 +138,38 @@ def figure_grid(manifest: DataFrame, n: int = 15, seed: int = 42, columns: int =
     return rows.withColumn("k", k).withColumns({"row": F.floor(F.col("k") / columns).cast("int"), "column": (F.col("k") % columns).cast("int")})
 
 
+def scattered(points: DataFrame, h: int = 480, w: int = 640) -> list[tuple[int, int, int]]:
+    """Points (pc, cluster) as (row, column, cluster) on a figure: one a pixel and cluster, so as many as it can show."""
+    x, y = F.get("pc", 0), F.get("pc", 1)
+    edge = points.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    if edge[0] is None:
+        return []
+    column = F.round((x - edge[0]) / ((edge[1] - edge[0]) or 1.0) * (w - 1)).cast("int")
+    row = F.round((edge[3] - y) / ((edge[3] - edge[2]) or 1.0) * (h - 1)).cast("int")
+    return [tuple(r) for r in points.select(row.alias("r"), column.alias("c"), F.col("cluster").cast("int").alias("k")).distinct().orderBy("r", "c", "k").collect()]
+
+
+def draw(spark: SparkSession, tables: dict[str, DataFrame], output: str) -> list[str]:
+    """The figures of a run as PNG: image grid, clusters over two components, merges, correlations, both clusterings
+    side by side. What is gathered is what a figure shows."""
+    shown = read_samples(spark, figure_grid(tables["manifest"]).drop("k", "row", "column"), f"{output}/images")
+    places = figure_grid(tables["manifest"]).select("sample_id", "row", "column")
+    tiles = imaging.composites(shown).where("error IS NULL").join(places, "sample_id").collect()
+    made = {"image_grid": figures.grid([(r["row"], r["column"], sources.unpack(r["image"].asDict())) for r in tiles])}
+    features = tables["features"]
+    names = [c for c in features.columns if c in FEATURES]
+    found = {(r["a"], r["b"]): r["corr"] for r in evaluate.correlation_long(features.select(*names), names).collect()}
+    made["correlation_matrix"] = figures.matrix(np.array([[np.nan if found.get((a, b)) is None else found[a, b] for b in names] for a in names], float))
+    scores = tables["pca"].join(tables["labels"], F.col("id") == F.col("sample_id"))
+    parts = {m: figures.scatter(scattered(scores.where(F.col("method") == m))) for m in ("kmeans", "hierarchical")}
+    made |= {"pca_clusters": parts["kmeans"], "cluster_comparison": figures.beside(*parts.values())}
+    z = evaluate.standardized(features, names).select(F.xxhash64("sample_id").alias("id"), F.array(*names).alias("px"))
+    if (n := z.count()) <= clustering.MOST_WARD:
+        merges = clustering.dendrogram(clustering.ward(z)[1], n).orderBy("step").collect()
+        made["dendrogram"] = figures.tree([(r["step"], r["a"], r["b"], r["distance"]) for r in merges], n)
+    return [sources.put(f"{output}/figures", f"{name}.png", png.encode(a)) for name, a in made.items()]
+
+
 def export(spark: SparkSession, manifest_path: str, images: str, output: str, n_gray: int = 9, n_color: int = 21) -> DataFrame:
     """Entry point B, first half: gray channels and colour composites of seeded samples as PNG; (name, path, error)."""
     manifest = sources.read_manifest(spark, manifest_path)

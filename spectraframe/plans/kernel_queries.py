@@ -482,6 +482,174 @@ def kernel_score_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, segment.RELAXED)
 
 
+# segmentation of 32 by 32 enlargements -----------------------------------------------------------------------------------------
+
+BIG = 32
+U = f"{S}, {_bilinear('s', 'im', BIG, 0.25)}, u AS (SELECT vec_id, r, c FROM im)"
+
+
+def _shifted(source: str, name: str, radius: int) -> str:
+    """Table {name}: pixels within a disk of those of source."""
+    return f"{name} AS (SELECT DISTINCT vec_id, r + dr AS r, c + dc AS c FROM {source}, (SELECT CAST(a.range AS INT) AS dr, CAST(b.range AS INT) AS dc FROM range(-{radius}, {radius + 1}) a, range(-{radius}, {radius + 1}) b WHERE a.range * a.range + b.range * b.range <= {radius * radius}) WHERE r + dr BETWEEN 0 AND {BIG - 1} AND c + dc BETWEEN 0 AND {BIG - 1})"
+
+
+def _others(source: str, name: str) -> str:
+    return f"{name} AS (SELECT vec_id, r, c FROM u EXCEPT SELECT vec_id, r, c FROM {source})"
+
+
+def _worn(source: str, name: str, radius: int) -> str:
+    return f"{_others(source, name + '_f')}, {_shifted(name + '_f', name + '_g', radius)}, {_others(name + '_g', name)}"
+
+
+def _closed(source: str, name: str, radius: int) -> str:
+    return f"{_shifted(source, name + '_d', radius)}, {_worn(name + '_d', name, radius)}"
+
+
+def _opened(source: str, name: str, radius: int) -> str:
+    return f"{_worn(source, name + '_e', radius)}, {_shifted(name + '_e', name, radius)}"
+
+
+def _parts(source: str, name: str, reach: int) -> str:
+    """Tables {name}_r (runs of a row, with their component's root) and {name} (components with area), from runs that touch."""
+    return (f"{name}_g AS (SELECT vec_id, r, min(c) AS s, max(c) AS e FROM (SELECT *, c - row_number() OVER (PARTITION BY vec_id, r ORDER BY c) AS g FROM {source}) GROUP BY vec_id, r, g), {name}_q AS (SELECT *, r * {BIG} + s AS q FROM {name}_g), "
+            f"{name}_a AS (SELECT a.vec_id, a.q AS q, b.q AS o FROM {name}_q a JOIN {name}_q b ON a.vec_id = b.vec_id AND abs(a.r - b.r) = 1 AND a.s <= b.e + {reach} AND b.s <= a.e + {reach}), {name}_x AS (SELECT vec_id, q, q AS root FROM {name}_q UNION SELECT x.vec_id, a.o, x.root FROM {name}_x x JOIN {name}_a a ON a.vec_id = x.vec_id AND a.q = x.q), "
+            f"{name}_m AS (SELECT vec_id, q, min(root) AS root FROM {name}_x GROUP BY ALL), {name}_r AS (SELECT q.*, m.root FROM {name}_q q JOIN {name}_m m ON m.vec_id = q.vec_id AND m.q = q.q), {name} AS (SELECT vec_id, root, sum(e - s + 1) AS area FROM {name}_r GROUP BY ALL)")
+
+
+def _kept(source: str, name: str, least: str, reach: int = 0) -> str:
+    """Table {name}: pixels of source in components that fulfil a condition on their area."""
+    return f"{_parts(source, name + '_p', reach)}, {name} AS (SELECT k.vec_id, k.r, k.c FROM {source} k JOIN {name}_p_r w ON w.vec_id = k.vec_id AND w.r = k.r AND k.c BETWEEN w.s AND w.e JOIN {name}_p z ON z.vec_id = w.vec_id AND z.root = w.root WHERE {least})"
+
+
+def _filled(source: str, name: str) -> str:
+    return (f"{_others(source, name + '_b')}, {_parts(name + '_b', name + '_p', 0)}, {name}_o AS (SELECT DISTINCT vec_id, root FROM {name}_p_r WHERE r IN (0, {BIG - 1}) OR s = 0 OR e = {BIG - 1}), "
+            f"{name} AS (SELECT vec_id, r, c FROM {source} UNION ALL SELECT k.vec_id, k.r, k.c FROM {name}_b k JOIN {name}_p_r w ON w.vec_id = k.vec_id AND w.r = k.r AND k.c BETWEEN w.s AND w.e ANTI JOIN {name}_o o ON o.vec_id = w.vec_id AND o.root = w.root)")
+
+
+def _otsu_of(source: str, name: str, bins: str, middle: str) -> str:
+    """Table {name}: Otsu's threshold t of each raster of source."""
+    body = _otsu(bins, middle).replace("FROM s ", f"FROM {source} ").replace("round(CASE WHEN hi > lo THEN mid ELSE lo END, 5) + 0.0 AS threshold", "CASE WHEN hi > lo THEN mid ELSE lo END AS t")
+    for k in ("l", "h", "m", "w", "z"):
+        body = body.replace(f"{k} AS (SELECT", f"{name}_{k} AS (SELECT", 1)
+    body = body.replace("JOIN l USING", f"JOIN {name}_l USING").replace("FROM h)", f"FROM {name}_h)").replace("FROM m WINDOW", f"FROM {name}_m WINDOW").replace("FROM w)", f"FROM {name}_w)").replace("FROM z QUALIFY", f"FROM {name}_z QUALIFY")
+    tables, _, last = body.rpartition("\nSELECT")
+    return f"{tables}, {name} AS (SELECT{last})"
+
+
+BINS = ("least(255, CAST(floor((v - lo) / (hi - lo) * 256) AS INT))", "lo + (bin + 0.5) * ((hi - lo) / 256)")
+BIG_SUMS = f"SELECT i.vec_id, count(k.r) AS area, CAST(coalesce(sum(k.r * {BIG} + k.c), 0) AS BIGINT) AS places FROM (SELECT DISTINCT vec_id FROM u) i LEFT JOIN {{}} k USING (vec_id) GROUP BY i.vec_id"
+
+
+def enlarged(a: np.ndarray) -> np.ndarray:
+    return raster.resize(a.astype(np.float64), (BIG, BIG))
+
+
+@query(f"WITH RECURSIVE {U}, by_ AS (SELECT vec_id, r, c, floor(v * 255) AS v FROM im), {_otsu_of('by_', 'th', 'CAST(v AS INT)', 'CAST(bin AS DOUBLE)')}, m0 AS (SELECT b.vec_id, b.r, b.c FROM by_ b JOIN th ON th.vec_id = b.vec_id WHERE b.v > th.t), {_kept('m0', 'm1', 'z.area >= 500')}, {_closed('m1', 'm2', 5)} " + BIG_SUMS.format("m2"))
+def kernel_cell_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4."""
+    return each(stretched(spark, sf_dir), lambda i, a: [_sums(i, segment.pipeline_cell_mask(enlarged(a)))], MASKS)
+
+
+def _qc_counts(name: str, most: float) -> str:
+    return f"SELECT i.vec_id, CASE WHEN coalesce(max(area), 0) > {most * BIG * BIG} THEN 0.0 ELSE coalesce(max(area), 0) END AS area, CASE WHEN coalesce(max(area), 0) > {most * BIG * BIG} THEN 0 ELSE CAST(count(area) AS INT) END AS parts FROM (SELECT DISTINCT vec_id FROM u) i LEFT JOIN {name} USING (vec_id) GROUP BY i.vec_id"
+
+
+ABOVE = f"{_otsu_of('im', 'th', *BINS)}, m0 AS (SELECT b.vec_id, b.r, b.c FROM im b JOIN th ON th.vec_id = b.vec_id WHERE b.v > th.t)"
+
+
+@query(f"WITH RECURSIVE {U}, {ABOVE}, {_closed('m0', 'm1', 3)}, {_opened('m1', 'm2', 2)}, {_kept('m2', 'm3', 'z.area >= 100')}, {_parts('m3', 'm4', 1)} " + _qc_counts("m4", 0.8))
+def kernel_qc_nucleus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1."""
+    return each(stretched(spark, sf_dir), lambda i, a: [(i, *segment.qc_nucleus(enlarged(a)))], "vec_id long, area double, parts int")
+
+
+@query(f"WITH RECURSIVE {U}, {ABOVE}, low AS (SELECT vec_id, quantile_cont(v, 0.5) AS q FROM im GROUP BY vec_id), im2 AS (SELECT vec_id, r, c, CASE WHEN v < q THEN v ELSE 0.0 END AS v FROM im JOIN low USING (vec_id)), {_otsu_of('im2', 'th2', *BINS)}, m00 AS (SELECT vec_id, r, c FROM m0 UNION SELECT b.vec_id, b.r, b.c FROM im2 b JOIN th2 ON th2.vec_id = b.vec_id WHERE b.v > th2.t), {_closed('m00', 'm1', 5)}, {_opened('m1', 'm2', 3)}, {_kept('m2', 'm3', 'z.area >= 500')}, {_parts('m3', 'm4', 1)} " + _qc_counts("m4", 0.98))
+def kernel_qc_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of two channels' masks, the second of the darker half."""
+
+    def of(i, a):
+        x = enlarged(a)
+        return [(i, *segment.qc_cell(x, np.where(x < np.quantile(x, 0.5), x, 0.0)))]
+
+    return each(stretched(spark, sf_dir), of, "vec_id long, area double, parts int")
+
+
+def _widely(source: str, name: str, radius: int) -> str:
+    """Table {name}: the median over a disk, outside repeating the nearest pixel."""
+    edge = [f"greatest(0, least({BIG - 1}, {x}))" for x in ("g.r + dr", "g.c + dc")]
+    return f"{name} AS (SELECT p.vec_id, g.r, g.c, median(p.v) AS v FROM (SELECT CAST(a.range AS INT) AS r, CAST(b.range AS INT) AS c FROM range({BIG}) a, range({BIG}) b) g, (SELECT CAST(a.range AS INT) AS dr, CAST(b.range AS INT) AS dc FROM range(-{radius}, {radius + 1}) a, range(-{radius}, {radius + 1}) b WHERE a.range * a.range + b.range * b.range <= {radius * radius}) JOIN {source} p ON p.r = {edge[0]} AND p.c = {edge[1]} GROUP BY ALL)"
+
+
+def _blurred(source: str, name: str, sigma: float) -> str:
+    radius = int(4 * sigma + 0.5)
+
+    def back(x: str) -> str:
+        return f"(CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} > {BIG - 1} THEN {2 * BIG - 1} - ({x}) ELSE {x} END)"
+
+    return (f"{name}_k AS (SELECT d, w / sum(w) OVER () AS w FROM (SELECT CAST(range AS INT) AS d, exp(-0.5 * (range / {sigma}) ** 2) AS w FROM range(-{radius}, {radius + 1}))), {name}_l AS (SELECT CAST(range AS INT) AS k FROM range({BIG})), "
+            f"{name}_v AS (SELECT p.vec_id, l.k AS r, p.c, sum(w * v) AS v FROM {name}_l l, {name}_k k JOIN {source} p ON p.r = {back('l.k + d')} GROUP BY ALL), {name} AS (SELECT p.vec_id, p.r, l.k AS c, sum(w * v) AS v FROM {name}_l l, {name}_k k JOIN {name}_v p ON p.c = {back('l.k + d')} GROUP BY ALL)")
+
+
+NUCLEI = f"""WITH RECURSIVE {U}, {_widely('im', 'med', 5)}, {_blurred('med', 'soft', 1.5)}, {_otsu_of('soft', 'th', *BINS)}, pc AS (SELECT vec_id, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi, quantile_cont(v, 0.75) AS p75 FROM soft GROUP BY vec_id),
+st AS (SELECT vec_id, unnest(range(1, 6)) AS k, unnest(s) AS s FROM (SELECT vec_id, quantile_cont(v, [0.8, 0.75, 0.7, 0.65, 0.6]) AS s FROM soft GROUP BY vec_id)), fit AS (SELECT st.vec_id, k, any_value(s) AS s FROM st JOIN soft USING (vec_id) GROUP BY st.vec_id, k HAVING count(*) FILTER (WHERE v > s) > 50 AND count(*) FILTER (WHERE v > s) < {BIG * BIG // 2}), f1 AS (SELECT vec_id, arg_min(s, k) AS s FROM fit GROUP BY vec_id),
+tt AS (SELECT vec_id, CASE WHEN t BETWEEN lo AND hi THEN t ELSE coalesce(f1.s, p75) END AS t FROM th JOIN pc USING (vec_id) LEFT JOIN f1 USING (vec_id)), m0 AS (SELECT b.vec_id, b.r, b.c FROM soft b JOIN tt ON tt.vec_id = b.vec_id WHERE b.v > tt.t),
+{_opened('m0', 'm1', 3)}, {_filled('m1', 'm2')}, {_opened('m2', 'm3', 2)}, {_closed('m3', 'm4', 2)}, {_kept('m4', 'm5', f'z.area >= {BIG * BIG // 100}')}, {_kept('m5', 'm6', f'z.area BETWEEN {BIG * BIG // 100} AND {BIG * BIG // 4}', 1)} """
+
+
+@query(NUCLEI + BIG_SUMS.format("m6"))
+def kernel_nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5, M8 within a cell that is the whole raster."""
+    return each(stretched(spark, sf_dir), lambda i, a: [_sums(i, segment.simple_nuclei(enlarged(a), np.ones((BIG, BIG), bool)))], MASKS)
+
+
+SIMPLE = f"WITH RECURSIVE {U}, {_blurred('im', 'soft', 2.0)}, {_otsu_of('soft', 'th', *BINS)}, m0 AS (SELECT b.vec_id, b.r, b.c FROM soft b JOIN th ON th.vec_id = b.vec_id WHERE b.v > th.t), {_closed('m0', 'm1', 2)}, {_kept('m1', 'm2', 'z.area >= 60')}, {_filled('m2', 'm3')}, {_parts('m3', 'm4', 1)}, top AS (SELECT vec_id, root FROM m4 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY area DESC, root) = 1), m5 AS (SELECT k.vec_id, k.r, k.c FROM m3 k JOIN m4_r w ON w.vec_id = k.vec_id AND w.r = k.r AND k.c BETWEEN w.s AND w.e JOIN top z ON z.vec_id = w.vec_id AND z.root = w.root) "
+
+
+@query(SIMPLE + BIG_SUMS.format("m5"))
+def kernel_simple_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7, with a closing of 2 and components from 60 pixels, as there are 1,024."""
+    return each(stretched(spark, sf_dir), lambda i, a: [_sums(i, segment.simple_cell(enlarged(a), closing_radius=2, min_size=60))], MASKS)
+
+
+CELL_CHANNELS = f"{S}, q AS (SELECT vec_id // 4 AS cell_id, vec_id % 4 AS ch, r, c, CAST(floor(v * 255) AS INT) AS v FROM s), rgb AS (SELECT cell_id, r, c, max(v) FILTER (WHERE ch = 2) AS red, max(v) FILTER (WHERE ch = 1) AS green, max(v) FILTER (WHERE ch = 3) AS blue FROM q GROUP BY ALL)"
+
+
+@query(f"WITH {CELL_CHANNELS} SELECT cell_id, r, c, red, green, blue, round(0.299 * red + 0.587 * green + 0.114 * blue, 5) AS gray FROM rgb")
+def composite_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8, P9, P10 by the kernels: a composite split into its channels again."""
+    names = ("actin", "mt", "nuc")
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"sample_id": pdf["cell_id"].astype(str)} | {n: [sources.pack(np.array(x).reshape(8, 8)) for x in pdf[n]] for n in names})
+
+    schema = "sample_id string, " + ", ".join(f"{n} {RASTER.simpleString()}" for n in names)
+    made = imaging.composites(pixels.channels(images(spark, sf_dir)).select("cell_id", *names).mapInPandas(packed, schema))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, x in zip(pdf["sample_id"], pdf["image"], strict=True):
+                a = sources.unpack(x if isinstance(x, dict) else x.asDict())
+                gray = raster.luminance(a)
+                out += [(int(i), r, c, *map(int, a[r, c]), float(gray[r, c])) for r in range(8) for c in range(8)]
+            yield pd.DataFrame(out, columns=["cell_id", "r", "c", "red", "green", "blue", "gray"])
+
+    return rounded(made.select("sample_id", "image").mapInPandas(of, "cell_id long, r int, c int, red int, green int, blue int, gray double"))
+
+
+@query("SELECT vec_id, FALSE AS passes, 'Processing error: an RGB image is needed, not (8, 8)' AS reasons FROM embeddings")
+def split_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image without three channels is a failing row with the reason."""
+
+    def gray(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"filename": pdf["vec_id"].astype(str), "image": [sources.pack(np.array(x).reshape(8, 8)) for x in pdf["px"]]})
+
+    rows = images(spark, sf_dir).select("vec_id", "px").mapInPandas(gray, f"filename string, image {RASTER.simpleString()}")
+    return imaging.quality(rows).select(F.col("filename").cast("long").alias("vec_id"), "passes", "reasons")
+
+
 # models' edges -------------------------------------------------------------------------------------------------------------
 
 

@@ -164,7 +164,7 @@ def write_summary(summary: DataFrame, folder: str) -> None:
     summary.select(F.explode(lines).alias("value")).write.mode("overwrite").text(f"{folder}/summary_text")
 
 
-def _put(folder: str, name: str, data: bytes) -> str:
+def put(folder: str, name: str, data: bytes) -> str:
     """A file of that name (which can have folders) under a folder, complete or absent; its address."""
     store, base = _store(folder)
     target = f"{base.rstrip('/')}/{name}"
@@ -188,7 +188,7 @@ def write_images(rows: DataFrame, folder: str, name: str = "name", image: str =
             for n, r in zip(pdf["name"], pdf["image"], strict=True):
                 try:
                     a = unpack(dict(r) if isinstance(r, dict) else r.asDict())
-                    out.append((n, _put(folder, n, png.encode(a if a.dtype == np.uint8 else raster.to_byte(a))), None))
+                    out.append((n, put(folder, n, png.encode(a if a.dtype == np.uint8 else raster.to_byte(a))), None))
                 except Exception as e:  # the row keeps the reason
                     out.append((n, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["name", "path", "error"])
@@ -205,7 +205,7 @@ def copy_files(paths: DataFrame, folder: str) -> DataFrame:
             for path in pdf.iloc[:, 0]:
                 store, at = _store(path)
                 with store.open_input_stream(at) as data:
-                    done.append(_put(folder, at.rpartition("/")[2], data.read()))
+                    done.append(put(folder, at.rpartition("/")[2], data.read()))
             yield pd.DataFrame({"path": pdf.iloc[:, 0], "copied": done})
 
     return paths.mapInPandas(copy, "path string, copied string")

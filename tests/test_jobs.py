@@ -54,6 +54,10 @@ def test_pipeline(made):
         assert -1 <= m.silhouette_score <= 1
         assert 0 <= m.parent_match_rate <= 1
     assert tables["labels"].count() == 30
+    drawn = {p.stem: png.decode(p.read_bytes()) for p in (out / "figures").glob("*.png")}
+    assert set(drawn) == {"image_grid", "pca_clusters", "cluster_comparison", "dendrogram", "correlation_matrix"}
+    assert all(a.ndim == 3 and (a != 255).any() for a in drawn.values())
+    assert len({c for c in drawn["pca_clusters"].reshape(-1, 3).tolist() for c in [tuple(c)]}) == 1 + tables["labels"].where("method = 'kmeans'").select("cluster").distinct().count()
     assert jobs.figure_grid(tables["manifest"], 5).count() == 8
 
 
@@ -67,6 +71,39 @@ def test_export_and_quality(spark, made, tmp_path):
     assert len(list((tmp_path / "qc" / "color_clean").glob("*.png"))) == results.where("passes").count()
 
 
+def test_more_samples_than_ward_takes(spark, made, monkeypatch):
+    """The rest goes on, and hierarchical figures are null."""
+    from spectraframe.operators import clustering
+
+    monkeypatch.setattr(clustering, "MOST_WARD", 10)
+    labels, summary = jobs.evaluate_clusters(made[1]["features"], CONFIG)
+    assert {r.method for r in labels.select("method").distinct().collect()} == {"kmeans"}
+    s = summary.first().clustering
+    assert s.hierarchical.silhouette_score is None
+    assert s.kmeans.silhouette_score is not None
+
+
+def test_figures():
+    from spectraframe.functions import figures
+
+    g = figures.grid([(0, 0, np.zeros((10, 20))), (1, 2, np.full((8, 8, 3), 7, np.uint8))], tile=16, gap=2)
+    assert g.shape == (2 * 18 + 2, 3 * 18 + 2, 3)
+    assert (g[20 : 20 + 16, 38 : 38 + 16] == 7).all()
+    s = figures.scatter([(0, 0, 0), (9, 9, 1)], 10, 10, 1)
+    assert (s[1, 1] == figures.COLOURS[0]).all()
+    assert (s[10, 10] == figures.COLOURS[1]).all()
+    t = figures.tree([(0, 0, 1, 1.0), (1, 2, 3, 2.0), (2, 4, 5, 4.0)], 4, 101, 81)
+    dark = (t == 40).all(-1)
+    assert dark[5].sum() > 20  # the last merge's bar, at 95 % of the height
+    assert dark.any(1).sum() > 90
+    assert (figures.tree([], 4) == 255).all()
+    part = figures.tree([(1, 2, 3, 2.0), (2, 4, 5, 4.0)], 4, 101, 81)  # without the merge that made 4
+    assert (part == 40).any()
+    m = figures.matrix(np.array([[1.0, -1.0], [0.0, np.nan]]), 2)
+    assert [tuple(m[y, x]) for y, x in ((0, 0), (0, 2), (2, 0), (2, 2))] == [(178, 24, 43), (33, 102, 172), (255, 255, 255), (200, 200, 200)]
+    assert figures.beside(s, s).shape == (12, 12 + 12 + 12, 3)
+
+
 def test_a_file_that_is_no_image_fails_with_a_reason(spark):
     rows = spark.createDataFrame([("color_x.png", bytearray(b"nothing"))], "path string, content binary")
     (r,) = imaging.quality(sources.decoded(rows).withColumn("filename", F.col("path"))).collect()
