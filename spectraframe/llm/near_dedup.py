@@ -40,6 +40,7 @@ LEAVES = 128  # of a star in one group of the confirming step
 OUTER = 128  # leaves outside a bucket's largest component that are compared at once
 INNER = 1024  # leaves of a bucket that they are compared with in one group
 LARGE = 1024  # leaves of a bucket that meet without being split by their rarest shingles
+CELLS = 1 << 20  # counters that order shingles
 _COEFFICIENTS = np.random.default_rng(11).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -148,25 +149,44 @@ def leaf_links(leaves: DataFrame, found: DataFrame, texts: DataFrame, words: int
 
 
 def rarest(leaves: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(h, id, component): each leaf (id, component) under those of its rarest shingles, among all leaves here, of which sets
-    that reach the threshold share one. Shingles that no other leaf has are left out."""
+    """(h, id, component): each leaf (id, component) under those of its rarest shingles of which sets that reach the threshold
+    share one. Any order of all shingles serves; this one is by a count of the leaves that have a shingle, or another of
+    the same of CELLS cells, so what is gathered and broadcast is a number a cell. Shingles alone in a cell are left out."""
+    spark = texts.sparkSession
+    rows = written(leaves.join(texts, "id").select("id", "component", "text"))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), words):
+                np.add.at(total, _cell(s), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    found = rows.select("text").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    often = spark.sparkContext.broadcast(counts)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(2), words)
-            for lo in range(0, len(sets), 64):
-                some = sets[lo : lo + 64]
-                at = pa.array(np.repeat(np.arange(lo, lo + len(some)), [len(x) for x in some]))
-                h = signed(np.concatenate(some)) if some else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(at), batch.column(1).take(at)], ["h", "id", "component"])
-
-    each = written(leaves.join(texts, "id").select("id", "component", "text").mapInArrow(listed, "h long, id long, component long"))
-    often = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")))
-    counted = join_sized(each, often, ["h"], "df", each.count())
-    sets = counted.groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    n = F.size("s")
-    first = F.slice("s", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    return written(sets.select("id", "component", F.explode(first).alias("x")).where("x.df > 1").select("x.h", "id", "component"))
+            at, shared = [], []
+            for k, s in enumerate(shingle_sets(batch.column(2), words)):
+                n = often.value[_cell(s)]
+                first = np.lexsort((s, n))[: len(s) - -(-len(s) * percent // 100) + 1]
+                first = first[n[first] > 1]
+                shared.append(s[first])
+                at += [k] * len(first)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *shared]))), batch.column(0).take(rows), batch.column(1).take(rows)], ["h", "id", "component"])
+
+    out = written(rows.mapInArrow(listed, "h long, id long, component long"))
+    discard(spark, rows)
+    return out
+
+
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
 def open_buckets(labelled: DataFrame) -> DataFrame:
