@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import CHANNELS, Config
 from ..functions import masks, raster, regions, segment, texture
 from ..operators import clustering, components, evaluate, generate, imaging, maskops, pixels
 from ..schemas import RASTER
@@ -799,6 +800,90 @@ def dendrogram_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.dendrogram(clustering.ward(z)[1], z.count()).select("step")
 
 
+def _made(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
+    """Each variant, whether its channels' values are all in [0, 1], and whether any differs from its cell's."""
+    cells = imaging.enlarged(pixels.channels(images(spark, sf_dir)), "cell_id", (32, 32)).withColumnRenamed("sample_id", "cell_id")
+    made = generate.variants(cells, algorithm, Config(size=(32, 32), displacement=3)).where("error IS NULL")
+    rows = made.join(cells.select(F.col("cell_id").alias("parent_id"), F.col("actin").alias("before")), "parent_id")
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                made = [sources.unpack(x if isinstance(x, dict) else x.asDict()) for x in (row.phase, row.actin, row.mt, row.nuc)]
+                before = sources.unpack(row.before if isinstance(row.before, dict) else row.before.asDict())
+                out.append((row.sample_id, int(row.parent_id), row.algorithm, all(a.shape == (32, 32) and a.min() >= 0 and a.max() <= 1 for a in made), bool(np.abs(made[1] - before).max() > 1e-3)))
+            yield pd.DataFrame(out, columns=["sample_id", "parent_id", "algorithm", "in_range", "changed"])
+
+    return rows.select("sample_id", "parent_id", "algorithm", *CHANNELS, "before").mapInPandas(of, "sample_id string, parent_id long, algorithm string, in_range boolean, changed boolean")
+
+
+def _made_sql(algorithm: str) -> str:
+    return f"SELECT vec_id // 4 || '_{algorithm}_' || lpad(CAST(k AS VARCHAR), 3, '0') AS sample_id, vec_id // 4 AS parent_id, '{algorithm}' AS algorithm, TRUE AS in_range, TRUE AS changed FROM embeddings, range(1, 11) r(k) WHERE vec_id % 4 = 0"
+
+
+@query(_made_sql("alg1"))
+def variant_rules_classical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten variants a cell, named in order, all channels in range, none its cell again."""
+    return _made(spark, sf_dir, "alg1")
+
+
+@query(_made_sql("alg2"))
+def variant_rules_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8 to G10."""
+    return _made(spark, sf_dir, "alg2")
+
+
+@query("SELECT 0 AS wrong_area, 0 AS low_iou, 0 AS unstable, 0 AS wrong_box, 0 AS point_outside, TRUE AS found FROM range(1)")
+def automatic_mask_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each annotation, area and box are its mask's, scores reach their limits, its point is in the image."""
+    cells = imaging.enlarged(pixels.channels(images(spark, sf_dir)), "cell_id", (32, 32))
+    found = maskops.automatic_masks(cells.select(F.col("sample_id").alias("image_id"), F.col("nuc").alias("image")), points_per_side=4, stability_least=0.5, iou_least=0.85, min_region=4)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                m = masks.decode((32, 32), list(row.counts))
+                out.append((int(m.sum() != row.area), int(row.predicted_iou <= 0.85), int(row.stability_score < 0.5), int(masks.xywh(masks.box(m)) != list(map(int, row.bbox))), int(not all(0 <= v < 32 for v in row.point))))
+            yield pd.DataFrame(out, columns=["wrong_area", "low_iou", "unstable", "wrong_box", "point_outside"])
+
+    names = ["wrong_area", "low_iou", "unstable", "wrong_box", "point_outside"]
+    rows = found.select(F.col("segmentation.counts").alias("counts"), "area", "bbox", "predicted_iou", "stability_score", F.get("point_coords", 0).alias("point"))
+    checked = rows.mapInPandas(of, ", ".join(f"{n} long" for n in names))
+    return checked.agg(*[F.sum(n).alias(n) for n in names], (F.count(F.lit(1)) > 0).alias("found"))
+
+
+def _refined(i, m):
+    def predict(image, points, labels, box):
+        if i % 2:
+            raise ValueError("no model")
+        return np.stack([m, ~m, np.ones_like(m)]), np.array([0.2, 0.9, 0.3])
+
+    return [_sums(i, segment.refine_with(m.astype(float), m, predict))]
+
+
+@query(f"WITH {MASK}, w AS (SELECT vec_id, pos, CASE WHEN vec_id % 2 = 1 THEN m ELSE NOT m END AS m FROM m) {SUMS} w GROUP BY vec_id")
+def kernel_refine_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's best mask, and the mask at hand where the model fails."""
+    return each(_masked(spark, sf_dir), _refined, MASKS)
+
+
+def _prompted(i, a):
+    p = segment.prompts(a, a, int(i))
+    (x0, y0, x1, y1), points = p.box, np.array(p.points)
+    edge = points[np.array(p.labels) == 0]
+    on_edge = bool((((edge == 0) | (edge == 31)).any(1)).all())
+    inside = bool(((points >= 0) & (points < 32)).all())
+    return [(i, int(sum(p.labels)) >= 5, len(edge), on_edge, inside, bool(0 <= x0 < x1 <= 32 and 0 <= y0 < y1 <= 32))]
+
+
+@query("SELECT vec_id, TRUE AS enough, 3 AS negatives, TRUE AS on_edge, TRUE AS inside, TRUE AS box_inside FROM embeddings")
+def kernel_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X16's prompts: five positive points at least, three negative ones on the image's edge, a box inside it."""
+    return each(stretched(spark, sf_dir), lambda i, a: _prompted(i, enlarged(a)), "vec_id long, enough boolean, negatives int, on_edge boolean, inside boolean, box_inside boolean")
+
+
 # sources and sinks ------------------------------------------------------------------------------------------------------------
 
 NAMES = {"phase": "BF", "actin": "Actin", "mt": "Microtubules", "nuc": "Nuclei"}
@@ -833,6 +918,26 @@ def cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.mapInPandas(of, "cell_id string, channel string, r int, c int, v int")
 
 
+@query(f"WITH {S} SELECT 'cell' || (vec_id // 4) AS sample_id, CASE vec_id % 4 WHEN 0 THEN 'phase' WHEN 1 THEN 'actin' WHEN 2 THEN 'mt' ELSE 'nuc' END AS channel, CAST(sum(floor(v * 255) * (pos + 1)) AS BIGINT) AS digest FROM s GROUP BY ALL")
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest's images read by path, one row a sample."""
+    folder = written_cells(spark, sf_dir)
+    rows = sources.resolve_channels(spark, folder).groupBy(F.col("cell_id").alias("sample_id")).agg(*[F.max(F.when(F.col("channel") == c, F.col("path"))).alias(f"path_{c}") for c in CHANNELS])
+    manifest = rows.select("sample_id", F.col("sample_id").alias("parent_id"), F.lit("original").alias("algorithm"), *[f"path_{c}" for c in CHANNELS])
+    read = jobs.read_samples(spark, manifest, f"{folder}/*")
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                for c in CHANNELS:
+                    a = sources.unpack(row[c] if isinstance(row[c], dict) else row[c].asDict())
+                    out.append((row["sample_id"], c, int((a.astype(int).ravel() * np.arange(1, 65)).sum())))
+            yield pd.DataFrame(out, columns=["sample_id", "channel", "digest"])
+
+    return read.select("sample_id", *CHANNELS).mapInPandas(of, "sample_id string, channel string, digest long")
+
+
 @query("SELECT 'cell' || (vec_id // 4) AS cell_id, count(*) = 4 AS ok FROM embeddings GROUP BY 1")
 def verified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells on disk have their four channels of one shape and allowed sides."""

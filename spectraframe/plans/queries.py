@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import CHANNELS
 from ..functions import registry
 from ..operators import clustering, components, evaluate, generate, imaging, maskops, pixels
 from ..sources import images as sources
@@ -570,7 +571,7 @@ def _variants(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
     from ..config import Config
 
     made = generate.variants(cell_images(spark, sf_dir).withColumnRenamed("sample_id", "cell_id"), algorithm, Config(size=GRID, displacement=5))
-    return made.select("sample_id", "parent_id", "algorithm", F.crc32("actin.data").alias("actin_crc"), "error")
+    return made.select("sample_id", "parent_id", "algorithm", F.crc32(F.concat(*[f"{c}.data" for c in CHANNELS])).alias("crc"), "error")
 
 
 @query()

@@ -68,6 +68,25 @@ def test_written_tables_can_be_discarded(spark):
         spark.read.schema("k long").parquet(common._paths.get(t, "/nowhere")).count()
 
 
+def test_temporary_tables_go_together(spark):
+    with common.temporary(spark) as keep:
+        gone, stays = common.written(spark.range(3).toDF("k")), keep(common.written(spark.range(4).toDF("k")))
+        path = common._paths[gone]
+    assert stays.count() == 4
+    with pytest.raises(Exception, match="(?i)not exist|FileNotFound|PATH_NOT_FOUND|FILE_NOT"):
+        spark.read.parquet(path).count()
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_sized_join_of_odd_keys(spark, hot):
+    """Two columns, nulls (which meet nothing), and keys that only one side has."""
+    rows = [(1, "a")] * (3000 if hot else 2) + [(1, None), (None, "a")] * 5 + [(k, "b") for k in range(3000)]
+    left = spark.createDataFrame(rows, "x int, y string")
+    right = left.where("x < 100").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    got = common.join_sized(left, right, ["x", "y"], "n", len(rows))
+    assert got.count() == sum(1 for x, y in rows if x is not None and y is not None and x < 100)
+
+
 def test_sized_join(spark):
     left = spark.range(5000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("k"), "id")
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
