@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment_counts
 from .chat import read_back, windows
 from .common import written
+from .embedding_dedup import near_vectors
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .mixing import mix, n_words
@@ -16,6 +18,7 @@ from .near_dedup import near_classes
 from .packing import pack
 from .pii import BASE, pii_spans
 from .quality import features, judged
+from .repair import damaged, repaired_conversations
 from .suffix_tree import scored
 from .url_filter import judge
 
@@ -93,6 +96,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_counts(_table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repaired_conversations(turns, damaged(turns))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1."""
     return op1_chat_formatting(spark, sf_dir).drop("formatted_chars")
@@ -124,5 +141,5 @@ def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_formatting, op2_quality_rules, op3_best_fit_packing, op4_lm_scoring, op5_near_dedup, op6_exact_dedup, op7_mixing, op8_line_dedup, op9_url_filters, op10_pii)
+    own = (op1_chat_formatting, op2_quality_rules, op3_best_fit_packing, op4_lm_scoring, op5_near_dedup, op6_exact_dedup, op7_mixing, op8_line_dedup, op9_url_filters, op10_pii, op11_alignment, op12_conversation_repair, op13_embedding_dedup)
     return {f.__name__: f for f in (*own, chat_digests, quality_base, lm_base, mix_targets, url_rules, pii_counts)}
