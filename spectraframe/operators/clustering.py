@@ -1,33 +1,137 @@
-"""Clustering and reduction (C1 to C6). K-means and PCA are Spark ML's; Ward's linkage has no distributed form."""
+"""Clustering and reduction (C1 to C6). K-means makes all its starts at once, PCA is Spark ML's; Ward's linkage has no distributed form."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ward's linkage keeps a matrix of all pairs: 10,000 rows are 800 MB. More is an error.
 MOST_WARD = 10_000
 
 
-def kmeans(vectors: DataFrame, k: int = 3, n_init: int = 10, seed: int = 42) -> tuple[DataFrame, list[list[float]], float]:
-    """(id, px, .., cluster), the centres and the inertia of the best of n_init starts."""
-    rows = vectors.withColumn("v", array_to_vector("px")).persist()
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start (first axis of centres) and row, the nearest centre, the first of equals, and the squared distance."""
+    starts, k, d = centres.shape
+    d2 = (x * x).sum(1)[None, :, None] - 2 * (x @ centres.reshape(-1, d).T).reshape(len(x), starts, k).transpose(1, 0, 2) + (centres * centres).sum(2)[:, None, :]
+    near = d2.argmin(2)
+    diff = x[None] - np.take_along_axis(centres, near[:, :, None], 1)
+    return near, np.einsum("sij,sij->si", diff, diff)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array(batch.column("px").to_pylist(), float).reshape(batch.num_rows, -1)
+
+
+def _scan(rows: DataFrame, centres: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """One pass for all starts, which can have different numbers of centres: each one's rows a centre, their sums, and the cost. A task sends a
+    number a start, centre and coordinate."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(len(c)) for c in centres]
+        sums = [np.zeros(c.shape) for c in centres]
+        cost = np.zeros(len(centres))
+        for batch in batches:
+            x = _matrix(batch)
+            for s, c in enumerate(centres):
+                near, d2 = _nearest(x, c[None])
+                np.add.at(n[s], near[0], 1)
+                np.add.at(sums[s], near[0], x)
+                cost[s] += d2.sum()
+        found = [(s, k, j, v) for s, c in enumerate(centres) for k in range(len(c)) for j, v in enumerate([n[s][k], *sums[s][k]])] + [(s, -1, 0, v) for s, v in enumerate(cost)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["s", "k", "j", "v"])
+
+    out = [np.zeros((len(c), c.shape[1] + 1)) for c in centres]
+    total = np.zeros(len(centres))
+    for r in rows.select("px").mapInArrow(partial, "s long, k long, j long, v double").groupBy("s", "k", "j").agg(F.sum("v").alias("v")).collect():  # a number a start, centre and coordinate
+        if r["k"] < 0:
+            total[r["s"]] = r["v"]
+        else:
+            out[r["s"]][r["k"], r["j"]] = r["v"]
+    return [o[:, 0] for o in out], [o[:, 1:] for o in out], total
+
+
+def _chosen(rows: DataFrame, centres: list[np.ndarray], cost: np.ndarray, step: int, seed: int, rate: float) -> list[np.ndarray]:
+    """For each start, rows taken with a chance of `rate` times their share of the cost: about `rate` of them."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch)
+            u = (batch.column("u").to_numpy().astype(np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(len(centres), dtype=np.uint64)[:, None] + np.uint64(1 + 1000 * step)) * np.uint64(0xBF58476D1CE4E5B9))
+            u ^= u >> np.uint64(31)
+            u *= np.uint64(0x94D049BB133111EB)
+            chance = (u >> np.uint64(11)) / 2.0**53
+            out = [(s, x[i].tolist()) for s, c in enumerate(centres) for i in np.flatnonzero(chance[s] * cost[s] < rate * _nearest(x, c[None])[1][0])]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([v for _, v in out], pa.list_(pa.float64()))], ["s", "px"])
+
+    keyed = rows.select("px", F.xxhash64("id", F.lit(seed)).alias("u"))
+    found = sorted(map(tuple, keyed.mapInArrow(take, "s long, px array<double>").collect()))  # some `rate` rows a start
+    return [np.array([*c, *(v for s, v in found if s == k)]) for k, c in enumerate(centres)]
+
+
+def _spread(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of a few weighted points, each likely as it is far from those before; then some steps over these points alone."""
+    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
+    while len(chosen) < k:
+        d2 = weights * _nearest(points, np.array(chosen)[None])[1][0]
+        chosen.append(points[rng.choice(len(points), p=d2 / d2.sum())] if d2.sum() > 0 else points[len(chosen) % len(points)])
+    centres = np.array(chosen)
+    for _ in range(10):
+        near = _nearest(points, centres[None])[0][0]
+        for j in range(k):
+            if (own := weights * (near == j)).sum() > 0:
+                centres[j] = own @ points / own.sum()
+    return centres
+
+
+def lloyd(rows: DataFrame, centres: list[np.ndarray], steps: int = 100, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """Lloyd's steps of all starts over (id, px), one scan a step for all of them, until no centre moves by more than the tolerance; the
+    centres, each start's cost, and the number of scans. A centre without rows stays where it is."""
+    scans = 0
+    while True:
+        n, sums, cost = _scan(rows, centres)
+        scans += 1
+        moved = [np.where(m[:, None] > 0, s / np.maximum(m, 1)[:, None], c) for m, s, c in zip(n, sums, centres, strict=True)]
+        if scans > steps or max(np.abs(a - b).max() for a, b in zip(moved, centres, strict=True)) <= tolerance:
+            return centres, cost, scans
+        centres = moved
+
+
+def kmeans(vectors: DataFrame, k: int = 3, n_init: int = 10, seed: int = 42, rounds: int = 2) -> tuple[DataFrame, list[list[float]], float]:
+    """(id, px, .., cluster), the centres and the inertia of the best of n_init starts. All starts share each scan: those that choose
+    them (k-means||, some 2 k rows a start and round), and Lloyd's steps."""
+    rows = vectors.select("id", "px").persist()
     try:
-        fits = [KMeans(k=k, seed=seed + i, featuresCol="v", predictionCol="cluster").fit(rows) for i in range(n_init)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        out, centres = best.transform(rows).drop("v"), [c.tolist() for c in best.clusterCenters()]
-        # the training's own cost is that of the centres before its last step
-        at = F.get(F.array(*[F.array(*map(F.lit, c)) for c in centres]), F.col("cluster"))
-        cost = out.agg(F.sum(F.aggregate(F.zip_with("px", at, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, d: a + d))).first()[0]
-        return out, centres, float(cost or 0)
+        first = rows.agg(*[F.min_by("px", F.struct(F.xxhash64("id", F.lit(seed + s)), "id")).alias(f"c{s}") for s in range(n_init)]).first()
+        if first[0] is None:
+            return vectors.withColumn("cluster", F.lit(None).cast("int")), [], 0.0
+        centres = [np.array([c], float) for c in first]
+        for step in range(rounds):
+            cost = _scan(rows, centres)[2]
+            centres = _chosen(rows, centres, cost, step, seed, 2.0 * k)
+        weights = _scan(rows, centres)[0]
+        centres = [_spread(c, w, k, np.random.default_rng([seed, s])) for s, (c, w) in enumerate(zip(centres, weights, strict=True))]
+        centres, cost, _ = lloyd(rows, centres)
+        best = int(np.argmin(cost))
+        return with_clusters(vectors, centres[best]), centres[best].tolist(), float(cost[best])
     finally:
         rows.unpersist()
 
 
+def with_clusters(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """vectors and `cluster`, the nearest centre's number, the first of equals."""
+
+    def distance(c: np.ndarray) -> Column:
+        return F.aggregate(F.zip_with("px", F.array(*map(F.lit, c.tolist())), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, d: a + d)
+
+    return vectors.withColumn("cluster", F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres)]))["k"])
+
+
 def ward_linkage(x: np.ndarray) -> np.ndarray:
     """Merges (a, b, distance, size) by the recurrence of Lance and Williams, nearest pair first."""
     n = len(x)

@@ -1,4 +1,4 @@
-"""Mask tables: grids, crops, filters, suppression, and automatic mask generation around any predictor (section 2.12)."""
+"""Mask tables: grids, crops, filters, and automatic mask generation around any predictor (section 2.12)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import masks, regions
 from ..schemas import ANNOTATION
 from ..sources.images import unpack
+from .suppression import iou, suppressed
 
 
 def point_grid(spark: SparkSession, n: int) -> DataFrame:
@@ -38,24 +39,7 @@ def near_crop_edge(box: Column, crop: list[int], image: list[int], atol: float =
     return out
 
 
-def iou(a: Column, b: Column) -> Column:
-    """Of two boxes (x0, y0, x1, y1)."""
-    zero = F.lit(0.0)
-    both = F.greatest(zero, F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])) * F.greatest(zero, F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
-    size = [(x["x1"] - x["x0"]) * (x["y1"] - x["y0"]) for x in (a, b)]
-    return F.coalesce(both / F.nullif(size[0] + size[1] - both, zero), zero)
-
-
-def suppressed(boxes: DataFrame, threshold: float) -> DataFrame:
-    """J11, X15 over (image_id, id, box, score): the rows that suppression keeps, image by image (a group is one image's boxes)."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        at = np.array([[b[k] for k in ("x0", "y0", "x1", "y1")] for b in pdf["box"]], float)
-        return pdf.iloc[masks.nms(at, pdf["score"].to_numpy(), threshold)]
-
-    return boxes.groupBy("image_id").applyInPandas(keep, boxes.schema)
-
+__all__ = ["iou", "suppressed"]  # the operators of `suppression` belong here, too
 
 #: What segments: (image, points (x, y)) to logits (n, 3, h, w) and predicted ious (n, 3).
 Predictor = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]

@@ -7,7 +7,7 @@ is shuffled is a row an image (or an image and grey level), not its pixels. Sten
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SIDE = 8  # of the rasters in the embeddings table
@@ -119,16 +119,19 @@ def otsu(images: DataFrame, bins: int = 16) -> DataFrame:
     return best.select("vec_id", F.when(F.col("hi") > F.col("lo"), F.col("mid")).otherwise(F.col("lo")).alias("threshold"))
 
 
+def _beside(c: str, w: WindowSpec) -> tuple[Column, Column]:
+    """The values before and after; at the image's edge the pixel's own, as reflection gives for one step."""
+    return F.coalesce(F.lag(c).over(w), F.col(c)), F.coalesce(F.lead(c).over(w), F.col(c))
+
+
 def gradients(pixels: DataFrame) -> DataFrame:
-    """(.., gx, gy) of interior pixels. gx responds to change along the rows' axis (down), gy along the columns'.
-    Rows are smoothed and differenced with one sort, columns with another: no self-joins."""
+    """(.., gx, gy) of all pixels, with reflected edges. gx responds to change along the rows' axis (down), gy along the
+    columns'. Rows are smoothed and differenced with one sort, columns with another: no self-joins."""
     across, down = Window.partitionBy("vec_id", "r").orderBy("c"), Window.partitionBy("vec_id", "c").orderBy("r")
-    left, right = F.lag("v").over(across), F.lead("v").over(across)
+    left, right = _beside("v", across)
     rows = pixels.withColumns({"smooth": (left + 2 * F.col("v") + right) / 4, "slope": (right - left) / 2})
-    up = {k: F.lag(k).over(down) for k in ("smooth", "slope")}
-    dn = {k: F.lead(k).over(down) for k in ("smooth", "slope")}
-    out = rows.withColumns({"gx": (dn["smooth"] - up["smooth"]) / 2, "gy": (up["slope"] + 2 * F.col("slope") + dn["slope"]) / 4})
-    return out.where("gx IS NOT NULL AND gy IS NOT NULL").drop("smooth", "slope")
+    (smooth_up, smooth_down), (slope_up, slope_down) = _beside("smooth", down), _beside("slope", down)
+    return rows.withColumns({"gx": (smooth_down - smooth_up) / 2, "gy": (slope_up + 2 * F.col("slope") + slope_down) / 4}).drop("smooth", "slope")
 
 
 def orientation(gradient: DataFrame, least: float = 0.1) -> DataFrame:
@@ -232,10 +235,10 @@ def rle_area(counts: Column) -> Column:
 
 
 def median_cross(pixels: DataFrame) -> DataFrame:
-    """P15 with a disk of radius 1: the median of a pixel and its 4 neighbours, for interior pixels."""
+    """P15 with a disk of radius 1: the median of a pixel and its 4 neighbours; beyond the image's edge, the nearest pixel."""
     across, down = Window.partitionBy("vec_id", "r").orderBy("c"), Window.partitionBy("vec_id", "c").orderBy("r")
-    rows = pixels.withColumns({"w": F.lag("v").over(across), "e": F.lead("v").over(across)}).withColumns({"n": F.lag("v").over(down), "s": F.lead("v").over(down)})
-    rows = rows.where("w IS NOT NULL AND e IS NOT NULL AND n IS NOT NULL AND s IS NOT NULL")
+    (w, e), (n, s) = _beside("v", across), _beside("v", down)
+    rows = pixels.withColumns({"w": w, "e": e}).withColumns({"n": n, "s": s})
     return rows.withColumn("v", F.get(F.array_sort(F.array("v", "w", "e", "n", "s")), 2)).drop("w", "e", "n", "s")
 
 

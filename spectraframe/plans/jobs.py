@@ -65,8 +65,8 @@ def make(cells: DataFrame, config: Config, folder: str) -> tuple[DataFrame, Data
 def read_samples(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """The manifest's images as one row a sample."""
     paths = manifest.select("sample_id", "parent_id", "algorithm", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"path_{c}").alias("p")) for c in CHANNELS])).alias("x")).where("x.p IS NOT NULL").select("sample_id", "parent_id", "algorithm", "x.channel", F.regexp_extract("x.p", "([^/]+)$", 1).alias("name"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select("path", "content")
-    images = sources.decoded(files).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "image")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "path", "length")
+    images = sources.opened(sources.spread(files.join(paths.select("name").distinct(), "name", "left_semi"))).select("name", "image")
     return imaging.wide(paths.join(images, "name", "left"), "sample_id", "parent_id", "algorithm")
 
 

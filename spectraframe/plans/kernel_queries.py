@@ -6,8 +6,6 @@ Kernels run on the 8 by 8 rasters in Arrow batches, one raster a row; settings a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,24 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS, Config
-from ..functions import masks, raster, regions, segment, texture
+from ..functions import jpeg, masks, png, raster, regions, segment, texture, tiff
 from ..operators import clustering, components, evaluate, generate, imaging, maskops, pixels
+from ..operators.tables import scratch
 from ..schemas import RASTER
 from ..sources import images as sources
+from ..sources import rasters
 from . import jobs
 from .queries import BOUNDS, CC, MASK, PX, STRETCH, images, masked, query, rounded, scaled, table
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names; a temporary one only where all runs on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spectraframe-")
-    return f"{root.rstrip('/')}/images-{uuid.uuid4().hex}"
-
-
 def each(rows: DataFrame, kernel: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """The rows that kernel(id, values of the other columns) gives for each row; arrays come as 8 by 8 rasters."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -723,10 +713,10 @@ SELECT CAST(o.vec_id AS VARCHAR) AS image_id, o.label AS id, o.score FROM ob o J
 
 @query(NMS)
 def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J11, X15 on the components' boxes of each raster, the largest first."""
+    """J11, X15 on the components' boxes of each raster, the largest first, by grids."""
     c = components.component_table(masked(spark, sf_dir))
     boxes = c.select(F.col("vec_id").cast("string").alias("image_id"), F.col("label").alias("id"), F.struct(*[F.col(k).cast("double").alias(n) for k, n in (("c0", "x0"), ("r0", "y0"), ("c1", "x1"), ("r1", "y1"))]).alias("box"), F.col("area").cast("double").alias("score"))
-    return maskops.suppressed(boxes, 0.1).select("image_id", "id", "score")
+    return maskops.suppressed(boxes, 0.1, small=0).select("image_id", "id", "score")
 
 
 @query(EXACT_CC + FOLD.format(large=5))
@@ -757,6 +747,21 @@ def kmeans_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(F.broadcast(off.select((F.col("off") < 0.05).alias("centred"))))  # one row each
 
 
+def _steps(n: int) -> str:
+    """Tables c1 to c{n}: Lloyd's steps from c0; n{k} has each row's nearest of c{k - 1}, with its squared distance."""
+    one = "n{k} AS (SELECT id, k, d FROM (SELECT z.id, c.k, sum((z.v - c.v) * (z.v - c.v)) AS d FROM z JOIN c{b} c USING (pos) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(d, 9), k) = 1), c{k} AS (SELECT n.k, z.pos, avg(z.v) AS v FROM z JOIN n{k} n USING (id) GROUP BY ALL)"
+    return ", ".join(one.format(k=k, b=k - 1) for k in range(1, n + 1))
+
+
+@query(f"WITH {Z}, c0 AS (SELECT CAST(id AS INT) AS k, pos, v FROM z WHERE id < 3), {_steps(5)} SELECT id, k AS cluster, round(sum(d) OVER (), 3) AS inertia FROM n5")
+def kmeans_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's cluster, and the inertia, after four of Lloyd's steps from three given centres."""
+    z = scaled(spark, sf_dir)
+    given = np.array([r["px"] for r in z.where("id < 3").orderBy("id").collect()])  # three rows
+    centres, cost, _ = clustering.lloyd(z, [given], steps=4)
+    return clustering.with_clusters(z, centres[0]).select("id", "cluster", F.lit(round(float(cost[0]), 3)).alias("inertia"))
+
+
 @query(f"WITH {Z}, cov AS (SELECT a.pos AS i, b.pos AS j, covar_samp(a.v, b.v) AS c FROM z a JOIN z b ON a.id = b.id GROUP BY ALL) SELECT count(DISTINCT id) AS n, round((SELECT sum(c) FROM cov WHERE i = j), 4) AS total, TRUE AS orthogonal, TRUE AS in_order, TRUE AS shares FROM z")
 def pca_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores are uncorrelated, the first has most variance, and each one's variance is its share of the total."""
@@ -889,6 +894,11 @@ def kernel_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = {"phase": "BF", "actin": "Actin", "mt": "Microtubules", "nuc": "Nuclei"}
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"name": pdf["name"], "image": [sources.pack(np.array(x).reshape(8, 8)) for x in pdf["px"]]})
+
+
 def written_cells(spark: SparkSession, sf_dir: str) -> str:
     """Four rasters in a row as a cell's four channel files; the folder."""
     folder = scratch(spark)
@@ -896,11 +906,7 @@ def written_cells(spark: SparkSession, sf_dir: str) -> str:
     rows = stretched(spark, sf_dir).select(F.concat(F.lit("cell"), F.floor(F.col("vec_id") / 4)).alias("cell"), names[(F.col("vec_id") % 4).cast("int")].alias("suffix"), "vec_id", "px")
     named = rows.select(F.concat("cell", F.lit("/"), "cell", F.lit("_"), "suffix", F.lit(".png")).alias("name"), "px")
 
-    def raster_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"name": pdf["name"], "image": [sources.pack(np.array(x).reshape(8, 8)) for x in pdf["px"]]})
-
-    made = named.mapInPandas(raster_of, f"name string, image {RASTER.simpleString()}")
+    made = named.mapInPandas(_packed, f"name string, image {RASTER.simpleString()}")
     sources.write_images(made, folder).write.format("noop").mode("overwrite").save()
     return folder
 
@@ -918,6 +924,62 @@ def cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.mapInPandas(of, "cell_id string, channel string, r int, c int, v int")
 
 
+def _blocks(i: str, channel: str, a: np.ndarray) -> list[tuple]:
+    """(cell_id, channel, r, c, low, high) of each block of 8 by 8 pixels."""
+    blocks = a.astype(int).reshape(8, 8, 8, 8)
+    return [(i, channel, r, c, int(blocks[r, :, c].min()), int(blocks[r, :, c].max())) for r in range(8) for c in range(8)]
+
+
+#: How each channel's file is written: its extension, and its bytes.
+FORMATS = {"BF": (".tiff", lambda a: tiff.encode(a, tiff.LZW)), "Actin": (".jpg", jpeg.encode), "Microtubules": (".png", png.encode), "Nuclei": (".tif", lambda a: tiff.encode(a, tiff.DEFLATE))}
+
+
+@query(f"WITH {S} SELECT 'cell' || (vec_id // 4) AS cell_id, CASE vec_id % 4 WHEN 0 THEN 'phase' WHEN 1 THEN 'actin' WHEN 2 THEN 'mt' ELSE 'nuc' END AS channel, r, c, CAST(floor(v * 255) AS INT) AS low, CAST(floor(v * 255) AS INT) AS high FROM s")
+def cell_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A channel in each format, each pixel as a block of 8 by 8. A file of lower rank beside the chosen JPEG can't be decoded: it is never
+    opened."""
+    folder = scratch(spark, "images")
+    rows = stretched(spark, sf_dir).select(F.concat(F.lit("cell"), F.floor(F.col("vec_id") / 4)).alias("cell"), (F.col("vec_id") % 4).cast("int").alias("k"), "px")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = []
+            for cell, k, px in pdf.itertuples(index=False):
+                suffix = list(NAMES.values())[k]
+                ext, encode = FORMATS[suffix]
+                done.append(sources.put(folder, f"{cell}/{cell}_{suffix}{ext}", encode(np.kron(raster.to_byte(np.array(px).reshape(8, 8)), np.ones((8, 8), np.uint8)))))
+                if suffix == "Actin":
+                    sources.put(folder, f"{cell}/{cell}_{suffix}.png", b"no image")
+            yield pd.DataFrame({"path": done})
+
+    rows.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [row for i, c, im in zip(pdf["cell_id"], pdf["channel"], pdf["image"], strict=True) for row in _blocks(i, c, sources.unpack(im if isinstance(im, dict) else im.asDict()))]
+            yield pd.DataFrame(out, columns=["cell_id", "channel", "r", "c", "low", "high"])
+
+    return sources.load_cells(spark, folder).mapInPandas(of, "cell_id string, channel string, r int, c int, low int, high int")
+
+
+@query(f"WITH {S} SELECT 'cell' || (vec_id // 4) AS cell_id, r, c, CAST(floor(v * 255) AS INT) AS v FROM s WHERE vec_id % 4 = 2")
+def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data source `rasters` writes all files with one commit, and lists and opens those of one channel."""
+    folder = scratch(rasters.registered(spark), "images")
+    names = F.create_map(*[F.lit(x) for k, c in enumerate(NAMES.values()) for x in (k, c)])
+    rows = stretched(spark, sf_dir).select(F.concat(F.lit("cell"), F.floor(F.col("vec_id") / 4)).alias("cell"), names[(F.col("vec_id") % 4).cast("int")].alias("suffix"), "px")
+    named = rows.select(F.concat("cell", F.lit("/"), "cell", F.lit("_"), "suffix", F.lit(".png")).alias("name"), "px")
+    named.mapInPandas(_packed, f"name string, image {RASTER.simpleString()}").write.format("rasters").mode("append").save(folder)
+    read = spark.read.format("rasters").load(folder).where("channel = 'Microtubules'")
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(i, r, c, int(v)) for i, im in zip(pdf["cell_id"], pdf["image"], strict=True) for (r, c), v in np.ndenumerate(sources.unpack(im if isinstance(im, dict) else im.asDict()))]
+            yield pd.DataFrame(out, columns=["cell_id", "r", "c", "v"])
+
+    return read.select("cell_id", "image").mapInPandas(of, "cell_id string, r int, c int, v int")
+
+
 @query(f"WITH {S} SELECT 'cell' || (vec_id // 4) AS sample_id, CASE vec_id % 4 WHEN 0 THEN 'phase' WHEN 1 THEN 'actin' WHEN 2 THEN 'mt' ELSE 'nuc' END AS channel, CAST(sum(floor(v * 255) * (pos + 1)) AS BIGINT) AS digest FROM s GROUP BY ALL")
 def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest's images read by path, one row a sample."""
@@ -942,8 +1004,7 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells on disk have their four channels of one shape and allowed sides."""
     folder = written_cells(spark, sf_dir)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    rows = sources.decoded(files.join(sources.resolve_channels(spark, folder), "path"))
+    rows = sources.opened(sources.spread(sources.resolve_channels(spark, folder)))
     return sources.verify_cells(rows.select("cell_id", "channel", "image.h", "image.w"), least=8)
 
 
@@ -1017,3 +1078,6 @@ def shape_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("sample_id").cast("int") % 2 == 0
     rows = cells.join(other, "sample_id").withColumn("nuc", F.when(even, F.col("small")).otherwise(F.col("nuc"))).select("sample_id", F.lit("p").alias("parent_id"), F.lit("a").alias("algorithm"), "phase", "actin", "mt", "nuc")
     return imaging.features(rows).select(F.col("sample_id").cast("long").alias("sample_id"), "error")
+
+
+from . import tile_queries  # noqa: E402, F401 - registers its queries, which take some SQL of those here

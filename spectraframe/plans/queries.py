@@ -227,7 +227,9 @@ def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pixels.otsu(images(spark, sf_dir)))
 
 
-SOBEL = PX + ", g AS (SELECT a.vec_id, a.r, a.c, (sum(CASE WHEN b.r = a.r + 1 THEN 1 WHEN b.r = a.r - 1 THEN -1 ELSE 0 END * CASE WHEN b.c = a.c THEN 2 ELSE 1 END * b.v)) / 8 AS gx, (sum(CASE WHEN b.c = a.c + 1 THEN 1 WHEN b.c = a.c - 1 THEN -1 ELSE 0 END * CASE WHEN b.r = a.r THEN 2 ELSE 1 END * b.v)) / 8 AS gy FROM p a JOIN p b ON a.vec_id = b.vec_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 WHERE a.r BETWEEN 1 AND 6 AND a.c BETWEEN 1 AND 6 GROUP BY ALL)"
+STEPS = "o AS (SELECT dr, dc FROM (VALUES (-1), (0), (1)) x(dr), (VALUES (-1), (0), (1)) y(dc))"
+NEAR = "b.vec_id = a.vec_id AND b.r = greatest(0, least(7, a.r + dr)) AND b.c = greatest(0, least(7, a.c + dc))"  # one step, reflected at the edge
+SOBEL = f"{PX}, {STEPS}, g AS (SELECT a.vec_id, a.r, a.c, sum(dr * CASE WHEN dc = 0 THEN 2 ELSE 1 END * b.v) / 8 AS gx, sum(dc * CASE WHEN dr = 0 THEN 2 ELSE 1 END * b.v) / 8 AS gy FROM p a CROSS JOIN o JOIN p b ON {NEAR} GROUP BY ALL)"
 
 
 def grads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -611,7 +613,7 @@ def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.filled(masked(spark, sf_dir)).select("vec_id", pixels.area(F.col("m")).alias("area"))
 
 
-@query(f"WITH {PX} SELECT a.vec_id, a.r, a.c, round(median(b.v), 5) + 0.0 AS v FROM p a JOIN p b ON a.vec_id = b.vec_id AND {CROSS} WHERE a.r BETWEEN 1 AND 6 AND a.c BETWEEN 1 AND 6 GROUP BY ALL")
+@query(f"WITH {PX}, {STEPS} SELECT a.vec_id, a.r, a.c, round(median(b.v), 5) + 0.0 AS v FROM p a CROSS JOIN o JOIN p b ON {NEAR} WHERE abs(dr) + abs(dc) <= 1 GROUP BY ALL")
 def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pixels.median_cross(pixels.pixel_table(images(spark, sf_dir).select("vec_id", "px"))))
 

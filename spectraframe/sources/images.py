@@ -1,77 +1,99 @@
 """Scans and sinks of image folders, manifests and result tables (section 2.1).
 
-Files are listed and read by Spark's binaryFile source, on the executors; a scan that needs paths only prunes the content.
+Files are listed by Spark's binaryFile source, and those chosen are opened by tasks (PNG, JPEG or TIFF, `functions.formats`);
+`rasters` has a data source of its own, with conditions in the listing and a commit.
 Rasters travel as a struct of shape, type and bytes. Files are written by tasks, to paths that their row determines, so a
 task that runs again writes the same files.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import EXTENSIONS, PREFIXES, SIZE_ORDER, SUFFIXES
-from ..functions import png, raster
+from ..functions import formats, png, raster
+from ..operators.tables import written
 from ..schemas import MANIFEST, QC_ROW, RASTER
+from .rasters import PARTITION_BYTES, pack, read_image, store, unpack
 
+READ_ROWS = 32  # images of an Arrow batch
 
-def pack(a: np.ndarray) -> dict:
-    return {"h": a.shape[0], "w": a.shape[1], "c": 1 if a.ndim == 2 else a.shape[2], "dtype": a.dtype.name, "data": np.ascontiguousarray(a).tobytes()}
 
+def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Paths under a folder; the files' bytes are not read."""
+    return _sized(spark, root, pattern).select("path")
 
-def unpack(r: dict | None) -> np.ndarray | None:
-    if r is None or r["data"] is None:
-        return None
-    a = np.frombuffer(r["data"], r["dtype"])
-    return a.reshape(r["h"], r["w"]) if r["c"] == 1 else a.reshape(r["h"], r["w"], r["c"])
 
+def _sized(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length")
 
-def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Paths under a folder; the files' bytes are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
+
+def _with_images(files: DataFrame, drop: str | None, of: Callable[[object], tuple[dict | None, str | None]]) -> DataFrame:
+    source = drop or "path"
+    schema = StructType([*[f for f in files.schema.fields if f.name != drop], StructField("image", RASTER), StructField("error", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, READ_ROWS):
+                part = batch.slice(k, READ_ROWS)
+                found = [of(x.as_py()) for x in part.column(source)]
+                columns = [c for c, name in zip(part.columns, part.schema.names, strict=True) if name != drop]
+                images = pa.array([image for image, _ in found], arrow.field("image").type)
+                yield pa.RecordBatch.from_arrays([*columns, images, pa.array([error for _, error in found], pa.string())], schema=pa.schema([*(f.with_type(c.type) for f, c in zip(list(arrow)[:-2], columns, strict=True)), *list(arrow)[-2:]]))
+
+    return files.mapInArrow(read, schema)
 
 
 def decoded(files: DataFrame) -> DataFrame:
     """files (with path, content) and `image`; a file that can't be read has null, and its reason in `error`."""
-    schema = StructType([*[f for f in files.schema.fields if f.name != "content"], StructField("image", RASTER), StructField("error", StringType())])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            images, errors = [], []
-            for data in pdf.pop("content"):
-                try:
-                    images.append(pack(png.decode(bytes(data))))
-                    errors.append(None)
-                except Exception as e:  # the row keeps the reason
-                    images.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pdf.assign(image=images, error=errors)
+    def of(content: bytes) -> tuple[dict | None, str | None]:
+        try:
+            return pack(formats.decode(content)), None
+        except Exception as e:  # the row keeps the reason
+            return None, f"{type(e).__name__}: {e}"
+
+    return _with_images(files, "content", of)
+
 
-    return files.mapInPandas(read, schema)
+def opened(files: DataFrame) -> DataFrame:
+    """files (with path) and `image`, `error`: each task opens the paths of its own rows, so no other file's bytes are read."""
+    return _with_images(files, None, read_image)
 
 
-def resolve_channels(spark: SparkSession, root: str, cells: list[str] | None = None, channels: tuple[str, ...] = ("phase", "actin", "mt", "nuc")) -> DataFrame:
-    """(cell_id, channel, path): by extension in order, then the mapped prefix before the cell's own; the first wins. A
-    channel without a file raises FileNotFoundError."""
+def spread(files: DataFrame) -> DataFrame:
+    """files (with path, length), dealt into partitions of some PARTITION_BYTES of what the files hold, and one a core at least: the rows
+    themselves are small, and Spark would put them together."""
+    total = files.agg(F.sum("length")).first()[0] or 0
+    return files.repartition(max(files.sparkSession.sparkContext.defaultParallelism, -(-total // PARTITION_BYTES)), "path")
+
+
+def resolve_channels(spark: SparkSession, root: str, cells: list[str] | None = None, channels: tuple[str, ...] = ("phase", "actin", "mt", "nuc"), channel_map: dict[str, str] | None = None) -> DataFrame:
+    """(cell_id, channel, path, length): by extension in order, then the mapped prefix before the cell's own; the first wins. A
+    channel without a file raises FileNotFoundError. channel_map: other channels, by the last part of their files' names."""
     ext = F.array(*map(F.lit, EXTENSIONS))
-    paths = listed(spark, root)
+    suffixes = SUFFIXES if channel_map is None else channel_map
+    channels = channels if channel_map is None else tuple(channel_map)
     part = r"/([^/]+)/([^/]+)_([^/_]+)(\.[A-Za-z]+)$"
-    rows = paths.select("path", *[F.regexp_extract("path", part, k).alias(n) for k, n in enumerate(("cell_id", "prefix", "suffix", "ext"), 1)])
-    names = F.create_map(*[F.lit(x) for k, v in SUFFIXES.items() for x in (v, k)])
+    rows = _sized(spark, root).select("path", "length", *[F.regexp_extract("path", part, k).alias(n) for k, n in enumerate(("cell_id", "prefix", "suffix", "ext"), 1)])
+    names = F.create_map(*[F.lit(x) for k, v in suffixes.items() for x in (v, k)])
     mapped = F.coalesce(F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv])[F.col("cell_id")], F.col("cell_id"))
     rows = rows.withColumns({"channel": names[F.col("suffix")], "e": F.array_position(ext, F.lower("ext"))}).where("channel IS NOT NULL AND e > 0")
     rows = rows.where((F.col("prefix") == mapped) | (F.col("prefix") == F.col("cell_id"))).where(F.col("channel").isin(*channels))
     if cells is not None:
         rows = rows.where(F.col("cell_id").isin(*cells))
-    found = rows.groupBy("cell_id", "channel").agg(F.min_by("path", F.struct("e", F.when(F.col("prefix") == mapped, 0).otherwise(1))).alias("path"))
+    found = rows.groupBy("cell_id", "channel").agg(F.min_by(F.struct("path", "length"), F.struct("e", F.when(F.col("prefix") == mapped, 0).otherwise(1))).alias("file")).select("cell_id", "channel", "file.path", "file.length")
     if cells is not None:
         wanted = spark.createDataFrame([(c, ch) for c in cells for ch in channels], "cell_id string, channel string")  # as long as the argument
         missing = wanted.join(found, ["cell_id", "channel"], "left_anti").orderBy("cell_id", "channel").take(5)
@@ -88,12 +110,10 @@ def mode_size(sizes: DataFrame) -> DataFrame:
     return counts.groupBy("cell_id").agg(F.max_by(F.struct("h", "w"), F.struct("n", -F.col("first"))).alias("size")).select("cell_id", "size.h", "size.w")
 
 
-def load_cells(spark: SparkSession, root: str, cells: list[str] | None = None, channels: tuple[str, ...] = ("phase", "actin", "mt", "nuc")) -> DataFrame:
-    """(cell_id, channel, image): gray (combo RGB), each cell's channels in its most frequent size. A file that can't be
-    read raises FileNotFoundError."""
-    found = resolve_channels(spark, root, cells, channels)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    rows = decoded(files.join(found, "path"))
+def load_cells(spark: SparkSession, root: str, cells: list[str] | None = None, channels: tuple[str, ...] = ("phase", "actin", "mt", "nuc"), channel_map: dict[str, str] | None = None) -> DataFrame:
+    """(cell_id, channel, image): gray (combo RGB), each cell's channels in its most frequent size. Only the chosen files are opened,
+    once; what was decoded is written to the shared folder. A file that can't be read raises FileNotFoundError."""
+    rows = written(opened(spread(resolve_channels(spark, root, cells, channels, channel_map))))
     if bad := rows.where("error IS NOT NULL").select("path", "error").take(1):
         raise FileNotFoundError(f"{bad[0].path}: {bad[0].error}")
     sizes = mode_size(rows.select("cell_id", "channel", "image.h", "image.w"))
@@ -125,16 +145,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("header", "true").csv(path)
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or address, and the path there."""
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-    return fs.LocalFileSystem(), path
-
-
 def _exists(path: str) -> bool:
-    store, at = _store(path)
-    return store.get_file_info(at).type != fs.FileType.NotFound
+    system, at = store(path)
+    return system.get_file_info(at).type != fs.FileType.NotFound
 
 
 def first_existing(paths: list[str]) -> str | None:
@@ -166,14 +179,14 @@ def write_summary(summary: DataFrame, folder: str) -> None:
 
 def put(folder: str, name: str, data: bytes) -> str:
     """A file of that name (which can have folders) under a folder, complete or absent; its address."""
-    store, base = _store(folder)
+    system, base = store(folder)
     target = f"{base.rstrip('/')}/{name}"
     parent, _, last = target.rpartition("/")
-    store.create_dir(parent, recursive=True)
+    system.create_dir(parent, recursive=True)
     part = f"{parent}/.{last}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
+    with system.open_output_stream(part) as out:
         out.write(data)
-    store.move(part, target)
+    system.move(part, target)
     return f"{folder.rstrip('/')}/{name}"
 
 
@@ -203,8 +216,8 @@ def copy_files(paths: DataFrame, folder: str) -> DataFrame:
         for pdf in batches:
             done = []
             for path in pdf.iloc[:, 0]:
-                store, at = _store(path)
-                with store.open_input_stream(at) as data:
+                system, at = store(path)
+                with system.open_input_stream(at) as data:
                     done.append(put(folder, at.rpartition("/")[2], data.read()))
             yield pd.DataFrame({"path": pdf.iloc[:, 0], "copied": done})
 

@@ -21,3 +21,20 @@ def test_kmeans_takes_the_best_of_all_starts(spark, monkeypatch):
     monkeypatch.setattr(clustering, "kmeans", seen)
     queries.QUERIES["kmeans_inertia"](spark, "/root/testdata/sf0.001")
     assert starts == [Config().n_init]
+
+
+def test_kmeans_reads_the_rows_once_for_all_starts(spark, monkeypatch):
+    """The inertia is not above that of Spark ML's best of as many starts, and scans don't grow with the starts."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    z = queries.scaled(spark, "/root/testdata/sf0.001").persist()
+    scans, scan = [], clustering._scan
+    monkeypatch.setattr(clustering, "_scan", lambda *a: scans.append(1) or scan(*a))
+    _, centres, inertia = clustering.kmeans(z, 3, 10, 42)
+    many = len(scans)
+    clustering.kmeans(z, 3, 2, 42)
+    assert many <= 2 * (len(scans) - many) + 20
+    fits = [KMeans(k=3, seed=s, featuresCol="v").fit(z.withColumn("v", array_to_vector("px"))).summary.trainingCost for s in range(5)]
+    assert inertia <= min(fits) * 1.01
+    assert len(centres) == 3
