@@ -91,5 +91,39 @@ FROM d
 """
 
 
+CRC_TURN = CRC.replace("CAST(doc_id AS VARCHAR)", "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+
+REPAIR = f"""
+WITH RECURSIVE w AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC_TURN} % 20 AS way FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN way = 3 THEN 2 ELSE 1 END)) AS copy FROM w WHERE way > 0),
+n AS (SELECT *, substr(role, 1, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN '' ELSE 'truncated' END AS fault,
+       coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY k) || i NOT IN ('su', 'ua', 'au'), false) AS illegal FROM n),
+m AS (SELECT * FROM (VALUES (0, 0, 'D', 4, NULL, NULL, NULL), (1, 1, 'D', 4, NULL, NULL, NULL), (2, 2, 'D', 4, NULL, NULL, NULL), (3, 3, 'D', 4, NULL, NULL, NULL), (0, 1, 'K', 0, 's', NULL, NULL),
+  (0, 2, 'K', 0, 'u', NULL, NULL), (1, 2, 'K', 0, 'u', NULL, NULL), (3, 2, 'K', 0, 'u', NULL, NULL), (2, 2, 'IK', 3, 'u', 'assistant:', NULL), (2, 3, 'K', 0, 'a', NULL, NULL), (0, 3, 'IK', 3, 'a', 'user:', NULL), (1, 3, 'IK', 3, 'a', 'user:', NULL), (3, 3, 'IK', 3, 'a', 'user:', NULL),
+  (0, 2, 'R', 3, NULL, NULL, 'user'), (1, 2, 'R', 3, NULL, NULL, 'user'), (3, 2, 'R', 3, NULL, NULL, 'user'), (2, 3, 'R', 3, NULL, NULL, 'assistant'), (0, 3, 'IR', 6, NULL, 'user:', 'assistant'), (1, 3, 'IR', 6, NULL, 'user:', 'assistant'), (3, 3, 'IR', 6, NULL, 'user:', 'assistant'), (2, 2, 'IR', 6, NULL, 'assistant:', 'user')) t(s, e, code, cost, i, added, named)),
+r AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS s, {{'c': 0, 'a': '', 'o': []::VARCHAR[]}} AS b FROM f
+  UNION ALL
+  SELECT f.conv_id, f.k, m.e, min({{'c': r.b.c + m.cost + CASE WHEN f.fault = 'truncated' AND m.code <> 'D' THEN 3 ELSE 0 END, 'a': r.b.a || m.code,
+    'o': r.b.o || CASE WHEN m.added IS NULL THEN [] ELSE [m.added] END || CASE WHEN m.code = 'D' THEN [] ELSE [coalesce(m.named, f.role) || ':' || f.text] END}})
+  FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.k = r.k + 1 JOIN m ON m.s = r.s AND coalesce(m.i, f.i) = f.i AND (m.code = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY f.conv_id, f.k, m.e),
+e AS (SELECT conv_id, min({{'c': b.c + CASE s WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'a': b.a || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END, 'o': b.o || CASE s WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END}}) AS b
+  FROM r JOIN (SELECT conv_id AS id, max(k) AS last FROM f GROUP BY conv_id) l ON l.id IS NOT DISTINCT FROM r.conv_id AND l.last = r.k GROUP BY conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(e.b.c, 0) AS BIGINT) AS cost, coalesce(e.b.a, '') AS audit, sha256(coalesce(array_to_string(e.b.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, p.y FROM r JOIN p ON p.x = r.other),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, coalesce(max(n), 0) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept FROM r LEFT JOIN n ON n.x = r.vec_id GROUP BY vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": OP5, "op6_exact_dedup": OP6, "op8_line_dedup": OP8, "chat_digests": CHAT, "quality_base": QUALITY, "lm_base": LM, "mix_targets": MIX, "url_rules": URLS, "pii_counts": PII}
+    return {"op5_near_dedup": OP5, "op6_exact_dedup": OP6, "op8_line_dedup": OP8, "op12_conversation_repair": REPAIR, "op13_embedding_dedup": NEAR_VECTORS, "chat_digests": CHAT, "quality_base": QUALITY, "lm_base": LM, "mix_targets": MIX, "url_rules": URLS, "pii_counts": PII}

@@ -398,3 +398,121 @@ def pii_others(text):
     streets = [(h.start(), m.end()) for m in re.finditer(f" (?:{STREET})(?![^\\W_])", text) if (h := re.search(r"(?<!\w)[0-9]{1,5}[A-Za-z]? (?:[A-Z][A-Za-z'-]{0,30} ){1,4}$", text[: m.start() + 1]))]
     kinds = {"account": behind(ACCOUNT, number, 1), "iban": ibans, "ipv6": hexes, "login": logins, "secret": secrets, "ssn": behind("ssn|social security", ssn, 1), "street": streets}
     return [(kind, *s) for kind, found in kinds.items() for s in greedy(found)]
+
+
+def alignment(texts, encode_a, bytes_a, encode_b, bytes_b):
+    """What op11 says of each text, and its groups; encode_*: text to ids, bytes_*: an id's bytes."""
+    rows, counts = [], Counter()
+    for text in texts:
+        want = (" " + (text or "")).encode()
+        sides = [(encode(text), of) for encode, of in ((lambda t: encode_a(" " + t), bytes_a), (encode_b, bytes_b))] if text else []
+        if not text or any(b"".join(map(of, ids)) != want for ids, of in sides):
+            rows.append((0, 0, "", []))
+            continue
+        ends = []
+        for ids, of in sides:
+            at, found = 0, []
+            for i in ids:
+                at += len(of(i))
+                found.append((at, i))
+            ends.append(found)
+        groups, low = [], 0
+        for cut in sorted({e for e, _ in ends[0]} & {e for e, _ in ends[1]}):
+            groups.append("|".join(",".join(str(i) for e, i in side if low < e <= cut) for side in ends))
+            low = cut
+        of_b = defaultdict(list)
+        for e, i in ends[1]:
+            of_b[e].append(i)
+        links = [(i, j) for e, i in ends[0] for j in of_b[e]]
+        counts.update(links)
+        rows.append((len(ends[0]), len(ends[1]), ";".join(groups), links))
+    most = defaultdict(int)
+    for (_, j), n in counts.items():
+        most[j] = max(most[j], n)
+    return [(a, b, groups.count(";") + 1 if groups else 0, len(links), sum(counts[x] == most[x[1]] for x in links), sum(counts[x] for x in links), sha(groups) if groups else "") for a, b, groups, links in rows]
+
+
+def near_vectors(rows, least=0.9):
+    """{position: (links, component)} of (id, vector) rows; the component is its smallest id that is not null."""
+    import numpy as np
+
+    good = {k: np.array(v, float) for k, (_, v) in enumerate(rows) if v and all(c is not None and math.isfinite(c) for c in v) and any(v)}
+    links = {k: [j for j, y in good.items() if j != k and len(y) == len(x) and (x / np.abs(x).max()) @ (y / np.abs(y).max()) / np.linalg.norm(x / np.abs(x).max()) / np.linalg.norm(y / np.abs(y).max()) >= least] for k, x in good.items()}
+    out = {}
+    for k in range(len(rows)):
+        seen, todo = {k}, [k]
+        while todo:
+            new = set(links.get(todo.pop(), ())) - seen
+            seen |= new
+            todo += new
+        out[k] = (len(links.get(k, ())), min((rows[j][0] for j in seen if rows[j][0] is not None), default=None))
+    return out
+
+
+def damage(rows):
+    """(conv, turn, role, text) rows as op12 damages them."""
+    out = []
+    for conv, turn, role, text in rows:
+        way = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text, role = " " if text is None else text, " " if role is None else role
+        text = "" if way == 1 else re.sub("[.!?]", "", text) if way == 2 else text
+        out += [(conv, turn, "user" if way == 4 else role, text)] * (0 if way == 0 else 2 if way == 3 else 1)
+    return out
+
+
+def _faults(rows):
+    out, seen = [], set()
+    for _, role, text in rows:
+        last = text.strip(SPACES)[-1:]
+        out.append("blank" if not last else "duplicate" if (role, text) in seen else "" if last in ".!?" else "truncated")
+        seen.add((role, text))
+    return out
+
+
+def repair(rows, every_way=False):
+    """What op12 says of one conversation's damaged rows (turn, role, text). every_way tries all edits of each row with up to two
+    insertions before it, for short conversations; else the best audit of each state is kept as a string."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), sha(r[2])))
+    faults = _faults(rows)
+    turns = [r[0] for r in rows if r[0] is not None]
+    numbers = (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *map(faults.count, ("blank", "duplicate", "truncated")), sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False)))
+
+    def moves(k):
+        for n in range(3):
+            for edit in "DKR" if faults[k] not in ("blank", "duplicate") else "D":
+                yield "I" * n + edit, 3 * n + {"D": 4, "K": 0, "R": 3}[edit] + 3 * (edit != "D" and faults[k] == "truncated")
+
+    def after(done, code, row):
+        """The lines, or None where no legal roles begin so."""
+        lines = list(done)
+        roles = "".join(x[:1] for x in lines)
+        for c in code:
+            if c == "D":
+                continue
+            turn = "assistant" if roles.endswith("u") else "user"
+            lines.append(f"{row[1]}:{row[2]}" if c == "K" else f"{turn}:{row[2] if c == 'R' else ''}")
+            roles += row[1][:1] if c == "K" else turn[0]
+            if len(roles) < len(lines) or not re.fullmatch("(s?(ua)*u?)?", roles):
+                return None
+        return lines
+
+    ways = {(): (0, "", [])}
+    for k, row in enumerate(rows):
+        new = {}
+        for cost, audit, lines in ways.values():
+            for code, price in moves(k):
+                if (then := after(lines if every_way else lines[-1:], code, row)) is not None:
+                    then = then if every_way else lines[:-1] + then
+                    way = (cost + price, audit + code, then)
+                    state = way[1] if every_way else "".join(x[:1] for x in then[-1:])
+                    if state not in new or way[:2] < new[state][:2]:
+                        new[state] = way
+        ways = new
+    best = []
+    for cost, audit, lines in ways.values():
+        for closing in ("", "I", "II"):
+            then = after(lines, closing, None) if closing else lines
+            if then is not None and re.fullmatch("(s?(ua)+)?", "".join(x[:1] for x in then)):
+                best.append((cost + 3 * len(closing), audit + closing, then))
+    cost, audit, lines = min(best)
+    return (*numbers, cost, audit, sha("\n".join(lines)))
