@@ -17,6 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Rows of an Arrow batch: bounds a worker's memory for texts of a few kB, and is small enough for long ones.
 BATCH_ROWS = 1000
 SEGMENT = 1 << 20  # bytes of text whose words are hashed at once
+LONG_WORD = 32  # bytes from which on a word is hashed by itself
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
@@ -208,7 +210,8 @@ def _segments(at: np.ndarray, raw: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def word_hashes(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, A-Z lower-cased, in order, and the number of words of each document."""
+    """A 64-bit hash of each word, A-Z lower-cased, in order, and the number of words of each document. Short words share a polynomial
+    over the segment's bytes, spread by `mix`; long ones have xxh3."""
     hashes, firsts = [], []
     for lo, hi in _segments(at, raw):
         data = _LOWER[raw[lo:hi]]
@@ -226,7 +229,10 @@ def word_hashes(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTE[data] * power[: hi - lo], out=total[1:])
         h = (total[e + 1] - total[s]) * inverse[s]
-        hashes.append(mix(h + (e - s + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        h = mix(h + (e - s + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for k in np.flatnonzero(e - s >= LONG_WORD):  # few; a polynomial over powers of two has collisions in long words, whatever its base
+            h[k] = xxhash.xxh3_64_intdigest(data[s[k] : e[k] + 1].tobytes())
+        hashes.append(h)
         firsts.append(s + lo)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     f = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)

@@ -6,6 +6,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import xxhash
@@ -416,10 +417,12 @@ def alignment(texts, encode_a, bytes_a, encode_b, bytes_b):
                 at += len(of(i))
                 found.append((at, i))
             ends.append(found)
-        groups, low = [], 0
-        for cut in sorted({e for e, _ in ends[0]} & {e for e, _ in ends[1]}):
-            groups.append("|".join(",".join(str(i) for e, i in side if low < e <= cut) for side in ends))
-            low = cut
+        cuts, groups = sorted({e for e, _ in ends[0]} & {e for e, _ in ends[1]}), []
+        own = [defaultdict(list), defaultdict(list)]
+        for side, into in zip(ends, own, strict=True):
+            for e, i in side:
+                into[bisect_left(cuts, e)].append(str(i))
+        groups = ["|".join(",".join(into[k]) for into in own) for k in range(len(cuts))]
         of_b = defaultdict(list)
         for e, i in ends[1]:
             of_b[e].append(i)

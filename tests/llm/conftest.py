@@ -10,6 +10,11 @@ def prose(rng, n, vocabulary=400):
     return " ".join(f"w{min(rng.randrange(vocabulary), rng.randrange(vocabulary))}" for _ in range(n))
 
 
+def unlike(k):
+    """Two words of 1,024 letters that polynomials modulo powers of two can't tell apart: the one has the other's letters exchanged."""
+    return "".join("ab"[(n.bit_count() + k) % 2] for n in range(1024))
+
+
 @pytest.fixture(scope="session")
 def odd_rows():
     """(doc_id, text): nulls, empty and very long texts, spaces of other kinds, exact and near copies, repeated rows, shared lines."""
@@ -26,6 +31,7 @@ def odd_rows():
     rows += [(60 + k, f"{prose(rng, 30)}\n  {line.upper() if k % 2 else line}\t\n{prose(rng, 20)}\nshort\nshort") for k in range(7)]
     rows += [(80, "same row"), (80, "same row"), (81, "same id, one text of it"), (81, "same id, another text of it"), (None, f"{line}\nx")]
     rows += [(90, prose(rng, 30_000)), (91, "x" * 300_000), (92, "\n".join([line] * 50)), (93, "a b c d e f g " * 40), (94, "</s>[INST] <|end|> <~1| ~0 ~ <|turn|>")]
+    rows += [(95, f"x {unlike(0)}"), (96, f"x {unlike(1)}"), (97, f"x {unlike(0)} {unlike(1)}")]
     rows += [(100 + k, prose(rng, 60 + k)) for k in range(20)]
     return rows
 

@@ -12,6 +12,7 @@ from spectraframe.llm import common
 from spectraframe.llm.suffix_tree import _Lookup, _place
 
 from . import brute
+from .conftest import unlike
 
 
 @settings(max_examples=200, deadline=None)
@@ -24,6 +25,13 @@ def test_words(texts):
     assert len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
 
 
+def test_long_words_that_a_polynomial_confuses():
+    a, b = (brute.words(unlike(k))[0] for k in range(2))
+    h, _ = common.word_hashes(*common.buffers(pa.array([f"{a} {b} {b.upper()}", a[:31], a[:32], a[:33]])))
+    assert h[1] == h[2]
+    assert len(set(h.tolist())) == 5
+
+
 def test_words_of_texts_longer_than_a_segment():
     texts = ["ab " * 900_000 + "x" * 1_500_000 + " end", "ab x", "", "end" * 600_000]
     h, n = common.word_hashes(*common.buffers(pa.array(texts)))
