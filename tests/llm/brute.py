@@ -504,8 +504,9 @@ def repair(rows, every_way=False):
         new = {}
         for cost, audit, lines in ways.values():
             for code, price in moves(k):
-                if (then := after(lines if every_way else lines[-1:], code, row)) is not None:
-                    then = then if every_way else lines[:-1] + then
+                n = len(lines) if every_way else 2 if lines and lines[-1][:1] == "a" else 1
+                if (then := after(lines[-n:] if n else [], code, row)) is not None:
+                    then = lines[: len(lines) - n] + then if len(lines) > n else then
                     way = (cost + price, audit + code, then)
                     state = way[1] if every_way else "".join(x[:1] for x in then[-1:])
                     if state not in new or way[:2] < new[state][:2]:
@@ -514,7 +515,8 @@ def repair(rows, every_way=False):
     best = []
     for cost, audit, lines in ways.values():
         for closing in ("", "I", "II"):
-            then = after(lines, closing, None) if closing else lines
+            then = after(lines[-1:], closing, None) if closing else lines
+            then = lines[:-1] + then if closing and then is not None else then
             if then is not None and re.fullmatch("(s?(ua)+)?", "".join(x[:1] for x in then)):
                 best.append((cost + 3 * len(closing), audit + closing, then))
     cost, audit, lines = min(best)

@@ -144,7 +144,8 @@ def test_chunks_join_to_the_whole():
 
 def test_repair_of_empty_and_clashing_tables(spark):
     kind = "conv_id long, turn long, role string, text string, conv string, copies int, way string, part int, seen boolean"
-    assert repair.repaired_conversations(none := spark.createDataFrame([], kind), repair.damaged(none)).count() == 0
+    none = spark.createDataFrame([], kind)
+    assert repair.repaired_conversations(none, repair.damaged(none)).count() == 0
     table = spark.createDataFrame([(1, 0, "user", "Hi.", "x", 9, "y", 3, True), (1, 1, "assistant", "Yes.", "x", 9, "y", 3, True)], kind)
     assert repair.repair(table).first()["audit"] == "KK"
 
@@ -173,7 +174,7 @@ def test_near_vectors_against_all_pairs(spark):
 
 def test_near_vectors_of_small_shards(spark):
     rows = vectors(4, 900, [(30, 0.1), (300, 0.3)])
-    got = embedding_dedup.near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"), most=100).collect()
+    got = embedding_dedup.near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"), most=300).collect()
     want = brute.near_vectors(list(enumerate(rows)))
     assert {r["id"]: (r.n_links, r.component) for r in got} == want
 
