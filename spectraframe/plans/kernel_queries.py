@@ -1080,4 +1080,4 @@ def shape_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imaging.features(rows).select(F.col("sample_id").cast("long").alias("sample_id"), "error")
 
 
-from . import tile_queries  # noqa: E402, F401 - registers its queries, which take some SQL of those here
+from . import prompt_queries, tile_queries  # noqa: E402, F401 - register their queries, which take some SQL of those here

@@ -5,8 +5,10 @@ Embeddings are read as 8 by 8 rasters; their label stands for a sample's parent
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..config import CHANNELS
 from ..functions import registry
 from ..operators import clustering, components, evaluate, generate, imaging, maskops, pixels
 from ..sources import images as sources
+from ..sources.rasters import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,6 +54,12 @@ def masked(spark: SparkSession, sf_dir: str, p: float = 0.6) -> DataFrame:
     return images(spark, sf_dir).withColumn("m", F.element_at(F.transform(F.array(pixels.array_percentile(F.col("px"), p)), lambda t: F.transform("px", lambda v: v > t)), 1))
 
 
+def packed(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """Rows (image_id, image) of 8 by 8 rasters."""
+    for pdf in batches:
+        yield pd.DataFrame({"image_id": pdf["vec_id"], "image": [pack(np.array(x).reshape(8, 8)) for x in pdf[column]]})
+
+
 PX = "p AS (SELECT vec_id, label, CAST((k - 1) // 8 AS INT) AS r, CAST((k - 1) % 8 AS INT) AS c, CAST(k - 1 AS INT) AS pos, v FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings))"
 MASK = PX + ", t AS (SELECT vec_id, quantile_cont(v, 0.6) AS t FROM p GROUP BY vec_id), m AS (SELECT p.*, v > t AS m FROM p JOIN t USING (vec_id))"
 

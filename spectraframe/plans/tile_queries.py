@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import raster, regions
 from ..operators import tiles
 from ..schemas import RASTER
-from ..sources.rasters import pack
-from .queries import CC, PROPS, SQL, images, masked, query, rounded
+from .queries import CC, PROPS, SQL, images, masked, packed, query, rounded
 
 SIDE = 4
 
 
 def _tiles(rows: DataFrame, column: str) -> DataFrame:
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"image_id": pdf["vec_id"], "image": [pack(np.array(x).reshape(8, 8)) for x in pdf[column]]})
-
-    return tiles.cut(rows.select("vec_id", column).mapInPandas(packed, f"image_id long, image {RASTER.simpleString()}"), SIDE)
+    return tiles.cut(rows.select("vec_id", column).mapInPandas(lambda b: packed(b, column), f"image_id long, image {RASTER.simpleString()}"), SIDE)
 
 
 def _mask_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
