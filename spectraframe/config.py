@@ -21,6 +21,7 @@ class Config:
     zoom: tuple[float, float] = (0.9, 1.1)
     control_points: int = 10
     displacement: float = 20
+    warp: str = "piecewise"  # or "spline"
     diffusion_steps: int = 1000
     beta_start: float = 0.0001
     beta_end: float = 0.02

@@ -2,7 +2,8 @@
 
 Distances that are not sums of per-row terms need all pairs. They are computed in blocks: vectors are gathered into blocks of
 BLOCK rows, each pair of blocks meets in one task as two matrices, and only sums by point and cluster leave it. So the
-rows that move are blocks, not pairs, and no task holds more than two of them, however large a cluster is.
+rows that move are blocks, not pairs, and no task holds more than two of them, however large a cluster is. What concerns pairs within clusters only
+is cut into blocks by cluster.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 512
+BLOCK = 2048  # two blocks and a matrix of their distances: some 100 MB
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -38,18 +39,20 @@ def nearest_centroid(vectors: DataFrame, centroids: list[list[float]]) -> DataFr
     return vectors.withColumn("cluster", F.array_min(far)["k"])
 
 
-def in_blocks(vectors: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.RecordBatch], schema: str, block: int = BLOCK, halves: bool = False) -> DataFrame:
-    """kernel(x, y) of all pairs of blocks of vectors (id, cluster, px), or with halves of unordered pairs only."""
-    rows = max(1, -(-vectors.count() // block))
-    placed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int").alias("b"), "id", "cluster", "px")
-    others = F.sequence(F.col("b") if halves else F.lit(0), F.lit(rows - 1))
-    left = placed.withColumn("o", F.explode(others)).withColumn("inner", F.lit(0))
-    others = F.sequence(F.lit(0), F.col("b") if halves else F.lit(rows - 1))
-    right = placed.withColumn("o", F.explode(others)).select(F.col("o").alias("b"), "id", "cluster", "px", F.col("b").alias("o"), F.lit(1).alias("inner"))
-    both = left.unionByName(right).repartition("b", "o").sortWithinPartitions("b", "o", "inner")
+def in_blocks(vectors: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.RecordBatch], schema: str, block: int = BLOCK, halves: bool = False, within: bool = False) -> DataFrame:
+    """kernel(x, y) of all pairs of blocks of vectors (id, cluster, px), or with halves of unordered pairs only; `within`: only of pairs within a
+    cluster, so a vector is sent to the blocks of its own cluster and not to all."""
+    group = F.col("cluster") if within else F.lit(0)
+    sizes = vectors.groupBy(group.alias("g")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rows"))  # a row a cluster
+    placed = vectors.withColumn("g", group).join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int"))
+    others = F.sequence(F.col("b") if halves else F.lit(0), F.col("rows") - 1)
+    left = placed.withColumn("o", F.explode(others)).select("g", "b", "o", "id", "cluster", "px", F.lit(0).alias("inner"))
+    others = F.sequence(F.lit(0), F.col("b") if halves else F.col("rows") - 1)
+    right = placed.withColumn("o", F.explode(others)).select("g", F.col("o").alias("b"), F.col("b").alias("o"), "id", "cluster", "px", F.lit(1).alias("inner"))
+    both = left.unionByName(right).repartition("g", "b", "o").sortWithinPartitions("g", "b", "o", "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each (b, o) first the points of b, then those of o."""
+        """Of each (g, b, o) first the points of b, then those of o."""
         now, parts = None, []
 
         def result() -> pa.RecordBatch:
@@ -59,7 +62,7 @@ def in_blocks(vectors: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Reco
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            keys = np.stack([batch.column(0).to_numpy(), batch.column(4).to_numpy()], 1)
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
             cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi == lo:
@@ -84,9 +87,9 @@ def _distances(x: pa.Table, y: pa.Table) -> np.ndarray:
     return np.sqrt(d2)
 
 
-def block_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, cluster, other, n, total): for each point and each cluster, the number of its other points and the sum of the Euclidean
-    distances to them. vectors: (id, cluster, px)."""
+def block_pairs(vectors: DataFrame, block: int = BLOCK, within: bool = False) -> DataFrame:
+    """(id, cluster, other, n, total): for each point and each cluster (or its own only), the number of its other points and the sum of the
+    Euclidean distances to them. vectors: (id, cluster, px)."""
 
     def sums(x: pa.Table, y: pa.Table) -> pa.RecordBatch:
         kinds, code = np.unique(y.column("cluster").to_numpy(), return_inverse=True)
@@ -97,7 +100,7 @@ def block_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         columns = (np.repeat(x.column("id").to_numpy(), len(kinds)), np.repeat(x.column("cluster").to_numpy(), len(kinds)), np.tile(kinds, len(x)), n.ravel().astype(np.int64), (_distances(x, y) @ member).ravel())
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "cluster", "other", "n", "total"])
 
-    out = in_blocks(vectors, sums, "id long, cluster int, other int, n long, total double", block)
+    out = in_blocks(vectors, sums, "id long, cluster int, other int, n long, total double", block, within=within)
     return out.groupBy("id", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
@@ -134,7 +137,7 @@ def silhouette(vectors: DataFrame) -> DataFrame:
 
 def intra_cluster(vectors: DataFrame) -> DataFrame:
     """(cluster, n_samples, mean_distance) over pairs of a cluster; 0 for a cluster of one."""
-    sums = block_pairs(vectors).where("cluster = other")
+    sums = block_pairs(vectors, within=True)
     return sums.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_samples"), F.coalesce(F.sum("total") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("mean_distance"))
 
 
@@ -153,7 +156,7 @@ def intra_cluster_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         columns = [pa.array(kinds, pa.int32()), pa.array([len(v) for v in of], pa.int64()), *(pa.array([float(f(v)) if len(v) else 0.0 for v in of]) for f in (np.sum, lambda v: (v * v).sum(), np.max))]
         return pa.RecordBatch.from_arrays(columns, ["cluster", "n", "total", "squares", "most"])
 
-    found = in_blocks(vectors, sums, "cluster int, n long, total double, squares double, most double", block, halves=True)
+    found = in_blocks(vectors, sums, "cluster int, n long, total double, squares double, most double", block, halves=True, within=True)
     stats = found.groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")], F.max("most").alias("max_distance")).where("n > 0")
     mean = F.col("total") / F.col("n")
     stats = stats.select("cluster", mean.alias("mean_distance"), F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mean * mean)).alias("std_distance"), "max_distance")
@@ -164,7 +167,7 @@ def intra_cluster_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 def compare_algorithms(vectors: DataFrame) -> DataFrame:
     """By algorithm, the mean over its samples of the mean distance to the other members of their cluster; points alone
     in theirs are left out. vectors: (id, cluster, px, algorithm)."""
-    sums = block_pairs(vectors).where("cluster = other AND n > 0").select("id", (F.col("total") / F.col("n")).alias("d"))
+    sums = block_pairs(vectors, within=True).where("n > 0").select("id", (F.col("total") / F.col("n")).alias("d"))
     return vectors.select("id", "algorithm").join(sums, "id").groupBy("algorithm").agg(F.avg("d").alias("mean_intra_distance"), F.count(F.lit(1)).alias("n_samples"))
 
 

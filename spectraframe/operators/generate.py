@@ -66,9 +66,10 @@ def classical(a: np.ndarray, p: object, channel: str, config: Config) -> np.ndar
 
 
 def structural(a: np.ndarray, p: object, channel: str, config: Config) -> np.ndarray:
-    """One warp for all channels of a sample."""
+    """One warp for all channels of a sample: piecewise affine, or a spline if so configured."""
     source, target = raster.control_points(a.shape, _generator(p.sample_id, config.seed, "warp"), config.control_points, config.displacement)
-    return np.clip(raster.thin_plate_warp(a, source, target), 0, 1)
+    warp = {"piecewise": raster.piecewise_affine_warp, "spline": raster.thin_plate_warp}[config.warp]
+    return np.clip(warp(a, source, target), 0, 1)
 
 
 def variants(cells: DataFrame, algorithm: str, config: Config = Config()) -> DataFrame:

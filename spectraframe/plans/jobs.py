@@ -86,7 +86,7 @@ def evaluate_clusters(features: DataFrame, config: Config) -> tuple[DataFrame, D
     for method, found in labels.items():
         rows = z.join(found, "id").withColumn("is_original", F.lower("sample_id").contains("original")).persist()
         match = evaluate.parent_match(rows).where("parent_id = '*' AND algorithm = '*'").first()
-        sums = evaluate.block_pairs(rows.select("id", F.col("cluster").cast("int").alias("cluster"), "px")).where("cluster = other").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).first()
+        sums = evaluate.block_pairs(rows.select("id", F.col("cluster").cast("int").alias("cluster"), "px"), within=True).agg(F.sum("total").alias("t"), F.sum("n").alias("n")).first()
         score = evaluate.silhouette(rows.select("id", F.col("cluster").cast("int").alias("cluster"), "px")).first()["silhouette"]
         columns[method] = (float(score), float(match["rate"]) if match else 0.0, float(sums["t"] / sums["n"]) if sums["n"] else 0.0)
         labels[method] = rows.select("sample_id", F.lit(method).alias("method"), "cluster", "id", "px", "algorithm", "parent_id", "is_original")

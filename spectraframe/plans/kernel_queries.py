@@ -725,6 +725,36 @@ def component_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.folded(components.component_table(masked(spark, sf_dir)), 3.5, 3.5, large=5)
 
 
+#: Control points at rest: an uneven set, some of whose neighbours are on one circle.
+POINTS = [(0, 0), (0, 7), (7, 0), (7, 7), (3, 3), (2, 5), (5, 2), (6, 5)]
+PIECEWISE = f"""WITH {PX}, c AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a}.0, {b}.0)" for k, (a, b) in enumerate(POINTS))}) t(k, x, y)),
+l AS (SELECT k, x, y, x * x + y * y + 1e-6 * k * k AS z FROM c),
+t0 AS (SELECT a.k AS i, b.k AS j, d.k AS m, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, d.x AS x2, d.y AS y2, d.z AS z2, (b.x - a.x) * (d.y - a.y) - (d.x - a.x) * (b.y - a.y) AS area FROM l a JOIN l b ON b.k > a.k JOIN l d ON d.k > b.k),
+t1 AS (SELECT *, ((z1 - z0) * (y2 - y0) - (z2 - z0) * (y1 - y0)) / area AS u, ((x1 - x0) * (z2 - z0) - (x2 - x0) * (z1 - z0)) / area AS v FROM t0 WHERE abs(area) > 1e-9),
+t AS (SELECT * FROM t1 WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.k NOT IN (i, j, m) AND l.z - (z0 + u * (l.x - x0) + v * (l.y - y0)) <= 0)),
+q AS (SELECT a.vec_id, c.k, greatest(0, least(7, c.x + 2 * a.v)) AS x, greatest(0, least(7, c.y - 2 * b.v)) AS y FROM c JOIN p a ON a.pos = 2 * c.k JOIN p b ON b.pos = 2 * c.k + 1 AND b.vec_id = a.vec_id),
+g AS (SELECT CAST(r.range AS INT) AS r, CAST(s.range AS INT) AS c FROM range(8) r, range(8) s),
+b AS (SELECT g.r, g.c, i, j, m, ((g.c - x0) * (y2 - y0) - (x2 - x0) * (g.r - y0)) / area AS b1, ((x1 - x0) * (g.r - y0) - (g.c - x0) * (y1 - y0)) / area AS b2 FROM g, t),
+n AS (SELECT * FROM b WHERE least(1 - b1 - b2, b1, b2) >= -1e-9 QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY i, j, m) = 1),
+w AS (SELECT a.vec_id, n.r, n.c, (1 - b1 - b2) * a.x + b1 * b.x + b2 * d.x AS x, (1 - b1 - b2) * a.y + b1 * b.y + b2 * d.y AS y FROM n JOIN q a ON a.k = n.i JOIN q b ON b.k = n.j AND b.vec_id = a.vec_id JOIN q d ON d.k = n.m AND d.vec_id = a.vec_id),
+f AS (SELECT *, CAST(floor(y + 1e-12) AS INT) AS r0, CAST(floor(x + 1e-12) AS INT) AS c0 FROM w),
+s AS (SELECT f.vec_id, f.r, f.c, sum((CASE WHEN p.r = r0 THEN 1 - (y - r0) ELSE 0 END + CASE WHEN p.r = least(7, r0 + 1) THEN y - r0 ELSE 0 END) * (CASE WHEN p.c = c0 THEN 1 - (x - c0) ELSE 0 END + CASE WHEN p.c = least(7, c0 + 1) THEN x - c0 ELSE 0 END) * p.v) AS v FROM f JOIN p ON p.vec_id = f.vec_id AND p.r IN (r0, least(7, r0 + 1)) AND p.c IN (c0, least(7, c0 + 1)) GROUP BY ALL)
+SELECT vec_id, r, c, round(v, 4) + 0.0 AS v FROM s"""
+
+
+def _warped(i: int, a: np.ndarray) -> list[tuple]:
+    source, flat = np.array(POINTS, float), a.ravel()
+    n = len(POINTS)
+    moved = source + 2 * np.stack([flat[0 : 2 * n : 2], -flat[1 : 2 * n : 2]], 1)
+    return pixel_rows(i, raster.piecewise_affine_warp(a, source, moved.clip(0, 7)))
+
+
+@query(PIECEWISE)
+def piecewise_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control points moved by each raster's first values; triangles, affine maps and interpolation."""
+    return rounded(each(images(spark, sf_dir).select("vec_id", "px"), _warped, PIXELS), 4)
+
+
 # clustering ------------------------------------------------------------------------------------------------------------------
 
 

@@ -123,7 +123,7 @@ def intra_cluster_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT count(*) AS n_pairs, round(avg(d), 5) AS mean_distance FROM d WHERE other = cluster")
 def intra_cluster_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = evaluate.block_pairs(vectors(spark, sf_dir)).where("cluster = other")
+    sums = evaluate.block_pairs(vectors(spark, sf_dir), within=True)
     return rounded(sums.agg(F.sum("n").alias("n_pairs"), (F.sum("total") / F.sum("n")).alias("mean_distance")))
 
 
