@@ -195,7 +195,8 @@ class RasterSource(DataSource):
 
 
 def registered(spark: SparkSession) -> SparkSession:
-    """The session, with the source and its pushdown."""
+    """The session, with the source and its pushdown, as this thread's own: a source is looked up in the thread's session."""
+    spark.createDataFrame([], "a int")  # sets it
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RasterSource)
     return spark
