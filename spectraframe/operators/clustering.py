@@ -1,4 +1,4 @@
-"""Clustering and reduction (C1 to C6). K-means makes all its starts at once, PCA is Spark ML's; Ward's linkage has no distributed form."""
+"""Clustering and reduction (C1 to C6). K-means makes all its starts at once, PCA is Spark ML's; Ward's linkage merges all mutually nearest clusters at once."""
 
 from __future__ import annotations
 
@@ -8,11 +8,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ward's linkage keeps a matrix of all pairs: 10,000 rows are 800 MB. More is an error.
+from . import graph
+from .evaluate import met
+from .tables import discard, written
+
+#: Beyond this number of samples the jobs leave the hierarchical clustering out.
 MOST_WARD = 10_000
+#: So many clusters are merged in one place, by a matrix of all pairs: 32 MB.
+FEW_CLUSTERS = 2_000
+#: Most clusters of a block in the search for the nearest ones: 8 MB at 64 numbers each.
+WARD_BLOCK = 16_384
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -24,8 +32,13 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return near, np.einsum("sij,sij->si", diff, diff)
 
 
+def _rows(px: pa.Array) -> np.ndarray:
+    """A matrix of arrays of one length, without a Python object a number."""
+    return px.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(px), -1)
+
+
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array(batch.column("px").to_pylist(), float).reshape(batch.num_rows, -1)
+    return _rows(batch.column("px"))
 
 
 def _scan(rows: DataFrame, centres: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -132,12 +145,15 @@ def with_clusters(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return vectors.withColumn("cluster", F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres)]))["k"])
 
 
-def ward_linkage(x: np.ndarray) -> np.ndarray:
-    """Merges (a, b, distance, size) by the recurrence of Lance and Williams, nearest pair first."""
+def ward_linkage(x: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Merges (a, b, distance, size) by the recurrence of Lance and Williams, nearest pair first; x can be the centroids of clusters of
+    these sizes."""
     n = len(x)
     d = ((x[:, None] - x[None]) ** 2).sum(-1).astype(float) if n * n * x.shape[1] < 5e7 else np.array([((x - row) ** 2).sum(1) for row in x])
+    size, name, live = np.ones(n) if sizes is None else sizes.astype(float), np.arange(n), np.ones(n, bool)
+    if sizes is not None:
+        d *= 2 * size[:, None] * size[None] / (size[:, None] + size[None])
     np.fill_diagonal(d, np.inf)
-    size, name, live = np.ones(n), np.arange(n), np.ones(n, bool)
     out = np.zeros((max(0, n - 1), 4))
     for step in range(n - 1):
         i, j = divmod(int(np.argmin(d)), n)
@@ -171,12 +187,112 @@ def cut(linkage: np.ndarray, n: int, k: int) -> np.ndarray:
     return np.array([seen.setdefault(root(i), len(seen)) for i in range(n)])
 
 
+def _nearest_clusters(some: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(id, nn, d2): the nearest other cluster of some by Ward's squared distance 2 n m / (n + m) |x - y|^2; of equally near pairs the first."""
+
+    def near(x: pa.Table, y: pa.Table) -> pa.RecordBatch:
+        (i, n, a), (j, m, b) = ((t.column("id").to_numpy(), t.column("n").to_numpy().astype(float), _rows(t.column("px").combine_chunks())) for t in (x, y))
+        aa, bb = (a * a).sum(1), (b * b).sum(1)
+        out = []
+        for at in range(0, len(i), 256):
+            part = slice(at, at + 256)
+            d = aa[part, None] + bb[None] - 2 * a[part] @ b.T
+            d *= 2 * n[part, None] * m[None] / (n[part, None] + m[None])
+            d[i[part, None] == j[None]] = np.inf
+            close = d <= (d.min(1) + 1e-11 * n[part] * (aa[part] + bb.max()))[:, None]  # the product form loses digits
+            for r in range(len(d)):
+                k = np.flatnonzero(close[r] & (d[r] < np.inf))
+                if len(k):
+                    q = at + r
+                    exact = 2 * n[q] * m[k] / (n[q] + m[k]) * ((a[q] - b[k]) ** 2).sum(1)
+                    lo, hi = np.minimum(i[q], j[k]), np.maximum(i[q], j[k])
+                    best = np.lexsort((hi, lo, exact))[0]
+                    out.append((i[q], exact[best], lo[best], hi[best]))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["id", "d2", "lo", "hi"])
+
+    def blocks(n: int) -> int:
+        return max(1, min(8, n // 512), -(-n // WARD_BLOCK))
+
+    rows = [blocks(t.count()) for t in (some, clusters)]
+    b, o = (F.pmod(F.xxhash64("id"), F.lit(r)).cast("int") for r in rows)
+    left = some.select(F.lit(0).alias("g"), b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(rows[1] - 1))).alias("o"), "id", "n", "px", F.lit(0).alias("inner"))
+    right = clusters.select(F.lit(0).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(rows[0] - 1))).alias("b"), o.alias("o"), "id", "n", "px", F.lit(1).alias("inner"))
+    best = met(left.unionByName(right), near, "id long, d2 double, lo long, hi long").groupBy("id").agg(F.min(F.struct("d2", "lo", "hi")).alias("p"))
+    return best.select("id", F.when(F.col("p.lo") == F.col("id"), F.col("p.hi")).otherwise(F.col("p.lo")).alias("nn"), F.col("p.d2").alias("d2"))
+
+
+def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows with their place `at` in the order of the keys, from 0: a range sort, and a count a partition."""
+    placed = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")))
+    counts = sorted(map(tuple, placed.groupBy("part").count().collect()))  # a row a partition
+    starts = [(p, sum(n for _, n in counts[:k])) for k, (p, _) in enumerate(counts)]
+    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start long"))
+    return placed.join(start, "part").withColumn("at", F.col("start") + F.col("k")).drop("part", "k", "start")
+
+
+def _ward_rounds(vectors: DataFrame) -> DataFrame:
+    """(a, b, a_made, b_made, round, h, size): all merges of Ward's linkage over (id, px), distributed; h is the squared distance. A cluster has
+    the id of its first member, and `made` is the round that made it (0: a single row), so (a, a_made) and (b, b_made) name what is merged,
+    and (a, round) what comes of it.
+
+    Two clusters that are each other's nearest are merged sooner or later whatever else is, as no merge brings a cluster nearer to others
+    (Ward's distance is reducible): each round merges all such pairs, and only clusters that are new, or have lost their nearest one, search
+    again. Equal vectors are merged first. The last few clusters are merged in one place."""
+    same = Window.partitionBy("px").orderBy("id")
+    copies = written(vectors.select(F.col("id").cast("long").alias("id"), "px", F.min("id").over(same).cast("long").alias("first"), F.row_number().over(same).alias("k")))
+    last = copies.agg(F.max("k")).first()[0]
+    merges = [copies.where("k > 1").select(F.col("first").alias("a"), F.col("id").alias("b"), (F.col("k") - 2).alias("a_made"), F.lit(0).alias("b_made"), (F.col("k") - 1).alias("round"), F.lit(0.0).alias("h"), F.col("k").cast("long").alias("size"))]
+    most = copies.groupBy("first").agg(F.max("k").alias("n"))
+    clusters = copies.where("k = 1").join(most, "first").select("id", "px", F.col("n").cast("long").alias("n"), (F.col("n") - 1).cast("int").alias("made"), F.lit(0.0).alias("h"), F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("d2"))
+    clusters, turn = written(clusters), int(last)
+    while clusters.count() > FEW_CLUSTERS:
+        found = _nearest_clusters(clusters.where("nn IS NULL").select("id", "n", "px"), clusters.select("id", "n", "px"))
+        now = written(clusters.drop("nn", "d2").join(clusters.where("nn IS NOT NULL").select("id", "nn", "d2").unionByName(found), "id"))
+        other = now.select(*[F.col(c).alias(f"{c}2") for c in ("id", "px", "n", "made", "h", "nn")])
+        pairs = now.where("id < nn").join(other, (F.col("nn") == F.col("id2")) & (F.col("nn2") == F.col("id")))
+        size = F.col("n") + F.col("n2")
+        mean = F.zip_with("px", "px2", lambda x, y: (F.col("n") * x + F.col("n2") * y) / size)
+        made = written(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.col("made").alias("a_made"), F.col("made2").alias("b_made"), F.lit(turn).alias("round"), F.greatest("d2", "h", "h2").alias("h"), size.alias("size"), mean.alias("px")))
+        merges.append(made.drop("px"))
+        gone = made.select(F.explode(F.array("a", "b")).alias("gone"))
+        kept = now.join(gone, F.col("id") == F.col("gone"), "left_anti").join(gone, F.col("nn") == F.col("gone"), "left")
+        kept = kept.select("id", "px", "n", "made", "h", F.when(F.col("gone").isNull(), F.col("nn")).alias("nn"), F.when(F.col("gone").isNull(), F.col("d2")).alias("d2"))
+        new = made.select(F.col("a").alias("id"), "px", F.col("size").alias("n"), F.col("round").alias("made"), "h", F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("d2"))
+        old, clusters = clusters, written(kept.unionByName(new))
+        discard(old, now)
+        turn += 1
+    rest = sorted(clusters.select("id", "n", "made", "h", "px").collect())  # FEW_CLUSTERS at most
+    names, done = [[r["id"], r["made"], r["h"]] for r in rest], []
+    for a, b, d, n in ward_linkage(np.array([r["px"] for r in rest], float).reshape(len(rest), -1), np.array([r["n"] for r in rest])):
+        (i, i_made, i_h), (j, j_made, j_h) = sorted((names[int(a)], names[int(b)]))
+        h = max(float(d) ** 2, i_h, j_h)
+        done.append((i, j, i_made, j_made, turn, h, int(n)))
+        names.append([i, turn, h])
+        turn += 1
+    out = vectors.sparkSession.createDataFrame(done, "a long, b long, a_made int, b_made int, round int, h double, size long")
+    for m in merges:
+        out = out.unionByName(m)
+    return out
+
+
 def ward(vectors: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(id, cluster), and the merges (step, a, b, distance, size). In one place, up to MOST_WARD rows."""
-    rows = vectors.select("id", "px").orderBy("id").limit(MOST_WARD + 1).collect()
-    if len(rows) > MOST_WARD:
-        raise ValueError(f"Ward's linkage takes {MOST_WARD} rows at most")
+    """(id, cluster), and the merges (step, a, b, distance, size). Few rows are merged in one place, more in rounds over all pairs of
+    blocks of clusters."""
+    rows = vectors.select("id", "px").orderBy("id").limit(FEW_CLUSTERS + 1).collect()  # a bounded number
     spark = vectors.sparkSession
+    if len(rows) > FEW_CLUSTERS:
+        leaves = _numbered(vectors.select("id"), "id")
+        n = leaves.count()
+        steps = written(_numbered(_ward_rounds(vectors), "h", "round", "a"))
+        name = steps.select(F.col("a").alias("id"), F.col("round").alias("made"), (F.col("at") + n).alias("name")).unionByName(leaves.select("id", F.lit(0).alias("made"), F.col("at").alias("name")))
+        left, right = (name.select(F.col("id").alias(c), F.col("made").alias(f"{c}_made"), F.col("name").alias(f"{c}_name")) for c in ("a", "b"))
+        named = steps.join(left, ["a", "a_made"]).join(right, ["b", "b_made"])
+        merges = named.select(F.col("at").cast("int").alias("step"), F.least("a_name", "b_name").cast("int").alias("a"), F.greatest("a_name", "b_name").cast("int").alias("b"), F.sqrt("h").alias("distance"), F.col("size").cast("int").alias("size"))
+        roots = graph.components(steps.where(F.col("at") < n - k).select(F.lit(0).alias("group"), F.col("a").alias("u"), F.col("b").alias("v")))
+        rooted = leaves.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+        firsts = sorted(r[0] for r in rooted.select("root").distinct().collect())  # k rows
+        numbers = F.broadcast(spark.createDataFrame([(r, c) for c, r in enumerate(firsts)], "root long, cluster int"))
+        return rooted.join(numbers, "root").select("id", "cluster"), merges
     links = ward_linkage(np.array([r["px"] for r in rows], float))
     labels = cut(links, len(rows), min(k, len(rows)))
     merges = [(s, int(a), int(b), float(d), int(n)) for s, (a, b, d, n) in enumerate(links)]
