@@ -43,7 +43,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 def _scan(rows: DataFrame, centres: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """One pass for all starts, which can have different numbers of centres: each one's rows a centre, their sums, and the cost. A task sends a
-    number a start, centre and coordinate."""
+    row a start: a number a centre and coordinate; there is no shuffle."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [np.zeros(len(c)) for c in centres]
@@ -53,20 +53,17 @@ def _scan(rows: DataFrame, centres: list[np.ndarray]) -> tuple[list[np.ndarray],
             x = _matrix(batch)
             for s, c in enumerate(centres):
                 near, d2 = _nearest(x, c[None])
-                np.add.at(n[s], near[0], 1)
-                np.add.at(sums[s], near[0], x)
+                member = (near[0][None] == np.arange(len(c))[:, None]).astype(float)
+                n[s] += member.sum(1)
+                sums[s] += member @ x
                 cost[s] += d2.sum()
-        found = [(s, k, j, v) for s, c in enumerate(centres) for k in range(len(c)) for j, v in enumerate([n[s][k], *sums[s][k]])] + [(s, -1, 0, v) for s, v in enumerate(cost)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["s", "k", "j", "v"])
+        found = [np.concatenate([[cost[s]], n[s], sums[s].ravel()]).tolist() for s in range(len(centres))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(centres)), pa.int32()), pa.array(found, pa.list_(pa.float64()))], ["s", "v"])
 
-    out = [np.zeros((len(c), c.shape[1] + 1)) for c in centres]
-    total = np.zeros(len(centres))
-    for r in rows.select("px").mapInArrow(partial, "s long, k long, j long, v double").groupBy("s", "k", "j").agg(F.sum("v").alias("v")).collect():  # a number a start, centre and coordinate
-        if r["k"] < 0:
-            total[r["s"]] = r["v"]
-        else:
-            out[r["s"]][r["k"], r["j"]] = r["v"]
-    return [o[:, 0] for o in out], [o[:, 1:] for o in out], total
+    out = [np.zeros(1 + len(c) + c.size) for c in centres]
+    for r in rows.select("px").mapInArrow(partial, "s int, v array<double>").collect():  # a row a start and task
+        out[r["s"]] += r["v"]
+    return [o[1 : 1 + len(c)] for o, c in zip(out, centres, strict=True)], [o[1 + len(c) :].reshape(c.shape) for o, c in zip(out, centres, strict=True)], np.array([o[0] for o in out])
 
 
 def _chosen(rows: DataFrame, centres: list[np.ndarray], cost: np.ndarray, step: int, seed: int, rate: float) -> list[np.ndarray]:
@@ -103,22 +100,26 @@ def _spread(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Gene
 
 
 def lloyd(rows: DataFrame, centres: list[np.ndarray], steps: int = 100, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, int]:
-    """Lloyd's steps of all starts over (id, px), one scan a step for all of them, until no centre moves by more than the tolerance; the
-    centres, each start's cost, and the number of scans. A centre without rows stays where it is."""
-    scans = 0
-    while True:
-        n, sums, cost = _scan(rows, centres)
+    """Lloyd's steps of all starts over (id, px), one scan a step for all of them that still move: each start goes on until none of its centres
+    moves by more than the tolerance. The centres, each start's cost, and the number of scans. A centre without rows stays where it is."""
+    centres, cost, scans, going = list(centres), np.zeros(len(centres)), 0, list(range(len(centres)))
+    while going:
+        n, sums, found = _scan(rows, [centres[s] for s in going])
         scans += 1
-        moved = [np.where(m[:, None] > 0, s / np.maximum(m, 1)[:, None], c) for m, s, c in zip(n, sums, centres, strict=True)]
-        if scans > steps or max(np.abs(a - b).max() for a, b in zip(moved, centres, strict=True)) <= tolerance:
-            return centres, cost, scans
-        centres = moved
+        cost[going] = found
+        moved = [np.where(m[:, None] > 0, v / np.maximum(m, 1)[:, None], centres[s]) for m, v, s in zip(n, sums, going, strict=True)]
+        still = [] if scans > steps else [(s, c) for s, c in zip(going, moved, strict=True) if np.abs(c - centres[s]).max() > tolerance]
+        for s, c in still:
+            centres[s] = c
+        going = [s for s, _ in still]
+    return centres, cost, scans
 
 
 def kmeans(vectors: DataFrame, k: int = 3, n_init: int = 10, seed: int = 42, rounds: int = 2) -> tuple[DataFrame, list[list[float]], float]:
     """(id, px, .., cluster), the centres and the inertia of the best of n_init starts. All starts share each scan: those that choose
     them (k-means||, some 2 k rows a start and round), and Lloyd's steps."""
-    rows = vectors.select("id", "px").persist()
+    tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism  # each sends its sums to the driver, each scan
+    rows = vectors.select("id", "px").coalesce(tasks).persist()
     try:
         first = rows.agg(*[F.min_by("px", F.struct(F.xxhash64("id", F.lit(seed + s)), "id")).alias(f"c{s}") for s in range(n_init)]).first()
         if first[0] is None:
