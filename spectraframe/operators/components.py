@@ -75,7 +75,8 @@ def filled(images: DataFrame, side: int = 8, id_col: str = "vec_id", mask_col: s
 
 def folded(components: DataFrame, cy: float, cx: float, id_col: str = "vec_id", large: int = 500) -> DataFrame:
     """(id, label): the sequential choice among an image's components, in label order, as a fold over its array."""
-    d = F.hypot(F.col("cy") - cy, F.col("cx") - cx)
+    dy, dx = F.col("cy") - cy, F.col("cx") - cx
+    d = F.sqrt(dy * dy + dx * dx)
     rows = components.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("label", d.alias("d"), "area"))).alias("c"))
     start = F.struct(F.lit(None).cast("int").alias("label"), F.lit(float("inf")).alias("d"))
 
