@@ -85,7 +85,7 @@ def variants(cells: DataFrame, algorithm: str, config: Config = Config()) -> Dat
             for p in pdf.itertuples(index=False):
                 images, error = dict.fromkeys(CHANNELS), None
                 try:
-                    found = {c: unpack(x if isinstance(x, dict) else x.asDict()) for c in CHANNELS if (x := getattr(p, c)) is not None}
+                    found = {c: a for c in CHANNELS if (x := getattr(p, c)) is not None and (a := unpack(x if isinstance(x, dict) else x.asDict())) is not None}
                     if len({a.shape for a in found.values()}) > 1:
                         raise ValueError("channels of different shapes")
                     images |= {c: pack(kernel(raster.to_float(a).astype(np.float64), p, c, config).astype(np.float32)) for c, a in found.items()}
