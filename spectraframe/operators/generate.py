@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..config import CHANNELS, Config
 from ..functions import raster
 from ..schemas import RASTER
-from ..sources.images import pack, unpack
+from ..sources.images import few, pack, unpack
 
 
 def uniform(key: Column, name: str, seed: int, low: float, high: float) -> Column:
@@ -80,7 +80,7 @@ def variants(cells: DataFrame, algorithm: str, config: Config = Config()) -> Dat
     schema = StructType([*[StructField(n, StringType()) for n in ("sample_id", "parent_id", "algorithm")], *[StructField(c, RASTER) for c in CHANNELS], StructField("error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in few(batches):
             out = []
             for p in pdf.itertuples(index=False):
                 images, error = dict.fromkeys(CHANNELS), None
