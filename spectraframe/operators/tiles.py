@@ -3,7 +3,7 @@
 A tile is a row (image_id, ty, tx, r0, c0, height, width, tile): its place in the grid, its first pixel, its image's size, and its pixels. A
 stencil sends each tile's rims to the tiles beside it, so one shuffle brings every tile what lies within a radius; at the image's edge
 pixels are reflected, repeated or constant. Components are labelled within tiles; pixels on both sides of a border give edges, and
-only these go into `graph.components`. A component's properties are sums over its parts, so no image is ever in one place. A part is
+only these go into `graph.components`. Tasks take tiles of one shape together, as stacks of some megabytes. A component's properties are sums over its parts, so no image is ever in one place. A part is
 named by the place of its first pixel in the image, row by row, and a component by that of its first part, so labels are
 numbered as in the whole image.
 """
@@ -13,8 +13,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,6 +28,7 @@ from .tables import written
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 _PLACE = ("ty", "tx", "r0", "c0", "height", "width")
+STEP_BYTES, STEP_ROWS = 1 << 21, 2048  # what a task takes of its rows at a time
 
 
 def _schema(images: DataFrame, *more: StructField) -> StructType:
@@ -38,18 +39,88 @@ def _of(r) -> np.ndarray:
     return unpack(r if isinstance(r, dict) else r.asDict())
 
 
+def _alike(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The places of each distinct row of some columns of numbers."""
+    if not len(columns[0]):
+        return []
+    _, code = np.unique(np.stack(columns, 1).astype(np.int64), axis=0, return_inverse=True)
+    order = np.argsort(code.ravel(), kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(code.ravel()[order])) + 1)
+
+
+class _Stacks:
+    """Rasters of an Arrow column: those of one shape and type are taken out as one array."""
+
+    def __init__(self, column: pa.Array):
+        h, w, c, kind, self.data = column.flatten()
+        self.h, self.w, self.c = (x.to_numpy(zero_copy_only=False) for x in (h, w, c))
+        coded = kind.dictionary_encode()
+        self.kind, self.names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+    def alike(self) -> list[np.ndarray]:
+        return _alike([self.h, self.w, self.c, self.kind])
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The rasters at some places, all of one shape and type."""
+        k = at[0]
+        shape = (len(at), int(self.h[k]), int(self.w[k]), *([int(self.c[k])] if self.c[k] != 1 else []))
+        bytes_ = self.data.take(pa.array(at)).buffers()[2]
+        return np.frombuffer(bytes_, self.names[self.kind[k]], int(np.prod(shape))).reshape(shape)
+
+
+def _packed(stack: np.ndarray) -> pa.Array:
+    """A column of the rasters of a stack."""
+    n, h, w = stack.shape[:3]
+    pixels = np.ascontiguousarray(stack).reshape(-1).view(np.uint8)
+    offsets = np.arange(n + 1, dtype=np.int32) * (len(pixels) // n)
+    numbers = [pa.array(np.full(n, x, np.int32)) for x in (h, w, stack.shape[3] if stack.ndim == 4 else 1)]
+    data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(pixels)])
+    return pa.StructArray.from_arrays([*numbers, pa.array([stack.dtype.name] * n, pa.string()), data], fields=list(to_arrow_schema(RASTER)))
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
+def _batch(arrow: pa.Schema, ids: pa.Array, numbers: list, last: list[pa.Array]) -> pa.RecordBatch:
+    """image_id, numbers (those of all rows, or of each) and the last columns."""
+    given = [pa.array(np.broadcast_to(x, len(ids)).astype(np.int32)) for x in numbers]
+    return pa.RecordBatch.from_arrays([ids, *given, *last], schema=arrow)
+
+
+def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts a batch where STEP_BYTES or STEP_ROWS are reached; sizes: bytes of each row, or each group."""
+    total, lo = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while lo < len(sizes):
+        hi = min(lo + STEP_ROWS, max(lo + 1, int(np.searchsorted(total, total[lo] + STEP_BYTES, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
+def _sizes(rasters: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(rasters.flatten()[4]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _few(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in _parts(_sizes(batch.column(column))):
+            yield batch.slice(lo, hi - lo)
+
+
 def cut(images: DataFrame, side: int) -> DataFrame:
     """Tiles of `side` by `side` pixels, smaller at the right and lower edge, of (image_id, image)."""
     schema = _schema(images, StructField("tile", RASTER))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                a = _of(image.as_py())
-                h, w = a.shape[:2]
-                for r in range(0, h, side):  # a row of tiles at a time
-                    yield pa.RecordBatch.from_pylist([{"image_id": name, "ty": r // side, "tx": c // side, "r0": r, "c0": c, "height": h, "width": w, "tile": pack(a[r : r + side, c : c + side])} for c in range(0, w, side)], arrow)
+        for batch in _few(batches, "image"):
+            found = _Stacks(batch.column("image"))
+            for at in found.alike():
+                a, ids = found.take(at), batch.column("image_id").take(pa.array(at))
+                h, w = a.shape[1:3]
+                for r in range(0, h, side):
+                    for c in range(0, w, side):
+                        yield _batch(arrow, ids, [r // side, c // side, r, c, h, w], [_packed(a[:, r : r + side, c : c + side])])
 
     return images.select("image_id", "image").mapInArrow(run, schema)
 
@@ -63,57 +134,113 @@ def _reflected(lo: int, hi: int, n: int, mode: str) -> np.ndarray:
     return np.clip(k, 0, n - 1)
 
 
-def with_rims(tiles: DataFrame, radius: int, side: int, of: Callable[[np.ndarray, dict], list[dict]], schema: StructType, mode: str = "reflect", outside: float = 0) -> DataFrame:
-    """What of(the tile with `radius` pixels more on each side, its place) gives. mode: `reflect`, `nearest` or `constant`. `side` is that of
-    the tiles; a radius can be larger. A group is one tile and its rims."""
+def _groups(batches: Iterator[pa.RecordBatch], size: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by image_id, ty and tx: whole groups of these, a few megabytes at a time, and where each of them begins."""
+    left = None
+
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        keys = [batch.column("image_id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False), *_numbers(batch, "ty", "tx")]
+        return np.concatenate([[0], np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1])
+
+    for batch in batches:
+        if left is not None:
+            batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        first = starts(batch)
+        whole, sizes = first[:-1], _sizes(batch.column(size))
+        for lo, hi in _parts(np.add.reduceat(sizes, first)[:-1]):
+            yield batch.slice(whole[lo], first[hi] - whole[lo]), whole[lo:hi] - whole[lo]
+        left = batch.slice(first[-1])  # its group can go on in the next batch
+    if left is not None:
+        yield left, np.array([0])
+
+
+def _met(tiles: DataFrame, radius: int, side: int, of: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: StructType, mode: str, outside: float) -> DataFrame:
+    """What of(the first rows of some groups, their tiles with `radius` pixels more on each side as a stack) gives; all tiles of a stack have one place in
+    their image as far as its edges show, one shape and one type."""
     reach = -(-radius // side)
     pieces = StructType([tiles.schema["image_id"], *(StructField(c, IntegerType()) for c in (*_PLACE, "y", "x")), StructField("piece", RASTER)])
     arrow = to_arrow_schema(pieces)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.to_pylist():
-                a = _of(t["tile"])
-                h, w, out = t["height"], t["width"], []
-                for ty in range(max(0, t["ty"] - reach), min(-(-h // side) - 1, t["ty"] + reach) + 1):
-                    for tx in range(max(0, t["tx"] - reach), min(-(-w // side) - 1, t["tx"] + reach) + 1):
-                        y0, y1 = max(t["r0"], ty * side - radius), min(t["r0"] + a.shape[0], (ty + 1) * side + radius)
-                        x0, x1 = max(t["c0"], tx * side - radius), min(t["c0"] + a.shape[1], (tx + 1) * side + radius)
-                        if y0 < y1 and x0 < x1:
-                            out.append({"image_id": t["image_id"], "ty": ty, "tx": tx, "r0": ty * side, "c0": tx * side, "height": h, "width": w, "y": y0, "x": x0, "piece": pack(a[y0 - t["r0"] : y1 - t["r0"], x0 - t["c0"] : x1 - t["c0"]])})
-                yield pa.RecordBatch.from_pylist(out, arrow)
+        for batch in _few(batches, "tile"):
+            found = _Stacks(batch.column("tile"))
+            ty, tx, r0, c0, height, width = _numbers(batch, *_PLACE)
+            for dy in range(-reach, reach + 1):
+                for dx in range(-reach, reach + 1):
+                    to_y, to_x = ty + dy, tx + dx
+                    y0, y1 = np.maximum(r0, to_y * side - radius), np.minimum(r0 + found.h, (to_y + 1) * side + radius)
+                    x0, x1 = np.maximum(c0, to_x * side - radius), np.minimum(c0 + found.w, (to_x + 1) * side + radius)
+                    inside = (to_y >= 0) & (to_y * side < height) & (to_x >= 0) & (to_x * side < width)
+                    sent = np.flatnonzero(inside & (y0 < y1) & (x0 < x1))
+                    shape = [found.h, found.w, found.c, found.kind, y0 - r0, y1 - r0, x0 - c0, x1 - c0]
+                    for part in _alike([x[sent] for x in shape]):
+                        at = sent[part]
+                        top, low, first, last = (int(x[at[0]]) for x in shape[4:])
+                        numbers = [x[at] for x in (to_y, to_x, to_y * side, to_x * side, height, width, y0, x0)]
+                        yield _batch(arrow, batch.column("image_id").take(pa.array(at)), numbers, [_packed(found.take(at)[:, top:low, first:last])])
+
+    def near_edge(first: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """The same for all lines in whose reach no edge is."""
+        edge = (first < radius) | (first + side + radius > size)
+        return [np.where(edge, x, -1) for x in (first, size)]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _groups(batches, "piece"):
+            found = _Stacks(batch.column("piece"))
+            r0, c0, height, width, y, x = _numbers(batch, "r0", "c0", "height", "width", "y", "x")
+            y, x = y - np.maximum(0, r0 - radius), x - np.maximum(0, c0 - radius)
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+            kinds = [v[starts] for v in (*near_edge(r0, height), *near_edge(c0, width), found.c, found.kind)]
+            for groups in _alike(kinds):
+                slot = np.full(len(starts), -1)
+                slot[groups] = np.arange(len(groups))
+                k = starts[groups[0]]
+                h, w, top, left = (int(v[k]) for v in (height, width, r0, c0))
+                low, right = min(h, top + side), min(w, left + side)
+                more = [int(found.c[k])] if found.c[k] != 1 else []
+                known_h, known_w = min(h, low + radius) - max(0, top - radius), min(w, right + radius) - max(0, left - radius)
+                known = np.zeros((len(groups), known_h, known_w, *more), found.names[found.kind[k]])
+                mine = np.flatnonzero(slot[group] >= 0)
+                for part in _alike([v[mine] for v in (y, x, found.h, found.w)]):
+                    at = mine[part]
+                    i, j = int(y[at[0]]), int(x[at[0]])
+                    known[slot[group[at]], i : i + int(found.h[at[0]]), j : j + int(found.w[at[0]])] = found.take(at)
+                if mode == "constant":
+                    full = np.full((len(groups), low - top + 2 * radius, right - left + 2 * radius, *more), outside, known.dtype)
+                    i, j = max(0, radius - top), max(0, radius - left)
+                    full[:, i : i + known_h, j : j + known_w] = known
+                else:
+                    full = known[:, _reflected(top - radius, low + radius, h, mode) - max(0, top - radius)][:, :, _reflected(left - radius, right + radius, w, mode) - max(0, left - radius)]
+                yield from of(batch.select(["image_id", *_PLACE]).take(pa.array(starts[groups])), full)
+
+    key = ("image_id", "ty", "tx")
+    return tiles.mapInArrow(send, pieces).repartition(*key).sortWithinPartitions(*key).mapInArrow(meet, schema)
+
 
+def with_rims(tiles: DataFrame, radius: int, side: int, of: Callable[[np.ndarray, dict], list[dict]], schema: StructType, mode: str = "reflect", outside: float = 0) -> DataFrame:
+    """What of(the tile with `radius` pixels more on each side, its place) gives. mode: `reflect`, `nearest` or `constant`. `side` is that of
+    the tiles; a radius can be larger. Rims are sent to their tiles by a shuffle; a task goes through its tiles a few megabytes at a time."""
     result = to_arrow_schema(schema)
 
-    def meet(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        place = {k: rows[0][k] for k in ("image_id", *_PLACE)}
-        h, w, r0, c0 = (place[k] for k in ("height", "width", "r0", "c0"))
-        r1, c1 = min(h, r0 + side), min(w, c0 + side)
-        top, left = max(0, r0 - radius), max(0, c0 - radius)
-        first = _of(rows[0]["piece"])
-        known = np.zeros((min(h, r1 + radius) - top, min(w, c1 + radius) - left, *first.shape[2:]), first.dtype)
-        for r in rows:
-            a = _of(r["piece"])
-            known[r["y"] - top : r["y"] - top + a.shape[0], r["x"] - left : r["x"] - left + a.shape[1]] = a
-        if mode == "constant":
-            full = np.full((r1 - r0 + 2 * radius, c1 - c0 + 2 * radius, *first.shape[2:]), outside, first.dtype)
-            full[top - r0 + radius : top - r0 + radius + len(known), left - c0 + radius : left - c0 + radius + known.shape[1]] = known
-        else:
-            full = known[np.ix_(_reflected(r0 - radius, r1 + radius, h, mode) - top, _reflected(c0 - radius, c1 + radius, w, mode) - left)]
-        return pa.Table.from_pylist([place | row for row in of(full, place)], result)
-
-    return tiles.mapInArrow(send, pieces).groupBy("image_id", "ty", "tx").applyInArrow(meet, schema)
+    def each(places: pa.RecordBatch, full: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pylist([place | row for a, place in zip(full, places.to_pylist(), strict=True) for row in of(a, place)], result)
+
+    return _met(tiles, radius, side, each, schema, mode, outside)
 
 
 def stencil(tiles: DataFrame, kernel: Kernel, radius: int, side: int, mode: str = "reflect", outside: float = 0) -> DataFrame:
     """Tiles of kernel(pixels), where a pixel's result depends on what lies within the radius. P12 to P15, P2, G1, M1 on tiles."""
+    schema = _schema(tiles, StructField("tile", RASTER))
+    result = to_arrow_schema(schema)
 
-    def of(full: np.ndarray, place: dict) -> list[dict]:
-        out = kernel(full)
-        return [{"tile": pack(out[radius : out.shape[0] - radius, radius : out.shape[1] - radius] if radius else out)}]
+    def each(places: pa.RecordBatch, full: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, w = full.shape[1:3]
+        out = np.stack([kernel(a)[radius : h - radius, radius : w - radius] for a in full])
+        yield pa.RecordBatch.from_arrays([*places.columns, _packed(out)], schema=result)
 
-    return with_rims(tiles, radius, side, of, _schema(tiles, StructField("tile", RASTER)), mode, outside)
+    return _met(tiles, radius, side, each, schema, mode, outside)
 
 
 def joined(tiles: DataFrame) -> DataFrame:
@@ -222,12 +349,18 @@ class Labelled:
         rows = self.tiles.select("image_id", *_PLACE, "tile").join(lists, ["image_id", "ty", "tx"], "left")
         schema = _schema(self.tiles, StructField("tile", RASTER))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                tiles = [pack(np.isin(_of(t), k) if k is not None else np.zeros(_of(t).shape, bool)) for t, k in zip(pdf["tile"], pdf.pop("kept"), strict=True)]
-                yield pdf.assign(tile=tiles)[["image_id", *_PLACE, "tile"]]
+        arrow = to_arrow_schema(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _few(batches, "tile"):
+                found = _Stacks(batch.column("tile"))
+                kept = batch.column("kept").to_pylist()
+                for at in found.alike():
+                    on = np.stack([np.isin(a, kept[k]) if kept[k] else np.zeros(a.shape, bool) for k, a in zip(at, found.take(at), strict=True)])
+                    places = batch.select(["image_id", *_PLACE]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*places.columns, _packed(on)], schema=arrow)
 
-        return rows.mapInPandas(run, schema)
+        return rows.select("image_id", *_PLACE, "tile", "kept").mapInArrow(run, schema)
 
 
 def remove_small(tiles: DataFrame, side: int, least: int, connectivity: int = 4) -> DataFrame:
@@ -254,9 +387,17 @@ def values(tiles: DataFrame) -> DataFrame:
     """(image_id, r, c, v): a row a pixel."""
     schema = StructType([tiles.schema["image_id"], *StructType.fromDDL("r int, c int, v double").fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [pd.DataFrame({"image_id": name, "r": np.repeat(np.arange(len(a)), a.shape[1]) + r0, "c": np.tile(np.arange(a.shape[1]), len(a)) + c0, "v": a.ravel().astype(float)}) for name, r0, c0, a in zip(pdf["image_id"], pdf["r0"], pdf["c0"], map(_of, pdf["tile"]), strict=True)]
-            yield pd.concat(out) if out else pd.DataFrame({"image_id": [], "r": [], "c": [], "v": []})
+    arrow = to_arrow_schema(schema)
 
-    return tiles.select("image_id", "r0", "c0", "tile").mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches, "tile"):
+            found = _Stacks(batch.column("tile"))
+            r0, c0 = _numbers(batch, "r0", "c0")
+            for at in found.alike():
+                a = found.take(at)
+                n, h, w = a.shape
+                rows, cols = r0[at][:, None, None] + np.arange(h)[None, :, None], c0[at][:, None, None] + np.arange(w)[None, None, :]
+                numbers = [np.broadcast_to(x, a.shape).ravel() for x in (rows, cols)]
+                yield _batch(arrow, batch.column("image_id").take(pa.array(np.repeat(at, h * w))), numbers, [pa.array(a.ravel().astype(float))])
+
+    return tiles.select("image_id", "r0", "c0", "tile").mapInArrow(run, schema)
