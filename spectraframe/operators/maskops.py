@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masks, regions
 from ..schemas import ANNOTATION
-from ..sources.images import unpack
+from ..sources.images import few, unpack
 from .suppression import iou, suppressed
 
 
@@ -45,16 +45,22 @@ __all__ = ["iou", "suppressed"]  # the operators of `suppression` belong here, t
 Predictor = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+TOLERANCES = np.array([0.05, 0.1, 0.2])
+PIXELS = 1 << 20  # of the masks that are made at a time
+
+
 def intensity_predictor(image: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A stand-in for a trained model: pixels as bright as the point's, at three tolerances, connected to it."""
     g = image if image.ndim == 2 else image[..., :3].mean(-1)
     g = g.astype(float) / max(1.0, float(g.max()))
-    logits, ious = np.full((len(points), 3, *g.shape), -4.0), np.zeros((len(points), 3))
-    for k, (x, y) in enumerate(points.astype(int)):
-        for m, tolerance in enumerate((0.05, 0.1, 0.2)):
-            labels, _ = regions.label(np.abs(g - g[y, x]) <= tolerance)
-            logits[k, m][labels == labels[y, x]] = 4.0
-            ious[k, m] = 1 - tolerance
+    cols, rows = points.astype(int).T
+    logits, ious = np.empty((len(points), 3, *g.shape)), np.tile(1 - TOLERANCES, (len(points), 1))
+    some = max(1, PIXELS // (3 * g.size))
+    for k in range(0, len(points), some):
+        r, c = rows[k : k + some], cols[k : k + some]
+        near = np.abs(g - g[r, c][:, None, None])[:, None] <= TOLERANCES[:, None, None]
+        on = regions.holding(near.reshape(-1, *g.shape), np.repeat(r, 3), np.repeat(c, 3))
+        logits[k : k + some] = np.where(on, 4.0, -4.0).reshape(-1, 3, *g.shape)
     return logits, ious
 
 
@@ -98,7 +104,7 @@ def automatic_masks(images: DataFrame, predictor: Predictor = intensity_predicto
         return [(image_id, {"size": [h, w], "counts": o["rle"]}, masks.area(o["rle"]), [float(v) for v in masks.xywh(o["box"])], o["iou"], o["stability"], [float(v) for v in masks.xywh(o["crop"])], [o["point"]]) for o in found]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in few(batches):
             rows = [r for i, x in zip(pdf["image_id"], pdf["image"], strict=True) for r in of(i, unpack(x if isinstance(x, dict) else x.asDict()))]
             yield pd.DataFrame(rows, columns=ANNOTATION.fieldNames())
 
