@@ -13,10 +13,13 @@ without news is bridged, two in a row end a branch. Contexts that diverge are re
 with them. From level DEEP on passes read windows: the tokens whose contexts still grow, with the tokens before them that
 the next levels can need, as few texts' tokens go that deep.
 
-Neither LEAST nor the depth depends on the corpus, and what is gathered has a fixed size: counts and levels are written
-tables of (key, value), the keys hashes of contexts and of contexts with a symbol. Documents go to blocks of about
-BLOCK_CHARS characters, and a block gets the values of its own distinct keys by a join. A bitmap of 2**FILTER_BITS bits
-spares most keys that no table has; what it lets through in vain, the joins drop.
+Neither LEAST nor the depth depends on the corpus. Sequences of words are counted in tasks, dealt to places by a hash (packed: a row for
+a task and place, with numbers in a list of its words), and those that occur LEAST times go on to the place of their context's last word.
+There all is that a longer context needs of its suffixes, so a level is grown from the one before it without joins of rows, and what
+is retained is found in one step. A place is for PLACE_TOKENS training tokens. Levels are written tables. Documents go to blocks
+of about BLOCK_CHARS characters, and a block gets the values of its own distinct keys (hashes of words, contexts, and contexts
+with a symbol), which are looked up place by place. A bitmap of bounded size (FILTER_BITS) is gathered and broadcast; it spares
+most keys that no table has, and what it lets through in vain, the lookups drop.
 
 Defined cases: null or empty text is the end token alone; the training part is any row filter; an empty training part
 gives N = V = 0 and base probability 1; rows that share a doc_id are rows of their own; other columns are ignored.
@@ -40,33 +43,97 @@ END, START = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0x57A4757A4757A471)
 BREAK = np.uint64(0xB4EAB4EAB4EAB4EB)  # in windows, before tokens whose left neighbours are left out
 ROOT, STEP = np.uint64(0x5EED5EED5EED5EED), np.uint64(0xD1342543DE82EF95)
 LEAST = 3
-FILTER_BITS = 27
-BLOCK_CHARS = 8_000_000
+FILTER_BITS = 27, 29  # at least and at most
+BLOCK_CHARS = 24_000_000
 DISCOUNT = 0.75
-HELD = 2_000_000  # distinct keys, and what goes with them, that a task sums up before it sends them on
+HELD = 8_000_000  # numbers (distinct keys, and what goes with them) that a task sums up before it sends them on
+PLACE_TOKENS = 1_000_000  # training tokens for each of the places that sequences are dealt to
 DEEP = 4  # the level from which on passes read windows
 WINDOW_TOKENS = 1 << 18  # of a row of windows
 
 
 class _Sums:
-    """Counts of 64-bit keys with what goes with each key, summed up within a task."""
+    """Counts of 64-bit keys with the words that a key stands for, summed up within a task."""
 
-    def __init__(self, names: list[str], sent: list[str]) -> None:
-        self.names, self.sent, self.parts, self.counts, self.size = names, sent, [], [], 0
+    def __init__(self) -> None:
+        self.parts: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, *words: np.ndarray) -> None:
+        k, at, n = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append([k, n, *(w[at] for w in words)])
+        self.size += len(k) * (2 + len(words))
+
+    def full(self) -> bool:
+        """Whether it is time to send: the distinct keys are many."""
+        if self.size > HELD:
+            self.parts = [self.summed()]
+            self.size = len(self.parts[0][0]) * len(self.parts[0])
+        return self.size > HELD // 2
+
+    def summed(self) -> list[np.ndarray]:
+        """[keys, counts, *words]"""
+        keys, n, *words = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        return _summed(keys, n, words)
+
+    def take(self) -> list[np.ndarray]:
+        out = self.summed() if self.parts else []
+        self.__init__()
+        return out
+
+
+def _summed(keys: np.ndarray, n: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return [keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0], *(w[order[first]] for w in words)]
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of numbers, the first byte of all of them first."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.reshape(-1)
+
+
+def _packed(place: np.ndarray, columns: list[np.ndarray], n: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """A row (place, rows, kinds, blob) for each place: words of each column as numbers in a list of the blob's distinct words, counts and
+    other 64-bit columns."""
+    order = np.argsort(place, kind="stable")
+    cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
+    rows: list[tuple[int, int, int, bytes]] = []
+    for lo, hi in zip(cuts, [*cuts, len(order)][1:], strict=True):
+        own = order[lo:hi]
+        own = own[np.argsort(columns[0][own])]
+        kinds, at = np.unique(np.concatenate([c[own] for c in columns]), return_inverse=True)
+        parts = [kinds.view(np.uint8), *(_planes(x) for x in at.astype(np.uint32).reshape(len(columns), -1)), _planes(n[own]), *(x[own].view(np.uint8) for x in more)]
+        rows.append((int(place[own[0]]), len(own), len(kinds), pa.compress(np.concatenate(parts).tobytes(), codec="zstd", asbytes=True)))
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["place", "rows", "kinds", "blob"])
+
+
+PACKED = "place int, rows int, kinds int, blob binary"
+
+
+def _unpacked(table: pa.Table, columns: int, more: int = 0) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """(columns, n, others) of all rows."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(columns)] + [[np.zeros(0, np.int64)] for _ in range(1 + more)]
+    for _, rows, kinds, blob in zip(*(table.column(c).to_pylist() for c in ("place", "rows", "kinds", "blob")), strict=True):
+        raw = np.frombuffer(pa.decompress(blob, 8 * kinds + (4 * columns + 8 + 8 * more) * rows, codec="zstd"), np.uint8)
+        words, raw = raw[: 8 * kinds].view(np.uint64), raw[8 * kinds :]
+        for k in range(columns):
+            out[k].append(words[np.ascontiguousarray(raw[4 * rows * k : 4 * rows * (k + 1)].reshape(4, rows).T).view(np.uint32).reshape(-1)])
+        raw = raw[4 * rows * columns :]
+        out[columns].append(np.ascontiguousarray(raw[: 8 * rows].reshape(8, rows).T).view(np.int64).reshape(-1))
+        for k in range(more):
+            out[columns + 1 + k].append(raw[8 * rows * (k + 1) : 8 * rows * (k + 2)].view(np.int64))
+    whole = [np.concatenate(x) for x in out]
+    return whole[:columns], whole[columns], whole[columns + 1 :]
 
-    def add(self, *columns: np.ndarray) -> None:
-        k, at, n = np.unique(columns[0], return_index=True, return_counts=True)
-        self.parts.append((k, *(c[at] for c in columns[1:])))
-        self.counts.append(n)
-        self.size += len(k)
 
-    def take(self) -> pa.RecordBatch:
-        columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*self.parts, strict=True) if self.parts else [()] * len(self.names))]
-        n = np.concatenate([np.zeros(0, np.int64), *self.counts])
-        keys, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
-        out = dict(zip(self.names, [keys, *(c[first] for c in columns[1:])], strict=True)) | {"n": np.bincount(at, n, len(keys)).astype(np.int64)}
-        self.__init__(self.names, self.sent)
-        return pa.RecordBatch.from_arrays([pa.array(out[c]) for c in [*self.sent, "n"]], [*self.sent, "n"])
+def _place_of(keys: np.ndarray, places: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(40)).astype(np.int64) % places
+
+
+def _place_column(key: str, places: int) -> Column:
+    return (F.shiftrightunsigned(key, 40) % places).cast("int")
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -81,23 +148,59 @@ def _windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 Read = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
 
 
-def _counted(texts: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray, ...]], names: list[str], read: Read = _texts, by: list[str] | None = None) -> DataFrame:
-    """(names, n): how often each key (the first of names) is among those that keys_of gives for the batches' tokens; the
-    others are what goes with a key. by: of these, columns that name a key as well as it does, and are all that is sent."""
-    sent = by or names
+def _counted(texts: DataFrame) -> DataFrame:
+    """(k, n): how often each token occurs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for batch in batches:
+            for t in _texts(batch):
+                sums.add(signed(t[t != START]))
+            if sums.full():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums.take()], ["k", "n"])
+        if sums.parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums.take()], ["k", "n"])
+
+    return texts.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def _sequences(texts: DataFrame, level: int, known: Broadcast, read: Read, places: int) -> DataFrame:
+    """The sequences (the words of a context of `level` words, last one first, and the token) that occur LEAST times, packed, by the
+    place of the context's last word (of the token, for the first level). A BREAK instead of a token: the context itself."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(names, sent)
+        sums = _Sums()
         for batch in batches:
             for t in read(batch):
-                sums.add(*map(signed, keys_of(t)))
-            if sums.size * len(names) > HELD:
-                yield sums.take()
-        yield sums.take()
+                sums.add(*(_extensions(t, level, known.value) if level > 1 else _pairs(t, known.value)))
+                if sums.full():
+                    yield sent(*sums.take())
+        if sums.parts:
+            yield sent(*sums.take())
+
+    def sent(keys: np.ndarray, n: np.ndarray, *words: np.ndarray) -> pa.RecordBatch:
+        return _packed(_place_of(keys, places), list(words), n)
+
+    def merge(table: pa.Table) -> pa.Table:
+        words, n, _ = _unpacked(table, level + 1)
+        key, *_ = _hashes(words)
+        _, n, *words = _summed(key, n, words)
+        ok = n >= LEAST
+        words, n = [w[ok] for w in words], n[ok]
+        return pa.Table.from_batches([_packed(_place_of(words[0 if level > 1 else -1], places), words, n)])
+
+    return texts.mapInArrow(count, PACKED).groupBy("place").applyInArrow(merge, PACKED)
 
-    found = texts.mapInArrow(count, ", ".join(f"{c} long" for c in [*sent, "n"]))
-    keys = by or names[:1]
-    return found.groupBy(*keys).agg(*[F.max(c).alias(c) for c in sent if c not in keys], F.sum("n").alias("n"))
+
+def _hashes(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, context, context without its first word, key without it) of sequences: the key is the context's where the token is a BREAK."""
+    *left, token = words
+    g, e = np.full(len(token), ROOT), token
+    for w in left:
+        suffix, up = g, e
+        g, e = mix(g * STEP + w), mix(e * STEP + w)
+    own = token == BREAK
+    return np.where(own, g, e), g, suffix, np.where(own, suffix, up)
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,15 +257,24 @@ def _place(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, at, -1)
 
 
+def _bitmap(n: int) -> np.ndarray:
+    """An empty bitmap for what is learned from n tokens."""
+    return np.zeros(1 << min(max(FILTER_BITS[0], n.bit_length()), FILTER_BITS[1]) - 3, np.uint8)
+
+
+def _shift(bits: np.ndarray) -> int:
+    return 62 - len(bits).bit_length()
+
+
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the bitmap has a key's bit."""
-    at = keys >> np.uint64(64 - FILTER_BITS)
+    at = keys >> np.uint64(_shift(bits))
     return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
 
 
 def _marked(keys: DataFrame, bits: np.ndarray) -> np.ndarray:
     """The bitmap with the bits of keys `k` too."""
-    at = keys.select(F.shiftrightunsigned("k", 64 - FILTER_BITS).alias("at"))
+    at = keys.select(F.shiftrightunsigned("k", _shift(bits)).alias("at"))
     found = at.groupBy(F.shiftright("at", 15).alias("page")).agg(F.expr("bitmap_construct_agg(at & 32767)").alias("bits")).toArrow()
     out = bits.reshape(-1, 4096).copy()
     for page, own in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
@@ -202,10 +314,11 @@ def _climbed(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[_Climb, np.nd
     ok = _has(bits, left) | (left == START)
     climb.keep(ok)
     explicit = explicit[ok]
-    rare = np.zeros(len(t), bool)  # tokens that are too rare after the word before them
+    rare = np.zeros(len(t), bool)  # tokens that are too rare after the words before them
     while climb.level < level:
         explicit = explicit[climb.step()]
         ok = ~rare[climb.at - 1]
+        rare[climb.at[~ok]] = True
         climb.keep(ok)
         explicit = explicit[ok]
         ok = _has(bits, climb.g)
@@ -213,6 +326,8 @@ def _climbed(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[_Climb, np.nd
         if climb.level == 1:  # where all contexts are kept that have any explicit symbol
             rare[:] = True
             rare[climb.at] = ~explicit
+        else:
+            rare[climb.at[~explicit]] = True
         climb.keep(ok)
         explicit = explicit[ok]
     if level:
@@ -223,23 +338,23 @@ def _climbed(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[_Climb, np.nd
 
 
 def _pairs(t: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, token, token before) of each token that is frequent, after one that is."""
+    """(key, token before, token) of each token that is frequent, after one that is."""
     at = np.flatnonzero(t != START)
     token, left = t[at], t[at - 1]
     ok = _has(bits, token) & (_has(bits, left) | (left == START))
     token, left = token[ok], left[ok]
-    return mix(token * STEP + left), token, left
+    return mix(token * STEP + left), left, token
 
 
-def _extensions(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _extensions(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each token with a context of `level` words (2 at least) that may occur LEAST times and whose suffix may be extended:
-    (key, key without its first word, context), for the context itself, and for the context with the token if the suffix
+    (key, words of the context, last one first, token), for the context itself with a BREAK, and for the context with the token if the suffix
     may have it."""
     climb, explicit = _climbed(t, level - 1, bits)
-    up, suffix = climb.e, climb.g
-    ok = climb.step()
-    up, suffix, explicit = up[ok], suffix[ok], explicit[ok]
-    return np.concatenate([climb.g, climb.e[explicit]]), np.concatenate([suffix, up[explicit]]), np.concatenate([climb.g, climb.g[explicit]])
+    explicit = explicit[climb.step()]
+    at = np.concatenate([climb.at, climb.at[explicit]])
+    token = np.concatenate([np.full(len(climb.at), BREAK), t[climb.at[explicit]]])
+    return np.concatenate([climb.g, climb.e[explicit]]), *(t[at - k] for k in range(1, level + 1)), token
 
 
 def _cut(t: np.ndarray, level: int, bits: np.ndarray, margin: int) -> np.ndarray:
@@ -270,18 +385,23 @@ def _scores(t: np.ndarray, p: np.ndarray, find: Callable[[np.ndarray], np.ndarra
 
 
 class _Distinct:
-    """Distinct keys from many sorted arrays, merged like sized with like."""
+    """Distinct keys from many arrays, merged when they have doubled."""
 
     def __init__(self) -> None:
         self.parts: list[np.ndarray] = []
+        self.size, self.most = 0, HELD // 4
 
     def add(self, keys: np.ndarray) -> None:
         self.parts.append(keys)
-        while len(self.parts) > 1 and len(self.parts[-2]) < 2 * len(self.parts[-1]):
-            self.parts[-2:] = [np.unique(np.concatenate(self.parts[-2:]))]
+        self.size += len(keys)
+        if self.size > self.most:
+            self.parts = [self.whole()]
+            self.size = len(self.parts[0])
+            self.most = max(HELD // 4, 2 * self.size)
 
     def whole(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.int64)
+        keys = np.sort(np.concatenate([np.zeros(0, np.int64), *self.parts]))
+        return keys[np.flatnonzero(np.diff(keys, prepend=~keys[:1]))]
 
 
 class Tree:
@@ -328,52 +448,147 @@ class Tree:
         return _scores(np.where(s >= 0, self.tokens[s].view(np.uint64), np.uint64(0)), root, *self.gathered)
 
 
-def _fit(entries: DataFrame, *more: Column) -> tuple[DataFrame, Column, Column]:
-    """Sums of each context g over its explicit symbols' (p, was), and of these sums: what is left over, now and with the suffix."""
-    sums = entries.groupBy("g").agg(F.sum("p").alias("given"), F.sum("was").alias("was"), *more)
-    return sums, *(F.greatest(1 - F.col(x), F.lit(1e-9)) for x in ("given", "was"))
-
+def _stored(place: int, **columns: np.ndarray) -> pa.Table:
+    """A row (place, many, blob) with columns of any lengths, by name; many: the first one's length."""
+    rows = [(name, x.dtype.str, x.tobytes()) for name, x in columns.items()]
+    made = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["name", "kind", "bytes"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, made.schema) as out:
+        out.write_batch(made)
+    return pa.table({"place": pa.array([place], pa.int32()), "many": pa.array([len(next(iter(columns.values())))], pa.int32()), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+STORED = "place int, many int, blob binary"
+
+
+def _restored(blob: bytes) -> dict[str, np.ndarray]:
+    return {name: np.frombuffer(raw, kind) for name, kind, raw in zip(*pa.ipc.open_stream(blob).read_all().to_pydict().values(), strict=True)}
+
+
+def _rests(c: np.ndarray, many: int, p: np.ndarray, was: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each of so many contexts leaves over, now and with its suffix, from its explicit symbols' (context, p, was)."""
+    return np.maximum(1 - np.bincount(c, p, many), 1e-9), np.maximum(1 - np.bincount(c, was, many), 1e-9)
+
+
+def _grown(words: list[np.ndarray], n: np.ndarray, was: np.ndarray, above: np.ndarray) -> dict[str, np.ndarray]:
+    """Contexts (g, suffix, size, diverges) that can be extended, and their explicit symbols (k, up, c: the context's place, n, was, p).
+    above: whether the context's suffix diverges; was: the symbol's probability given that suffix, nan if it isn't explicit there. p is
+    the symbol's probability in the context if it diverges, else in its suffix. k_dead: symbols of other contexts."""
+    key, g, suffix, up = _hashes(words)
+    own = np.flatnonzero(words[-1] == BREAK)
+    own = own[np.argsort(signed(g[own]))]
+    e = np.flatnonzero((words[-1] != BREAK) & ~np.isnan(was))
+    c = _place(signed(g[own]), signed(g[e]))
+    e, c = e[c >= 0], c[c >= 0]
+    size, many = n[own], np.bincount(c, minlength=len(own))
+    p = (n[e] - DISCOUNT) / size[c]
+    rest, rest_was = _rests(c, len(own), p, was[e])
+    gain = np.bincount(c, n[e] * np.log(p / was[e]), len(own)) + size * rest * np.log(rest / rest_was)
+    diverges = (many > 0) & (gain >= 0.5 * many * np.log(np.maximum(size, 2)))
+    live = diverges | (np.bincount(c, above[e], len(own)) > 0)
+    there = live[c]
+    place = np.cumsum(live) - 1
+    kept, own = e[there], own[live]
+    return {
+        "g": signed(g[own]), "suffix": signed(suffix[own]), "size": size[live], "diverges": diverges[live],
+        "k": signed(key[kept]), "up": signed(up[kept]), "c": place[c[there]].astype(np.int32), "n": n[kept], "was": was[kept],
+        "p": np.where(diverges[c], p, was[e])[there], "k_dead": signed(key[e[~there]]),
+    }
+
+
+def _retained(grown: list[dict[str, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k, v) of each level, of contexts that end with the same words: weights of the retained contexts, and their explicit symbols'
+    probabilities."""
+    kept: list[np.ndarray] = []
+    longer = np.zeros(0, np.int64)
+    for x in reversed(grown):
+        kept.insert(0, x["diverges"] | np.isin(x["g"], longer))
+        longer = x["suffix"][kept[0]]
+    keys, values = np.zeros(0, np.int64), np.zeros(0)
+    for level, (x, own) in enumerate(zip(grown, kept, strict=True)):
+        e = np.flatnonzero(own[x["c"]])
+        was = x["was"][e]
+        if level:
+            at = _place(keys, x["up"][e])
+            e, at = e[at >= 0], at[at >= 0]
+            was = values[at] if len(at) else np.zeros(0)
+        c, p = x["c"][e], (x["n"][e] - DISCOUNT) / x["size"][x["c"][e]]
+        rest, rest_was = _rests(c, len(own), p, was)
+        there = np.flatnonzero(np.bincount(c, minlength=len(own)))
+        order = np.argsort(x["k"][e])
+        keys, values = x["k"][e][order], p[order]
+        yield np.concatenate([keys, x["g"][there]]), np.concatenate([values, (rest / rest_was)[there]])
+
+
+def _first_level(pairs: DataFrame, counts: DataFrame, total: int, places: int) -> DataFrame:
+    """The pairs, packed with each token's probability at the root, and the contexts of one word, by the place of the word: one occurs as
+    a context as often as it occurs, and a start as often as an end."""
+
+    def named(pairs: pa.Table, counts: pa.Table) -> pa.Table:
+        (left, token), n, _ = _unpacked(pairs, 2)
+        k, many = (np.ascontiguousarray(counts.column(c).to_numpy()) for c in ("k", "n"))
+        order = np.argsort(k)
+        k, many = k[order], many[order]
+        own = many >= LEAST
+        word = k[own].view(np.uint64)
+        word = np.where(word == END, START, word)
+        at = _place(k, signed(token))
+        left, token, n, at = left[at >= 0], token[at >= 0], n[at >= 0], at[at >= 0]
+        was = np.concatenate([(many[at] + 1) / total if len(at) else np.zeros(0), np.zeros(len(word))])
+        left = np.concatenate([left, word])
+        return pa.Table.from_batches([_packed(_place_of(left, places), [left, np.concatenate([token, np.full(len(word), BREAK)])], np.concatenate([n, many[own]]), was.view(np.int64))])
+
+    counts = counts.select(_place_column("k", places).alias("place"), "k", "n")
+    return pairs.groupBy("place").cogroup(counts.groupBy("place")).applyInArrow(named, PACKED)
+
+
+def _level(sequences: DataFrame, level: int, shorter: DataFrame | None) -> DataFrame:
+    """What is grown at each place (_grown, stored), from packed sequences and what was grown a level before."""
+
+    def first(own: pa.Table) -> pa.Table:
+        words, n, (was,) = _unpacked(own, 2, 1)
+        return _stored(own.column("place")[0].as_py(), **_grown(words, n, was.view(float), np.ones(len(n), bool)))
+
+    def next_one(own: pa.Table, shorter: pa.Table) -> pa.Table:
+        if not len(own) or not len(shorter):
+            return own.select(["place", "rows", "blob"]).slice(0, 0).rename_columns(["place", "many", "blob"])
+        words, n, _ = _unpacked(own, level + 1)
+        before = _restored(shorter.column("blob")[0].as_py())
+        order = np.argsort(before["k"])
+        at = _place(before["k"][order], signed(_hashes(words)[3]))
+        found = at >= 0
+        at = order[at[found]] if len(order) else at[found]
+        was, above = np.full(len(n), np.nan), np.zeros(len(n), bool)
+        was[found], above[found] = before["p"][at], before["diverges"][before["c"][at]]
+        return _stored(own.column("place")[0].as_py(), **_grown(words, n, was, above))
+
+    if shorter is None:
+        return sequences.groupBy("place").applyInArrow(first, STORED)
+    return sequences.groupBy("place").cogroup(shorter.groupBy("place")).applyInArrow(next_one, STORED)
+
+
+def _keys(stored: DataFrame, *names: str) -> DataFrame:
+    """(k) of all of these columns."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                x = _restored(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for c in names]))], ["k"])
 
-def _p() -> Column:
-    return (F.col("n") - DISCOUNT) / F.col("size")
+    return stored.select("blob").mapInArrow(keys, "k long")
 
 
-def _grown(counted: DataFrame, shorter: DataFrame) -> DataFrame:
-    """(k, up, g, suffix, n, size, p, diverges): explicit symbols of a level's contexts that can be extended. counted: (k, up, g, n);
-    shorter: (up, was, above), each explicit symbol's probability given the context's suffix, and whether that diverges. p is
-    the symbol's probability in the context if it diverges, else in its suffix."""
-    sizes = counted.where("k = g").select("g", F.col("up").alias("suffix"), F.col("n").alias("size"))
-    entries = counted.where("k <> g").join(shorter, "up").join(sizes, "g").withColumn("p", _p())
-    sums, rest, rest_was = _fit(entries, F.count(F.lit(1)).alias("many"), F.max("size").alias("size"), F.max("above").alias("above"), F.sum(F.col("n") * F.log(F.col("p") / F.col("was"))).alias("gain"))
-    gain = F.col("gain") + F.col("size") * rest * F.log(rest / rest_was)
-    sums = sums.select("g", "above", (gain >= 0.5 * F.col("many") * F.log(F.greatest("size", F.lit(2)))).alias("diverges"))
-    live = sums.where("diverges OR above").drop("above")
-    return entries.join(live, "g").select("k", "up", "g", "suffix", "n", "size", F.when(F.col("diverges"), F.col("p")).otherwise(F.col("was")).alias("p"), "diverges")
+def _levels(grown: list[DataFrame]) -> DataFrame:
+    """(level, k, v) of what is retained."""
 
+    def retain(own: pa.Table) -> pa.Table:
+        found = dict(zip(own.column("level").to_pylist(), own.column("blob").to_pylist(), strict=True))
+        out = [(np.full(len(k), level, np.int32), k, v) for level, (k, v) in enumerate(_retained([_restored(found[level]) for level in sorted(found)]), 1)]
+        return pa.table(dict(zip(["level", "k", "v"], (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
 
-def _retained(grown: list[DataFrame], root: DataFrame) -> list[DataFrame]:
-    """(k, v) of each level: weights of the retained contexts, and their explicit symbols' probabilities."""
-    kept: list[DataFrame] = []
-    for level in reversed(grown):
-        contexts = level.groupBy("g", "suffix").agg(F.max("diverges").alias("diverges"))
-        own = contexts.where("diverges").select("g", "suffix")
-        if kept:
-            longer = kept[0].select(F.col("suffix").alias("g")).distinct()
-            own = own.unionByName(contexts.where("NOT diverges").join(longer, "g", "left_semi").select("g", "suffix"))
-        kept.insert(0, written(own))
-    levels: list[DataFrame] = []
-    shorter = root.select("up", "was")
-    for level, own in zip(grown, kept, strict=True):
-        entries = level.join(own.select("g"), "g", "left_semi").join(shorter, "up").select("k", "g", "was", _p().alias("p"))
-        sums, rest, rest_was = _fit(entries)
-        weights = sums.select(F.col("g").alias("k"), (rest / rest_was).alias("v"))
-        found = written(entries.select("k", F.col("p").alias("v")).unionByName(weights))
-        if found.isEmpty():
-            break
-        levels.append(found)
-        shorter = found.select(F.col("k").alias("up"), F.col("v").alias("was"))
-    discard(root.sparkSession, *kept)
-    return levels
+    every = functools.reduce(DataFrame.unionByName, (x.withColumn("level", F.lit(level)) for level, x in enumerate(grown)))
+    return every.groupBy("place").applyInArrow(retain, "level int, k long, v double")
 
 
 def train(texts: DataFrame, depth: int | None = None) -> tuple[Tree, DataFrame]:
@@ -381,41 +596,40 @@ def train(texts: DataFrame, depth: int | None = None) -> tuple[Tree, DataFrame]:
     column."""
     spark = texts.sparkSession
     small_batches(spark)
-    counts = written(_counted(texts, lambda t: (t[t != START],), ["k"]))
+    counts = written(_counted(texts))
     release(spark)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = _marked(counts.where(F.col("n") >= LEAST).select("k"), np.zeros(1 << FILTER_BITS - 3, np.uint8))
-    root = counts.select(F.col("k").alias("up"), ((F.col("n") + 1) / (n + v + 1)).alias("was"), F.lit(True).alias("above"))
-    grown, bits, shorter, now, read, reach = [], frequent, root, texts, _texts, 0
+    places = max(1, math.ceil(n / PLACE_TOKENS))
+    bits = _marked(counts.where(F.col("n") >= LEAST).select("k"), _bitmap(n))
+    grown, now, read, reach = [], texts, _texts, 0
     while depth is None or len(grown) < depth:
         known, level = spark.sparkContext.broadcast(bits), len(grown) + 1
         if level >= DEEP and level > reach:
-            reach = 2 * level
+            reach = 4 * level
             cut = _cutter(level - 1, known, reach)
             before, now, read = now, written(texts.mapInArrow(cut, "t binary")), _windows
             if before is not texts:
                 discard(spark, before)
+        found = _sequences(now, level, known, read, places)
         if level == 1:
-            pairs = _counted(now, lambda t, known=known: _pairs(t, known.value), ["k", "t", "left"], by=["t", "left"]).where(F.col("n") >= LEAST)
-            part = written(_named_pairs(pairs, counts))
-        else:
-            part = written(_counted(now, lambda t, known=known, level=level: _extensions(t, level, known.value), ["k", "up", "g"], read).where(F.col("n") >= LEAST))
+            found = _first_level(found, counts, n + v + 1, places)
+        found = written(_level(found, level, grown[-1] if grown else None))
         release(spark)
-        found = written(_grown(part, shorter))
-        discard(spark, part)
         known.destroy()
-        if found.isEmpty():
+        if found.where("many > 0").isEmpty():
             discard(spark, found)
             break
         grown.append(found)
-        bits = _marked(found.select("k").unionByName(found.select(F.col("g").alias("k")).distinct()), bits)
-        shorter = found.select(F.col("k").alias("up"), F.col("p").alias("was"), F.col("diverges").alias("above"))
+        bits = _marked(_keys(found, "k", "g", "k_dead"), bits)
         release(spark)
-    levels = _retained(grown, root)
-    discard(spark, *grown, *([now] if now is not texts else []))
+    levels: list[DataFrame] = []
     bits = np.zeros_like(bits)
-    for level in levels:
-        bits = _marked(level.select("k"), bits)
+    if grown:
+        table = written(_levels(grown))
+        bits = _marked(table.select("k"), bits)
+        levels = [table.where(F.col("level") == k + 1).select("k", "v") for k in range(table.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0])]
+    discard(spark, *grown, *([now] if now is not texts else []))
+    release(spark)
     return Tree(n, v, counts, levels, bits), counts
 
 
@@ -443,25 +657,6 @@ def _rows_of(t: np.ndarray) -> Iterator[bytes]:
         lo = hi
 
 
-def _named_pairs(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(k, up, g, n) of the first level, from the counts of (t, left) and of single tokens: a word occurs as a context as often
-    as it occurs, and a start as often as an end."""
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, left = (np.ascontiguousarray(batch.column(k).to_numpy()).view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(mix(t * STEP + left))), batch.column(0), pa.array(signed(mix(ROOT * STEP + left))), batch.column(2)], ["k", "up", "g", "n"])
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = np.ascontiguousarray(batch.column(0).to_numpy()).view(np.uint64)
-            g = signed(mix(ROOT * STEP + np.where(t == END, START, t)))
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), signed(np.array([ROOT]))[0])), pa.array(g), batch.column(1)], ["k", "up", "g", "n"])
-
-    schema = "k long, up long, g long, n long"
-    return pairs.select("t", "left", "n").mapInArrow(name, schema).unionByName(counts.select("k", "n").where(F.col("n") >= LEAST).mapInArrow(contexts, schema))
-
-
 def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None) -> DataFrame:
     """(id, learns, n_tokens, n_known, train_tokens, base_score, score) of each row; the model is made from those that learn,
     of contexts of any length or of up to `depth` words."""
@@ -474,31 +669,50 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
     # by the text too, so that rows without an id spread
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.col("text")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
+    places = max(1, math.ceil(n_train / PLACE_TOKENS))
+
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct tokens of each block of the task, and the other keys that the tree may have."""
+        """The distinct tokens of each block of the task, and the other keys that the tree may have, by place."""
         seen: dict[int, _Distinct] = {}
         for batch in batches:
             block = batch.column(3).to_numpy()
             for b in np.unique(block).tolist():
                 t, _ = _tokens(batch.column(2).filter(pa.array(block == b)))
-                keys, climb = [np.unique(t)], _Climb(t)
+                own, climb = seen.setdefault(b, _Distinct()), _Climb(t)
+                own.add(signed(t))
                 while climb.at.size and climb.level < most:
                     climb.step()
                     climb.keep(_has(bits.value, climb.g))
-                    keys += [np.unique(climb.g), np.unique(climb.e[_has(bits.value, climb.e)])]
-                seen.setdefault(b, _Distinct()).add(signed(np.unique(np.concatenate(keys))))
+                    own.add(signed(np.concatenate([climb.g, climb.e[_has(bits.value, climb.e)]])))
         for b, found in seen.items():
             own = found.whole()
-            for k in range(0, len(own), 100_000):
-                part = own[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int32)), pa.array(part)], ["block", "k"])
-
-    wanted = rows.mapInArrow(words_of, "block int, k long")  # of the same columns as below, so the texts are shuffled once
-    known = wanted.join(tree.table(), "k").select("block", "k", "v")
+            place = _place_of(own, places)
+            own = own[np.argsort(place, kind="stable")]
+            at, many = np.unique(place, return_counts=True)
+            parts = [x.tobytes() for x in np.split(own, np.cumsum(many)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, np.int32)), pa.array(at.astype(np.int32)), pa.array(parts, pa.binary())], ["block", "place", "keys"])
+
+    def find(wanted: pa.Table, table: pa.Table) -> pa.Table:
+        """Keys that are known and their values, for each block that wants some at a place."""
+        k, v = (table.column(c).to_numpy() for c in ("k", "v"))
+        order = np.argsort(k)
+        k, v, out = k[order], v[order], []
+        for raw in wanted.column("keys").to_pylist():
+            keys = np.frombuffer(raw, np.int64)
+            at = _place(k, keys)
+            found = at >= 0
+            own = v[at[found]] if len(v) else np.zeros(0)
+            out.append((len(own), pa.compress(np.concatenate([keys[found].view(np.uint8), _planes(own)]).tobytes(), codec="zstd", asbytes=True)))
+        return pa.table({"block": wanted.column("block"), "rows": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
+
+    wanted = rows.mapInArrow(words_of, "block int, place int, keys binary")  # of the same columns as below, so the texts are shuffled once
+    known = wanted.groupBy("place").cogroup(tree.table().select(_place_column("k", places).alias("place"), "k", "v").groupBy("place")).applyInArrow(find, "block int, rows int, blob binary")
     kind = rows.schema["id"].dataType.simpleString()
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        keys, n = own.column("k").to_numpy(), own.column("v").to_numpy().astype(float)
+        raw = [np.frombuffer(pa.decompress(blob, 16 * many, codec="zstd"), np.uint8) for many, blob in zip(own.column("rows").to_pylist(), own.column("blob").to_pylist(), strict=True)]
+        keys = np.concatenate([np.zeros(0, np.int64), *(x[: len(x) // 2].view(np.int64) for x in raw)])
+        n = np.concatenate([np.zeros(0), *(np.ascontiguousarray(x[len(x) // 2 :].reshape(8, -1).T).view(float).reshape(-1) for x in raw)])
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         known, out = _Lookup(keys), []

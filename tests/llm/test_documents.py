@@ -474,6 +474,35 @@ def test_contexts_grow_until_none_diverges(spark):
     assert p[12] < 0.05
 
 
+def shuffled(spark):
+    """Bytes that each stage so far has written for others."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+
+def test_sequences_are_shuffled_packed(spark):
+    """What scoring shuffles is some seven times this text; it was more than ten times."""
+    rng = np.random.default_rng(14)
+    texts = [(k, " ".join(f"w{w}" for w in np.minimum(rng.zipf(1.3, 4000), 4000))) for k in range(200)]
+    before = set(shuffled(spark))
+    assert suffix_tree.scored(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), F.lit(True), depth=3).count() == 200
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    written = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert written < 9 * sum(len(t) for _, t in texts)
+
+
+def test_packed_sequences_come_back():
+    rng = np.random.default_rng(15)
+    words = [rng.integers(0, 50, 3000).astype(np.uint64) << np.uint64(56) for _ in range(3)]
+    n, other, place = rng.integers(1, 9, 3000), rng.normal(size=3000), rng.integers(0, 5, 3000)
+    packed = pa.Table.from_batches([suffix_tree._packed(place, words, n, other.view(np.int64))])
+    got, m, (more,) = suffix_tree._unpacked(packed, 3, 1)
+    want = sorted(zip(*(w.tolist() for w in words), n.tolist(), other.tolist(), strict=True))
+    assert sorted(zip(*(w.tolist() for w in got), m.tolist(), more.view(float).tolist(), strict=True)) == want
+    assert suffix_tree._packed(place[:0], [w[:0] for w in words], n[:0]).num_rows == 0
+
+
 def test_distributions_sum_to_one(spark):
     rng = np.random.default_rng(6)
     texts, w = [], 0
