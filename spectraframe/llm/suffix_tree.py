@@ -18,7 +18,8 @@ a task and place, with numbers in a list of its words), and those that occur LEA
 There all is that a longer context needs of its suffixes, so a level is grown from the one before it without joins of rows, and what
 is retained is found in one step. A place is for PLACE_TOKENS training tokens. Levels are written tables. Documents go to blocks
 of about BLOCK_CHARS characters, and a block gets the values of its own distinct keys (hashes of words, contexts, and contexts
-with a symbol), which are looked up place by place. A bitmap of bounded size (FILTER_BITS) is gathered and broadcast; it spares
+with a symbol), which are looked up place by place. Blocks take turns (TURNS, however many they are), as what they ask for and get is more than
+all that is learned: a turn's scores are written, and what it shuffled goes, before the next one begins. A bitmap of bounded size (FILTER_BITS) is gathered and broadcast; it spares
 most keys that no table has, and what it lets through in vain, the lookups drop.
 
 Defined cases: null or empty text is the end token alone; the training part is any row filter; an empty training part
@@ -43,13 +44,34 @@ END, START = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0x57A4757A4757A471)
 BREAK = np.uint64(0xB4EAB4EAB4EAB4EB)  # in windows, before tokens whose left neighbours are left out
 ROOT, STEP = np.uint64(0x5EED5EED5EED5EED), np.uint64(0xD1342543DE82EF95)
 LEAST = 3
+SLICE = 100  # texts whose tokens are gone through at once, so that what is made of them stays in a cache
 FILTER_BITS = 27, 29  # at least and at most
 BLOCK_CHARS = 24_000_000
 DISCOUNT = 0.75
 HELD = 8_000_000  # numbers (distinct keys, and what goes with them) that a task sums up before it sends them on
 PLACE_TOKENS = 1_000_000  # training tokens for each of the places that sequences are dealt to
 DEEP = 4  # the level from which on passes read windows
-WINDOW_TOKENS = 1 << 18  # of a row of windows
+WINDOW_TOKENS = 1 << 16  # of a row of windows
+TURNS, TURN_BLOCKS = 4, 8  # blocks are scored in so many turns at most, of so many blocks at least
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """A stable argsort of 64-bit keys that are hashes: their upper bits are sorted with the places below them, which is some times as fast; where
+    keys of equal upper bits come out of order, those are sorted by themselves."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    whole = keys.view(np.uint64) ^ np.uint64(1 << 63 if keys.dtype.kind == "i" else 0)
+    both = whole & ~low | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    whole = whole[order]
+    wrong = np.flatnonzero(whole[1:] < whole[:-1])
+    if len(wrong) > 1000:
+        return np.argsort(keys, kind="stable")
+    for at in np.unique(both[wrong] & ~low).tolist():
+        lo, hi = np.searchsorted(both, np.array([at, at | int(low)], np.uint64)) + np.array([0, 1])
+        own = np.sort(order[lo:hi])
+        order[lo:hi] = own[np.argsort(keys[own], kind="stable")]
+    return order
 
 
 class _Sums:
@@ -60,7 +82,13 @@ class _Sums:
         self.size = 0
 
     def add(self, keys: np.ndarray, *words: np.ndarray) -> None:
-        k, at, n = np.unique(keys, return_index=True, return_counts=True)
+        if words:
+            order = _order(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+            k, n, at = keys[first], np.diff(first, append=len(keys)), order[first]
+        else:
+            k, n = np.unique(keys, return_counts=True)
         self.parts.append([k, n, *(w[at] for w in words)])
         self.size += len(k) * (2 + len(words))
 
@@ -69,7 +97,7 @@ class _Sums:
         if self.size > HELD:
             self.parts = [self.summed()]
             self.size = len(self.parts[0][0]) * len(self.parts[0])
-        return self.size > HELD // 2
+        return self.size > HELD // 4 * 3
 
     def summed(self) -> list[np.ndarray]:
         """[keys, counts, *words]"""
@@ -83,7 +111,7 @@ class _Sums:
 
 
 def _summed(keys: np.ndarray, n: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
-    order = np.argsort(keys)
+    order = _order(keys)
     keys = keys[order]
     first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
     return [keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0], *(w[order[first]] for w in words)]
@@ -94,17 +122,39 @@ def _planes(x: np.ndarray) -> np.ndarray:
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.reshape(-1)
 
 
+def _numbers(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _sent(keys: np.ndarray, *values: np.ndarray) -> bytes:
+    """Sorted keys, as the gaps between them, and their values."""
+    gaps = np.diff(keys.view(np.uint64), prepend=np.zeros(1, np.uint64))
+    return pa.compress(np.concatenate([_planes(x) for x in (gaps, *values)]).tobytes(), codec="zstd", asbytes=True)
+
+
+def _received(blob: bytes, rows: int, values: int = 0) -> tuple[np.ndarray, ...]:
+    """The keys, sorted as they were, and so many columns of values (64-bit floats)."""
+    raw = np.frombuffer(pa.decompress(blob, 8 * rows * (1 + values), codec="zstd"), np.uint8) if rows else np.zeros(0, np.uint8)
+    gaps, *own = (_numbers(raw[8 * rows * k : 8 * rows * (k + 1)], np.float64 if k else np.uint64) for k in range(1 + values))
+    return signed(np.cumsum(gaps, dtype=np.uint64)), *own
+
+
 def _packed(place: np.ndarray, columns: list[np.ndarray], n: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
     """A row (place, rows, kinds, blob) for each place: words of each column as numbers in a list of the blob's distinct words, counts and
     other 64-bit columns."""
-    order = np.argsort(place, kind="stable")
+    order = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
     cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
     rows: list[tuple[int, int, int, bytes]] = []
     for lo, hi in zip(cuts, [*cuts, len(order)][1:], strict=True):
         own = order[lo:hi]
-        own = own[np.argsort(columns[0][own])]
-        kinds, at = np.unique(np.concatenate([c[own] for c in columns]), return_inverse=True)
-        parts = [kinds.view(np.uint8), *(_planes(x) for x in at.astype(np.uint32).reshape(len(columns), -1)), _planes(n[own]), *(x[own].view(np.uint8) for x in more)]
+        own = own[_order(columns[0][own])]
+        words = np.concatenate([c[own] for c in columns])
+        by_word = _order(words)
+        words = words[by_word]
+        new = np.diff(words, prepend=~words[:1]) != 0
+        kinds, at = words[new], np.empty(len(words), np.uint32)
+        at[by_word] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        parts = [kinds.view(np.uint8), *(_planes(x) for x in at.reshape(len(columns), -1)), _planes(n[own]), *(x[own].view(np.uint8) for x in more)]
         rows.append((int(place[own[0]]), len(own), len(kinds), pa.compress(np.concatenate(parts).tobytes(), codec="zstd", asbytes=True)))
     return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["place", "rows", "kinds", "blob"])
 
@@ -119,9 +169,9 @@ def _unpacked(table: pa.Table, columns: int, more: int = 0) -> tuple[list[np.nda
         raw = np.frombuffer(pa.decompress(blob, 8 * kinds + (4 * columns + 8 + 8 * more) * rows, codec="zstd"), np.uint8)
         words, raw = raw[: 8 * kinds].view(np.uint64), raw[8 * kinds :]
         for k in range(columns):
-            out[k].append(words[np.ascontiguousarray(raw[4 * rows * k : 4 * rows * (k + 1)].reshape(4, rows).T).view(np.uint32).reshape(-1)])
+            out[k].append(words[_numbers(raw[4 * rows * k : 4 * rows * (k + 1)], np.uint32)])
         raw = raw[4 * rows * columns :]
-        out[columns].append(np.ascontiguousarray(raw[: 8 * rows].reshape(8, rows).T).view(np.int64).reshape(-1))
+        out[columns].append(_numbers(raw[: 8 * rows], np.int64))
         for k in range(more):
             out[columns + 1 + k].append(raw[8 * rows * (k + 1) : 8 * rows * (k + 2)].view(np.int64))
     whole = [np.concatenate(x) for x in out]
@@ -137,7 +187,8 @@ def _place_column(key: str, places: int) -> Column:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield _tokens(batch.column(0))[0]
+    for lo in range(0, len(batch), SLICE):
+        yield _tokens(batch.column(0).slice(lo, SLICE))[0]
 
 
 def _windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -154,8 +205,8 @@ def _counted(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for batch in batches:
-            for t in _texts(batch):
-                sums.add(signed(t[t != START]))
+            t, _ = _tokens(batch.column(0))
+            sums.add(signed(t[t != START]))
             if sums.full():
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums.take()], ["k", "n"])
         if sums.parts:
@@ -214,14 +265,14 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Lookup:
-    """Where 64-bit keys are in a sorted array, -1 for those that aren't: a hash table with linear probing, all keys of a call at
+    """Where 64-bit keys are in an array of distinct ones, -1 for those that aren't: a hash table with linear probing, all keys of a call at
     a time. A binary search would miss the cache at each step."""
 
     def __init__(self, known: np.ndarray):
         self.known = known
         bits = max(4, int(len(known) * 2).bit_length())
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
-        self.slots = np.full(1 << bits, -1, np.int64)
+        self.slots = np.full(1 << bits, -1, np.int32 if bits < 31 else np.int64)
         left, slot = np.arange(len(known)), self._first(known)
         while left.size:
             free = self.slots[slot] < 0
@@ -234,18 +285,19 @@ class _Lookup:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         keys = np.ascontiguousarray(keys, np.int64)
-        found = np.full(len(keys), -1, np.int64)
-        slot, at = self._first(keys), None
-        while slot.size:
-            here = self.slots[slot]
-            there = here >= 0
+        if not len(self.known):
+            return np.full(len(keys), -1, np.int64)
+        slot, at, found = self._first(keys), None, None
+        while at is None or at.size:
+            here = self.slots[slot]  # -1, the last key's place, never matches: a key that is known comes before an empty slot
+            hit = self.known[here] == (keys if at is None else keys[at])
+            more = np.flatnonzero(~hit & (here >= 0))
             if at is None:
-                at = np.arange(len(keys))
-            hit = there.copy()
-            hit[there] = self.known[here[there]] == keys[at[there]]
-            found[at[hit]] = here[hit]
-            more = there & ~hit
-            at, slot = at[more], slot[more] + 1 & self.last
+                found, at = np.where(hit, here, -1).astype(np.int64, copy=False), more
+            else:
+                found[at[hit]] = here[hit]
+                at = at[more]
+            slot = slot[more] + 1 & self.last
         return found
 
 
@@ -259,7 +311,7 @@ def _place(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _bitmap(n: int) -> np.ndarray:
     """An empty bitmap for what is learned from n tokens."""
-    return np.zeros(1 << min(max(FILTER_BITS[0], n.bit_length()), FILTER_BITS[1]) - 3, np.uint8)
+    return np.zeros(1 << min(max(FILTER_BITS[0], n.bit_length() + 1), FILTER_BITS[1]) - 3, np.uint8)
 
 
 def _shift(bits: np.ndarray) -> int:
@@ -268,8 +320,9 @@ def _shift(bits: np.ndarray) -> int:
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the bitmap has a key's bit."""
-    at = keys >> np.uint64(_shift(bits))
-    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+    shift = _shift(bits)
+    of = (keys >> np.uint64(shift)).astype(np.uint8) & np.uint8(7)
+    return (bits.take((keys >> np.uint64(shift + 3)).view(np.int64)) >> of & np.uint8(1)).view(bool)
 
 
 def _marked(keys: DataFrame, bits: np.ndarray) -> np.ndarray:
@@ -308,12 +361,10 @@ class _Climb:
 
 def _climbed(t: np.ndarray, level: int, bits: np.ndarray) -> tuple[_Climb, np.ndarray]:
     """The tokens with a context of `level` words that may be extended, and whether that may have the token; level 1 or more."""
-    climb = _Climb(t)
-    explicit = _has(bits, climb.e)
-    left = t[climb.at - 1]
-    ok = _has(bits, left) | (left == START)
+    climb, frequent = _Climb(t), _has(bits, t)
+    ok = (frequent | (t == START))[climb.at - 1]
     climb.keep(ok)
-    explicit = explicit[ok]
+    explicit = frequent[climb.at]
     rare = np.zeros(len(t), bool)  # tokens that are too rare after the words before them
     while climb.level < level:
         explicit = explicit[climb.step()]
@@ -373,17 +424,29 @@ def _cut(t: np.ndarray, level: int, bits: np.ndarray, margin: int) -> np.ndarray
 def _scores(t: np.ndarray, p: np.ndarray, find: Callable[[np.ndarray], np.ndarray], values: np.ndarray) -> np.ndarray:
     """The probability of each token: p is the root's; find gives a key's place among values, -1 if no level has it."""
     p, climb = p.copy(), _Climb(t)
+    explicit = np.ones(len(climb.at), bool)  # in all shorter contexts, else in none that is longer
     while climb.at.size:
-        climb.step()
+        explicit = explicit[climb.step()]
         context = find(signed(climb.g))
-        climb.keep(context >= 0)
-        context = context[context >= 0]
+        ok = context >= 0
+        climb.keep(ok)
+        context, explicit = context[ok], explicit[ok]
         if climb.at.size:
-            own = find(signed(climb.e))
-            p[climb.at] = np.where(own >= 0, values[own], values[context] * p[climb.at])
+            value = values[context] * p[climb.at]
+            e = np.flatnonzero(explicit)
+            own = find(signed(climb.e[e]))
+            explicit[e] = own >= 0
+            value[e[own >= 0]] = values[own[own >= 0]]
+            p[climb.at] = value
     return p
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted. np.unique would hash them, which is many times as slow."""
+    keys = np.sort(keys)
+    return keys[np.flatnonzero(np.diff(keys, prepend=~keys[:1]))]
+
+
 class _Distinct:
     """Distinct keys from many arrays, merged when they have doubled."""
 
@@ -400,16 +463,15 @@ class _Distinct:
             self.most = max(HELD // 4, 2 * self.size)
 
     def whole(self) -> np.ndarray:
-        keys = np.sort(np.concatenate([np.zeros(0, np.int64), *self.parts]))
-        return keys[np.flatnonzero(np.diff(keys, prepend=~keys[:1]))]
+        return _distinct(np.concatenate([np.zeros(0, np.int64), *self.parts]))
 
 
 class Tree:
     """What is learned: numbers of tokens and of distinct ones, their written counts (k, n), a written table (k, v) for each
-    level, and the bitmap of all these keys. Properties and `probabilities` gather the tables, so they are for small ones."""
+    level, the bitmap of all these keys, and the tables as they are written. Properties and `probabilities` gather the tables, so they are for small ones."""
 
-    def __init__(self, n: int, v: int, counts: DataFrame, levels: list[DataFrame], bits: np.ndarray):
-        self.n, self.v, self.counts, self.levels, self.bits = n, v, counts, levels, bits
+    def __init__(self, n: int, v: int, counts: DataFrame, levels: list[DataFrame], bits: np.ndarray, tables: list[DataFrame]):
+        self.n, self.v, self.counts, self.levels, self.bits, self.tables = n, v, counts, levels, bits, tables
 
     def table(self) -> DataFrame:
         """(k, v): counts of tokens; a context's weight of what it leaves over; an explicit symbol's probability."""
@@ -476,7 +538,7 @@ def _grown(words: list[np.ndarray], n: np.ndarray, was: np.ndarray, above: np.nd
     the symbol's probability in the context if it diverges, else in its suffix. k_dead: symbols of other contexts."""
     key, g, suffix, up = _hashes(words)
     own = np.flatnonzero(words[-1] == BREAK)
-    own = own[np.argsort(signed(g[own]))]
+    own = own[_order(signed(g[own]))]
     e = np.flatnonzero((words[-1] != BREAK) & ~np.isnan(was))
     c = _place(signed(g[own]), signed(g[e]))
     e, c = e[c >= 0], c[c >= 0]
@@ -515,7 +577,7 @@ def _retained(grown: list[dict[str, np.ndarray]]) -> Iterator[tuple[np.ndarray,
         c, p = x["c"][e], (x["n"][e] - DISCOUNT) / x["size"][x["c"][e]]
         rest, rest_was = _rests(c, len(own), p, was)
         there = np.flatnonzero(np.bincount(c, minlength=len(own)))
-        order = np.argsort(x["k"][e])
+        order = _order(x["k"][e])
         keys, values = x["k"][e][order], p[order]
         yield np.concatenate([keys, x["g"][there]]), np.concatenate([values, (rest / rest_was)[there]])
 
@@ -527,7 +589,7 @@ def _first_level(pairs: DataFrame, counts: DataFrame, total: int, places: int) -
     def named(pairs: pa.Table, counts: pa.Table) -> pa.Table:
         (left, token), n, _ = _unpacked(pairs, 2)
         k, many = (np.ascontiguousarray(counts.column(c).to_numpy()) for c in ("k", "n"))
-        order = np.argsort(k)
+        order = _order(k)
         k, many = k[order], many[order]
         own = many >= LEAST
         word = k[own].view(np.uint64)
@@ -554,7 +616,7 @@ def _level(sequences: DataFrame, level: int, shorter: DataFrame | None) -> DataF
             return own.select(["place", "rows", "blob"]).slice(0, 0).rename_columns(["place", "many", "blob"])
         words, n, _ = _unpacked(own, level + 1)
         before = _restored(shorter.column("blob")[0].as_py())
-        order = np.argsort(before["k"])
+        order = _order(before["k"])
         at = _place(before["k"][order], signed(_hashes(words)[3]))
         found = at >= 0
         at = order[at[found]] if len(order) else at[found]
@@ -601,13 +663,14 @@ def train(texts: DataFrame, depth: int | None = None) -> tuple[Tree, DataFrame]:
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     places = max(1, math.ceil(n / PLACE_TOKENS))
     bits = _marked(counts.where(F.col("n") >= LEAST).select("k"), _bitmap(n))
-    grown, now, read, reach = [], texts, _texts, 0
+    grown, now, read, reach, cut_at = [], texts, _texts, 0, 0
     while depth is None or len(grown) < depth:
         known, level = spark.sparkContext.broadcast(bits), len(grown) + 1
-        if level >= DEEP and level > reach:
-            reach = 4 * level
-            cut = _cutter(level - 1, known, reach)
-            before, now, read = now, written(texts.mapInArrow(cut, "t binary")), _windows
+        if level >= DEEP and (level > reach or 2 * level >= 3 * cut_at):
+            whole = level > reach  # else windows that reach far enough are cut again, where fewer contexts grow
+            reach, cut_at = 4 * level if whole else reach, level
+            cut = _cutter(level - 1, known, reach, _texts if whole else read)
+            before, now, read = now, written((texts if whole else now).mapInArrow(cut, "t binary")), _windows
             if before is not texts:
                 discard(spark, before)
         found = _sequences(now, level, known, read, places)
@@ -623,21 +686,23 @@ def train(texts: DataFrame, depth: int | None = None) -> tuple[Tree, DataFrame]:
         bits = _marked(_keys(found, "k", "g", "k_dead"), bits)
         release(spark)
     levels: list[DataFrame] = []
+    tables = [counts]
     bits = np.zeros_like(bits)
     if grown:
         table = written(_levels(grown))
+        tables.append(table)
         bits = _marked(table.select("k"), bits)
         levels = [table.where(F.col("level") == k + 1).select("k", "v") for k in range(table.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0])]
     discard(spark, *grown, *([now] if now is not texts else []))
     release(spark)
-    return Tree(n, v, counts, levels, bits), counts
+    return Tree(n, v, counts, levels, bits, tables), counts
 
 
-def _cutter(level: int, known: Broadcast, margin: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cutter(level: int, known: Broadcast, margin: int, read: Read) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
-            for t in _texts(batch):
+            for t in read(batch):
                 held.append(_cut(t, level, known.value, margin))
             rows = [r for t in held for r in _rows_of(t)]
             if rows:
@@ -667,9 +732,12 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
     # by the text too, so that rows without an id spread
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.col("text")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.col("text")), F.lit(blocks)).cast("int"))
 
     places = max(1, math.ceil(n_train / PLACE_TOKENS))
+    table = written(_dealt(tree.table(), places))
+    discard(spark, *tree.tables)
+    release(spark)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct tokens of each block of the task, and the other keys that the tree may have, by place."""
@@ -677,46 +745,46 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
         for batch in batches:
             block = batch.column(3).to_numpy()
             for b in np.unique(block).tolist():
-                t, _ = _tokens(batch.column(2).filter(pa.array(block == b)))
-                own, climb = seen.setdefault(b, _Distinct()), _Climb(t)
-                own.add(signed(t))
-                while climb.at.size and climb.level < most:
-                    climb.step()
-                    climb.keep(_has(bits.value, climb.g))
-                    own.add(signed(np.concatenate([climb.g, climb.e[_has(bits.value, climb.e)]])))
+                own = seen.setdefault(b, _Distinct())
+                for t in _texts(pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(block == b))], ["text"])):
+                    climb, found = _Climb(t), [t]
+                    explicit = np.ones(len(climb.at), bool)
+                    while climb.at.size and climb.level < most:
+                        explicit = explicit[climb.step()]
+                        ok = _has(bits.value, climb.g)
+                        climb.keep(ok)
+                        explicit = explicit[ok]
+                        explicit[explicit] = _has(bits.value, climb.e[explicit])
+                        found += [climb.g, climb.e[explicit]]
+                    own.add(_distinct(signed(np.concatenate(found))))
         for b, found in seen.items():
             own = found.whole()
             place = _place_of(own, places)
             own = own[np.argsort(place, kind="stable")]
             at, many = np.unique(place, return_counts=True)
-            parts = [x.tobytes() for x in np.split(own, np.cumsum(many)[:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, np.int32)), pa.array(at.astype(np.int32)), pa.array(parts, pa.binary())], ["block", "place", "keys"])
+            parts = [_sent(x) for x in np.split(own, np.cumsum(many)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, np.int32)), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(parts, pa.binary())], ["block", "place", "rows", "blob"])
 
     def find(wanted: pa.Table, table: pa.Table) -> pa.Table:
         """Keys that are known and their values, for each block that wants some at a place."""
-        k, v = (table.column(c).to_numpy() for c in ("k", "v"))
-        order = np.argsort(k)
-        k, v, out = k[order], v[order], []
-        for raw in wanted.column("keys").to_pylist():
-            keys = np.frombuffer(raw, np.int64)
+        own = list(zip(table.column("blob").to_pylist(), table.column("rows").to_pylist(), strict=True))
+        k, v = _received(*own[0], 1) if own else (np.zeros(0, np.int64), np.zeros(0))
+        out = []
+        for blob, many in zip(wanted.column("blob").to_pylist(), wanted.column("rows").to_pylist(), strict=True):
+            (keys,) = _received(blob, many)
             at = _place(k, keys)
             found = at >= 0
-            own = v[at[found]] if len(v) else np.zeros(0)
-            out.append((len(own), pa.compress(np.concatenate([keys[found].view(np.uint8), _planes(own)]).tobytes(), codec="zstd", asbytes=True)))
+            out.append((int(found.sum()), _sent(keys[found], v[at[found]] if len(v) else np.zeros(0))))
         return pa.table({"block": wanted.column("block"), "rows": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
-    wanted = rows.mapInArrow(words_of, "block int, place int, keys binary")  # of the same columns as below, so the texts are shuffled once
-    known = wanted.groupBy("place").cogroup(tree.table().select(_place_column("k", places).alias("place"), "k", "v").groupBy("place")).applyInArrow(find, "block int, rows int, blob binary")
     kind = rows.schema["id"].dataType.simpleString()
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(pa.decompress(blob, 16 * many, codec="zstd"), np.uint8) for many, blob in zip(own.column("rows").to_pylist(), own.column("blob").to_pylist(), strict=True)]
-        keys = np.concatenate([np.zeros(0, np.int64), *(x[: len(x) // 2].view(np.int64) for x in raw)])
-        n = np.concatenate([np.zeros(0), *(np.ascontiguousarray(x[len(x) // 2 :].reshape(8, -1).T).view(float).reshape(-1) for x in raw)])
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        known, out = _Lookup(keys), []
-        for batch in texts.select(["text"]).combine_chunks().to_batches(max_chunksize=500):
+        got = [_received(blob, many, 1) for many, blob in zip(own.column("rows").to_pylist(), own.column("blob").to_pylist(), strict=True)]
+        n = np.concatenate([np.zeros(0), *(x[1] for x in got)])
+        known, out = _Lookup(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in got)])), []
+        del got
+        for batch in texts.select(["text"]).combine_chunks().to_batches(max_chunksize=SLICE):
             t, words = _tokens(batch.column(0))
             at = known(signed(t))
             c = np.where(at >= 0, n[at] if len(n) else 0, 0)
@@ -730,4 +798,31 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
         return pa.Table.from_arrays(columns, ["id", "learns", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"id {kind}, learns boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)
+
+    def scores(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(blocks, "block")
+        wanted = rows.mapInArrow(words_of, "block int, place int, rows int, blob binary")  # of the same columns as below, so the texts are shuffled once
+        known = wanted.groupBy("place").cogroup(table.groupBy("place")).applyInArrow(find, "block int, rows int, blob binary")
+        return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)
+
+    turns = max(1, min(TURNS, blocks // TURN_BLOCKS))
+    if turns == 1:
+        return scores(rows)
+    done = []
+    for turn in range(turns):
+        done.append(written(scores(rows.where(F.col("block") % turns == turn))))
+        release(spark)  # what the turn has shuffled
+    discard(spark, table)
+    bits.destroy()
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _dealt(table: DataFrame, places: int) -> DataFrame:
+    """(k, v) as a row (place, rows, blob) for each place that keys are dealt to."""
+
+    def pack(own: pa.Table) -> pa.Table:
+        k, v = (np.ascontiguousarray(own.column(c).to_numpy()) for c in ("k", "v"))
+        order = _order(k)
+        return pa.table({"place": own.column("place").slice(0, 1), "rows": pa.array([len(k)], pa.int32()), "blob": pa.array([_sent(k[order], v[order])], pa.binary())})
+
+    return table.select(_place_column("k", places).alias("place"), "k", "v").groupBy("place").applyInArrow(pack, "place int, rows int, blob binary")

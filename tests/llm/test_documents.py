@@ -503,6 +503,40 @@ def test_packed_sequences_come_back():
     assert suffix_tree._packed(place[:0], [w[:0] for w in words], n[:0]).num_rows == 0
 
 
+def test_blocks_take_turns(spark, monkeypatch):
+    """No step of scoring shuffles all texts at once; the scores are those of a single turn."""
+    rng = np.random.default_rng(16)
+    texts = [(k, f"a b c{k % 7} a b " + " ".join(rng.bytes(100).hex() for _ in range(20))) for k in range(800)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    want = {r.id: r.score for r in suffix_tree.scored(docs, F.col("doc_id") % 3 != 0).collect()}
+    monkeypatch.setattr(suffix_tree, "BLOCK_CHARS", 100_000)
+    before = set(shuffled(spark))
+    got = {r.id: r.score for r in suffix_tree.scored(docs.localCheckpoint(), F.col("doc_id") % 3 != 0).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    later = {stage: n for stage, n in shuffled(spark).items() if stage not in before}
+    assert max(n for stage, n in later.items() if stage > min(later) + 1) < 0.5 * sum(len(t) for _, t in texts)
+
+
+def test_keys_are_sent_as_gaps():
+    rng = np.random.default_rng(17)
+    keys = np.sort(rng.integers(-(2**63), 2**63, 20_000))
+    sent = suffix_tree._sent(keys, values := rng.normal(size=len(keys)))
+    got = suffix_tree._received(sent, len(keys), 1)
+    assert (got[0] == keys).all()
+    assert (got[1] == values).all()
+    assert len(suffix_tree._sent(keys)) < 7 * len(keys)
+    assert [len(x) for x in suffix_tree._received(suffix_tree._sent(keys[:0], values[:0]), 0, 1)] == [0, 0]
+
+
+def test_orders_are_stable():
+    rng = np.random.default_rng(18)
+    keys = rng.integers(-(2**63), 2**63, 4000)
+    close = keys[:50].repeat(4) & ~np.int64(1023) | rng.integers(0, 3, 200)  # alike in their upper bits
+    for own in (keys, keys.view(np.uint64), keys[:0], keys[:1], keys % 5, keys.repeat(3)[::-1], np.concatenate([close, keys]), np.concatenate([close, keys]).view(np.uint64)):
+        assert (suffix_tree._order(own) == np.argsort(own, kind="stable")).all()
+
+
 def test_distributions_sum_to_one(spark):
     rng = np.random.default_rng(6)
     texts, w = [], 0
