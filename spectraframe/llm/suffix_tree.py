@@ -737,6 +737,7 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
     places = max(1, math.ceil(n_train / PLACE_TOKENS))
     table = written(_dealt(tree.table(), places))
     discard(spark, *tree.tables)
+    table.isEmpty()  # the session holds what its last job has shuffled, until there is another one
     release(spark)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -811,7 +812,8 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
     done = []
     for turn in range(turns):
         done.append(written(scores(rows.where(F.col("block") % turns == turn))))
-        release(spark)  # what the turn has shuffled
+        done[-1].isEmpty()  # as above
+        release(spark)
     discard(spark, table)
     bits.destroy()
     return functools.reduce(DataFrame.unionByName, done)
