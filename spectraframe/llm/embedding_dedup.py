@@ -11,7 +11,8 @@ folded into a forest of at most a link a vector. So a group of near copies costs
 its pairs. Sums and forests are combined by Spark, and components are the forests' by `components`.
 
 All tables between the steps are written to the shared folder. A shard has at most `most` vectors, which bounds a task's memory:
-two shards, two graphs and a bit for each pair of the two. Every vector meets every shard, as the method says: for n vectors that is
+two shards, two graphs and what was found in one direction, as places or at most a bit for each pair of the two; what a block
+of queries needs besides has a bound of its own. A graph travels in rows of PIECE vectors. Every vector meets every shard, as the method says: for n vectors that is
 n * n / most searches, each of logarithmic cost.
 
 Defined cases: a vector that is null, zero, empty or holds null or non-finite components links with nothing, and vectors of
@@ -21,12 +22,14 @@ in it that is not null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_sized, ship, written
@@ -34,10 +37,16 @@ from .components import components
 
 M = 16  # links a vector, twice as many on the lowest layer
 BEAM = 64  # candidates when a graph is made
+MOST_TASKS = 2016  # for pairs of shards
 FEWEST_SHARDS = 4  # so that a few tasks can run at once
 MOST_ROWS = 32_768  # of a shard
 BLOCK = 512  # vectors that are searched for together
 AUDITED = 512
+PIECE = 1024  # vectors of a graph's row in tables
+BATCH_BYTES = 4 << 20  # of graphs' rows, on their way into a task
+PART = 32  # queries whose pairs, or products with all of a shard, are numbers at once
+WIDE = BLOCK * 256  # places in the beams that are searched together
+VERIFIED = 1 << 14  # pairs
 _SLACK = 1e-4  # single precision finds candidates
 
 
@@ -174,10 +183,20 @@ def build(x: np.ndarray, seed: int = 0) -> Graph:
     return Graph(x, [(order[: len(t)], t) for t in tables])
 
 
+def _close(q: np.ndarray, x: np.ndarray, least: float) -> np.ndarray:
+    """(query, vector) of products of at least `least`, from all of them."""
+    out = np.empty((len(q), len(x)), bool)
+    for s in range(0, len(q), PART):
+        np.greater_equal(q[s : s + PART] @ x.T, least, out=out[s : s + PART])
+    return out
+
+
 def search(graph: Graph, q: np.ndarray, least: float, width: int) -> np.ndarray:
     """(query, node) of single-precision cosines of at least `least`: the beam's, and all that links within `least` lead to; all
     there are, if they fill the beam."""
-    n = len(graph.x)
+    n, most = len(graph.x), max(1, WIDE // width)
+    if len(q) > most:
+        return np.concatenate([search(graph, q[s : s + most], least, width) for s in range(0, len(q), most)])
     start = np.zeros((len(q), 1), np.int64)
     for _, links in graph.layers[:0:-1]:
         ids, _ = _beam(graph.x[: len(links)], links, q, start, 4, np.zeros((len(q), len(links)), bool))
@@ -189,8 +208,8 @@ def search(graph: Graph, q: np.ndarray, least: float, width: int) -> np.ndarray:
     front = at, ids[at, k]
     hit[front] = True
     dense = (sims >= least).all(1)  # as many as the beam holds: it is made as wide as the graph, which is all products
-    for r in np.array_split(np.flatnonzero(dense), max(1, dense.sum() // 256)):
-        hit[r] = q[r] @ graph.x.T >= least
+    all_of = np.flatnonzero(dense)
+    hit[all_of] = _close(q[all_of], graph.x, least)
     front = tuple(f[~dense[at]] for f in front)
     while len(front[0]):  # what was in the beam has been expanded already, but for what fell out of it
         found_at, found = [], []
@@ -209,29 +228,47 @@ def search(graph: Graph, q: np.ndarray, least: float, width: int) -> np.ndarray:
 
 def _verified(hit: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """hit, without pairs whose cosine in double precision is below `least`."""
-    rows, nodes = np.nonzero(hit)
-    for s in range(0, len(rows), 1 << 16):
-        r, k = rows[s : s + (1 << 16)], nodes[s : s + (1 << 16)]
-        low = np.einsum("ij,ij->i", a[r], b[k]) < least
-        hit[r[low], k[low]] = False
+    for p in range(0, len(hit), PART):
+        rows, nodes = np.nonzero(hit[p : p + PART])
+        rows += p
+        for s in range(0, len(rows), VERIFIED):
+            r, k = rows[s : s + VERIFIED], nodes[s : s + VERIFIED]
+            low = np.einsum("ij,ij->i", a[r], b[k]) < least
+            hit[r[low], k[low]] = False
     return hit
 
 
+def _blocks(n: int) -> list[slice]:
+    return [slice(s, min(s + BLOCK, n)) for s in range(0, n, BLOCK)]
+
+
+def _kept(hit: np.ndarray) -> np.ndarray:
+    """A tile's bits: the places of those that are set, or all bits packed, whichever is less."""
+    return np.flatnonzero(hit).astype(np.int32) if 32 * np.count_nonzero(hit) < hit.size else np.packbits(hit)
+
+
+def _add(hit: np.ndarray, kept: np.ndarray) -> None:
+    """Sets the bits of a tile that `_kept` made."""
+    if kept.dtype == np.uint8:
+        hit |= np.unpackbits(kept, count=hit.size).reshape(hit.shape).astype(bool)
+    elif len(kept):
+        hit[np.divmod(kept, hit.shape[1])] = True
+
+
 def _found(graph: Graph, own: np.ndarray, q: np.ndarray, least: float, recall: float, seed: int) -> Iterator[tuple[slice, np.ndarray]]:
     """Blocks of q and the bits (query, vector of the graph's shard) of the pairs found. own: the shard's vectors in double precision,
     as the graph has them."""
     single = q.astype(np.float32)
     some = np.sort(np.random.default_rng(seed).permutation(len(q))[:AUDITED])
-    truth = q[some] @ own.T >= least
+    truth = _close(q[some], own, least)
     width = BEAM // 4
     while width < len(own):
         hit = search(graph, single[some], least - _SLACK, width)
         if (hit & truth).sum() >= recall * truth.sum():
             break
         width *= 2
-    for s in range(0, len(q), BLOCK):
-        block = slice(s, min(s + BLOCK, len(q)))
-        hit = search(graph, single[block], least - _SLACK, width) if width < len(own) else q[block] @ own.T >= least - _SLACK
+    for block in _blocks(len(q)):
+        hit = search(graph, single[block], least - _SLACK, width) if width < len(own) else _close(q[block], own, least - _SLACK)
         yield block, _verified(hit, q[block], own, least)
 
 
@@ -258,31 +295,26 @@ def _pair(left: tuple, right: tuple | None, least: float, recall: float) -> pd.D
     """Rows (node, links, root) of the vectors of two shards (node, copies, vectors, graph) that have a link; of one with itself if there
     is no right. Links count copies."""
     (a_id, a_n, a, a_graph), (b_id, b_n, b, b_graph) = left, right or left
-    back = np.zeros((len(b), (len(a) + 7) // 8), np.uint8)
-    for block, hit in _found(a_graph, a, b, least, recall, 1) if right else ():
-        back[block] = np.packbits(hit, axis=1)
+    over = _blocks(len(a))
+    # with itself the other direction is the transposed one
+    back = [(block, [_kept(hit[:, o]) for o in over]) for block, hit in _found(a_graph, a, b, least, recall, 1 if right else 2)]
     links = [np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)]
     forest = _Forest(len(a) + (len(b) if right else 0))
     shift = len(a) if right else 0
-    pending = []
-    for block, hit in _found(b_graph, b, a, least, recall, 2):
-        if right:
-            hit |= np.unpackbits(back[:, block.start // 8 : (block.stop + 7) // 8], axis=1)[:, : block.stop - block.start].T.astype(bool)
-            links[0][block] = hit @ b_n
-            links[1] += a_n[block] @ hit
-            rows, nodes = np.nonzero(hit)
-            forest.join(rows + block.start, nodes + shift)
-        else:
+    for k, (block, hit) in enumerate(_found(b_graph, b, a, least, recall, 2) if right else ((o, np.zeros((o.stop - o.start, len(a)), bool)) for o in over)):
+        for other, tiles in back:
+            _add(hit[:, other].T, tiles[k])
+        if not right:
+            for o, kept in zip(over, back[k][1], strict=True):
+                _add(hit[:, o], kept)
             hit[np.arange(len(hit)), np.arange(block.start, block.stop)] = False
-            pending.append((block, np.packbits(hit, axis=1)))
-    if not right:  # with itself: the other direction is the transposed one
-        bits = np.concatenate([p for _, p in pending]) if pending else np.zeros((0, 0), np.uint8)
-        for block, own in pending:
-            other = np.unpackbits(bits[:, block.start // 8 : (block.stop + 7) // 8], axis=1)[:, : block.stop - block.start].T
-            hit = (np.unpackbits(own, axis=1)[:, : len(a)] | other).astype(bool)
-            links[0][block] = hit @ a_n
-            rows, nodes = np.nonzero(hit)
-            forest.join(rows + block.start, nodes)
+        for s in range(0, len(hit), PART):
+            rows, nodes = np.nonzero(hit[s : s + PART])
+            rows += block.start + s
+            np.add.at(links[0], rows, b_n[nodes])
+            if right:
+                np.add.at(links[1], nodes, a_n[rows])
+            forest.join(rows, nodes + shift)
     ids = np.concatenate([a_id, b_id]) if right else a_id
     n = np.concatenate(links) if right else links[0]
     root = ids[forest.root(np.arange(len(ids)))]
@@ -301,23 +333,69 @@ def _shards(units: DataFrame, most: int) -> DataFrame:
     return units.join(F.broadcast(lengths), "length").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
 
 
-_GRAPH = "shard int, first int, shards int, nodes binary, copies binary, vectors binary, width int, counts array<int>, links array<binary>"
+@contextlib.contextmanager
+def _batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """What runs inside sends Arrow batches of so many bytes at most; they are buffers outside the heap, some for each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+_GRAPH = "shard int, first int, shards int, part int, nodes binary, copies binary, vectors binary, width int, ground binary, counts array<int>, links array<binary>"
 
 
 def _graphs(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = np.stack(pdf["unit"].to_numpy()).astype(np.float64)
+    """A shard's graph in rows of PIECE vectors with their links on the lowest layer; the first row has the other layers."""
+    x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(1)[:, None]  # first, so that no square is too large or small
+    x /= np.sqrt(np.cumsum(x * x, axis=1)[:, -1:])
     order = np.argsort(pdf["node"].to_numpy())
     x = x[order]
     graph = build(x.astype(np.float32), int(pdf["shard"].iloc[0]))
     of = graph.layers[0][0]  # the graph's order
     nodes, copies = (pdf[c].to_numpy()[order][of].astype(np.int64) for c in ("node", "copies"))
-    return pd.DataFrame([(pdf["shard"].iloc[0], pdf["first"].iloc[0], pdf["shards"].iloc[0], nodes.tobytes(), copies.tobytes(), x[of].tobytes(), x.shape[1], [len(t) for _, t in graph.layers], [t.astype(np.int32).tobytes() for _, t in graph.layers])], columns=[c.split()[0] for c in _GRAPH.split(", ")])
-
-
-def _read(row) -> tuple:
-    x = np.frombuffer(row.vectors, np.float64).reshape(-1, row.width)
-    layers = [(np.arange(n), np.frombuffer(t, np.int32).reshape(n, -1).astype(np.int64)) for n, t in zip(row.counts, row.links, strict=True)]
-    return np.frombuffer(row.nodes, np.int64), np.frombuffer(row.copies, np.int64), x, Graph(x.astype(np.float32), layers)
+    x, ground, upper = x[of], graph.layers[0][1].astype(np.int32), graph.layers[1:]
+    head = [int(pdf[c].iloc[0]) for c in ("shard", "first", "shards")]
+    rows = []
+    for k, s in enumerate(range(0, len(x), PIECE)):
+        nodes_, copies_, x_, ground_ = (v[s : s + PIECE].tobytes() for v in (nodes, copies, x, ground))
+        rows.append((*head, k, nodes_, copies_, x_, x.shape[1], ground_, [] if k else [len(t) for _, t in upper], [] if k else [t.astype(np.int32).tobytes() for _, t in upper]))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _GRAPH.split(", ")])
+
+
+def _read(rows: list[dict]) -> tuple:
+    """A shard from its graph's rows, in order: its nodes, their copies, vectors and graph."""
+    nodes, copies = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("nodes", "copies"))
+    x = np.concatenate([np.frombuffer(r["vectors"], np.float64) for r in rows]).reshape(len(nodes), -1)
+    ground = np.concatenate([np.frombuffer(r["ground"], np.int32) for r in rows]).reshape(len(nodes), -1)
+    upper = [(np.arange(n), np.frombuffer(t, np.int32).reshape(n, -1)) for n, t in zip(rows[0]["counts"], rows[0]["links"], strict=True)]
+    return nodes, copies, x, Graph(x.astype(np.float32), [(np.arange(len(nodes)), ground), *upper])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The one or two shards of each pair, from rows sorted by pair, shard and part."""
+    pair, sides, rows = None, [], []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            r = {c: batch.column(c)[k] for c in batch.schema.names}
+            r = {c: (v.as_buffer() if isinstance(v, pa.BinaryScalar) else v.as_py()) for c, v in r.items()}
+            now = tuple(r["pair"].values())
+            if rows and (now != pair or r["shard"] != rows[0]["shard"]):
+                sides.append(_read(rows))
+                rows = []
+                if now != pair:
+                    yield sides
+                    sides = []
+            pair = now
+            rows.append(r)
+        if rows:  # else they hold on to the batch
+            rows = [{c: bytes(v) if isinstance(v, pa.Buffer) else v for c, v in r.items()} for r in rows]
+    if rows:
+        yield [*sides, _read(rows)]
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, recall: float = 0.99, most: int = MOST_ROWS) -> DataFrame:
@@ -331,21 +409,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     good = rows.where(sound)
     units = good.groupBy("v").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
     units = written(units.select("node", "copies", F.size("v").alias("length"), "v"))
-    scaled = F.transform(v, lambda c: c / top)
-    unit = units.withColumn("v", scaled).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).withColumn("unit", F.transform(v, lambda c: c / F.col("norm"))).drop("v", "norm")
-    dealt = _shards(unit, most)
+    dealt = _shards(units, most)
     n_shards = max(1, dealt.agg(F.max(F.col("first") + F.col("shards"))).first()[0] or 1)
     graphs = written(dealt.repartitionByRange(n_shards, "shard").groupBy("shard").applyInPandas(_graphs, _GRAPH))
-    # every two shards of one length, and each with itself: a group has one row or two
+    # every two shards of one length, and each with itself: a pair has the rows of one shard or two
     other = F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)
     met = graphs.withColumn("other", F.explode(other)).withColumn("pair", F.struct(F.least("shard", "other").alias("a"), F.greatest("shard", "other").alias("b")))
-    tasks = met.repartitionByRange(n_shards * (n_shards + 1) // 2, "pair") if n_shards < 64 else met
+    tasks = met.repartitionByRange(min(n_shards * (n_shards + 1) // 2, MOST_TASKS), "pair").sortWithinPartitions("pair", "shard", "part")
 
-    def both(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [_read(r) for r in pdf.sort_values("shard").itertuples()]
-        return _pair(sides[0], sides[1] if len(sides) > 1 else None, least, recall)
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sides in _sides(batches):
+            yield pa.RecordBatch.from_pandas(_pair(sides[0], sides[1] if len(sides) > 1 else None, least, recall), preserve_index=False)
 
-    found = written(tasks.groupBy("pair").applyInPandas(both, "node long, links long, root long"))
+    with _batches_of(spark, BATCH_BYTES):
+        found = written(tasks.mapInArrow(both, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     known = units.join(links, "node", "left").join(classes.withColumnRenamed("component", "class"), "node", "left")

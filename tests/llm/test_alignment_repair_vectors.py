@@ -202,3 +202,78 @@ def test_queries_against_sql(spark, duck, sf_dir):
 
     for query in (op12_conversation_repair, op13_embedding_dedup):
         assert rows_of(query(spark, sf_dir).toPandas()) == rows_of(duck.execute(oracle_sql()[query.__name__]).df())
+
+
+def test_pairs_of_shards_need_bounded_memory():
+    """Products with a whole shard, all pairs' places and a bit for each pair of two shards were in memory at once, whatever was found."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2, 6000, 8))
+    x[:, :300] = x[0, 0] + 0.02 * rng.normal(size=(2, 300, 8))  # a group of near copies in both
+    x /= np.linalg.norm(x, axis=2)[:, :, None]
+    sides = [(np.arange(6000) + 6000 * k, np.ones(6000, np.int64), v, embedding_dedup.Graph(v.astype(np.float32), [(np.arange(6000), np.full((6000, 1), -1, np.int32))])) for k, v in enumerate(x)]
+    none = np.zeros((512, 6000), bool)
+    flat = np.concatenate(x)
+    truth = flat @ flat.T >= 0.999
+    np.fill_diagonal(truth, False)
+
+    def exact(graph, q, least, width):  # what a beam does is not meant here
+        return embedding_dedup._close(q, graph.x, least)
+
+    search, embedding_dedup.search = embedding_dedup.search, exact
+    try:
+        tracemalloc.start()
+        found = embedding_dedup._pair(*sides, 0.999, 0.99)
+        most = tracemalloc.get_traced_memory()[1]
+        own = [embedding_dedup._pair(side, None, 0.999, 0.99) for side in sides]
+    finally:
+        tracemalloc.stop()
+        embedding_dedup.search = search
+    assert most < 6 * none.nbytes  # 12.1 times before, 3.5 now
+    links = dict(zip(found["node"], found["links"], strict=True))
+    assert [links.get(k, 0) for k in range(12000)] == [*truth[:6000, 6000:].sum(1), *truth[6000:, :6000].sum(1)]
+    for k, f in enumerate(own):
+        part = slice(6000 * k, 6000 * k + 6000)
+        assert dict(zip(f["node"], f["links"], strict=True)) == {i + 6000 * k: n for i, n in enumerate(truth[part, part].sum(1)) if n}
+
+
+def test_tiles_of_pairs_keep_all_bits():
+    rng = np.random.default_rng(1)
+    for share in (0.0, 0.001, 0.2, 1.0):
+        hit, out = rng.random((50, 37)) < share, np.zeros((37, 50), bool)
+        kept = embedding_dedup._kept(hit)
+        embedding_dedup._add(out.T, kept)
+        assert (out.T == hit).all() and kept.nbytes <= (hit.size + 7) // 8
+
+
+def test_wide_beams_take_fewer_queries_at_a_time(monkeypatch):
+    x = np.array(vectors(6, 1500, [(50, 0.2)] * 5), np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = embedding_dedup.build(x, 1)
+    want, widths, beam = embedding_dedup.search(graph, x[::3], 0.9, 64), [], embedding_dedup._beam
+    monkeypatch.setattr(embedding_dedup, "WIDE", 64 * 100)
+    monkeypatch.setattr(embedding_dedup, "_beam", lambda x, links, q, *rest: (widths.append(len(q)), beam(x, links, q, *rest))[1])
+    assert (embedding_dedup.search(graph, x[::3], 0.9, 64) == want).all() and max(widths) == 100
+
+
+def test_graphs_travel_in_pieces(monkeypatch):
+    """A shard's graph was one row of up to 20 MB, which each pair of shards had a copy of."""
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(embedding_dedup, "PIECE", 100)
+    x = np.array(vectors(6, 450, []))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [embedding_dedup._graphs(pd.DataFrame({"shard": k, "first": 0, "shards": 2, "node": np.arange(450) + 450 * k, "copies": 1 + np.arange(450) % 3, "v": list(3 * x)})) for k in (0, 1)]
+    assert [len(r) for r in rows] == [5, 5] and max(map(len, rows[0]["vectors"])) == 100 * 32 * 8
+    sent = pd.concat([t.assign(pair=[{"a": a, "b": b}] * len(t)) for a, b in ((0, 0), (0, 1), (1, 1)) for t in rows[a : b + 1]])
+    table = pa.RecordBatch.from_pandas(sent, preserve_index=False)
+    sides = list(embedding_dedup._sides(iter([table.slice(k, 3) for k in range(0, table.num_rows, 3)])))
+    assert [[s[0].min() // 450 for s in pair] for pair in sides] == [[0], [0, 1], [1]]
+    graph = embedding_dedup.build(x.astype(np.float32), 0)
+    of = graph.layers[0][0]
+    nodes, copies, vectors_, read = sides[1][0]
+    assert (nodes == of).all() and (copies == 1 + of % 3).all() and np.allclose(vectors_, x[of], rtol=0, atol=1e-15) and np.allclose(read.x, graph.x)
+    for (n, t), (m, u) in zip(read.layers, graph.layers, strict=True):
+        assert len(n) == len(m) and (t == u).all()
